@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm import secret_scan, simhash, token_files, url_reputation
+from parcelflow.llm import near_dedup, secret_scan, simhash, token_files, toxicity, url_reputation
 from parcelflow.llm.common import table
 
 
@@ -29,7 +29,16 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_simhash, op4_url_reputation, op6_token_files)}
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, *toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_simhash, op4_url_reputation, op5_near_duplicates, op6_token_files, op8_toxicity)}
 
 _RULES = sorted(url_reputation.RULES, key=lambda r: -len(r[1] + r[2]))
 _FITS = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for _, h, p in _RULES]

@@ -8,6 +8,8 @@ number. A reader needs the tail and the frames of the documents that it wants, n
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -77,19 +79,75 @@ class Reader:
         self.file.close()
 
 
-_tokenizers: dict = {}
+class Encoder:
+    """Token ids of whole texts, the same as the library's encode() gives, with the pieces between spaces remembered.
 
+    Byte-level vocabularies never join over a space that has no other white space beside it: such a space begins a token.
+    So a text's pieces are encoded once a worker, many new ones in one call, and later texts put together from them.
+    Texts with other white space beside a space, or with a special token's name, go to the library whole.
+    """
 
-def tokenizer(path: str):
-    """The tokenizer of a vocabulary file, loaded once a worker."""
-    if path not in _tokenizers:
-        import os
+    KEPT = 800_000
+    ODD = re.compile(r"\s\x20|\x20\s|^\s|\s$")
 
+    def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        self.library = Tokenizer.from_file(vocabulary)
+        begins = [False] * self.library.get_vocab_size()
+        for token, i in self.library.get_vocab().items():
+            begins[i] = token.startswith("\u0120")
+        self.begins = np.array(begins)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # a vocabulary that does not keep spaces so is never split
+        probe = "ab cd, ef\ngh ij"
+        self.kept: dict[str, bytes] = {}
+        self.splits = True
+        self.splits = self.pieced([probe])[0] == self.whole([probe])[0]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: list[str]) -> None:
+        if len(self.kept) + len(pieces) > self.KEPT:
+            self.kept.clear()
+        for begin in range(0, len(pieces), 4096):
+            some = pieces[begin : begin + 4096]
+            ids = np.asarray(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(some) and at[0] == 0:
+                self.kept.update(zip(some, (x.tobytes() for x in np.split(ids, at[1:])), strict=True))
+            else:
+                self.kept.update(zip(some, self.whole([" " + p for p in some]), strict=True))
+
+    def pieced(self, texts: list[str]) -> list[bytes]:
+        parts = [t.split(" ") for t in texts]
+        known = self.kept.keys()
+        new = set().union(*(p[1:] for p in parts)) - known
+        if new:
+            if len(self.kept) + len(new) > self.KEPT:
+                new = set().union(*(p[1:] for p in parts))
+            self.learn(list(new))
+        kept = self.kept.__getitem__
+        return [a + b"".join(map(kept, p[1:])) for a, p in zip(self.whole([p[0] for p in parts]), parts, strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Of each text its ids as little-endian unsigned 32-bit integers."""
+        odd = [not self.splits or bool(self.ODD.search(t)) or any(s in t for s in self.special) for t in texts]
+        plain = iter(self.pieced([t for t, o in zip(texts, odd, strict=True) if not o]))
+        other = iter(self.whole([t for t, o in zip(texts, odd, strict=True) if o]))
+        return [next(other) if o else next(plain) for o in odd]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """The encoder of a vocabulary file, loaded once a worker."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
 
 
 def default_vocabulary() -> str:
@@ -105,12 +163,12 @@ def encoded_frames(docs: DataFrame, id_col: str, text_col: str, vocabulary: str,
         import xxhash
         import zstandard
 
-        t, z = tokenizer(vocabulary), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
+        t, z = encoder(vocabulary), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
+        end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                texts = [x or "" for x in part.column(2).to_pylist()]
-                ids = [np.asarray([*e.ids, end_id], "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                ids = [x + end for x in t.encode([x or "" for x in part.column(2).to_pylist()])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array([z.compress(x) for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()),
