@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm import near_dedup, secret_scan, simhash, token_files, toxicity, url_reputation
+from parcelflow.llm import compaction, mixing, near_dedup, secret_scan, simhash, template_decontamination, token_files, toxicity, url_reputation
 from parcelflow.llm.common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", F.round("p", 4).alias("p"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -33,17 +37,29 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen arrivals, dealt by a hash of the id; the compacted table as its manifest gives it."""
+    docs = table(spark, sf_dir, "documents").withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    return compaction.compacted(docs, "arrival").select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, *toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_simhash, op4_url_reputation, op5_near_duplicates, op6_token_files, op8_toxicity)}
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secret_scan, op3_simhash, op4_url_reputation, op5_near_duplicates, op6_token_files, op7_compaction, op8_toxicity, op9_template_decontamination)}
 
 _RULES = sorted(url_reputation.RULES, key=lambda r: -len(r[1] + r[2]))
 _FITS = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for _, h, p in _RULES]
 
 ORACLES = {
+    "op1_mixing": mixing.oracle(),
+    "op7_compaction": "select doc_id, lang, source, n_chars, md5(text) as text_md5 from documents",
     "op4_url_reputation": f"""
 with p as (
   select page_id,
