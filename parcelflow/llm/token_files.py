@@ -27,7 +27,7 @@ SKIPPABLE, SEEKABLE, HAS_CHECKSUM = 0x184D2A5E, 0x8F92EAB1, 0x80
 ENTRY, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
 END_ID = 2
 DOCS_PER_FILE = 10_000
-LEVEL = 3
+LEVEL = 1
 
 
 def file_system(path: str):
@@ -83,12 +83,13 @@ class Encoder:
     """Token ids of whole texts, the same as the library's encode() gives, with the pieces between spaces remembered.
 
     Byte-level vocabularies never join over a space that has no other white space beside it: such a space begins a token.
-    So a text's pieces are encoded once a worker, many new ones in one call, and later texts put together from them.
-    Texts with other white space beside a space, or with a special token's name, go to the library whole.
+    The same holds for a line feed that stands alone, which is a token of its own. So a text's pieces are encoded once a
+    worker, many new ones in one call, and later texts put together from them. Texts that begin or end with white space,
+    or have two white-space characters side by side, or a special token's name, go to the library whole.
     """
 
     KEPT = 800_000
-    ODD = re.compile(r"\s\x20|\x20\s|^\s|\s$")
+    ODD = re.compile(r"\s\s|^\s|\s$")
 
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -97,13 +98,12 @@ class Encoder:
         self.library = Tokenizer.from_file(vocabulary)
         begins = [False] * self.library.get_vocab_size()
         for token, i in self.library.get_vocab().items():
-            begins[i] = token.startswith("\u0120")
+            begins[i] = token.startswith("\u0120") or token == "\u010a"
         self.begins = np.array(begins)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # a vocabulary that does not keep spaces so is never split
         probe = "ab cd, ef\ngh ij"
         self.kept: dict[str, bytes] = {}
-        self.splits = True
         self.splits = self.pieced([probe])[0] == self.whole([probe])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -114,15 +114,16 @@ class Encoder:
             self.kept.clear()
         for begin in range(0, len(pieces), 4096):
             some = pieces[begin : begin + 4096]
-            ids = np.asarray(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.asarray(self.library.encode_batch_fast(["".join(p if p[:1] == "\n" else " " + p for p in some)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.begins[ids])
             if len(at) == len(some) and at[0] == 0:
                 self.kept.update(zip(some, (x.tobytes() for x in np.split(ids, at[1:])), strict=True))
             else:
-                self.kept.update(zip(some, self.whole([" " + p for p in some]), strict=True))
+                self.kept.update(zip(some, self.whole([p if p[:1] == "\n" else " " + p for p in some]), strict=True))
 
     def pieced(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
+        # a piece that begins with a line feed has no space before it
+        parts = [t.replace("\n", " \n").split(" ") for t in texts]
         known = self.kept.keys()
         new = set().union(*(p[1:] for p in parts)) - known
         if new:
