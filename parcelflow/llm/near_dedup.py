@@ -226,3 +226,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taking = F.col("n_shingles") > 0
     own = F.when(taking & F.col("id").isNotNull(), F.coalesce("component", "cid")).otherwise(F.col("id"))
     return ids.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """docs, all columns as they are, with one row of each group of near-duplicates: the one with the smallest id.
+
+    Repeated rows of one id leave one; rows with a null id all stay.
+    """
+    kept = near_duplicates(docs, id_col, text_col, percent, words).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))

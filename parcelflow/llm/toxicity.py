@@ -327,3 +327,20 @@ def score_toxicity(docs: DataFrame, model: Model | None, prior: float = 0.0, id_
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, held_out(id_col).alias("held_out"), text_col).mapInArrow(run, f"{id_col} {kind}, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: Model | None, prior: float = 0.0, text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """docs, all columns as they are, without the rows that score_toxicity() would predict as toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as in score_toxicity()
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                score = own.score(texts) if own is not None else np.full(len(texts), prior)
+                yield part.filter(pa.array(score < cut))
+
+    return docs.mapInArrow(run, docs.schema)
