@@ -21,9 +21,12 @@ from parcelflow.llm.words import chunks, mix, shingles
 
 THRESHOLD, WORDS = 75, 5
 #: Trees, branches of a large node, exhaustive node size, deepest level, sketch bytes, least share of equal sketch bytes.
-#: At a similarity of 0.75 a pair misses all 10 trees with a chance of (1 - 0.75 * 0.98)**10, about 2e-6, and the sketch
-#: bound (4.5 standard deviations below) with about 3e-6.
-TREES, BRANCHES, SMALL, DEPTH, SKETCH, LOOSE = 10, 3, 48, 6, 96, 0.55
+#: At a similarity of 0.75 a pair stays together in a large node with a chance of 0.9, so it misses all 12 trees with
+#: (1 - 0.75 * 0.9)**12, about 1e-6, and the sketch bound (4.5 standard deviations below) with about 3e-6.
+TREES, BRANCHES, SMALL, DEPTH, SKETCH, LOOSE = 12, 2, 48, 5, 96, 0.55
+#: In a large node, members this close to its pivot leave it, and members this close are tied to the pivot: by the triangle
+#: inequality of the Jaccard distance, what is linked to a member that left is at a distance of 0.25 + 0.25 of the pivot.
+LEAVE, TIE = 0.8, 0.35
 #: Members that one task compares exhaustively in a dense node or group.
 BLOCK = 256
 
@@ -184,23 +187,51 @@ def linked(members: DataFrame, match: Callable, block: int = BLOCK) -> DataFrame
     return edges.unionByName(grouped_arrow(base.unionByName(asked), ["grp", "part"], ["asks", "id"], query, "a long, b long"))
 
 
-def loose_members(classes: DataFrame) -> DataFrame:
-    """(grp, size, id, data): the nodes of all trees that are small, or that the deepest level leaves."""
+def against_pivots(nodes: DataFrame, lookup: DataFrame) -> DataFrame:
+    """(node, cid, pivot, share) of the members of large nodes: the share of sketch bytes equal to the node's pivot's."""
+    pivots = nodes.groupBy("node").agg(F.min("cid").alias("pivot")).join(lookup.select(F.col("cid").alias("pivot"), F.col("sketch").alias("target")), "pivot")
+    rows = nodes.select("node", "cid").join(lookup, "cid").join(pivots, "node").select("node", "cid", "pivot", "sketch", "target")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (3, 4))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((x == y).mean(axis=1))], names=["node", "cid", "pivot", "share"])
+
+    return rows.mapInArrow(run, "node long, cid long, pivot long, share double")
+
+
+def loose_members(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(grp, size, id, data) of the nodes of all trees that are small or that the deepest level leaves, and edges (a, b) to pivots.
+
+    A large node first sheds the members that are nearly its pivot's copies, so that a group of copies is not carried down
+    the tree; what stays is small, or branches.
+    """
     at = classes.select("cid", F.posexplode("keys").alias("tree", "key")).select(F.xxhash64("tree", "key").alias("node"), "cid")
-    found, lookup = None, classes.select("cid", "sketch")
+    found, ties, lookup = None, [], classes.select("cid", "sketch")
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "node")
+
+    def keep(rows: DataFrame) -> None:
+        nonlocal found
+        rows = rows.select("node", "size", "cid")
+        found = rows if found is None else found.unionByName(rows)
+
     for level in range(DEPTH + 1):
-        sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-        nodes = written(at.join(sizes, "node"), f"nodes-{level}")
-        last = level == DEPTH
-        done = nodes if last else nodes.where(F.col("size") <= SMALL)
-        found = done if found is None else found.unionByName(done)
+        nodes = written(sized(at), f"nodes-{level}")
+        keep(nodes.where(F.col("size") <= SMALL))
         large = nodes.where(F.col("size") > SMALL)
-        if last or large.isEmpty():
+        if large.isEmpty():
             break
+        seen = written(against_pivots(large, lookup), f"pivots-{level}")
+        ties.append(seen.where((F.col("share") >= TIE) & (F.col("cid") != F.col("pivot"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct())
+        rest = written(sized(seen.where((F.col("share") < LEAVE) & (F.col("cid") != F.col("pivot"))).select("node", "cid")), f"rest-{level}")
+        keep(rest if level == DEPTH else rest.where(F.col("size") <= SMALL))
         pick = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SKETCH)).cast("int") + 1
         child = [F.xxhash64("node", F.lit(j), F.substring("sketch", pick(j), 1)) for j in range(BRANCHES)]
-        at = large.join(lookup, "cid").select("cid", F.explode(F.array(*child)).alias("node"))
-    return found.join(lookup, "cid").select(F.col("node").alias("grp"), "size", F.col("cid").alias("id"), F.col("sketch").alias("data"))
+        at = rest.where(F.col("size") > SMALL).join(lookup, "cid").select("cid", F.explode(F.array(*child)).alias("node"))
+    return found.join(lookup, "cid").select(F.col("node").alias("grp"), "size", F.col("cid").alias("id"), F.col("sketch").alias("data")), ties
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -216,7 +247,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     able = rows.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     reps = able.groupBy("s1", "s2").agg(F.min("id").alias("cid"))
     classes = written(able.groupBy("s1", "s2").agg(F.min("id").alias("cid"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
-    loose = components(linked(loose_members(classes), sketch_match(LOOSE)))
+    members, ties = loose_members(classes)
+    near = linked(members, sketch_match(LOOSE))
+    for t in ties:
+        near = near.unionByName(t)
+    loose = components(near)
     sizes = loose.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     groups = loose.join(sizes, "component").select(F.col("component").alias("grp"), "size", "id")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(groups, "id")
