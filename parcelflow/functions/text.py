@@ -207,10 +207,10 @@ def state_list(c: Column) -> Column:
 
 def geography(response: Column) -> dict[str, Column]:
     """State, county and municipality of a geocoder's JSON answer."""
-    at = lambda path: F.coalesce(F.get_json_object(response, f"$.result.geographies.{path}"), F.lit(""))
+    at = lambda path: F.coalesce(F.get_json_object(response, f"$.result.geographies{path}"), F.lit(""))
     return {
-        "geo_state": at("States[0].STUSAB"),
-        "county": F.regexp_replace(at("Counties[0].NAME"), r"(?i)\s+County$", ""),
+        "geo_state": at(".States[0].STUSAB"),
+        "county": F.regexp_replace(at(".Counties[0].NAME"), r"(?i)\s+County$", ""),
         "municipality": F.regexp_replace(at("['County Subdivisions'][0].NAME"), r"(?i)\s+(town|city|borough|village|plantation)$", ""),
     }
 

@@ -7,9 +7,10 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def street_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks; it depends on the order of its arguments, so callers put the lower id first."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
@@ -18,7 +19,7 @@ def street_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def fuzzy_date(c: Column, as_of: str) -> Column:
     """A lenient date parse with missing parts from as_of, for texts that the patterns of dates.py miss."""
 
-    @F.pandas_udf("timestamp_ntz")
+    @F.pandas_udf(T.TimestampNTZType())
     def parse(s: pd.Series) -> pd.Series:
         from dateutil import parser
 

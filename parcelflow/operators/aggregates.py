@@ -38,7 +38,7 @@ def postponements(events: DataFrame) -> DataFrame:
 
 def pdf_links(rows: DataFrame, links: str = "pdf_links") -> DataFrame:
     """(property_id, ord, link): links split at semicolons, trimmed, blanks left out."""
-    parts = F.filter(F.transform(F.split(links, ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(links, ";"), lambda x: F.trim(x)), lambda x: x != "")
     return rows.select("property_id", F.posexplode(parts).alias("ord", "link"))
 
 

@@ -11,7 +11,7 @@ from parcelflow.operators.dedup import latest_event
 
 
 def events_with_property(events: DataFrame, properties: DataFrame) -> DataFrame:
-    return events.join(properties.drop("status").withColumn("property_status", properties["status"]), "auction_id")
+    return events.join(properties.withColumnRenamed("status", "property_status"), "auction_id")
 
 
 def hide_duplicates(properties: DataFrame, links: DataFrame | None) -> DataFrame:
