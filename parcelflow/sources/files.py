@@ -39,9 +39,7 @@ def write_listing_csv(rows: DataFrame, path: str, by_source: bool = False, snaps
     if snapshot_date:
         out, parts = out.withColumn("snapshot_date", F.lit(snapshot_date)), ["snapshot_date"]
     if by_source:
-        out, parts = out.withColumn("source", F.col("Source")), [*parts, "source"]
-    if by_source:
-        out = out.drop("Source")
+        parts = [*parts, "Source"]
     out.write.options(header=True, escape='"').partitionBy(*parts).csv(path)
 
 
