@@ -211,7 +211,8 @@ def loose_members(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     found, ties, lookup = None, [], classes.select("cid", "sketch")
 
     def sized(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "node")
+        # sizes are written first, so that the join reads both sides from shuffles and a hot node's rows can be split
+        return rows.join(written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "sizes"), "node")
 
     def keep(rows: DataFrame) -> None:
         nonlocal found
