@@ -23,7 +23,7 @@ THRESHOLD, WORDS = 75, 5
 #: Trees, branches of a large node, exhaustive node size, deepest level, sketch bytes, least share of equal sketch bytes.
 #: At a similarity of 0.75 a pair stays together in a large node with a chance of 0.9, so it misses all 12 trees with
 #: (1 - 0.75 * 0.9)**12, about 1e-6, and the sketch bound (4.5 standard deviations below) with about 3e-6.
-TREES, BRANCHES, SMALL, DEPTH, SKETCH, LOOSE = 12, 2, 48, 5, 96, 0.55
+TREES, BRANCHES, SMALL, DEPTH, SKETCH, LOOSE = 12, 2, 64, 2, 96, 0.55
 #: In a large node, members this close to its pivot leave it, and members this close are tied to the pivot: by the triangle
 #: inequality of the Jaccard distance, what is linked to a member that left is at a distance of 0.25 + 0.25 of the pivot.
 LEAVE, TIE = 0.8, 0.35
@@ -226,12 +226,14 @@ def loose_members(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if large.isEmpty():
             break
         seen = written(against_pivots(large, lookup), f"pivots-{level}")
-        ties.append(seen.where((F.col("share") >= TIE) & (F.col("cid") != F.col("pivot"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct())
-        rest = written(sized(seen.where((F.col("share") < LEAVE) & (F.col("cid") != F.col("pivot"))).select("node", "cid")), f"rest-{level}")
-        keep(rest if level == DEPTH else rest.where(F.col("size") <= SMALL))
+        ties.append(seen.where((F.col("share") >= TIE) & (F.col("cid") != F.col("pivot"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
+        rest = seen.where((F.col("share") < LEAVE) & (F.col("cid") != F.col("pivot"))).select("node", "cid")
+        if level == DEPTH:
+            keep(sized(rest))
+            break
         pick = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SKETCH)).cast("int") + 1
         child = [F.xxhash64("node", F.lit(j), F.substring("sketch", pick(j), 1)) for j in range(BRANCHES)]
-        at = rest.where(F.col("size") > SMALL).join(lookup, "cid").select("cid", F.explode(F.array(*child)).alias("node"))
+        at = rest.join(lookup, "cid").select("cid", F.explode(F.array(*child)).alias("node"))
     return found.join(lookup, "cid").select(F.col("node").alias("grp"), "size", F.col("cid").alias("id"), F.col("sketch").alias("data")), ties
 
 
