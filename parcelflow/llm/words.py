@@ -69,7 +69,7 @@ def shingles(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     weight = powers(max(k, 2))[0]
     whole = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for j in range(k):
-        whole += h[j : len(h) - k + 1 + j] * weight[j]
+        whole += h[j : j + len(whole)] * weight[j]
     whole = mix(whole)
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int64)
