@@ -50,7 +50,7 @@ def rake(cells: list[tuple], targets: Mapping[str, Mapping | None], temper: Mapp
     for m, name in enumerate(margins):
         names, code = np.unique([str(c[m]) for c in cells], return_inverse=True)
         shares = np.bincount(code, tokens) / tokens.sum()
-        goal = goals(dict(zip(names.tolist(), shares.tolist(), strict=True)), temper[name], targets.get(name))
+        goal = goals(dict(zip(names.tolist(), shares.tolist(), strict=True)), temper.get(name, 1.0), targets.get(name))
         plan.append((code, np.array([goal[x] for x in names.tolist()])))
     for _ in range(rounds):
         for code, goal in plan:
@@ -79,7 +79,7 @@ def rake_table(cells: DataFrame, targets: Mapping[str, Mapping | None], temper:
             pairs = spark.createDataFrame([(str(k), float(v)) for k, v in targets[name].items()], f"{name} string, given double")
             shares = shares.join(pairs, name, "left").select(name, F.coalesce("given", F.lit(0.0)).alias("goal"))
         else:
-            shares = shares.select(name, F.pow("goal", F.lit(temper[name])).alias("goal"))
+            shares = shares.select(name, F.pow("goal", F.lit(temper.get(name, 1.0))).alias("goal"))
         whole = shares.agg(F.sum("goal")).first()[0] or 1.0
         plan.append((name, cut(shares.withColumn("goal", F.col("goal") / F.lit(whole)))))
     for _ in range(rounds):

@@ -76,7 +76,7 @@ def contaminated(
     asked = hits.groupBy("doc").agg(F.collect_list(F.struct("item", "shift", "n_windows")).alias("asked"))
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     aligned = (
-        texts.join(asked, "doc")
+        texts.join(asked.hint("merge"), "doc")  # by shuffle at every size: hits grow with the corpus
         .select("doc", valued(F.col("text")).alias("d"), "asked")
         .select("doc", "d", F.inline("asked"))
         .join(held(items.select("item", "v")), "item")
@@ -98,4 +98,4 @@ def contaminated(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the rows that contaminated() reports; rows with a null id stay."""
-    return docs.join(contaminated(docs, benchmark, id_col, **options).select(id_col).distinct(), id_col, "left_anti")
+    return docs.join(contaminated(docs, benchmark, id_col, **options).select(id_col).distinct().hint("merge"), id_col, "left_anti")
