@@ -11,19 +11,29 @@ from parcelflow.llm.common import cut, written
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a long, b long): the smallest id that it reaches.
 
-    Each round takes the least label among neighbours and then the label of that label, until nothing changes, so the
-    rounds grow with the logarithm of a component's diameter on the edges that the callers make (stars of each block).
-    Self loops and repeated edges are fine; an empty table gives no rows. Labels are checkpointed each round.
+    Each round points every id at its least neighbour, follows the pointers to their roots, and contracts the edges to
+    those roots; edges inside a root are gone. At most half of the ids stay roots, so the rounds grow with the logarithm of
+    a component, the pointer steps of a round with that of its longest chain, and later rounds read fewer edges. Self
+    loops and repeated edges are fine; an empty table gives no rows. Labels are checkpointed.
     """
-    ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    ends = written(ends, "edges")
-    labels = cut(ends.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    ends = written(edges.select(*pair(F.col("a"), F.col("b"))).distinct(), "edges")
+    found = None
     while True:
-        near = ends.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        ahead = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        after = cut(step.join(ahead, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
-        changed = after.where(F.col("old") != F.col("label")).limit(1).count()
-        labels = after.select("id", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+        both = ends.select("a", "b").unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
+        while True:
+            ahead = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
+            step = cut(labels.join(ahead, "label").select("id", F.col("label").alias("old"), F.col("next").alias("label")))
+            labels = step.select("id", "label")
+            if step.where(F.col("old") != F.col("label")).isEmpty():
+                break
+        if found is None:
+            found = labels
+        else:
+            later = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
+            found = cut(found.join(later, "label", "left").select("id", F.coalesce("next", "label").alias("label")))
+        at = lambda end, root: labels.select(F.col("id").alias(end), F.col("label").alias(root))
+        ends = written(ends.join(at("a", "x"), "a").join(at("b", "y"), "b").where(F.col("x") != F.col("y")).select(*pair(F.col("x"), F.col("y"))).distinct(), "edges")
+        if ends.isEmpty():
+            return found.withColumnRenamed("label", "component")
