@@ -98,19 +98,26 @@ def rake_table(cells: DataFrame, targets: Mapping[str, Mapping | None], temper:
     return at.withColumn("p", F.least(F.greatest(F.lit(scale) * F.col("ratio"), F.lit(0.0)), F.lit(1.0))).select(*margins, "p")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: Mapping[str, Mapping | None] | None = None, temper: Mapping[str, float] = TEMPER, share: float = SHARE, topic_of: Column | None = None) -> DataFrame:
+def weighed(docs: DataFrame, text_col: str = "text", topic_of: Column | None = None) -> DataFrame:
+    """docs with topic and tokens; columns of these names are replaced."""
+    return docs.withColumn("topic", topic_of if topic_of is not None else topic(F.col(text_col))).withColumn("tokens", token_count(F.col(text_col)))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text", targets: Mapping[str, Mapping | None] | None = None, temper: Mapping[str, float] = TEMPER, share: float = SHARE, topic_of: Column | None = None) -> DataFrame:
     """Sampled rows of docs with topic, tokens and p, the probability with which their cell is sampled.
 
     Token weights are raked until source, language and topic have their targets (given shares by value, else tempered
     observed shares); a row is kept if a number drawn from its id is under p, so copies of an id share their fate and a
     rerun keeps the same rows. share: expected part of all tokens that is kept. Nulls in a margin are a value of their
     own, "(none)"; rows with no tokens or a null id are not sampled; an empty table gives no rows. Columns of docs named
-    topic, tokens or p are replaced.
+    topic, tokens or p are replaced. text_col None: docs come from weighed(), and their texts may be left out.
     """
     margins = list(MARGINS)
-    named = docs.withColumn("topic", topic_of if topic_of is not None else topic(F.col(text_col))).withColumn("tokens", token_count(F.col(text_col)))
+    named = docs if text_col is None else weighed(docs, text_col, topic_of)
+    # the same rows as those with tokens, without counting them once more
+    usable = F.col(id_col).isNotNull() & ((F.col("tokens") > 0) if text_col is None else F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     key = {m: F.coalesce(F.col(m).cast("string"), F.lit("(none)")) for m in margins}
-    cells = written(named.where(F.col(id_col).isNotNull() & (F.col("tokens") > 0)).groupBy(*(key[m].alias(m) for m in margins)).agg(F.sum("tokens").alias("tokens")), "cells")
+    cells = written(named.where(usable).groupBy(*(key[m].alias(m) for m in margins)).agg(F.sum("tokens").alias("tokens")), "cells")
     n = cells.count()
     given = targets or {}
     if n <= CELLS:
@@ -121,7 +128,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets
     else:
         table = rake_table(cells, given, temper, margins, share=share).select(*(F.col(m).alias(f"_{m}") for m in margins), "p")
     on = [key[m] == F.col(f"_{m}") for m in margins]
-    return named.drop("p").join(table, on).where(F.col(id_col).isNotNull() & (F.col("tokens") > 0) & (draw(id_col) < F.col("p"))).drop(*(f"_{m}" for m in margins))
+    return named.drop("p").join(table, on).where(usable & (draw(id_col) < F.col("p"))).drop(*(f"_{m}" for m in margins))
 
 
 def oracle(columns: str = "doc_id, source, lang, topic, tokens, round(p, 4) as p", table: str = "documents") -> str:

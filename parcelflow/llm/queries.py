@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.llm import compaction, mixing, near_dedup, secret_scan, simhash, substring_dedup, template_decontamination, token_files, toxicity, url_reputation
-from parcelflow.llm.common import table
+from parcelflow.llm.common import table, written
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", F.round("p", 4).alias("p"))
+    """Weights are counted once; the sample needs no texts."""
+    rows = written(mixing.weighed(table(spark, sf_dir, "documents")).drop("text"), "weights")
+    return mixing.mix(rows, text_col=None).select("doc_id", "source", "lang", "topic", "tokens", F.round("p", 4).alias("p"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
