@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelflow.functions import dates, status, text
 from parcelflow.operators import aggregates, dedup, joins, pages
 from parcelflow.plans import billing, digest, export, links, load
 from parcelflow.plans.shapes import AS_OF, Shapes, with_shapes
 from parcelflow.sources import files
+from parcelflow.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +39,21 @@ def write_listing_csv(s):
     return rows.select(F.col("ID").alias("id"), F.col("Name").alias("name"), F.col("Source").alias("source"), F.col("State").alias("state"), F.col("Status").alias("status"), F.col("URL").alias("url"), F.col("Auction Date/Time").alias("auction"))
 
 
+@query("listings", "select concat(source, ':', listing_id) as id, name, source, status from listings where latitude is not null")
+def read_listing_csv(s):
+    path = files.scratch(s.spark, "listings")
+    files.write_listing_csv(s.listings, path)
+    return files.read_listing_csv(s.spark, path).select(F.col("ID").alias("id"), F.col("Name").alias("name"), F.col("Source").alias("source"), F.col("Status").alias("status"))
+
+
+@query("properties", "select cast(property_id as varchar) as id, latitude from properties where property_id % 7 <> 0")
+def read_cache(s):
+    path = files.scratch(s.spark, "cache")
+    row = F.to_json(F.struct(F.col("property_id").cast("string").alias("id"), "latitude"))
+    s.properties.select(F.when(F.col("property_id") % 7 == 0, F.concat(F.lit("{"), row)).otherwise(row).alias("value")).write.text(path)
+    return files.read_cache(s.spark, path, T.StructType([T.StructField("id", T.StringType()), T.StructField("latitude", T.DoubleType())]))
+
+
 @query("listings", "select source, count(*) as n from listings group by source")
 def write_listing_csv_by_source(s):
     return files.listing_rows(s.listings).groupBy(F.col("Source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
@@ -809,3 +826,49 @@ def subscription_state(s):
 @query("webhook_events subscribers", f"with {_ONCE} select invoice_id, arg_min(email, (event_time, event_id)) as email, arg_min(amount, (event_time, event_id)) as amount from o join subscribers using (subscription_id) where kind = 'invoice_paid' group by invoice_id")
 def invoice_ledger(s):
     return billing.invoice_ledger(s.webhook_events, s.subscribers).select("invoice_id", "email", "amount")
+
+
+def _arrivals(s, df, label):
+    """df as a stream of one arrival, and a folder for the stream's checkpoint."""
+    path = files.scratch(s.spark, label)
+    df.write.parquet(path)
+    return s.spark.readStream.schema(df.schema).parquet(path), files.scratch(s.spark, f"{label}-stream")
+
+
+def _appended(stream, checkpoint):
+    """What a stream appends, once all of its input is read."""
+    out = f"{checkpoint}-out"
+    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    return out
+
+
+@query("snapshot_1 snapshot_2", f"with {_DIFF} select 1 as run_id, 'first_seen' as event_type, count(*) as n from snapshot_1_d union all select 2, event_type, count(*) from ev group by event_type")
+def snapshot_stream(s):
+    store = files.StateStore(s.spark, files.scratch(s.spark, "state"))
+    path, checkpoint = files.scratch(s.spark, "snapshots"), files.scratch(s.spark, "snapshots-stream")
+    for name, rows, as_of in (("a", s.snapshot_1, "2024-01-01 00:00:00"), ("b", s.snapshot_2, AS_OF)):
+        rows.drop("g").withColumn("as_of", F.lit(as_of)).write.parquet(f"{path}/{name}")
+        schema = s.spark.read.parquet(f"{path}/{name}").schema
+        source = s.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+        streams.snapshot_stream(s.spark, source, store, "as_of", checkpoint).awaitTermination()
+    return store.read("events", load.EVENTS).groupBy("run_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def link_check_events(s):
+    checks = s.events.select((F.col("user_id") % 200).alias("property_id"), F.col("ts").cast("timestamp").alias("checked_at"), F.when(F.col("event_type") == "error", 404).otherwise(200).alias("http_status"), F.lit("fine").alias("html"))
+    stream, checkpoint = _arrivals(s, checks, "checks")
+    return s.spark.read.schema("property_id long, checked_at timestamp").parquet(_appended(streams.link_checks(stream), checkpoint))
+
+
+@query()
+def cooldown_gate(s):
+    stream, checkpoint = _arrivals(s, s.notifications.select("email", F.col("sent_at").cast("timestamp").alias("sent_at")), "sends")
+    return s.spark.read.schema("email string, sent_at timestamp").parquet(_appended(streams.cooldown(stream), checkpoint))
+
+
+@query("webhook_events", "select event_id, min(seq) as n_first from webhook_events group by event_id")
+def webhook_stream(s):
+    stream, checkpoint = _arrivals(s, s.webhook_events.select("event_id", "seq", F.col("event_time").cast("timestamp").alias("event_time")), "webhooks")
+    out = _appended(streams.webhook_dedup(stream, delay="3650 days").select("event_id"), checkpoint)
+    return s.spark.read.schema("event_id long").parquet(out).select("event_id", F.col("event_id").alias("n_first"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,17 @@ COLUMNS = ("ID", "Name", "Latitude", "Longitude", "Source", "State", "County", "
 REQUIRED = ("Name", "Latitude", "Longitude", "Source", "State", "Description", "Auction Date/Time", "Status", "PDF Links", "URL")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); a temporary one in a local session without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def read_listing_csv(spark: SparkSession, path: str, required: tuple[str, ...] = REQUIRED) -> DataFrame:
     """A listing file with all columns as text and seq, the row's place in the file; fails if a required column is missing."""
     options = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8"}
