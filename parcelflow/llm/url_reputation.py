@@ -74,24 +74,28 @@ def reputation(outcomes: DataFrame, strength: dict[str, float] = STRENGTH, z: fl
 
 
 def judge_urls(
-    pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, bad_rate: float = BAD_RATE
+    pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, bad_rate: float = BAD_RATE, margin: float | None = None
 ) -> DataFrame:
     """Verdict of each page: (id, host, path, rule, verdict, bad_low).
 
-    The longest fitting rule decides; else a host is blocked if the lower bound of its bad rate is over bad_rate, and is
-    allowed otherwise. Null urls and urls without :// have an empty host and path and are judged so (hosts without
+    The longest fitting rule decides; else a host is blocked if the lower bound of its bad rate is over bad_rate, or, where
+    margin is given, over the rate of all outcomes by more than margin; it is allowed otherwise. Null urls and urls without :// have an empty host and path and are judged so (hosts without
     labelled pages are allowed; bad_low is then null). One row per row of pages, repeated rows included; other columns
     are dropped. Empty tables give no rows. A hot host is one row of the reputation, joined by shuffle with skew splits.
     """
     seen = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     rep = reputation(outcomes).select("host", F.col("low").alias("bad_low"))
     found = rule_of(F.col("host"), F.col("path"), rules)
+    bound = F.lit(bad_rate)
+    if margin is not None:
+        whole = outcomes.where(F.col("host").isNotNull() & F.col("bad").isNotNull()).agg(F.avg(F.col("bad").cast("double")).alias("all_rate"))
+        rep, bound = rep.join(F.broadcast(whole)), F.col("all_rate") + F.lit(margin)  # whole is one row
     return (
         seen.join(rep, "host", "left")
         .withColumn("hit", found)
         .select(
             id_col, "host", "path", F.col("hit.rule").alias("rule"),
-            F.coalesce(F.col("hit.verdict"), F.when(F.col("bad_low") > bad_rate, "block").otherwise("allow")).alias("verdict"),
+            F.coalesce(F.col("hit.verdict"), F.when(F.col("bad_low") > bound, "block").otherwise("allow")).alias("verdict"),
             F.round("bad_low", 6).alias("bad_low"),
         )
     )

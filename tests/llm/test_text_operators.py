@@ -105,6 +105,15 @@ def test_urls(spark):
     assert url_reputation.judge_urls(pages.limit(0), outcomes).count() == 0 and url_reputation.judge_urls(pages, outcomes.limit(0)).count() == 12
 
 
+def test_urls_block_a_bad_host_at_the_given_base_rate(spark):
+    rows = [(f"h{i % 40}.example.com", i // 40 % 20 < 3) for i in range(1600)] + [("bets.other.net", i % 5 < 2) for i in range(100)]
+    outcomes = spark.createDataFrame([*rows, ("bets.other.net", None), (None, True)], "host string, bad boolean")
+    pages = spark.createDataFrame([(i, f"https://{h}/x") for i, h in enumerate(sorted({h for h, _ in rows}))], "page_id long, url string")
+    blocked = lambda **how: [r["host"] for r in url_reputation.judge_urls(pages, outcomes, **how).where("verdict = 'block'").collect()]
+    assert blocked() == [] and blocked(margin=0.1) == ["bets.other.net"]
+    assert url_reputation.judge_urls(pages, outcomes.limit(0), margin=0.1).count() == 41
+
+
 @pytest.fixture(scope="module")
 def model():
     rng = np.random.default_rng(5)
