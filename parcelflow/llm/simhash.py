@@ -1,4 +1,4 @@
-"""SimHash fingerprints of whole texts, and radius search over permuted block tables."""
+"""SimHash fingerprints of whole texts, and complete radius search: block tables for a small radius, a packed scan for a large one."""
 
 from __future__ import annotations
 
@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelflow.llm.common import range_count, shard_of, shard_splits, written
+from parcelflow.llm.common import grouped_arrow, partitions, range_count, shard_of, shard_splits, written
 from parcelflow.llm.words import chunks, mix, shingles
 
-BITS, BLOCKS, RADIUS = 128, 6, 4
+#: At a similarity of 0.75 of the shingle sets the expected distance is about 22 bits; 32 holds it with two standard deviations.
+BITS, BLOCKS, RADIUS = 128, 6, 32
+#: The scan: fingerprints of a block, queries of a packed row, packed rows of a group.
+BLOCK_ROWS, PACK_ROWS, GROUP_PACKS = 65_536, 4_096, 256
 #: Documents of a range that one task sorts and fingerprints in order.
 RANGE_ROWS = 8_000
 
@@ -129,14 +132,15 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS, bl
     """(query, n_within): rows of index within the Hamming radius of each distinct query fingerprint, itself included.
 
     Both sides: fingerprint string, blocks array<int>. Of the blocks, at least blocks - radius agree for a pair within the
-    radius, so a table for each choice of that many blocks, keyed by their values, finds every such pair. Equal
-    fingerprints are one entry with a count, so copies of a text meet once.
+    radius, so a table for each choice of that many blocks, keyed by their values, finds every such pair. A radius of blocks
+    or more leaves no block that must agree; then scanned() compares. Equal fingerprints are one entry with a count, so
+    copies of a text meet once.
     """
     agree = blocks - radius
+    entry = lambda df, name: df.groupBy(F.col("fingerprint").alias(name)).agg(F.first("blocks").alias("blocks"), F.count(F.lit(1)).alias("n"))
     if agree < 1:
-        raise ValueError("blocks must exceed radius")
+        return scanned(queries.select(F.col("fingerprint").alias("query")).distinct(), index.groupBy(F.col("fingerprint").alias("found")).agg(F.count(F.lit(1)).alias("n")), radius)
     tables = F.array(*(F.xxhash64(F.lit(t), *(F.col("blocks")[i] for i in pick)) for t, pick in enumerate(combinations(range(blocks), agree))))
-    entry = lambda df, name: df.groupBy(F.col("fingerprint").alias(name)).agg(F.first("blocks").alias("blocks"), F.count(F.lit(1)).alias("n"))
     q = entry(queries, "query").select("query", F.explode(tables).alias("key"))
     i = entry(index, "found").select("found", "n", F.explode(tables).alias("key"))
     word = lambda c, k: F.conv(F.substring(c, 1 + 8 * k, 8), 16, 10).cast("long")
@@ -145,11 +149,61 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS, bl
     return pairs.groupBy("query").agg(F.sum("n").alias("n_within"))
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 50) -> DataFrame:
+def unhexed(packed: str) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex(packed), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def counts_within(q: np.ndarray, f: np.ndarray, n: np.ndarray, radius: int) -> np.ndarray:
+    """Sum of n over the fingerprints f within the radius of each of q, compared in pieces that stay in the cache."""
+    out = np.zeros(len(q), np.int64)
+    rows, wide = 32, 2048
+    xor, apart, other = np.empty((rows, wide), np.uint64), np.empty((rows, wide), np.uint8), np.empty((rows, wide), np.uint8)
+    first, second = (np.ascontiguousarray(f[:, k]) for k in (0, 1))
+    for a in range(0, len(q), rows):
+        own = q[a : a + rows]
+        for b in range(0, len(f), wide):
+            x, y, z = (m[: len(own), : len(first[b : b + wide])] for m in (xor, apart, other))
+            np.bitwise_count(np.bitwise_xor(own[:, :1], first[b : b + wide], out=x), out=y)
+            np.bitwise_count(np.bitwise_xor(own[:, 1:], second[b : b + wide], out=x), out=z)
+            np.add(y, z, out=y)
+            if y.min() <= radius:
+                row, at = np.nonzero(y <= radius)
+                np.add.at(out, a + row, n[b + at])
+    return out
+
+
+def scanned(q: DataFrame, f: DataFrame, radius: int) -> DataFrame:
+    """(query, n_within) by comparing every query with every entry (found, n) of f; both are distinct fingerprints.
+
+    The entries are dealt to blocks by hash and the queries, packed, are sent to each block: 32 bytes a query and block, and
+    a task holds a block and a group of queries. The comparisons are queries x entries, two words each.
+    """
+    rows, asked = f.count(), q.count()
+    n_blocks, packs = max(partitions(f.sparkSession), -(-rows // BLOCK_ROWS)), -(-asked // PACK_ROWS)
+    groups = max(1, -(-packs // GROUP_PACKS))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    packed = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(max(1, packs))).alias("pack")).agg(F.array_join(F.collect_list("query"), "").alias("prints"))
+    sent = packed.select(every(n_blocks).alias("block"), (F.col("pack") % groups).cast("int").alias("part"), F.lit(0).alias("side"), "prints", F.lit(0).cast("long").alias("n"))
+    own = f.select(F.pmod(F.xxhash64(F.lit(1), "found"), F.lit(n_blocks)).cast("int").alias("block"), every(groups).alias("part"), F.lit(1).alias("side"), F.col("found").alias("prints"), "n")
+
+    def compare(t: pa.Table) -> pa.RecordBatch | None:
+        side, prints = t.column("side").to_numpy(), t.column("prints").to_pylist()
+        split = int(np.searchsorted(side, 1))
+        if not 0 < split < len(side):
+            return None
+        asked, held = unhexed("".join(prints[:split])), unhexed("".join(prints[split:]))
+        found = counts_within(asked, held, t.column("n").to_numpy()[split:], radius)
+        hit = np.flatnonzero(found)
+        return pa.RecordBatch.from_arrays([pa.array(hexed(asked[hit]), pa.string()), pa.array(found[hit])], names=["query", "n"])
+
+    return grouped_arrow(sent.unionByName(own), ["block", "part"], ["side"], compare, "query string, n long").groupBy("query").agg(F.sum("n").alias("n_within"))
+
+
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 50, radius: int = RADIUS) -> DataFrame:
     """fingerprint_in_order() with n_within: for rows whose id is divisible by every, the rows within the radius; else null."""
     prints = written(fingerprint_in_order(docs, id_col, text_col), "simhash")
     asked = F.col(id_col) % every == 0
-    found = within_radius(prints.where(asked), prints).withColumnRenamed("query", "fingerprint")
+    found = within_radius(prints.where(asked), prints, radius).withColumnRenamed("query", "fingerprint")
     plain = prints.drop("blocks")
     # only the queries are joined; the rest passes by
     return plain.where(asked).join(found, "fingerprint", "left").unionByName(

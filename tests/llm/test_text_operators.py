@@ -95,6 +95,31 @@ def test_radius_search_is_complete(spark):
         assert got[h] == int((simhash.distance(f, f[i]) <= simhash.RADIUS).sum())
 
 
+def test_radius_holds_near_duplicates(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(40):  # 200 words, five replaced far from each other: a similarity of 171 / 221 = 0.77
+        w = rng.integers(0, 10**6, 200).astype(str).tolist()
+        texts.append(" ".join(w))
+        for k in range(20, 200, 40):
+            w[k] = "changed"
+        texts.append(" ".join(w))
+    rows = simhash.fingerprint_documents(docs(spark, *texts), every=1).collect()
+    assert np.mean([r["n_within"] >= 2 for r in rows]) >= 0.95
+
+
+def test_scan_counts_over_blocks_and_groups(spark, monkeypatch):
+    for name, small in (("BLOCK_ROWS", 7), ("PACK_ROWS", 3), ("GROUP_PACKS", 2)):
+        monkeypatch.setattr(simhash, name, small)
+    f = np.random.default_rng(4).integers(0, 1 << 63, (40, 2), dtype=np.uint64)
+    f[20:] = f[:20] ^ np.uint64(0xFF00FF)
+    f[5] = f[6]
+    df = spark.createDataFrame([(h, b.tolist()) for h, b in zip(simhash.hexed(f), simhash.block_values(f))], "fingerprint string, blocks array<int>")
+    for radius in (4, 31, 32, 64):
+        got = {r["query"]: r["n_within"] for r in simhash.within_radius(df, df, radius).collect()}
+        assert got == {h: int((simhash.distance(f, f[i]) <= radius).sum()) for i, h in enumerate(simhash.hexed(f))}
+
+
 def test_urls(spark):
     urls = ["https://A.Example.com/en/71?x", "http://example.net/de/8#a", "ftp://shop.net/de/", "https://b.org/es/1", None, "no scheme", "://", "https://examplexcom/en/", "https://c.com", "a://b://c/en/", "https://c.com/en/"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string")
