@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows and slot consistency; DataFrame operations only.
 
 Numbers, units and names become typed placeholders, so a question asked again with other values has the same template.
-Windows of template tokens are hash-joined with the benchmark's; for each alignment that has a hit the tokens are compared
-one by one and the values in the slots must map one to one.
+Windows of template tokens are hash-joined with the benchmark's; windows that are half placeholders or more say too little
+by their template, so these are joined with their values and, twice as long, by template. For each alignment that has a hit
+the tokens are compared one by one and the values in the slots must map one to one.
 """
 
 from __future__ import annotations
@@ -23,30 +24,84 @@ NUMBER_AT = r"[0-9]+(?:[.,:/][0-9]+)*"
 NAME_AT = r"(?<=[\p{Ll}\p{Nd},;] )\p{Lu}[\p{L}'’]*"
 
 
-def template(text: Column) -> Column:
-    """Lower-cased tokens, placeholders for values."""
-    x = F.coalesce(text, F.lit(""))
-    for pattern, mark in ((UNIT_AT, UNIT), (NUMBER_AT, NUMBER), (NAME_AT, NAME)):
-        x = F.regexp_replace(x, pattern, f" {mark} ")
-    return F.array_remove(F.split(F.lower(x), rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+"), "")
+#: Letters of scripts without spaces between words; each is a token.
+ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 
 
 def valued(text: Column) -> Column:
-    """The same tokens with each placeholder followed by its value."""
+    """Lower-cased tokens, placeholders followed by their values."""
     x = F.coalesce(text, F.lit(""))
     for pattern, mark in ((UNIT_AT, UNIT), (NUMBER_AT, NUMBER), (NAME_AT, NAME)):
-        x = F.regexp_replace(x, rf"{pattern}(?![^{NAME}-{UNIT}]*{END})" if mark == NUMBER else pattern, f" {mark}$0{END} ")
-    return F.regexp_extract_all(F.lower(x), F.lit(rf"[{NAME}-{UNIT}][^{END}]*{END}|[\p{{L}}\p{{N}}]+"), F.lit(0))
+        x = F.regexp_replace(x, pattern, f" {mark}$0{END} ")
+    return F.regexp_extract_all(F.lower(x), F.lit(rf"[{NAME}-{UNIT}][^{END}]*{END}|[{ALONE}]|[\p{{L}}\p{{N}}&&[^{ALONE}]]+"), F.lit(0))
 
 
 def slot(token: Column) -> Column:
-    return token.rlike(f"^[{NAME}-{UNIT}]")
+    return F.substring(token, 1, 1).between(NAME, UNIT)
+
+
+def bare(token: Column) -> Column:
+    """The token without its value."""
+    return F.when(slot(token), F.substring(token, 1, 1)).otherwise(token)
+
+
+def template(text: Column) -> Column:
+    """The same tokens, placeholders without their values."""
+    return F.transform(valued(text), bare)
+
+
+def key(kind: str, width: int | Column, tokens: Column) -> Column:
+    return F.xxhash64(F.lit(kind), F.lit(width) if isinstance(width, int) else width, tokens)
 
 
-def windows(tokens: Column, width: int) -> Column:
-    """A hash of each run of width tokens."""
+def heavy(t: Column, at: Column, width: int) -> Column:
+    """Whether the window at a place is half placeholders or more."""
+    return 2 * F.size(F.filter(F.slice(t, at + 1, width), slot)) >= width
+
+
+def places(tokens: Column, width: int) -> Column:
+    """The places at which a window of width tokens begins."""
     last = F.size(tokens) - width
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(tokens, i + 1, width)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
+def keys_at(kind: str, tokens: Column, width: int, at: Column) -> Column:
+    return F.transform(at, lambda i: F.struct(i.alias("i"), key(kind, width, F.slice(tokens, i + 1, width)).alias("h")))
+
+
+def item_keys(items: DataFrame, width: int) -> DataFrame:
+    """(item, kind, width, j, h) of each window of the items (item, t, v) that is looked up.
+
+    t: windows of template tokens; those with fewer placeholders than half, the long ones that begin with more and hold a
+    word, and whole items that are shorter than a window, or shorter than a long one with placeholders throughout.
+    v: windows with values; those with placeholders for half, and whole items of placeholders only.
+    """
+    all_at, word = places(F.col("t"), width), lambda x: F.exists(x, lambda y: ~slot(y))
+    parts = items.select("item", "t", "v", F.filter(all_at, lambda i: ~heavy(F.col("t"), i, width)).alias("light"), F.filter(all_at, lambda i: heavy(F.col("t"), i, width)).alias("dense"))
+    long_at = F.filter("dense", lambda i: (i + 2 * width <= F.size("t")) & word(F.slice("t", i + 1, 2 * width)))
+    found = [parts.select("item", F.lit(k).alias("kind"), F.lit(w).alias("width"), F.inline(keys_at(k, F.col(k), w, at))) for k, w, at in (("t", width, F.col("light")), ("v", width, F.col("dense")), ("t", 2 * width, long_at))]
+    whole = parts.where((F.size("t") > 0) & ((F.size("t") < width) | ((F.size("t") < 2 * width) & (F.size("light") == 0))))
+    found += [
+        whole.where(word(F.col("t")) if k == "t" else ~word(F.col("t"))).select("item", F.lit(k).alias("kind"), F.size("t").alias("width"), F.lit(0).alias("i"), key(k, F.size("t"), F.col(k)).alias("h"))
+        for k in ("t", "v")
+    ]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.withColumnRenamed("i", "j").distinct()
+
+
+def document_keys(docs: DataFrame, text_col: str, kinds: list[tuple[str, int]], width: int) -> DataFrame:
+    """(doc, i, h) of the windows of docs (doc, text) of the kinds and widths that the benchmark has."""
+    tokens = docs.select("doc", valued(F.col(text_col)).alias("v"))
+    tokens = tokens.select("doc", *(["v"] if any(k == "v" for k, _ in kinds) else []), F.transform("v", bare).alias("t"))
+    parts = []
+    for k, w in kinds:
+        at = places(F.col("t"), w)
+        if w >= width and (k, w) != ("t", width):
+            at = F.filter(at, lambda i: heavy(F.col("t"), i, width))
+        parts.append(keys_at(k, F.col(k), w, at))
+    return tokens.select("doc", F.inline(F.concat(*parts) if len(parts) > 1 else parts[0])) if parts else docs.select("doc", F.lit(0).alias("i"), F.lit(0).cast("long").alias("h")).limit(0)
 
 
 def contaminated(
@@ -56,22 +111,18 @@ def contaminated(
 
     An alignment of an item with a document counts if the share of the item's template tokens that agree is least_cover or
     more, or its agreeing windows cover least_run tokens, and the values of the agreeing slots map one to one. The row of
-    a pair is its best alignment (most cover, then most windows); changed: some value differs. Windows that are half
-    placeholders or more are not looked up, and items of fewer tokens than a window cannot be found. Null and empty texts
+    a pair is its best alignment (most cover, then most windows); changed: some value differs. Items of fewer tokens than a
+    window are matched whole; items without a word besides their values are found with these values only. Null and empty texts
     hold nothing; rows with a null id are not reported; repeated rows give one row a pair; other columns are dropped.
     """
     items = written(benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), template(F.col(item_text)).alias("t"), valued(F.col(item_text)).alias("v")).dropDuplicates(["item", "t"]), "items")
-    lookup = (
-        items.select("item", F.posexplode(windows(F.col("t"), width)).alias("j", "h"), "t")
-        .where(2 * F.size(F.filter(F.slice("t", F.col("j") + 1, width), slot)) < width)
-        .select("item", "j", "h")
-    )
-    lookup = written(lookup, "item-windows")
+    lookup = written(item_keys(items, width), "item-windows")
     small = lookup.count() <= BROADCAST_ROWS
+    kinds = sorted((r["kind"], r["width"]) for r in lookup.select("kind", "width").distinct().collect())  # under two long windows' widths of rows
     held = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    tokens = docs.select(F.col(id_col).alias("doc"), template(F.col(text_col)).alias("t")).where(F.col("doc").isNotNull())
-    found = tokens.select("doc", F.posexplode(windows(F.col("t"), width)).alias("i", "h"))
-    hits = found.join(held(lookup), "h").groupBy("doc", "item", (F.col("i") - F.col("j")).alias("shift")).agg(F.countDistinct("j").alias("n_windows"))
+    own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
+    found = document_keys(own, "text", kinds, width)
+    hits = found.join(held(lookup.select("item", "j", "h")), "h").groupBy("doc", "item", (F.col("i") - F.col("j")).alias("shift")).agg(F.countDistinct("j").alias("n_windows"))
     hits = written(hits, "window-hits")
     asked = hits.groupBy("doc").agg(F.collect_list(F.struct("item", "shift", "n_windows")).alias("asked"))
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
@@ -81,9 +132,8 @@ def contaminated(
         .select("doc", "d", F.inline("asked"))
         .join(held(items.select("item", "v")), "item")
     )
-    first = lambda x: F.when(slot(x), F.substring(x, 1, 1)).otherwise(x)
     pair = F.transform("v", lambda x, k: F.struct(x.alias("a"), F.get("d", F.col("shift") + k).alias("b")))
-    same = F.filter("pairs", lambda p: first(p["a"]) == first(p["b"]))
+    same = F.filter("pairs", lambda p: bare(p["a"]) == bare(p["b"]))
     value = lambda name: F.size(F.array_distinct(F.transform("slots", lambda p: p[name])))
     judged = (
         aligned.select("doc", "item", "n_windows", F.size("v").alias("n"), pair.alias("pairs"))

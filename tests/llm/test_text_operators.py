@@ -214,6 +214,20 @@ def test_decontamination(spark):
     assert template_decontamination.contaminated(df.limit(0), items).count() == 0 and template_decontamination.contaminated(df, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_placeholders_and_short_items(spark):
+    items = {
+        1: "what is 12 plus 30 minus 4 times 7", 2: "5 km and 3 kg or 8 cm 9 mg 2 feet", 3: "who wrote it down first", 4: "3 5 km 8",
+        5: "从前有座山山里有座庙", 6: "put 4 kg by 5 cm at 6 lb or 7 km then 8 mg so 9 hours to 3 days",
+    }
+    texts = {
+        1: f"say: {items[1]} now", 2: "say what is 90 plus 21 minus 5 times 8 now", 3: f"see {items[2]} there", 4: "ask who wrote it down first please", 5: f"z {items[4]} z",
+        6: f"他说{items[5]}然后", 7: "or put 14 kg by 15 cm at 16 lb or 17 km then 18 mg so 19 hours to 13 days ok", 8: "7 2 km 1 and 9 kg 4", 9: "who wrote it", 10: "what is 90 plus 21 minus 90 times 8", 11: "从前有座城",
+    }
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = template_decontamination.contaminated(docs(spark, *texts.values(), ids=list(texts)), table).collect()
+    assert {(r["doc_id"], r["item_id"], r["changed"]) for r in got} == {(1, 1, False), (2, 1, True), (3, 2, False), (4, 3, False), (5, 4, False), (6, 5, False), (7, 6, True)}
+
+
 def test_decontamination_finds_every_passage(spark, sf_dir):
     d, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     items = [tuple(r) for r in b.select("item_id", "text").collect()]
