@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from parcelflow.llm.common import written
 
 WINDOW, LEAST_COVER, LEAST_RUN = 8, 0.5, 13
+#: Windows of one document and item at shifts that differ by this many tokens at most count together.
+DRIFT = 8
 #: Benchmark windows and items up to this many are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Placeholders of names, numbers and units, and the sign that ends a kept value.
+#: Placeholders of names, numbers and units, and the sign that ends a kept value (of numbers and names until runs are joined).
 NAME, NUMBER, UNIT, END = "\ue001", "\ue002", "\ue003", "\ue004"
+NUMBER_END, NAME_END = "\ue005", "\ue006"
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|l|ml|miles?|met(?:er|re)s?|feet|foot|inch(?:es)?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?"
 UNIT_AT = rf"(?<=[0-9]\x20?)(?:{UNITS})(?![\p{{L}}])"
 NUMBER_AT = r"[0-9]+(?:[.,:/][0-9]+)*"
@@ -29,10 +32,12 @@ ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{
 
 
 def valued(text: Column) -> Column:
-    """Lower-cased tokens, placeholders followed by their values."""
+    """Lower-cased tokens, placeholders followed by their values. Adjacent names are one value, and so are adjacent numbers."""
     x = F.coalesce(text, F.lit(""))
-    for pattern, mark in ((UNIT_AT, UNIT), (NUMBER_AT, NUMBER), (NAME_AT, NAME)):
-        x = F.regexp_replace(x, pattern, f" {mark}$0{END} ")
+    for pattern, mark, end in ((UNIT_AT, UNIT, END), (NUMBER_AT, NUMBER, NUMBER_END), (NAME_AT, NAME, NAME_END)):
+        x = F.regexp_replace(x, pattern, f" {mark}$0{end} ")
+    for mark, end in ((NUMBER, NUMBER_END), (NAME, NAME_END)):
+        x = F.translate(F.regexp_replace(x, rf"{end}[^\p{{L}}\p{{N}}{NAME}-{NAME_END}]+{mark}", " "), end, END)
     return F.regexp_extract_all(F.lower(x), F.lit(rf"[{NAME}-{UNIT}][^{END}]*{END}|[{ALONE}]|[\p{{L}}\p{{N}}&&[^{ALONE}]]+"), F.lit(0))
 
 
@@ -110,7 +115,9 @@ def contaminated(
     """(id, item, n_windows, cover, n_slots, changed): documents that hold a benchmark item, perhaps with other values in its slots.
 
     An alignment of an item with a document counts if the share of the item's template tokens that agree is least_cover or
-    more, or its agreeing windows cover least_run tokens, and the values of the agreeing slots map one to one. The row of
+    more, or its agreeing windows cover least_run tokens, and the values of the agreeing slots map one to one. An alignment is
+    judged by itself and together with the windows at shifts up to DRIFT tokens away, so that words that are put in or taken
+    out, or values of another length, do not part an item. The row of
     a pair is its best alignment (most cover, then most windows); changed: some value differs. Items of fewer tokens than a
     window are matched whole; items without a word besides their values are found with these values only. Null and empty texts
     hold nothing; rows with a null id are not reported; repeated rows give one row a pair; other columns are dropped.
@@ -122,21 +129,46 @@ def contaminated(
     held = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
     found = document_keys(own, "text", kinds, width)
-    hits = found.join(held(lookup.select("item", "j", "h")), "h").groupBy("doc", "item", (F.col("i") - F.col("j")).alias("shift")).agg(F.countDistinct("j").alias("n_windows"))
+    hits = found.join(held(lookup.select("item", "j", "h")), "h").groupBy("doc", "item", (F.col("i") - F.col("j")).alias("shift")).agg(F.array_sort(F.collect_set("j")).alias("js"))
+    # each shift goes to the buckets that hold a shift near it, so no list of shifts is longer than a bucket and its edges
+    near = F.array_distinct(F.array(*(F.floor((F.col("shift") + F.lit(x)) / (2 * DRIFT)) for x in (-DRIFT, 0, DRIFT))))
+    hits = (
+        hits.withColumn("own", F.floor(F.col("shift") / (2 * DRIFT))).withColumn("bucket", F.explode(near))
+        .groupBy("doc", "item", "bucket").agg(F.collect_list(F.struct("shift", "js", "own")).alias("all"))
+        .where(F.exists("all", lambda x: x["own"] == F.col("bucket")))
+    )
     hits = written(hits, "window-hits")
-    asked = hits.groupBy("doc").agg(F.collect_list(F.struct("item", "shift", "n_windows")).alias("asked"))
+    asked = hits.groupBy("doc").agg(F.collect_list(F.struct("item", "bucket", "all")).alias("asked"))
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     aligned = (
         texts.join(asked.hint("merge"), "doc")  # by shuffle at every size: hits grow with the corpus
         .select("doc", valued(F.col("text")).alias("d"), "asked")
         .select("doc", "d", F.inline("asked"))
+        .select("doc", "d", "item", "all", F.inline(F.filter("all", lambda x: x["own"] == F.col("bucket"))))
         .join(held(items.select("item", "v")), "item")
     )
-    pair = F.transform("v", lambda x, k: F.struct(x.alias("a"), F.get("d", F.col("shift") + k).alias("b")))
+    around = F.filter("all", lambda x: (x["shift"] != F.col("shift")) & (F.abs(x["shift"] - F.col("shift")) <= DRIFT))
+    nearest = F.transform(F.array_sort(F.transform("around", lambda x: F.struct(F.abs(x["shift"] - F.col("shift")).alias("far"), x["shift"].alias("shift"), x["js"].alias("js")))), lambda x: F.struct(x["shift"], x["js"]))
+    none = F.array_except("around", "around")
+    tried = (
+        aligned.withColumn("around", around)
+        .select("doc", "d", "item", "v", "shift", "js", F.explode(F.when(F.size("around") > 0, F.array(none, "around")).otherwise(F.array(none))).alias("around"))
+        .withColumn("around", nearest)
+    )
+    token = lambda at: F.get("d", at.cast("int"))
+
+    def other(k: Column) -> Column:
+        """The document's token for the item's k-th in the nearest alignment with a window over it."""
+        over = F.filter("around", lambda x: F.exists(x["js"], lambda j: (j <= k) & (k < j + width)))
+        return token(F.get(over, F.lit(0))["shift"] + k)
+
+    agree = lambda a, b: b.isNotNull() & (bare(a) == bare(b))
+    pair = F.transform("v", lambda x, k: F.struct(x.alias("a"), F.when(agree(x, token(F.col("shift") + k)) | (F.size("around") == 0), token(F.col("shift") + k)).otherwise(other(k)).alias("b")))
     same = F.filter("pairs", lambda p: bare(p["a"]) == bare(p["b"]))
     value = lambda name: F.size(F.array_distinct(F.transform("slots", lambda p: p[name])))
+    n_windows = F.size(F.array_distinct(F.concat("js", F.flatten(F.transform("around", lambda x: x["js"])))))
     judged = (
-        aligned.select("doc", "item", "n_windows", F.size("v").alias("n"), pair.alias("pairs"))
+        tried.select("doc", "item", n_windows.cast("long").alias("n_windows"), F.size("v").alias("n"), pair.alias("pairs"))
         .select("doc", "item", "n_windows", "n", same.alias("same"))
         .select("doc", "item", "n_windows", (F.size("same") / F.col("n")).alias("cover"), F.filter("same", lambda p: slot(p["a"])).alias("slots"))
         .select("doc", "item", "n_windows", "cover", F.size("slots").alias("n_slots"), F.exists("slots", lambda p: p["a"] != p["b"]).alias("changed"), ((F.size(F.array_distinct("slots")) == value("a")) & (value("a") == value("b"))).alias("whole"))

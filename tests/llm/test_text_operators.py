@@ -228,6 +228,17 @@ def test_decontamination_of_placeholders_and_short_items(spark):
     assert {(r["doc_id"], r["item_id"], r["changed"]) for r in got} == {(1, 1, False), (2, 1, True), (3, 2, False), (4, 3, False), (5, 4, False), (6, 5, False), (7, 6, True)}
 
 
+def test_decontamination_over_shifts(spark):
+    item = "when the old ferry leaves the north pier with Anna it carries nine crates of salt and then turns slowly back past the red buoy for one more load of fish"
+    w = item.split()
+    edited = " ".join([*w[:9], "today", *w[9:18], "very", "very", *w[18:27], "big", *w[27:]])
+    third = " ".join([*("zz yy xx ww vv uu tt ss rr qq".split()), *w[10:18], "quite", *w[18:26]])
+    items = spark.createDataFrame([(1, item), (2, "today the guard met Ann 5 times in the yard and gave her 7 keys")], "item_id long, text string")
+    texts = [edited, "so today the guard met Mary Ann Lee 5, 6 times in the yard and gave her 17 keys", third, " ".join([*w[10:18], *["zz"] * 40, *w[18:26]])]
+    got = {(r["doc_id"], r["item_id"]): (r["changed"], r["cover"]) for r in template_decontamination.contaminated(docs(spark, *texts), items).collect()}
+    assert got == {(0, 1): (False, 27 / len(w)), (1, 2): (True, 1.0), (2, 1): (False, 16 / len(w))}
+
+
 def test_decontamination_finds_every_passage(spark, sf_dir):
     d, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     items = [tuple(r) for r in b.select("item_id", "text").collect()]
