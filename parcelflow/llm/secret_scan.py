@@ -22,7 +22,10 @@ LEX = re.compile(
     r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)|(?P<sign>:=|=>|==|!=|<=|>=|=|:)|(?P<plus>\+)|(?P<bare>[0-9][A-Za-z0-9+/_.\-]*)|(?P<other>[^\s])""",
     re.A,
 )
-HINT = re.compile(r"[A-Za-z0-9_\"'\]]\s{0,8}(?::=|=>|[=:])\s{0,8}[\"'A-Za-z0-9_]", re.A)
+#: Every sign of an assignment has one of these.
+HINT = re.compile("[=:]")
+#: A line that ends so goes on in the next one.
+OPEN = (":", "=", "=>")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Weight of the words of a target's name.
 NAMES = {"password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "credential": 2.5, "credentials": 2.5, "auth": 1.5, "private": 1.5, "access": 1.0, "key": 1.5, "api": 1.0, "bearer": 2.0, "signing": 1.0, "client": 0.5, "session": 0.5}
@@ -46,6 +49,24 @@ def literal_score(value: str) -> float:
     return (1.0 if n >= 12 else 0.0) + (entropy - 1.0 if entropy > 2.5 else 0.0) + 0.5 * (classes - 1)
 
 
+def statements(text: str) -> Iterator[tuple[str, int]]:
+    """(text, start) of each line that may assign; a line that ends with a sign together with the next line that is not blank."""
+    held: list[str] = []
+    start = at = 0
+    for line in text.split("\n"):
+        end = line.rstrip()
+        if held or HINT.search(line):
+            if not held:
+                start = at
+            held.append(line)
+            if not end.endswith(OPEN) and (end or len(held) == 1):
+                yield "\n".join(held), start
+                held = []
+        at += len(line) + 1
+    if held:
+        yield "\n".join(held), start
+
+
 def assignments(text: str) -> Iterator[tuple[str, str, int, int]]:
     """(target name, literal, start, end) of each assignment, with names whose literal is known replaced by it.
 
@@ -53,10 +74,8 @@ def assignments(text: str) -> Iterator[tuple[str, str, int, int]]:
     name is paired with the constant's own span.
     """
     known: dict[str, list[tuple[str, int, int]]] = {}
-    for line in re.finditer(r"[^\n]+", text):
-        if not HINT.search(line[0]):
-            continue
-        lexemes = [(m.lastgroup, m[0], line.start() + m.start(), line.start() + m.end()) for m in LEX.finditer(line[0])]
+    for line, start in statements(text):
+        lexemes = [(m.lastgroup, m[0], start + m.start(), start + m.end()) for m in LEX.finditer(line)]
         for i in range(1, len(lexemes) - 1):
             if lexemes[i][0] != "sign" or lexemes[i][1] in ("==", "!=", "<=", ">="):
                 continue

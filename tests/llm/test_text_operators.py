@@ -61,6 +61,14 @@ def test_secret_lexer_propagates_constants():
     assert not [1 for a, b, k in secret_scan.scan('key: value\nauthor = "Somebody Longname"\n') if k == "literal"]
 
 
+@pytest.mark.parametrize("text", [
+    'SIGNING_KEY               = "Zx9_abQ81mPq27rT"', 'SIGNING_KEY =\t             "Zx9_abQ81mPq27rT"', '"signing_key":\n    "Zx9_abQ81mPq27rT",\n', "signing_key =\r\n\n  'Zx9_abQ81mPq27rT'\nx: 1",
+    'base             = "Zx9_abQ81mPq27rT"\nclient.authToken=base', '"a": {"b":\n"c", "auth_token":\n\n"Zx9_abQ81mPq27rT"}', 'é: x:\nsecret                  => "Zx9_abQ81mPq27rT"', 'token             = "Zx9_abQ81mPq27rT"; b =\n\n',
+])
+def test_secret_lexer_takes_every_sign(text):
+    assert [text[a:b] for a, b, k in secret_scan.scan(text) if k == "literal"] == ["Zx9_abQ81mPq27rT"]
+
+
 def test_fingerprints(spark):
     long = " ".join(f"w{i}" for i in range(400))
     texts = [long, long, "", None, "a b", long.replace("w7 ", "z "), "q" * 100_000]
