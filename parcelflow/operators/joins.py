@@ -103,6 +103,13 @@ def fan_out(subscriber_states: DataFrame, rows: DataFrame) -> DataFrame:
     return subscriber_states.join(rows, "state")
 
 
+def fan_out_counts(subscriber_states: DataFrame, eligible: DataFrame, rows: DataFrame) -> DataFrame:
+    """(state, n): rows of fan_out() for eligible subscribers (subscriber_id), from one count a state on each side."""
+    people = subscriber_states.join(eligible.select("subscriber_id"), "subscriber_id", "left_semi").groupBy("state").agg(F.count(F.lit(1)).alias("people"))
+    counts = rows.groupBy("state").agg(F.count(F.lit(1)).alias("listings"))
+    return people.join(counts, "state").select("state", (F.col("people") * F.col("listings")).alias("n"))
+
+
 def billing_to_subscriber(events: DataFrame, subscribers: DataFrame) -> DataFrame:
     """Events with their subscriber's email; it is null where no subscription fits."""
     return events.join(subscribers.select("subscription_id", "email"), "subscription_id", "left")

@@ -504,6 +504,12 @@ def subscriber_fanout(s):
     return joins.fan_out(s.subscriber_states, s.properties.where(F.col("property_id") % 50 == 0).select("state", "property_id")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def subscriber_fanout_whole(s):
+    """All properties and eligible subscribers; subscriber_fanout keeps the rows of its SQL."""
+    return joins.fan_out_counts(s.subscriber_states, digest.eligible(s.subscribers), s.properties)
+
+
 @query("webhook_events subscribers", "select seq, email from webhook_events left join subscribers using (subscription_id)")
 def billing_to_subscriber(s):
     return joins.billing_to_subscriber(s.webhook_events, s.subscribers).select("seq", "email")
@@ -516,6 +522,14 @@ def save_property(s):
     return joins.save_property(s.saved_properties, asked, people, s.properties)
 
 
+@query()
+def save_property_whole(s):
+    """Requests are the line items' suppliers and orders, by an equi-join; save_property keeps the rows of its SQL."""
+    people = digest.eligible(s.subscribers)
+    asked = s.lineitem.select(F.col("l_suppkey").alias("subscriber_id"), F.col("l_orderkey").alias("property_id")).join(people.select("subscriber_id", "email"), "subscriber_id")
+    return joins.save_property(s.saved_properties, asked, people, s.properties)
+
+
 # aggregates
 
 

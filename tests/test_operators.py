@@ -175,3 +175,26 @@ def test_link_checks_and_cooldown(spark, tmp_path):
     q = streams.cooldown(src).writeStream.format("memory").queryName("sent").option("checkpointLocation", f"file://{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("sent").count() == 3
+
+
+def test_fan_out_counts_every_listing_of_eligible_subscribers(spark):
+    states = spark.createDataFrame([(1, "MA"), (1, "NH"), (2, "MA"), (3, "MA"), (4, "ME")], "subscriber_id long, state string")
+    people = spark.createDataFrame([(1,), (2,), (4,)], "subscriber_id long")
+    rows = spark.createDataFrame([(i, ("MA", "NH")[i % 2]) for i in range(1, 8)] + [(9, None)], "property_id long, state string")
+    assert {tuple(r) for r in joins.fan_out_counts(states, people, rows).collect()} == {("MA", 6), ("NH", 4)}
+
+
+def test_whole_queries_reach_every_listing(spark, sf_dir):
+    from parcelflow.plans import digest
+    from parcelflow.plans.shapes import Shapes
+    from parcelflow.queries import QUERIES
+
+    s = Shapes(spark, sf_dir)
+    people = digest.eligible(s.subscribers)
+    pairs = joins.fan_out(s.subscriber_states.join(people.select("subscriber_id"), "subscriber_id"), s.properties.select("state", "property_id"))
+    assert {tuple(r) for r in QUERIES["subscriber_fanout_whole"](spark, sf_dir).collect()} == {tuple(r) for r in pairs.groupBy("state").count().collect()}
+    saved = {tuple(r) for r in QUERIES["save_property_whole"](spark, sf_dir).collect()}
+    email = {r["subscriber_id"]: r["email"] for r in people.collect()}
+    known = {r["property_id"] for r in s.properties.collect()}
+    asked = {(email[r["l_suppkey"]], r["l_orderkey"]) for r in s.lineitem.collect() if r["l_suppkey"] in email and r["l_orderkey"] in known}
+    assert saved == {tuple(r) for r in s.saved_properties.select("email", "property_id").collect()} | asked
