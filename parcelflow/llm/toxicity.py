@@ -3,7 +3,7 @@
 The kernel of two words counts the three-character subsequences that they share, each with a weight that decays with its
 gaps (at most five characters from first to last), normalised and sharpened by an exponential. A document counts by its
 most toxic words; signs inside a word are passed over, and letters written apart make one word. The machine is trained
-on labelled documents' sentences, each standing for the word that the round before found worst, so that a word that is
+on words of labelled documents, of the toxic ones those that the round before found worst, so that a word that is
 new, bent or has characters inserted is scored by the insults that it resembles.
 """
 
@@ -225,8 +225,8 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     """A model from labelled documents; None if one of the labels is missing.
 
     Landmarks: the words most tied to toxic documents, and the words near them that clean documents have. The positive
-    instance of a toxic document is the sentence that the machine of the round before scores highest, standing for its
-    worst words; with bent copies; those of the clean ones are all their sentences' words near a landmark, and a word far from all.
+    instances of a toxic document are the words that the machine of the round before scores highest, with bent copies; those
+    of the clean ones are all their words near a landmark, and a word far from all.
     """
     y = np.asarray(toxic, float)
     if not len(y) or y.min() == y.max():
