@@ -76,7 +76,7 @@ def fingerprint_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str
     handed = dealt.where(begins).groupBy("shard", id_col).agg(F.min("text").alias("text")).where(F.col(id_col).isNull() | (F.col("shard") > 0) | F.lit(not nulls)).select(
         ((F.col("shard") + len(splits)) % (len(splits) + 1)).cast("int").alias("shard"), id_col, "text", F.lit(1).alias("extra")
     )
-    rows = dealt.withColumn("extra", F.lit(0)).unionByName(handed).repartition(n, "shard").sortWithinPartitions("shard", "extra", F.col(id_col).asc_nulls_first(), "text")
+    rows = dealt.withColumn("extra", F.lit(0)).unionByName(handed).repartitionById(len(splits) + 1, "shard").sortWithinPartitions("shard", "extra", F.col(id_col).asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

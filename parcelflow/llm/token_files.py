@@ -80,75 +80,146 @@ class Reader:
 
 
 class Encoder:
-    """Token ids of whole texts, the same as the library's encode() gives, with the pieces between spaces remembered.
-
-    Byte-level vocabularies never join over a space that has no other white space beside it: such a space begins a token.
-    The same holds for a line feed that stands alone, which is a token of its own. So a text's pieces are encoded once a
-    worker, many new ones in one call, and later texts put together from them. Texts that begin or end with white space,
-    or have two white-space characters side by side, or a special token's name, go to the library whole.
+    """Token ids of whole texts, the same as the library's encode() gives, with the pieces of texts remembered.
+
+    A byte-level vocabulary's own splitting ends a piece before a space, around a line feed, and between a letter and a sign
+    or digit, so a text's ids are those of its pieces, put together. A batch is cut by array operations over its bytes, its
+    distinct pieces are looked up (new ones encoded, many in one call), and the ids gathered. Only boundaries that are
+    certain from the bytes are used: letters are a-z, A-Z and U+00C0 to U+024F without the two signs there. Texts that begin
+    or end with white space, have two such characters side by side or any beyond ASCII, or hold a special token's name, go
+    to the library whole.
     """
 
-    KEPT = 800_000
-    ODD = re.compile(r"\s\s|^\s|\s$")
+    #: Pieces remembered; bytes of texts cut at once; pieces gathered at once.
+    KEPT, CHUNK, STEP = 1_000_000, 4 << 20, 1 << 20
+    END = b"\xff"
+    #: White space and controls next to each other or at an end; white space beyond ASCII (first bytes of U+0085 to U+3000).
+    WIDE = re.compile("[\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(vocabulary)
-        begins = [False] * self.library.get_vocab_size()
-        for token, i in self.library.get_vocab().items():
-            begins[i] = token.startswith("\u0120") or token == "\u010a"
-        self.begins = np.array(begins)
+        self.library, self.end_id = Tokenizer.from_file(vocabulary), end_id
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # a vocabulary that does not keep spaces so is never split
-        probe = "ab cd, ef\ngh ij"
-        self.kept: dict[str, bytes] = {}
-        self.splits = self.pieced([probe])[0] == self.whole([probe])[0]
+        feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+        at = np.arange(256)
+        self.space = np.isin(at, [0x20, *range(0x09, 0x0E)])
+        self.letter = ((at | 32) >= 97) & ((at | 32) <= 122)
+        self.sign = (at < 128) & ~self.letter & ~self.space
+        self.forget()
+        # a vocabulary that does not split so is never cut
+        probe = ["ab cd, ef\ngh ij", "\u00e9t\u00e9,9x it's a-b 12ab"]
+        self.splits = self.feed is not None and [x.tobytes() for x in self.pieced([t.encode() for t in probe])] == self.whole(probe)
+
+    def forget(self) -> None:
+        self.kept = {self.END: 0}
+        self.flat, self.used = np.full(1 << 16, self.end_id, "<u4"), 1
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.kept) + len(pieces) > self.KEPT:
-            self.kept.clear()
-        for begin in range(0, len(pieces), 4096):
-            some = pieces[begin : begin + 4096]
-            ids = np.asarray(self.library.encode_batch_fast(["".join(p if p[:1] == "\n" else " " + p for p in some)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(self.begins[ids])
-            if len(at) == len(some) and at[0] == 0:
-                self.kept.update(zip(some, (x.tobytes() for x in np.split(ids, at[1:])), strict=True))
-            else:
-                self.kept.update(zip(some, self.whole([p if p[:1] == "\n" else " " + p for p in some]), strict=True))
-
-    def pieced(self, texts: list[str]) -> list[bytes]:
-        # a piece that begins with a line feed has no space before it
-        parts = [t.replace("\n", " \n").split(" ") for t in texts]
+        """Of each text its ids and the end id, as little-endian unsigned 32-bit integers."""
+        return [np.asarray([*e.ids, self.end_id], "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def keep(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, n = len(self.kept), len(pieces)
+        while first + n > len(self.starts):
+            self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[first : first + n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first : first + n] = sizes
+        self.used += len(ids)
+        self.kept.update(zip(pieces, range(first, first + n), strict=True))
+
+    def learn(self, pieces: list[bytes]) -> None:
+        # pieces without white space inside are encoded in one text, a line feed after each
+        plain = [p for p in pieces if len(p.split()) == 1 and not p[-1:].isspace() and p[:1] not in b"\t\n\x0b\x0c\r"]
+        for begin in range(0, len(plain), 4096):
+            some = plain[begin : begin + 4096]
+            ids = np.asarray(self.library.encode_batch_fast([b"\n".join([*some, b"x"]).decode()], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.feed)[: len(some)]
+            self.keep(some, np.delete(ids[: at[-1]], at[:-1]), np.diff(at, prepend=-1) - 1)
         known = self.kept.keys()
-        new = set().union(*(p[1:] for p in parts)) - known
-        if new:
+        rest = [p for p in pieces if p not in known]
+        if rest:
+            found = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)]
+            self.keep(rest, np.array([x for f in found for x in f], "<u4"), np.array([len(f) for f in found]))
+
+    def pieced(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Of each text, without odd white space, its ids and the end id."""
+        if not texts:
+            return []
+        raw = self.END.join([*texts, b""])
+        buf = np.frombuffer(raw, np.uint8)
+        letter = self.letter[buf]
+        # the second byte of U+00C0 to U+024F, without the multiplication and division signs
+        letter[1:] |= (buf[:-1] >= 0xC3) & (buf[:-1] <= 0xC9) & ~((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)))
+        cut = (buf == 0x20) | (buf == 0x0A) | (buf == 0xFF)
+        cut[1:] |= (letter[:-1] & self.sign[buf[1:]]) | (buf[:-1] == 0x0A) | (buf[:-1] == 0xFF)
+        cut[0] = True
+        at = np.append(np.flatnonzero(cut), len(buf)).astype(np.int32)
+        found, stops, total = [], [], 0
+        for begin in range(0, len(at) - 1, self.STEP):
+            some = at[begin : begin + self.STEP + 1]
+            pieces = pa.Array.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer(some), pa.py_buffer(raw)]).dictionary_encode()
+            own = pieces.dictionary.to_pylist()
+            new = [p for p in own if p not in self.kept]
             if len(self.kept) + len(new) > self.KEPT:
-                new = set().union(*(p[1:] for p in parts))
-            self.learn(list(new))
-        kept = self.kept.__getitem__
-        return [a + b"".join(map(kept, p[1:])) for a, p in zip(self.whole([p[0] for p in parts]), parts, strict=True)]
+                self.forget()
+                new = [p for p in own if p not in self.kept]
+            self.learn(new)
+            code = np.fromiter(map(self.kept.__getitem__, own), np.int64, len(own))[pieces.indices.to_numpy()]
+            size = self.sizes[code]
+            stop = np.cumsum(size)
+            found.append(self.flat[np.repeat(self.starts[code] - (stop - size), size) + np.arange(stop[-1])])
+            stops.append(stop[np.flatnonzero(code == 0)] + total)
+            total += stop[-1]
+        return np.split(np.concatenate(found), np.concatenate(stops)[:-1])
+
+    def odd(self, text: str, raw: bytes) -> bool:
+        return not self.splits or bool(self.WIDE.search(text) if len(raw) > len(text) or not text.isprintable() else False) or any(s in text for s in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text its ids as little-endian unsigned 32-bit integers."""
-        odd = [not self.splits or bool(self.ODD.search(t)) or any(s in t for s in self.special) for t in texts]
-        plain = iter(self.pieced([t for t, o in zip(texts, odd, strict=True) if not o]))
-        other = iter(self.whole([t for t, o in zip(texts, odd, strict=True) if o]))
-        return [next(other) if o else next(plain) for o in odd]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(vocabulary: str) -> Encoder:
-    """The encoder of a vocabulary file, loaded once a worker."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+        """Of each text its ids and the end id, as little-endian unsigned 32-bit integers."""
+        out: list = [None] * len(texts)
+        raw = [t.encode() for t in texts]
+        aside = {i for i, (t, r) in enumerate(zip(texts, raw, strict=True)) if self.odd(t, r)}
+        for some in self.parts(raw):
+            mine = [i for i in some if i not in aside]
+            # white space at an end or side by side
+            buf = np.frombuffer(b" ".join([b"", *(raw[i] for i in mine), b""]), np.uint8)
+            gap = self.space[buf]
+            ends = np.cumsum([len(raw[i]) + 1 for i in mine]) if mine else np.zeros(0, int)
+            aside.update(mine[k] for k in set(np.searchsorted(ends, np.flatnonzero(gap[1:] & gap[:-1]) + 1).tolist()) if k < len(mine))
+            mine = [i for i in mine if i not in aside]
+            for i, x in zip(mine, self.pieced([raw[i] for i in mine]), strict=True):
+                out[i] = x.tobytes()
+        rest = sorted(i for i in range(len(texts)) if out[i] is None)
+        for i, x in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
+    def parts(self, raw: list[bytes]) -> Iterator[range]:
+        begin, size = 0, 0
+        for i, r in enumerate(raw):
+            if size and size + len(r) > self.CHUNK:
+                yield range(begin, i)
+                begin, size = i, 0
+            size += len(r) + 1
+        yield range(begin, len(raw))
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(vocabulary: str, end_id: int = END_ID) -> Encoder:
+    """The encoder of a vocabulary file and an end id, loaded once a worker."""
+    if (vocabulary, end_id) not in _encoders:
+        _encoders[vocabulary, end_id] = Encoder(vocabulary, end_id)
+    return _encoders[vocabulary, end_id]
 
 
 def default_vocabulary() -> str:
@@ -164,12 +235,11 @@ def encoded_frames(docs: DataFrame, id_col: str, text_col: str, vocabulary: str,
         import xxhash
         import zstandard
 
-        t, z = encoder(vocabulary), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
-        end = np.asarray([end_id], "<u4").tobytes()
+        t, z = encoder(vocabulary, end_id), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
-                ids = [x + end for x in t.encode([x or "" for x in part.column(2).to_pylist()])]
+            for begin in range(0, batch.num_rows, 2048):
+                part = batch.slice(begin, 2048)
+                ids = t.encode([x or "" for x in part.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array([z.compress(x) for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()),
@@ -178,7 +248,9 @@ def encoded_frames(docs: DataFrame, id_col: str, text_col: str, vocabulary: str,
                     names=["id", "shard", "frame", "size", "check"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), "shard", F.col(text_col)).mapInArrow(run, "id long, shard int, frame binary, size long, check long")
+    # by place, since a column of docs may itself be named shard
+    own = docs.toDF("id", "text", "shard")
+    return own.select(F.col("id").cast("long"), "shard", "text").mapInArrow(run, "id long, shard int, frame binary, size long, check long")
 
 
 def write_token_files(
@@ -192,9 +264,9 @@ def write_token_files(
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
-    n = range_count(spark, docs.select(id_col).count(), docs_per_file)
-    frames = encoded_frames(docs.withColumn("shard", shard_of(id_col, shard_splits(docs, id_col, n))), id_col, text_col, vocabulary, end_id)
-    sorted_rows = frames.repartition(n, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "size", "check")
+    splits = shard_splits(docs, id_col, range_count(spark, docs.count(), docs_per_file))
+    frames = encoded_frames(docs.select(id_col, text_col, shard_of(id_col, splits).alias("shard")), id_col, text_col, vocabulary, end_id)
+    sorted_rows = frames.repartitionById(len(splits) + 1, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "size", "check")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
