@@ -54,11 +54,35 @@ def test_secret_base_spans(spark):
     assert secret_scan.scan_secrets(docs(spark).limit(0)).count() == 0
 
 
+def literals(text):
+    return [text[a:b] for a, b, k in secret_scan.scan(text) if k == "literal"]
+
+
 def test_secret_lexer_propagates_constants():
-    t = 'base = "Zx9_abQ81m" + "mPq2!kk"\nclient.authToken = base\nname = "Zx9_abQ81mmPq2"\npassword = "changeme"\n'
-    found = [t[a:b] for a, b, k in secret_scan.scan(t) if k == "literal"]
-    assert found == ["Zx9_abQ81m"] or set(found) <= {"Zx9_abQ81m", "mPq2!kk"} and found
-    assert not [1 for a, b, k in secret_scan.scan('key: value\nauthor = "Somebody Longname"\n') if k == "literal"]
+    t = 'base = "Zx9_abQ81m" + "mPq2!kkR7"\nclient.authToken = base\nname = "Zx9_abQ81mmPq2"\npassword = "changeme"\n'
+    assert literals(t) == ["Zx9_abQ81m", "mPq2!kkR7"]
+    assert literals('key: value\nauthor = "Somebody Longname"\n') == []
+
+
+@pytest.mark.parametrize("text", [
+    'BASE = "Zx9_abQ81mPq27rT"\nsecret_key = "${BASE}"', "BASE=Zx9_abQ81mPq27rT\nclient_secret=$BASE\n", 'b = "Zx9_abQ81mPq27rT"\nauth_token = ${b}\n',
+    'signing_key: |\n  Zx9_abQ81mPq27rT\nother: 1', "- auth_token: >-\n    Zx9_abQ81mPq27rT\n", 'secret_key = """Zx9_abQ81mPq27rT"""', "secret_key = (\n'Zx9_abQ81mPq27rT')\nsecret_key = \'\'\'Zx9_abQ81mPq27rT\'\'\'",
+    '<add key="auth_token" value="Zx9_abQ81mPq27rT"/>', 'conf.set("client_secret", "Zx9_abQ81mPq27rT")', 'setSecretKey("Zx9_abQ81mPq27rT")', 'x = ("secret_key", "Zx9_abQ81mPq27rT")',
+])
+def test_secret_lexer_takes_every_form(text):
+    assert literals(text) == ["Zx9_abQ81mPq27rT"]
+
+
+def test_secret_lexer_forgets_names_that_are_given_something_else():
+    assert literals('x = "Zx9_abQ81mPq27rT"\nx = read_env()\npassword = x\n') == []
+    assert literals('x = "Zx9_abQ81mPq27rT"\npassword = x\nx = read_env()\n') == ["Zx9_abQ81mPq27rT"]
+
+
+def test_secret_lexer_is_linear_in_sums():
+    assert literals('a = "Zx9_abQ81mPq27rT"\n' + "a = a + a\n" * 5000 + "secret_key = a") == ["Zx9_abQ81mPq27rT"]
+    long = "".join(f'a = a + "Zx9_abQ81mPq{i:04d}"\n' for i in range(5000))
+    assert len(literals('a = "x"\n' + long + "secret_key = a\n" + "secret_key = a + a\n" * 500)) == 5000
+    assert literals('x = """\n' * 1 + "key: value\n" * 5000) == []
 
 
 @pytest.mark.parametrize("text", [
