@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables that one run writes to the shared folder; clear() deletes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, {}
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_dir(self.spark, label)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.folders[id(table)] = (table, path)
+        return table
+
+    def clear(self, *keep: DataFrame) -> None:
+        """Deletes all tables but those to keep; call it once everything that was made of them is written."""
+        kept = {id(t) for t in keep}
+        for key, (_, path) in list(self.folders.items()):
+            if key not in kept:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                del self.folders[key]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -56,7 +80,7 @@ def grouped_arrow(
     """fn on each group of keys, over partitions dealt by keys and streamed in sorted order.
 
     Cheaper than applyInArrow for millions of small groups: a partition is one Python call and only one group is held at
-    a time. Callers bound the size of a group.
+    a time. Callers bound the size of a group. Keys are not null.
     """
     n = partitions(df.sparkSession)
     dealt = df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
@@ -67,19 +91,19 @@ def grouped_arrow(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
-            t, begin = pa.Table.from_batches([batch]), 0
-            for i in range(1, len(values) + 1):
-                if i < len(values) and values[i] == values[begin]:
-                    continue
-                part = t.slice(begin, i - begin)
-                if held and last == values[begin]:
+            t, cols = pa.Table.from_batches([batch]), [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            new = np.zeros(batch.num_rows - 1, bool)
+            for c in cols:
+                new |= c[1:] != c[:-1]
+            at = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(at, at[1:]):
+                key, part = tuple(c[begin] for c in cols), t.slice(begin, end - begin)
+                if held and last == key:
                     held.append(part)
                 else:
                     if held and (out := fn(pa.concat_tables(held))) is not None:
                         yield out
-                    held, last = [part], values[begin]
-                begin = i
+                    held, last = [part], key
         if held and (out := fn(pa.concat_tables(held))) is not None:
             yield out
 

@@ -2,38 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import cut, written
+from parcelflow.llm.common import Scratch, partitions
+
+PAIRS = "id long, label long"
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, label) of every id but the least of its component, of the edges given: all ids of one component get its least."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    child = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[child], ids[root[child]]
+
+
+def folded(pairs: DataFrame) -> DataFrame:
+    """The first two columns of pairs as (id, label), each partition's edges turned into stars; connects the same ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            ids, labels = stars(*(np.concatenate(x) for x in zip(*held)))
+            for i in range(0, len(ids), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(labels[i : i + 100_000])], names=["id", "label"])
+
+    return pairs.mapInArrow(run, PAIRS)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every id in edges (a long, b long): the smallest id that it reaches.
+    """(id, component) of every id in edges (a long, b long) that reaches another: the smallest id that it reaches, itself included.
 
-    Each round points every id at its least neighbour, follows the pointers to their roots, and contracts the edges to
-    those roots; edges inside a root are gone. At most half of the ids stay roots, so the rounds grow with the logarithm of
-    a component, the pointer steps of a round with that of its longest chain, and later rounds read fewer edges. Self
-    loops and repeated edges are fine; an empty table gives no rows. Labels are checkpointed.
+    Each partition's edges become stars first, so that an id is at most once a partition beside its label. A round deals
+    the pairs by id, whose labels so meet, and turns them into stars again; it ends when every id has one label and no
+    label has one itself, else labels that have one are replaced by it. The rounds grow with the logarithm of the longest
+    chain. Pairs are dealt by id alone, so a large component is no hot key. An id that has only loops to itself has no
+    row; an empty table gives none. Each round is written to the shared folder.
     """
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    ends = written(edges.select(*pair(F.col("a"), F.col("b"))).distinct(), "edges")
-    found = None
+    spark = edges.sparkSession
+    tables, n = Scratch(spark), partitions(spark)
+    dealt = folded(edges.select("a", "b"))
     while True:
-        both = ends.select("a", "b").unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
-        while True:
-            ahead = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-            step = cut(labels.join(ahead, "label").select("id", F.col("label").alias("old"), F.col("next").alias("label")))
-            labels = step.select("id", "label")
-            if step.where(F.col("old") != F.col("label")).isEmpty():
-                break
-        if found is None:
-            found = labels
-        else:
-            later = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-            found = cut(found.join(later, "label", "left").select("id", F.coalesce("next", "label").alias("label")))
-        at = lambda end, root: labels.select(F.col("id").alias(end), F.col("label").alias(root))
-        ends = written(ends.join(at("a", "x"), "a").join(at("b", "y"), "b").where(F.col("x") != F.col("y")).select(*pair(F.col("x"), F.col("y"))).distinct(), "edges")
-        if ends.isEmpty():
-            return found.withColumnRenamed("label", "component")
+        found = tables.written(folded(dealt.repartition(n, "id")), "stars")
+        each = found.select("id", "label", F.lit(False).alias("head")).unionByName(found.select(F.col("label").alias("id"), F.lit(None).cast("long").alias("label"), F.lit(True).alias("head")))
+        ids = tables.written(each.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most"), F.max("head").alias("head")), "labels")
+        if not ids.agg(F.count_if(F.col("head") & F.col("label").isNotNull() | (F.col("most") > F.col("label")))).first()[0]:
+            tables.clear(ids)
+            return ids.select("id", F.coalesce("label", "id").alias("component"))
+        above = ids.where(F.col("head") & F.col("label").isNotNull()).select(F.col("id").alias("label"), F.col("label").alias("next"))
+        dealt = found.join(above, "label", "left").select("id", F.coalesce("next", "label").alias("label"))

@@ -1,8 +1,8 @@
 """Near-duplicate documents by a chosen-path similarity join over minwise tokens, with links confirmed on full shingle sets.
 
 A document's set is its distinct word shingles; documents with equal sets are one class. Independent trees branch classes
-by selected minwise tokens: a small node is compared exhaustively on sketches, a large one branches again. What survives
-are loose groups, a superset of the links; each class's full set is then sent once to its loose group and compared
+by selected minwise tokens: a small node is compared exhaustively on sketches, a large one sheds its pivot's
+near copies and branches again. What survives are loose groups, a superset of the links; each class's full set is then sent once to its loose group and compared
 exactly. Pairs that are already connected are not compared, so groups of copies give stars, never all pairs.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import grouped_arrow, written
+from parcelflow.llm.common import Scratch, grouped_arrow, partitions
 from parcelflow.llm.graph import components
 from parcelflow.llm.words import chunks, mix, shingles
 
@@ -122,14 +122,12 @@ def linked(members: DataFrame, match: Callable, block: int = BLOCK) -> DataFrame
     are clustered in blocks again; then the members outside their group's largest cluster are compared with every block,
     so that no matching pair is left unconnected, whatever a group's size. Only a block is ever held in one task.
     """
-    names = ["grp", "blocks", "id", "label"]
-    schema = "grp long, blocks long, id long, label long"
+    tables = Scratch(members.sparkSession)
 
     def cluster(t: pa.Table) -> pa.RecordBatch | None:
         prepare, against = match()
-        ids = t.column("id").to_numpy()
-        data = prepare(t.column("data").to_pylist())
-        label = np.arange(len(ids))
+        ids, raw = t.column("id").to_numpy(), t.column("data").to_pylist()
+        data, label = prepare(raw), np.arange(len(ids))
         for i in range(len(ids) - 1):
             js = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
             if len(js):
@@ -138,12 +136,13 @@ def linked(members: DataFrame, match: Callable, block: int = BLOCK) -> DataFrame
                     label[np.isin(label, label[hit])] = label[i]
         least = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least, label, ids)
-        own = least[label]
-        blocks = t.column("blocks").to_numpy()
+        own, blocks = least[label], t.column("blocks").to_numpy()
         keep = np.flatnonzero((own != ids) | (blocks > 1))
         if not len(keep):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(t.column("grp").to_numpy()[keep]), pa.array(blocks[keep]), pa.array(ids[keep]), pa.array(own[keep])], names=names)
+        # the first member of a cluster of many blocks carries its data along
+        heads = [raw[i] if own[i] == ids[i] else None for i in keep]
+        return pa.RecordBatch.from_arrays([pa.array(t.column("grp").to_numpy()[keep]), pa.array(blocks[keep]), pa.array(ids[keep]), pa.array(own[keep]), pa.array(heads, pa.binary())], names=["grp", "blocks", "id", "label", "data"])
 
     def query(t: pa.Table) -> pa.RecordBatch | None:
         prepare, against = match()
@@ -164,33 +163,31 @@ def linked(members: DataFrame, match: Callable, block: int = BLOCK) -> DataFrame
         a, b = zip(*edges, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    blocks = F.ceil(F.col("size") / block).cast("long")
+    def clustered(rows: DataFrame, label: str) -> DataFrame:
+        dealt = grouped_arrow(rows.select("grp", "part", "blocks", "id", "data"), ["grp", "part"], ["id"], cluster, "grp long, blocks long, id long, label long, data binary")
+        return tables.written(dealt, label)
+
+    tied = lambda rows: rows.where(F.col("id") != F.col("label")).select(F.col("id").alias("a"), F.col("label").alias("b"))
     part = lambda n: F.when(n > 1, F.pmod(F.xxhash64("grp", "id"), n)).otherwise(F.lit(0)).cast("long")
-    dealt = members.withColumn("blocks", blocks).withColumn("part", part(F.col("blocks")))
-    first = written(grouped_arrow(dealt.select("grp", "part", "blocks", "id", "data"), ["grp", "part"], ["id"], cluster, schema), "clusters")
-    edges = first.where(F.col("id") != F.col("label")).select(F.col("id").alias("a"), F.col("label").alias("b"))
-    many = first.where(F.col("blocks") > 1)
+    dealt = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("long")).withColumn("part", part(F.col("blocks")))
+    first = clustered(dealt, "clusters")
+    edges, many = tied(first), first.where(F.col("blocks") > 1)
     if many.isEmpty():
         return edges
-    dense = dealt.where(F.col("blocks") > 1)
-    heads = many.where(F.col("id") == F.col("label")).select("grp", "id").distinct()
-    count = heads.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
-    heads = dense.select("grp", "id", "data").join(heads, ["grp", "id"]).join(count, "grp").withColumn("part", part(F.col("blocks")))
-    second = written(grouped_arrow(heads.select("grp", "part", F.lit(2).cast("long").alias("blocks"), "id", "data"), ["grp", "part"], ["id"], cluster, schema), "clusters")
-    edges = edges.unionByName(second.where(F.col("id") != F.col("label")).select(F.col("id").alias("a"), F.col("label").alias("b")))
-    labels = many.join(second.select("grp", F.col("id").alias("label"), F.col("label").alias("top")).distinct(), ["grp", "label"]).select("grp", "id", F.col("top").alias("label"))
-    labels = written(labels.groupBy("grp", "id").agg(F.min("label").alias("label")), "labels")
-    top = labels.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
-    odd = labels.join(top, "grp").where(F.col("label") != F.col("top")).select("grp", "id", "label")
-    base = dense.join(labels, ["grp", "id"]).select("grp", "part", "id", "label", "data", F.lit(0).alias("asks"))
-    asked = dense.join(odd, ["grp", "id"]).select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), "id", "label", "data", F.lit(1).alias("asks"))
-    return edges.unionByName(grouped_arrow(base.unionByName(asked), ["grp", "part"], ["asks", "id"], query, "a long, b long"))
-
-
-def against_pivots(nodes: DataFrame, lookup: DataFrame) -> DataFrame:
-    """(node, cid, pivot, share) of the members of large nodes: the share of sketch bytes equal to the node's pivot's."""
-    pivots = nodes.groupBy("node").agg(F.min("cid").alias("pivot")).join(lookup.select(F.col("cid").alias("pivot"), F.col("sketch").alias("target")), "pivot")
-    rows = nodes.select("node", "cid").join(lookup, "cid").join(pivots, "node").select("node", "cid", "pivot", "sketch", "target")
+    heads = many.where(F.col("id") == F.col("label")).select("grp", "id", "data")
+    count = tables.written(heads.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("n")), "counts")
+    second = clustered(heads.join(count, "grp").select("grp", part(F.col("n")).alias("part"), F.lit(2).cast("long").alias("blocks"), "id", "data"), "heads")
+    edges = edges.unionByName(tied(second))
+    labels = tables.written(many.select("grp", "id", "label").join(second.select("grp", F.col("id").alias("label"), F.col("label").alias("top")), ["grp", "label"]).select("grp", "id", F.col("top").alias("label")), "labels")
+    tops = tables.written(labels.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("top")), "tops")
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda p: F.struct(p.alias("part"), F.lit(1).alias("asks")))
+    places = F.concat(F.array(F.struct("part", F.lit(0).alias("asks"))), F.when(F.col("label") != F.col("top"), every).otherwise(F.array().cast("array<struct<part:bigint,asks:int>>")))
+    asked = dealt.where(F.col("blocks") > 1).join(labels, ["grp", "id"]).join(tops, "grp").select("grp", F.inline(places), "id", "label", "data")
+    return edges.unionByName(grouped_arrow(asked, ["grp", "part"], ["asks", "id"], query, "a long, b long"))
+
+
+def against_pivots(rows: DataFrame) -> DataFrame:
+    """(node, cid, pivot, share) of members (node, cid, pivot, sketch, target) of large nodes: the share of sketch bytes equal to the pivot's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,43 +195,97 @@ def against_pivots(nodes: DataFrame, lookup: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (3, 4))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((x == y).mean(axis=1))], names=["node", "cid", "pivot", "share"])
 
-    return rows.mapInArrow(run, "node long, cid long, pivot long, share double")
+    return rows.select("node", "cid", "pivot", "sketch", "target").mapInArrow(run, "node long, cid long, pivot long, share double")
+
 
+def loose_links(node: np.ndarray, cid: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the members of each small node (rows in order of node) whose sketches agree in LOOSE or more bytes.
+
+    All rows are compared with the first of their node at once; only nodes where some differ from it need more.
+    """
+    least, n = int(np.ceil(LOOSE * sketch.shape[1])), len(node)
+    starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+    size = np.diff(np.append(starts, n))
+    first = np.repeat(starts, size)
+    near = (sketch == sketch[first]).sum(axis=1, dtype=np.uint16) >= least
+    hit = np.flatnonzero(near & (first != np.arange(n)))
+    a, b = [cid[hit]], [cid[first[hit]]]
+    for g in np.flatnonzero((np.add.reduceat(~near, starts) > 0) & (size > 2)) if n else ():
+        own = np.arange(starts[g], starts[g] + size[g])
+        label = np.where(near[own], 0, np.arange(len(own)))
+        for i in np.flatnonzero(~near[own]):
+            js = np.flatnonzero(label != label[i])
+            js = js[js > 0]
+            js = js[(sketch[own[js]] == sketch[own[i]]).sum(axis=1, dtype=np.uint16) >= least]
+            if len(js):
+                a.append(np.full(len(js), cid[own[i]]))
+                b.append(cid[own[js]])
+                label[np.isin(label, label[js])] = label[i]
+    return np.concatenate(a), np.concatenate(b)
 
-def loose_members(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(grp, size, id, data) of the nodes of all trees that are small or that the deepest level leaves, and edges (a, b) to pivots.
+
+def small_nodes(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) of the members (node, cid, sketch) of small nodes; a task holds a batch and the node that it ends in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in (*batches, None):
+            if batch is None:
+                now, held = held, None
+            else:
+                if not batch.num_rows:
+                    continue
+                now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)]
+                now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+                end = int(np.searchsorted(now[0], now[0][-1]))
+                now, held = [x[:end] for x in now], [x[end:] for x in now]
+            if now and len(now[0]):
+                a, b = loose_links(*now)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = rows.select("node", "cid", "sketch").repartition(partitions(rows.sparkSession), "node").sortWithinPartitions("node", "cid")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def loose_edges(classes: DataFrame, tables: Scratch) -> DataFrame:
+    """Edges (a, b) between classes that connect all that some tree finds alike.
 
     A large node first sheds the members that are nearly its pivot's copies, so that a group of copies is not carried down
-    the tree; what stays is small, or branches.
+    the tree; what stays is small, or branches. Small nodes of all levels are compared exhaustively; so are large ones that
+    the deepest level leaves, in blocks.
     """
     at = classes.select("cid", F.posexplode("keys").alias("tree", "key")).select(F.xxhash64("tree", "key").alias("node"), "cid")
-    found, ties, lookup = None, [], classes.select("cid", "sketch")
+    lookup, small, ties = classes.select("cid", "sketch"), None, []
 
     def sized(rows: DataFrame) -> DataFrame:
         # sizes are written first, so that the join reads both sides from shuffles and a hot node's rows can be split
-        return rows.join(written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "sizes"), "node")
-
-    def keep(rows: DataFrame) -> None:
-        nonlocal found
-        rows = rows.select("node", "size", "cid")
-        found = rows if found is None else found.unionByName(rows)
+        return rows.join(tables.written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("pivot")).where(F.col("size") > 1), "sizes"), "node")
 
+    deepest = None
     for level in range(DEPTH + 1):
-        nodes = written(sized(at), f"nodes-{level}")
-        keep(nodes.where(F.col("size") <= SMALL))
+        nodes = tables.written(sized(at), f"nodes-{level}")
+        own = nodes.where(F.col("size") <= SMALL).select("node", "cid")
+        small = own if small is None else small.unionByName(own)
         large = nodes.where(F.col("size") > SMALL)
-        if large.isEmpty():
+        pivots = tables.written(large.where(F.col("cid") == F.col("pivot")).select("node", "cid").join(lookup, "cid").select("node", F.col("sketch").alias("target")), f"pivots-{level}")
+        if pivots.isEmpty():
             break
-        seen = written(against_pivots(large, lookup), f"pivots-{level}")
+        seen = tables.written(against_pivots(large.join(lookup, "cid").join(pivots, "node")), f"seen-{level}")
         ties.append(seen.where((F.col("share") >= TIE) & (F.col("cid") != F.col("pivot"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
         rest = seen.where((F.col("share") < LEAVE) & (F.col("cid") != F.col("pivot"))).select("node", "cid")
         if level == DEPTH:
-            keep(sized(rest))
+            deepest = sized(rest).select("node", "size", "cid")
             break
         pick = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SKETCH)).cast("int") + 1
         child = [F.xxhash64("node", F.lit(j), F.substring("sketch", pick(j), 1)) for j in range(BRANCHES)]
         at = rest.join(lookup, "cid").select("cid", F.explode(F.array(*child)).alias("node"))
-    return found.join(lookup, "cid").select(F.col("node").alias("grp"), "size", F.col("cid").alias("id"), F.col("sketch").alias("data")), ties
+    edges = small_nodes(small.join(lookup, "cid"))
+    if deepest is not None:
+        dense = deepest.join(lookup, "cid").select(F.col("node").alias("grp"), "size", F.col("cid").alias("id"), F.col("sketch").alias("data"))
+        edges = edges.unionByName(linked(dense, sketch_match(LOOSE)))
+    for t in ties:
+        edges = edges.unionByName(t)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -246,24 +297,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a row with a null id takes no part: its component is null and it is kept. Other columns are dropped. An empty table
     gives no rows.
     """
-    rows = written(features(docs, id_col, text_col, words), "features")
+    spark = docs.sparkSession
+    tables = Scratch(spark)
+    rows = tables.written(features(docs, id_col, text_col, words), "features")
     able = rows.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    reps = able.groupBy("s1", "s2").agg(F.min("id").alias("cid"))
-    classes = written(able.groupBy("s1", "s2").agg(F.min("id").alias("cid"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
-    members, ties = loose_members(classes)
-    near = linked(members, sketch_match(LOOSE))
-    for t in ties:
-        near = near.unionByName(t)
-    loose = components(near)
-    sizes = loose.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    classes = tables.written(able.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("cid"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
+    loose = components(loose_edges(classes, tables))
+    sizes = tables.written(loose.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
     groups = loose.join(sizes, "component").select(F.col("component").alias("grp"), "size", "id")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(groups, "id")
-    sets = written(shingle_sets(texts, words), "sets")
+    sets = tables.written(shingle_sets(texts, words), "sets")
     joined = components(linked(sets, set_match(percent))).withColumnRenamed("id", "cid")
-    ids = rows.join(reps, ["s1", "s2"], "left").join(joined, "cid", "left")
-    taking = F.col("n_shingles") > 0
-    own = F.when(taking & F.col("id").isNotNull(), F.coalesce("component", "cid")).otherwise(F.col("id"))
-    return ids.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
+    # a class of one row that is linked with nothing is its own component
+    found = tables.written(classes.select("s1", "s2", "cid", "copies").join(joined, "cid", "left").where((F.col("copies") > 1) | F.col("component").isNotNull()).select("s1", "s2", F.coalesce("component", "cid").alias("component")), "found")
+    tables.clear(rows, found)
+    own = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
+    every = rows.select("id", "n_shingles", "s1", "s2").join(found, ["s1", "s2"], "left").select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"))
+    return every.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:
