@@ -74,16 +74,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def dealt_to(written_table: DataFrame, each: int) -> int:
+    """Partitions for the rows of a written table: each rows or more a task, from 4 up to the session's number."""
+    return max(4, min(partitions(written_table.sparkSession), -(-written_table.count() // each)))
+
+
 def grouped_arrow(
-    df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str
+    df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str, parts: int | None = None
 ) -> DataFrame:
     """fn on each group of keys, over partitions dealt by keys and streamed in sorted order.
 
     Cheaper than applyInArrow for millions of small groups: a partition is one Python call and only one group is held at
     a time. Callers bound the size of a group. Keys are not null.
+    parts: the number of partitions, where it is not the session's.
     """
-    n = partitions(df.sparkSession)
-    dealt = df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+    n = parts or partitions(df.sparkSession)
+    dealt = df.repartitionById(n, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []

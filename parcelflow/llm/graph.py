@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import Scratch, partitions
+from parcelflow.llm.common import Scratch, dealt_to
 
 PAIRS = "id long, label long"
 
@@ -30,19 +30,49 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[child], ids[root[child]]
 
 
+def rows_of(**columns: pa.Array) -> Iterator[pa.RecordBatch]:
+    t = pa.table(columns)
+    yield from t.to_batches(max_chunksize=100_000)
+
+
 def folded(pairs: DataFrame) -> DataFrame:
-    """The first two columns of pairs as (id, label), each partition's edges turned into stars; connects the same ids."""
+    """The first two columns of pairs as (id, label), each partition's edges turned into stars; connects the same ids.
+    Each label is also an id, once a partition, with a null label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
         if held:
             ids, labels = stars(*(np.concatenate(x) for x in zip(*held)))
-            for i in range(0, len(ids), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(labels[i : i + 100_000])], names=["id", "label"])
+            heads = np.unique(labels)
+            yield from rows_of(id=pa.array(np.concatenate([ids, heads])), label=pa.concat_arrays([pa.array(labels), pa.nulls(len(heads), pa.int64())]))
 
     return pairs.mapInArrow(run, PAIRS)
 
 
+def labelled(pairs: DataFrame) -> DataFrame:
+    """Of folded() pairs dealt by id: (id, label, head, open), a row an id, with its least label. head: it is others' label;
+    open: it has several labels, or has one and is a head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := list(batches):
+            held, far = pa.Table.from_batches(found), np.iinfo(np.int64)
+            ids, at = np.unique(held.column("id").to_numpy(), return_inverse=True)
+            has = held.column("label").is_valid().to_numpy()
+            value = held.column("label").fill_null(0).to_numpy()
+            low, top, head = np.full(len(ids), far.max), np.full(len(ids), far.min), np.zeros(len(ids), bool)
+            np.minimum.at(low, at[has], value[has])
+            np.maximum.at(top, at[has], value[has])
+            head[at[~has]] = True
+            own = top > far.min
+            yield from rows_of(id=pa.array(ids), label=pa.array(low, mask=~own), head=pa.array(head), open=pa.array(own & (head | (top > low))))
+
+    return pairs.mapInArrow(run, "id long, label long, head boolean, open boolean")
+
+
+#: Pairs that a task is dealt at least.
+EACH = 20_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a long, b long) that reaches another: the smallest id that it reaches, itself included.
 
@@ -52,15 +82,16 @@ def components(edges: DataFrame) -> DataFrame:
     chain. Pairs are dealt by id alone, so a large component is no hot key. An id that has only loops to itself has no
     row; an empty table gives none. Each round is written to the shared folder.
     """
-    spark = edges.sparkSession
-    tables, n = Scratch(spark), partitions(spark)
-    dealt = folded(edges.select("a", "b"))
+    tables = Scratch(edges.sparkSession)
+    pairs = tables.written(folded(edges.select("a", "b")), "edges")
+    n = dealt_to(pairs, EACH)
+    by_id = lambda rows: rows.repartitionById(n, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    pairs = pairs.where(F.col("label").isNotNull())
     while True:
-        found = tables.written(folded(dealt.repartition(n, "id")), "stars")
-        each = found.select("id", "label", F.lit(False).alias("head")).unionByName(found.select(F.col("label").alias("id"), F.lit(None).cast("long").alias("label"), F.lit(True).alias("head")))
-        ids = tables.written(each.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most"), F.max("head").alias("head")), "labels")
-        if not ids.agg(F.count_if(F.col("head") & F.col("label").isNotNull() | (F.col("most") > F.col("label")))).first()[0]:
+        found = tables.written(folded(by_id(pairs)), "stars")
+        ids = tables.written(labelled(by_id(found)), "labels")
+        if ids.where("open").isEmpty():
             tables.clear(ids)
             return ids.select("id", F.coalesce("label", "id").alias("component"))
         above = ids.where(F.col("head") & F.col("label").isNotNull()).select(F.col("id").alias("label"), F.col("label").alias("next"))
-        dealt = found.join(above, "label", "left").select("id", F.coalesce("next", "label").alias("label"))
+        pairs = found.where(F.col("label").isNotNull()).join(above, "label", "left").select("id", F.coalesce("next", "label").alias("label"))

@@ -12,10 +12,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import Scratch, grouped_arrow, partitions
+from parcelflow.llm.common import Scratch, dealt_to, grouped_arrow
 from parcelflow.llm.graph import components
 from parcelflow.llm.words import chunks, mix, shingles
 
@@ -27,18 +27,18 @@ TREES, BRANCHES, SMALL, DEPTH, SKETCH, LOOSE = 12, 2, 64, 2, 96, 0.55
 #: In a large node, members this close to its pivot leave it, and members this close are tied to the pivot: by the triangle
 #: inequality of the Jaccard distance, what is linked to a member that left is at a distance of 0.25 + 0.25 of the pivot.
 LEAVE, TIE = 0.8, 0.35
-#: Members that one task compares exhaustively in a dense node or group.
-BLOCK = 256
+#: Members that one task compares exhaustively in a dense node or group, and the least members that a task is dealt.
+BLOCK, EACH = 256, 1024
 
 _seed = np.random.Generator(np.random.PCG64(20240229))
 _A = _seed.integers(0, 1 << 32, TREES + SKETCH, dtype=np.uint32) | np.uint32(1)
 _B = _seed.integers(0, 1 << 32, TREES + SKETCH, dtype=np.uint32)
 
-FEATURES = "id long, n_shingles long, s1 long, s2 long, keys array<int>, sketch binary"
+FEATURES = "id long, n_shingles long, s1 long, s2 long, keys array<int>, sketch array<long>"
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> DataFrame:
-    """Size and digest of each document's shingle set, a minwise token per tree, and the sketch."""
+    """Size and digest of each document's shingle set, a minwise token per tree, and the sketch, eight bytes a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +61,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> Dat
                 keys = low[:, :TREES].astype(np.int32)
                 raw = (low[:, TREES:] ^ (low[:, TREES:] >> np.uint32(11))).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, m), pa.array(n), pa.array(s1), pa.array(s2), pa.array(list(keys), pa.list_(pa.int32())), pa.array([r.tobytes() for r in raw], pa.binary())],
+                    [ids.slice(a, m), pa.array(n), pa.array(s1), pa.array(s2), pa.array(list(keys), pa.list_(pa.int32())), pa.array(list(raw.view(np.int64)), pa.list_(pa.int64()))],
                     names=["id", "n_shingles", "s1", "s2", "keys", "sketch"],
                 )
 
@@ -116,13 +116,13 @@ def set_match(percent: int) -> Callable:
 
 
 def linked(members: DataFrame, match: Callable, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect just the members (grp, size, id, data) of each group that match(es) connect.
+    """Edges (a, b) that connect just the members (grp, size, id, data), a written table, of each group that match(es) connect.
 
     A group is dealt into blocks of about block members. Each block is clustered by itself; the clusters' first members
     are clustered in blocks again; then the members outside their group's largest cluster are compared with every block,
     so that no matching pair is left unconnected, whatever a group's size. Only a block is ever held in one task.
     """
-    tables = Scratch(members.sparkSession)
+    tables, parts = Scratch(members.sparkSession), dealt_to(members, EACH)
 
     def cluster(t: pa.Table) -> pa.RecordBatch | None:
         prepare, against = match()
@@ -164,7 +164,7 @@ def linked(members: DataFrame, match: Callable, block: int = BLOCK) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def clustered(rows: DataFrame, label: str) -> DataFrame:
-        dealt = grouped_arrow(rows.select("grp", "part", "blocks", "id", "data"), ["grp", "part"], ["id"], cluster, "grp long, blocks long, id long, label long, data binary")
+        dealt = grouped_arrow(rows.select("grp", "part", "blocks", "id", "data"), ["grp", "part"], ["id"], cluster, "grp long, blocks long, id long, label long, data binary", parts)
         return tables.written(dealt, label)
 
     tied = lambda rows: rows.where(F.col("id") != F.col("label")).select(F.col("id").alias("a"), F.col("label").alias("b"))
@@ -183,19 +183,28 @@ def linked(members: DataFrame, match: Callable, block: int = BLOCK) -> DataFrame
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda p: F.struct(p.alias("part"), F.lit(1).alias("asks")))
     places = F.concat(F.array(F.struct("part", F.lit(0).alias("asks"))), F.when(F.col("label") != F.col("top"), every).otherwise(F.array().cast("array<struct<part:bigint,asks:int>>")))
     asked = dealt.where(F.col("blocks") > 1).join(labels, ["grp", "id"]).join(tops, "grp").select("grp", F.inline(places), "id", "label", "data")
-    return edges.unionByName(grouped_arrow(asked, ["grp", "part"], ["asks", "id"], query, "a long, b long"))
+    return edges.unionByName(grouped_arrow(asked, ["grp", "part"], ["asks", "id"], query, "a long, b long", parts))
 
 
-def against_pivots(rows: DataFrame) -> DataFrame:
-    """(node, cid, pivot, share) of members (node, cid, pivot, sketch, target) of large nodes: the share of sketch bytes equal to the pivot's."""
+def equal_share(a: str, b: str) -> Column:
+    """The share of equal bytes of two sketches."""
+    apart = F.lit(0)
+    for k in range(SKETCH // 8):
+        z = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        # a byte's bits are gathered in its lowest one
+        for step, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, step)).bitwiseAND(F.lit(mask))
+        apart = apart + F.bit_count(z)
+    return 1 - apart / SKETCH
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (3, 4))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((x == y).mean(axis=1))], names=["node", "cid", "pivot", "share"])
 
-    return rows.select("node", "cid", "pivot", "sketch", "target").mapInArrow(run, "node long, cid long, pivot long, share double")
+def sketch_byte(sketch: str, at: Column) -> Column:
+    """The byte of a sketch at a place."""
+    return F.call_function("shiftrightunsigned", F.get(sketch, F.floor(at / 8).cast("int")), 8 * (at % 8)).bitwiseAND(F.lit(255))
+
+
+def sketch_bytes(sketch: str) -> Column:
+    return F.concat(*(F.unhex(F.lpad(F.hex(F.get(sketch, F.lit(k))), 16, "0")) for k in range(SKETCH // 8)))
 
 
 def loose_links(node: np.ndarray, cid: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +244,7 @@ def small_nodes(rows: DataFrame) -> DataFrame:
             else:
                 if not batch.num_rows:
                     continue
-                now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)]
+                now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().view(np.uint8).reshape(batch.num_rows, -1)]
                 now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
                 end = int(np.searchsorted(now[0], now[0][-1]))
                 now, held = [x[:end] for x in now], [x[end:] for x in now]
@@ -243,7 +252,8 @@ def small_nodes(rows: DataFrame) -> DataFrame:
                 a, b = loose_links(*now)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    dealt = rows.select("node", "cid", "sketch").repartition(partitions(rows.sparkSession), "node").sortWithinPartitions("node", "cid")
+    n = dealt_to(rows, 8 * EACH)
+    dealt = rows.select("node", "cid", "sketch").repartitionById(n, F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")).sortWithinPartitions("node", "cid")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -254,35 +264,37 @@ def loose_edges(classes: DataFrame, tables: Scratch) -> DataFrame:
     the tree; what stays is small, or branches. Small nodes of all levels are compared exhaustively; so are large ones that
     the deepest level leaves, in blocks.
     """
-    at = classes.select("cid", F.posexplode("keys").alias("tree", "key")).select(F.xxhash64("tree", "key").alias("node"), "cid")
-    lookup, small, ties = classes.select("cid", "sketch"), None, []
+    lookup, small, ties, deepest = classes.select("cid", "sketch"), None, [], None
 
     def sized(rows: DataFrame) -> DataFrame:
         # sizes are written first, so that the join reads both sides from shuffles and a hot node's rows can be split
         return rows.join(tables.written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("pivot")).where(F.col("size") > 1), "sizes"), "node")
 
-    deepest = None
     for level in range(DEPTH + 1):
-        nodes = tables.written(sized(at), f"nodes-{level}")
-        own = nodes.where(F.col("size") <= SMALL).select("node", "cid")
+        if level:
+            pick = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SKETCH)).cast("int")
+            child = [F.xxhash64("node", F.lit(j), sketch_byte("sketch", pick(j))) for j in range(BRANCHES)]
+            nodes = sized(rest.select("cid", "sketch", F.explode(F.array(*child)).alias("node")))
+        else:
+            # only members of nodes with others are given their sketches
+            first = classes.select("cid", F.posexplode("keys").alias("tree", "key")).select(F.xxhash64("tree", "key").alias("node"), "cid")
+            nodes = sized(first).join(lookup, "cid")
+        nodes = tables.written(nodes.select("node", "size", "pivot", "cid", "sketch"), f"nodes-{level}")
+        own = nodes.where(F.col("size") <= SMALL).select("node", "cid", "sketch")
         small = own if small is None else small.unionByName(own)
         large = nodes.where(F.col("size") > SMALL)
-        pivots = tables.written(large.where(F.col("cid") == F.col("pivot")).select("node", "cid").join(lookup, "cid").select("node", F.col("sketch").alias("target")), f"pivots-{level}")
+        pivots = tables.written(large.where(F.col("cid") == F.col("pivot")).select("node", F.col("sketch").alias("target")), f"pivots-{level}")
         if pivots.isEmpty():
             break
-        seen = tables.written(against_pivots(large.join(lookup, "cid").join(pivots, "node")), f"seen-{level}")
-        ties.append(seen.where((F.col("share") >= TIE) & (F.col("cid") != F.col("pivot"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
-        rest = seen.where((F.col("share") < LEAVE) & (F.col("cid") != F.col("pivot"))).select("node", "cid")
+        seen = large.where(F.col("cid") != F.col("pivot")).join(pivots, "node").select("node", "cid", "pivot", "sketch", equal_share("sketch", "target").alias("share"))
+        seen = tables.written(seen.where((F.col("share") >= TIE) | (F.col("share") < LEAVE)), f"seen-{level}")
+        ties.append(seen.where(F.col("share") >= TIE).select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
+        rest = seen.where(F.col("share") < LEAVE)
         if level == DEPTH:
-            deepest = sized(rest).select("node", "size", "cid")
-            break
-        pick = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SKETCH)).cast("int") + 1
-        child = [F.xxhash64("node", F.lit(j), F.substring("sketch", pick(j), 1)) for j in range(BRANCHES)]
-        at = rest.join(lookup, "cid").select("cid", F.explode(F.array(*child)).alias("node"))
-    edges = small_nodes(small.join(lookup, "cid"))
+            deepest = tables.written(sized(rest.select("node", "cid", "sketch")).select(F.col("node").alias("grp"), "size", F.col("cid").alias("id"), sketch_bytes("sketch").alias("data")), "dense")
+    edges = small_nodes(small)
     if deepest is not None:
-        dense = deepest.join(lookup, "cid").select(F.col("node").alias("grp"), "size", F.col("cid").alias("id"), F.col("sketch").alias("data"))
-        edges = edges.unionByName(linked(dense, sketch_match(LOOSE)))
+        edges = edges.unionByName(linked(deepest, sketch_match(LOOSE)))
     for t in ties:
         edges = edges.unionByName(t)
     return edges
