@@ -24,7 +24,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's outcome is the quality label of the document with its id; pages without one are judged by their host's others."""
+    """A page's outcome is the quality label of the document with its id; hosts without one are judged by their domain, their suffix or all."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     seen = pages.join(labels.select(F.col("doc_id").alias("page_id"), "quality"), "page_id")
     outcomes = seen.select(url_reputation.url_host(F.col("url")).alias("host"), (F.col("quality") == 0).alias("bad"))
@@ -63,6 +63,8 @@ QUERIES = {f.__name__: f for f in (op1_mixing, op2_secret_scan, op3_simhash, op4
 _RULES = sorted(url_reputation.RULES, key=lambda r: -len(r[1] + r[2]))
 _FITS = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for _, h, p in _RULES]
 
+_STRENGTH = f"1 / least(greatest(coalesce((sum(n * pow(bad / n - m, 2)) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0), 1 / {url_reputation.MOST + 1}::double), 1 / {url_reputation.LEAST + 1}::double) - 1"
+
 ORACLES = {
     "op1_mixing": mixing.oracle(),
     "op7_compaction": "select doc_id, lang, source, n_chars, md5(text) as text_md5 from documents",
@@ -73,13 +75,19 @@ with p as (
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path
   from pages),
 o as (select host, (quality = 0)::int as bad from p join labels on page_id = doc_id where quality is not null),
-h as (select host, count(*) as n, sum(bad) as bad, string_split(host, '.')[-1] as suffix, array_to_string(string_split(host, '.')[-2:], '.') as domain from o group by host),
-d as (select domain, suffix, sum(n) as dn, sum(bad) as db from h group by all),
-s as (select suffix, sum(dn) as sn, sum(db) as sb from d group by suffix),
-t as (select sum(sb) / sum(sn)::double as all_rate from s),
-s2 as (select suffix, (sb + 20.0::double * all_rate) / (sn + 20.0::double) as s_rate from s, t),
-d2 as (select domain, (db + 10.0::double * s_rate) / (dn + 10.0::double) as d_rate from d join s2 using (suffix)),
-h2 as (select host, bad + 5.0::double * d_rate as a, n - bad + 5.0::double * (1 - d_rate) as b from h join d2 using (domain)),
+h as (select host, count(*)::double as n, sum(bad)::double as bad, string_split(host, '.')[-1] as suffix, array_to_string(string_split(host, '.')[-2:], '.') as domain from o group by host),
+t as (select sum(bad) / sum(n) as all_rate from h),
+s as (select suffix, sum(n) as n, sum(bad) as bad, any_value(all_rate) as m from h, t group by suffix),
+ks as (select {_STRENGTH} as k from s),
+s2 as (select suffix, (bad + k * m) / (n + k) as s_rate from s, ks),
+d as (select domain, sum(n) as n, sum(bad) as bad, any_value(s_rate) as m from h join s2 using (suffix) group by domain),
+kd as (select {_STRENGTH} as k from d),
+d2 as (select domain, (bad + k * m) / (n + k) as d_rate from d, kd),
+kh as (select {_STRENGTH} as k from (select n, bad, d_rate as m from h join d2 using (domain))),
+u as (select distinct host, string_split(host, '.')[-1] as suffix, array_to_string(string_split(host, '.')[-2:], '.') as domain from p),
+w as (select u.host, coalesce(n, 0) as n, coalesce(bad, 0) as bad, coalesce(d_rate, s_rate, all_rate) as m, case when d_rate is not null then kh.k when s_rate is not null then kd.k else ks.k end as k
+  from u left join h on u.host = h.host left join d2 on u.domain = d2.domain left join s2 on u.suffix = s2.suffix, t, ks, kd, kh),
+h2 as (select host, bad + k * m as a, n - bad + k * (1 - m) as b from w),
 r as (select host, greatest(a / (a + b) - 1.645::double * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0) as low from h2)
 select page_id, host, path,
   case {" ".join(f"when {fit} then '{h}{p}'" for fit, (_, h, p) in zip(_FITS, _RULES, strict=True))} end as rule,

@@ -171,6 +171,27 @@ def test_urls_block_a_bad_host_at_the_given_base_rate(spark):
     assert url_reputation.judge_urls(pages, outcomes.limit(0), margin=0.1).count() == 41
 
 
+def test_urls_judge_an_unseen_host_by_its_domain_and_suffix(spark):
+    outcomes = spark.createDataFrame([(f"h{i % 40}.bad.com", True) for i in range(400)] + [(f"h{i % 40}.good.com", False) for i in range(4000)] + [(f"s{i % 30}.zz", i % 10 < 9) for i in range(600)], "host string, bad boolean")
+    hosts = ["new.bad.com", "new.good.com", "bad.com", "new.zz", "new.other", "h1.bad.com"]
+    pages = spark.createDataFrame([(i, f"https://{h}/x") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r["host"]: (r["verdict"], r["bad_low"]) for r in url_reputation.judge_urls(pages, outcomes).collect()}
+    assert {h for h in hosts if got[h][0] == "block"} == {"new.bad.com", "bad.com", "new.zz", "h1.bad.com"}
+    assert got["new.other"][1] < 0.3
+
+
+@pytest.mark.parametrize("k", [3.0, 40.0])
+def test_strength_is_fitted_to_the_spread(spark, k):
+    rng = np.random.default_rng(7)
+    n = rng.integers(5, 80, 4000)
+    bad = rng.binomial(n, rng.beta(0.2 * k, 0.8 * k, 4000))
+    groups = spark.createDataFrame(list(zip(n.tolist(), bad.tolist())), "n long, bad long")
+    assert abs(url_reputation.strength(groups, F.lit(0.2)) / k - 1) < 0.15
+    even = spark.createDataFrame([(100, 20)] * 50, "n long, bad long")
+    assert round(url_reputation.strength(even, F.lit(0.2))) == url_reputation.MOST
+    assert round(url_reputation.strength(spark.createDataFrame([(9, 9), (9, 0)], "n long, bad long"), F.lit(0.5)), 6) == url_reputation.LEAST
+
+
 @pytest.fixture(scope="module")
 def model():
     rng = np.random.default_rng(5)
