@@ -37,6 +37,10 @@ _B = _seed.integers(0, 1 << 32, TREES + SKETCH, dtype=np.uint32)
 FEATURES = "id long, n_shingles long, s1 long, s2 long, keys array<int>, sketch array<long>"
 
 
+def rows_of(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
+
+
 def features(docs: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> DataFrame:
     """Size and digest of each document's shingle set, a minwise token per tree, and the sketch, eight bytes a long."""
 
@@ -61,7 +65,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> Dat
                 keys = low[:, :TREES].astype(np.int32)
                 raw = (low[:, TREES:] ^ (low[:, TREES:] >> np.uint32(11))).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, m), pa.array(n), pa.array(s1), pa.array(s2), pa.array(list(keys), pa.list_(pa.int32())), pa.array(list(raw.view(np.int64)), pa.list_(pa.int64()))],
+                    [ids.slice(a, m), pa.array(n), pa.array(s1), pa.array(s2), rows_of(keys), rows_of(raw.view(np.int64))],
                     names=["id", "n_shingles", "s1", "s2", "keys", "sketch"],
                 )
 
@@ -274,7 +278,7 @@ def loose_edges(classes: DataFrame, tables: Scratch) -> DataFrame:
         if level:
             pick = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SKETCH)).cast("int")
             child = [F.xxhash64("node", F.lit(j), sketch_byte("sketch", pick(j))) for j in range(BRANCHES)]
-            nodes = sized(rest.select("cid", "sketch", F.explode(F.array(*child)).alias("node")))
+            nodes = sized(tables.written(rest.select("cid", "sketch", F.explode(F.array(*child)).alias("node")), f"children-{level}"))
         else:
             # only members of nodes with others are given their sketches
             first = classes.select("cid", F.posexplode("keys").alias("tree", "key")).select(F.xxhash64("tree", "key").alias("node"), "cid")
