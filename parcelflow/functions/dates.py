@@ -6,9 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parcelflow.functions.text import group
+from parcelflow.functions.udf import fuzzy_date
 
+#: The sites' date forms.
 CHUNK = r"(?i)([A-Za-z]{3,9}\.?\s+\d{1,2}(?:,\s*\d{4})?\s+at\s+\d{1,2}(?::\d{2})?\s*[ap]m)"
-NUMERIC = r"(?i)\d{1,2}/\d{1,2}/\d{4}\s+at\s+\d{1,2}:\d{2}\s*[AP]M"
+NUMERIC = r"\d{1,2}/\d{1,2}/\d{4}\s+at\s+\d{1,2}:\d{2}\s*[AP]M"
 #: Patterns in the order in which they are tried, after " at " and points are gone.
 PATTERNS = ("MMM d, yyyy h:mm a", "MMM d, yyyy h a", "MMMM d, yyyy h:mm a", "MMMM d, yyyy h a", "MMM d, yyyy", "MMMM d, yyyy", "M/d/yyyy h:mm a", "M/d/yyyy h a", "M/d/yyyy", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 
@@ -25,6 +27,13 @@ def parse_auction_datetime(c: Column) -> Column:
     return F.coalesce(*(F.expr("null").cast("timestamp_ntz"), *(F.try_to_timestamp(x, F.lit(p)).cast("timestamp_ntz") for p in PATTERNS)))
 
 
+def auction_datetime(c: Column, as_of: str) -> Column:
+    """parse_auction_datetime(), and a lenient parse with missing parts from as_of's midnight where no pattern fits."""
+    found = parse_auction_datetime(c)
+    left = F.when(found.isNull() & (F.trim(c) != ""), F.replace(F.replace(c, F.lit(" at "), F.lit(" ")), F.lit("."), F.lit("")))
+    return F.coalesce(found, fuzzy_date(left, as_of[:10]))
+
+
 def last_date_chunk(c: Column) -> Column:
     """The last date of a text that has several, else the text."""
     found = F.regexp_extract_all(c, F.lit(CHUNK), F.lit(1))
@@ -49,7 +58,7 @@ def year_rollover(month: Column, day: Column, as_of: str, slack: int = 30) -> Co
 
 
 def labeled_date(c: Column, label: str) -> Column:
-    return group(c, rf"(?i){label}\s*:\s*({NUMERIC[4:]})")
+    return group(c, rf"(?i){label}\s*:\s*({NUMERIC})")
 
 
 def block_status(text: Column, phrase: Column) -> Column:
@@ -65,11 +74,17 @@ def short(dt: Column) -> Column:
 
 
 def date_only(c: Column) -> Column:
-    """The date of an ISO local time, the raw text if it is none, a dash if it is blank."""
-    parsed = F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm")))
+    """The date of an ISO local time, with T or a space, the raw text if it is none, a dash if it is blank."""
+    parsed = F.coalesce(*(F.try_to_timestamp(c, F.lit(f"yyyy-MM-dd{t}HH:mm{x}")) for t in ("'T'", " ") for x in (":ss", ":ss.SSSSSS", "")))
     return F.when(F.coalesce(F.trim(c), F.lit("")) == "", "—").otherwise(F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), c))
 
 
+def report_time(c: Column) -> Column:
+    """A stored ISO time in the short form; TBD if it is blank, the raw text if it is none."""
+    parsed = F.coalesce(*(F.try_to_timestamp(c, F.lit(p)) for p in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd")))
+    return F.when(F.coalesce(c, F.lit("")) == "", "TBD").otherwise(F.coalesce(F.date_format(parsed, "MMM d h:mm a"), c))
+
+
 def day_header(dt: Column) -> Column:
     return F.coalesce(F.date_format(dt, "EEEE, MMMM d"), F.lit("Date TBD"))
 

@@ -27,9 +27,34 @@ def terminal(c: Column) -> Column:
     return found
 
 
-def normalize_status(c: Column) -> Column:
+#: (source, first words of the raw status, status); a source of None is any. The most letters that fit win.
+STATUS_RULES: tuple[tuple[str | None, str, str], ...] = (
+    (None, "cancel", "cancelled"), (None, "postponed", "postponed"),
+    ("sullivan", "on", "active"),
+    ("towne", "on_time", "active"), ("towne", "on time", "active"),
+    ("patriot", "yellow", "postponed"), ("patriot", "red", "cancelled"), ("patriot", "", "active"),
+    ("skypoint", "new date", "active"), ("skypoint", "sold", "sold"), ("skypoint", "", "active"),
+)
+#: Sources whose first word must be the whole status.
+WHOLE = ("sullivan",)
+
+
+def normalize_status(c: Column, source: Column | None = None, rules: tuple[tuple[str | None, str, str], ...] = STATUS_RULES) -> Column:
+    """A source's raw status word, banner colour or keyword as a common status; else the raw one, lower-cased and trimmed.
+
+    A blank status is null for sources without a rule for it. Without a source only the rules of any source hold.
+    """
     x = F.lower(F.trim(c))
-    return (
-        F.when(x.startswith("postponed"), "postponed").when(x.startswith("on_time") | x.startswith("on time") | x.isin("on", "new date"), "active")
-        .when(x.startswith("cancel"), "cancelled").otherwise(x)
-    )
+    said = F.coalesce(x, F.lit(""))
+    found = F.nullif(x, F.lit(""))
+    for name, words, status in sorted(rules, key=lambda r: (len(r[1]), r[0] is not None)):
+        if name is not None and source is None:
+            continue
+        fits = (said == words) if name in WHOLE else said.startswith(words)
+        found = F.when(fits if name is None else fits & (source == name), status).otherwise(found)
+    return found
+
+
+def stale_sold(c: Column, dt: Column, as_of: str, days: int = 14) -> Column:
+    """Whether a sold row's date lies more than days back; undated rows are not stale."""
+    return F.coalesce((F.lower(F.trim(c)) == "sold") & (dt < F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))), F.lit(False))

@@ -16,6 +16,7 @@ LINK_WORDS = {
     "street": "st", "avenue": "ave", "drive": "dr", "road": "rd", "court": "ct", "lane": "ln", "place": "pl", "boulevard": "blvd",
     "north": "n", "south": "s", "east": "e", "west": "w",
 }
+#: How the sites write units and details.
 UNIT = r"(?i)\b(?:UNIT|APT|#)\s*([A-Z0-9-]+)\b"
 #: Phrases of an empty result page.
 EMPTY_PAGE = ("nothing found", "no results found", "no results were found", "we cant find what youre looking for", "no listings found", "no matching results", "content not found", "page not found")
@@ -161,11 +162,45 @@ def route_labels(m: Column) -> dict[str, Column]:
     }
 
 
-def split_address(c: Column) -> dict[str, Column]:
-    """'street, city, ST zip' parts; the raw text is the street where it has another form."""
-    form = r"^(.*?),\s*([^,]+),\s*([A-Z]{2})\s*(\d{5})?(?:-\d{4})?$"
-    ok = c.rlike(form)
-    return {"street": F.when(ok, F.regexp_extract(c, form, 1)).otherwise(c), "city": group(c, form, 2), "addr_state": group(c, form, 3), "zip": group(c, form, 4)}
+#: The states that the sources cover, and words that end a street.
+STATES = "MA|NH|RI|VT|ME|CT"
+STREET_ENDS = "Road|Rd|Street|St|Avenue|Ave|Drive|Dr|Lane|Ln|Way|Court|Ct|Boulevard|Blvd|Place|Pl|Circle|Cir|Terrace|Ter|Highway|Hwy|Parkway|Pkwy|Trail|Trl|Square|Sq|Path|Row|Extension|Ext"
+
+
+def split_address(c: Column, form: str = "commas") -> dict[str, Column]:
+    """street, city, addr_state and zip of a source's address text; what does not fit the form is all street.
+
+    Forms: commas 'street, city, ST zip'; gap 'street   city, county, ST zip'; title 'street, unit, city, ST zip (note)';
+    parts 'street, city, ST' of any number of commas, the first three counting; blob the same from the end, one comma
+    leaving the city out; scan a street found by its last word in running text, after 'City, ST'.
+    """
+    x = F.trim(c)
+    if form == "scan":
+        street = rf"(?i)(\d+[\w-]*(?:\s+[A-Za-z][\w'.-]*){{0,5}}?\s+(?:{STREET_ENDS})\b\.?)"
+        town = rf"([A-Za-z .'’-]+),\s*({STATES})\b"
+        return {"street": F.coalesce(group(x, street), x), "city": F.trim(group(x, town)), "addr_state": group(x, town, 2), "zip": group(x, rf"\b(?:{STATES})\s+(\d{{5}})\b")}
+    if form in ("parts", "blob"):
+        parts = F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p != "")
+        n = F.size(parts)
+        at = lambda i: F.get(parts, i)
+        if form == "parts":
+            street, city, rest = F.when(n >= 2, at(F.lit(0))).otherwise(x), F.when(n >= 2, at(F.lit(1))), F.when(n >= 3, at(F.lit(2)))
+        else:
+            street = F.when(n >= 3, F.array_join(F.slice(parts, 1, F.greatest(n - 2, F.lit(1))), ", ")).when(n == 2, at(F.lit(0))).otherwise(x)
+            city, rest = F.when(n >= 3, at(n - 2)), F.when(n >= 2, at(n - 1))
+        return {"street": street, "city": city, "addr_state": F.coalesce(group(rest, r"^([A-Z]{2})\b"), rest), "zip": group(rest, r"(\d{5})$")}
+    pattern, places = {
+        "commas": (r"^(.*?),\s*([^,]+),\s*([A-Z]{2})\s*(\d{5})?(?:-\d{4})?$", (1, 2, 3, 4)),
+        "gap": (r"^(.+?)\s{2,}([^,]+),\s*(?:.*?,\s*)?(?:([A-Z]{2})\s*)?(\d{5})?\s*$", (1, 2, 3, 4)),
+        "title": (rf"^(.+?),\s*([^,]+?),\s*({STATES})\s+(\d{{5}})\s*(?:\([^)]*\))?\s*$", (1, 2, 3, 4)),
+    }[form]
+    part = lambda i: F.trim(group(x, pattern, i))
+    return {"street": F.when(x.rlike(pattern), part(places[0])).otherwise(x), **{k: part(i) for k, i in zip(("city", "addr_state", "zip"), places[1:], strict=True)}}
+
+
+def clean_city(c: Column) -> Column:
+    """A city without what follows in brackets."""
+    return F.trim(F.regexp_replace(c, r"\s*\([^)]*\)\s*$", ""))
 
 
 def registry_refs(c: Column) -> dict[str, Column]:
@@ -180,11 +215,13 @@ def registry_refs(c: Column) -> dict[str, Column]:
 
 
 def clean_url(c: Column) -> Column:
-    """Unsafe characters percent-encoded; what is encoded already stays."""
+    """Every byte that a URL may not hold percent-encoded, in UTF-8; what is encoded already stays, a lone % becomes %25."""
     x = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
-    for raw, code in ((" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("\\", "%5C"), ("^", "%5E"), ("`", "%60"), ("{", "%7B"), ("|", "%7C"), ("}", "%7D")):
-        x = F.replace(x, F.lit(raw), F.lit(code))
-    return x
+    allowed = r"[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]"
+    runs = F.regexp_extract_all(x, F.lit(rf"(?s){allowed}+|.[\x{{200D}}]*"), F.lit(0))
+    code = lambda r: F.regexp_replace(F.hex(F.encode(r, "UTF-8")), "(..)", "%$1")
+    quoted = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(rf"^{allowed}"), r).otherwise(code(r))), "")
+    return F.when(x.rlike(rf"^{allowed}*$"), x).otherwise(quoted)
 
 
 def spec_line(kind: Column, beds: Column, baths: Column, sqft: Column) -> Column:

@@ -18,19 +18,35 @@ def stale(as_of: str, days: int = 14) -> Column:
     return F.col("last_seen_at") < F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
 
 
-def exclusion_accounting(properties: DataFrame, events: DataFrame, links: DataFrame, as_of: str) -> DataFrame:
-    """One row of counts: total, exported, and each reason for leaving out; reasons may overlap."""
+def left_out(properties: DataFrame, events: DataFrame, links: DataFrame, as_of: str) -> DataFrame:
+    """properties with the reasons for which the live map leaves them out.
+
+    off_map: by status; the others hold only for rows that are not: missing_coords, disappeared (of those with coordinates)
+    and stale. duplicate: it is the hidden side of a link, whatever else.
+    """
     gone = latest_event(events).where(F.col("event_type") == "disappeared").select("auction_id", F.lit(True).alias("_gone"))
     dup = links.select("property_id", F.lit(True).alias("_dup")).distinct()
-    rows = properties.join(gone, "auction_id", "left").join(dup, "property_id", "left")
-    off, lost, hidden = status.off_map(F.col("status")), F.coalesce("_gone", F.lit(False)), F.coalesce("_dup", F.lit(False))
-    blind, old = F.col("latitude").isNull() | F.col("longitude").isNull(), stale(as_of)
-    return rows.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(~(off | lost | hidden | blind | old)).alias("exported"), F.count_if(off | lost | hidden | blind | old).alias("excluded_total"),
-        F.count_if(off).alias("by_status"), F.count_if(blind).alias("missing_coords"), F.count_if(hidden).alias("duplicates"), F.count_if(lost).alias("disappeared"), F.count_if(old).alias("stale"),
+    off = status.off_map(F.col("status"))
+    blind = F.col("latitude").isNull() | F.col("longitude").isNull()
+    return properties.join(gone, "auction_id", "left").join(dup, "property_id", "left").select(
+        *properties.columns, off.alias("off_map"), (~off & blind).alias("missing_coords"), (~off & ~blind & F.coalesce("_gone", F.lit(False))).alias("disappeared"), (~off & F.coalesce(stale(as_of), F.lit(False))).alias("stale"), F.coalesce("_dup", F.lit(False)).alias("duplicate")
     )
 
 
+def exclusion_accounting(properties: DataFrame, events: DataFrame, links: DataFrame, as_of: str) -> DataFrame:
+    """One row of counts: total, exported, excluded_total, each reason of left_out() (they may overlap), and by_status, a
+    breakdown 'status=n, ...' of the statuses that leave the map."""
+    rows = left_out(properties, events, links, as_of)
+    shown = ~(F.col("off_map") | F.col("missing_coords") | F.col("disappeared") | F.col("stale") | F.col("duplicate"))
+    reasons = ("missing_coords", "duplicate", "disappeared", "stale")
+    per = rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(shown).alias("exported"), F.bool_or("off_map").alias("off"), *(F.count_if(r).alias(r) for r in reasons))
+    part = F.when(F.col("off"), F.concat("status", F.lit("="), F.col("n").cast("string")))
+    return per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("exported"), F.lit(0)).alias("exported"), F.coalesce(F.sum(F.col("n") - F.col("exported")), F.lit(0)).alias("excluded_total"),
+        F.array_join(F.array_sort(F.collect_list(part)), ", ").alias("by_status"), *(F.coalesce(F.sum(r), F.lit(0)).alias(r) for r in reasons),
+    )  # a row a status
+
+
 def postponements(events: DataFrame) -> DataFrame:
     """Date changes of each auction, and the date before the first."""
     return events.where(F.col("event_type") == "date_change").groupBy("auction_id").agg(F.count(F.lit(1)).alias("times_postponed"), F.min_by("old_value", "event_id").alias("original_date"))
@@ -43,7 +59,7 @@ def pdf_links(rows: DataFrame, links: str = "pdf_links") -> DataFrame:
 
 
 def run_summary(found: DataFrame, events: DataFrame) -> DataFrame:
-    """Counters of each run: events by kind, auctions changed."""
+    """Counters of each run as its events tell them, beside the rows that were found; a load's own row has the others."""
     kind = lambda k: F.count_if(F.col("event_type") == k)
     return events.groupBy("run_id").agg(kind("first_seen").alias("new"), F.countDistinct(F.when(F.col("event_type").isin("status_change", "date_change"), F.col("auction_id"))).alias("changed"), kind("disappeared").alias("removed")).crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("found"))))  # found is one row
 
@@ -83,7 +99,7 @@ def change_groups(changes: DataFrame, as_of: str, keys: tuple[str, ...] = ("addr
     noise = (F.col("event_type") == "status_change") & ~status.terminal(F.col("new_value"))
     shown = (F.col("event_type") != "first_seen") & ~removal & ~noise
     label = F.when(shown, F.struct((-F.unix_micros(F.col("detected_at").cast("timestamp"))).alias("t"), (-F.col("event_id")).alias("i"), change_label().alias("label")))
-    kept = [c for c in ("property_id", "url", "auction_datetime", "first_seen_at", "last_seen_at", "property_status") if c in changes.columns]
+    kept = [c for c in ("property_id", "url", "auction_datetime", "first_seen_at", "last_seen_at", "property_status", "latitude", "longitude") if c in changes.columns]
     grouped = changes.groupBy(*keys).agg(
         F.max_by(F.struct(*kept), newest).alias("f"), F.bool_or(F.col("event_type") == "first_seen").alias("was_new"), F.bool_or(removal).alias("was_removed"),
         F.bool_or(F.col("event_type").isin("date_change", "price_change")).alias("other"), F.bool_or(F.col("event_type") == "date_change").alias("dated"),
@@ -112,11 +128,12 @@ def sent_counts(notifications: DataFrame) -> DataFrame:
     return notifications.groupBy("email", "kind").agg(F.count(F.lit(1)).alias("sent"))
 
 
-def digest_counts(upcoming: DataFrame, groups: DataFrame) -> DataFrame:
-    counts = groups.agg(F.count_if(F.col("category") == "New").alias("n_new"), F.count_if(F.col("category") == "Date Changes").alias("n_postponed"), F.count_if(F.col("category") == "Removed").alias("n_cancelled"))
-    one = upcoming.agg(F.count(F.lit(1)).alias("n_upcoming")).crossJoin(F.broadcast(counts))  # both are one row
-    part = lambda c, word: F.concat(F.col(c).cast("string"), F.lit(f" {word}"))
-    return one.withColumn("subject", F.concat_ws(", ", part("n_upcoming", "upcoming"), part("n_new", "new"), part("n_postponed", "postponed"), part("n_cancelled", "cancelled")))
+def digest_counts(upcoming: DataFrame, events: DataFrame, removed: DataFrame) -> DataFrame:
+    """A digest's counts and subject: upcoming rows, new listings and postponements among the events, removed rows."""
+    kinds = events.agg(F.count_if(F.col("event_type") == "first_seen").alias("n_new"), F.count_if((F.col("event_type") == "status_change") & (F.col("new_value") == "postponed")).alias("n_postponed")).first()
+    n, gone = upcoming.count(), removed.count()
+    subject = f"Auction watch: {n} auction(s) this week" + (f", {gone} cancelled" if gone else "")
+    return upcoming.sparkSession.createDataFrame([(n, *kinds, gone, subject)], "n_upcoming long, n_new long, n_postponed long, n_cancelled long, subject string")  # four counts
 
 
 def sources_present(rows: DataFrame, key: Column) -> DataFrame:

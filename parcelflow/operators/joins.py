@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from parcelflow.functions.text import haversine_m, house_number, house_street
 from parcelflow.functions.udf import street_similarity
 from parcelflow.operators.dedup import latest_event
+from parcelflow.sources.files import kept
+
+
+def current_listings(properties: DataFrame, auctions: DataFrame) -> DataFrame:
+    """Each property with its current auction."""
+    return properties.join(auctions, "property_id")
 
 
 def events_with_property(events: DataFrame, properties: DataFrame) -> DataFrame:
@@ -115,10 +121,14 @@ def billing_to_subscriber(events: DataFrame, subscribers: DataFrame) -> DataFram
     return events.join(subscribers.select("subscription_id", "email"), "subscription_id", "left")
 
 
-def save_property(saved: DataFrame, requests: DataFrame, eligible: DataFrame, properties: DataFrame) -> DataFrame:
-    """saved with the requests (email, property_id) of eligible subscribers for known properties that it lacks."""
-    new = requests.select("email", "property_id").distinct().join(eligible.select("email"), "email", "left_semi").join(properties.select("property_id"), "property_id", "left_semi").join(saved, ["email", "property_id"], "left_anti")
-    return saved.select("email", "property_id").unionByName(new.select("email", "property_id"))
+def save_property(saved: DataFrame, requests: DataFrame, eligible: DataFrame, properties: DataFrame, as_of: str, fields: tuple[str, ...] = ("address", "state", "status", "auction_datetime", "url")) -> DataFrame:
+    """saved with the requests (email, property_id) of eligible subscribers for known properties that it lacks.
+
+    A new row is a snapshot of the property's fields with the time; rows that are saved already stay as they are.
+    """
+    new = requests.select("email", "property_id").distinct().join(eligible.select("email").distinct(), "email", "left_semi").join(saved, ["email", "property_id"], "left_anti")
+    shot = new.join(properties.select("property_id", *fields), "property_id").withColumn("saved_at", F.lit(as_of).cast("timestamp_ntz"))
+    return saved.unionByName(shot, allowMissingColumns=True)
 
 
 def forget_property(saved: DataFrame, requests: DataFrame) -> DataFrame:
@@ -126,9 +136,12 @@ def forget_property(saved: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def next_ids(rows: DataFrame, order: str, start: int, name: str) -> DataFrame:
-    """rows with ids from start + 1 in an order, dealt by ranges: no single task numbers all rows."""
-    ranged = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    """rows with ids from start + 1 in an order, dealt by ranges: no single task numbers all rows.
+
+    The ranged rows are written before they are counted, so that a task that runs twice cannot deal them otherwise.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = kept(rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("_part"), place.alias("_at")), "ranged")
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    return numbered.join(base.select("_part", "_base"), "_part").withColumn(name, (F.lit(start) + F.col("_base") + F.col("_at")).cast("long")).drop("_part", "_at", "_base")
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return ranged.join(F.broadcast(base), "_part").withColumn(name, (F.lit(start + 1) + F.col("_base") + F.col("_at")).cast("long")).drop("_part", "_at", "_base")  # base has a row a partition

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -9,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelflow.functions import dates
+from parcelflow.functions.text import group
+
 RULES: dict[str, dict[str, str]] = {}
 
 
@@ -75,7 +79,9 @@ class _Blocks(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in self.tags or any(k == "class" and v and "card" in v.split() for k, v in attrs):
-            self.open.append((tag, {"title": "", "text": ""}))
+            self.open.append((tag, {"title": "", "text": "", "links": ""}))
+        for _, block in self.open:
+            block["links"] += " ".join(f" {v}" for k, v in attrs if k == "href" and v)
         self.title = tag in ("h1", "h2", "h3", "h4")
 
     def handle_endtag(self, tag):
@@ -105,8 +111,13 @@ def table_rows(pages: DataFrame, least: int = 2) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, row int, cells array<string>")
 
 
-def blocks(pages: DataFrame, tags: tuple[str, ...] = ("article", "section")) -> DataFrame:
-    """(page_id, ord, title, text) of repeated blocks; a block without a title is skipped, a repeated title counts once."""
+def blocks(pages: DataFrame, tags: tuple[str, ...] = ("article", "section"), id_pattern: str | None = None, as_of: str = "2024-01-31") -> DataFrame:
+    """(page_id, ord, title, text, block_id, date_time, block_status) of repeated blocks.
+
+    A block without a title is skipped, and so is one without an id where id_pattern (over its links) is given; a repeated id,
+    or without a pattern a repeated title, counts once. The date is the labelled or else the first one of the text, the status
+    that of block_status() with the text's status word.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -114,14 +125,20 @@ def blocks(pages: DataFrame, tags: tuple[str, ...] = ("article", "section")) ->
             for pid, html in zip(b["page_id"], b["html"], strict=True):
                 p = _Blocks(tags)
                 p.feed(html or "")
-                seen = {}
+                seen = set()
                 for x in p.blocks:
-                    if x["title"] and x["title"] not in seen:
-                        seen[x["title"]] = (pid, len(seen), x["title"], x["text"])
-                out += seen.values()
-            yield pd.DataFrame(out, columns=["page_id", "ord", "title", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, ord int, title string, text string")
+                    found = re.search(id_pattern, x["links"]) if id_pattern else None
+                    key = found[1] if found else None if id_pattern else x["title"]
+                    if x["title"] and key and key not in seen:
+                        seen.add(key)
+                        out.append((pid, len(seen) - 1, x["title"], x["text"], found[1] if found else None))
+            yield pd.DataFrame(out, columns=["page_id", "ord", "title", "text", "block_id"])
+
+    found = pages.select("page_id", "html").mapInPandas(run, "page_id long, ord int, title string, text string, block_id string")
+    word = F.lower(F.regexp_extract("text", r"(?i)\b(sold back to mortgagee|3rd party purchase|sold|cancell?ed|postponed|active|withdrawn)\b", 1))
+    said = dates.block_status(F.col("text"), word)
+    first = F.coalesce(group(F.col("text"), rf"({dates.NUMERIC})"), group(F.col("text"), dates.CHUNK))
+    return found.select("page_id", "ord", "title", "text", "block_id", F.coalesce(F.nullif(said["date_time"], F.lit("")), F.when(said["block_status"] != "postponed", first), F.lit("")).alias("date_time"), said["block_status"].alias("block_status"))
 
 
 def expand_portfolio(pages: DataFrame, parcels: Column) -> DataFrame:

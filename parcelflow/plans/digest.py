@@ -46,32 +46,58 @@ def link_available(as_of: str) -> Column:
     return F.coalesce(F.col("auction_datetime") < at(as_of, LINK_DAYS), F.lit(False))
 
 
+def capped_for(people: DataFrame, rows: DataFrame, section: str | None, n: int, order: str) -> DataFrame:
+    """(email, section, rank, more, fields of rows) of the first n rows of each subscriber and section, over all their states.
+
+    rows have state and section. Each state's rows are cut to n and counted before they are fanned out, so what is sent to
+    subscribers does not grow with the listings; more is what is left of the sum of their states' counts.
+    """
+    rows = rows if section is None else rows.withColumn("section", F.lit(section))
+    first = cap_with_remainder(rows, ["state", "section"], n, *(F.col(c) for c in order.split()))
+    totals = fan_out(people, rows.groupBy("state", "section").agg(F.count(F.lit(1)).alias("_n"))).groupBy("email", "section").agg(F.sum("_n").alias("_n"))
+    shown = cap_with_remainder(fan_out(people, first.drop("rank", "more")), ["email", "section"], n, *(F.col(c) for c in order.split())).drop("more")
+    return shown.join(totals, ["email", "section"]).withColumn("more", F.greatest(F.col("_n") - n, F.lit(0))).drop("_n")
+
+
+SHOWN_FIELDS = ("email", "section", "rank", "more", "state", "property_id", "address", "auction_datetime", "labels", "url", "latitude", "longitude")
+
+
 def subscriber_digest(subscribers: DataFrame, states: DataFrame, properties: DataFrame, events: DataFrame, links: DataFrame | None, notifications: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """Rows (email, section, address, rank, more) of every eligible subscriber's digest, in one job.
+    """Rows (SHOWN_FIELDS) of every eligible subscriber's digest, in one job.
 
-    The first listings by date and the first changes of each category; removals only for subscribers who were notified
-    before. Changes are grouped once per state and then fanned out, so the grouping does not grow with the audience.
+    The first listings by date over all states of the subscriber and the first changes of each category by address; removals
+    only for subscribers who were notified before. Changes are grouped once per state and then fanned out, so the grouping
+    does not grow with the audience.
     """
-    people = eligible(subscribers).join(states, "subscriber_id").select("email", "state")
-    upcoming = filter_active(find_active(properties, events, links, as_of), as_of).select("state", "address", "auction_datetime", "property_id")
-    top = cap_with_remainder(upcoming, ["state"], SHOWN, F.col("auction_datetime"), F.col("property_id"))
-    listed = fan_out(people, top.select("state", "address", "rank", "more")).select("email", F.lit("Upcoming").alias("section"), "address", "rank", "more")
+    people = eligible(subscribers).join(states, "subscriber_id").select("email", "state").distinct()
+    fields = ["state", "property_id", "address", "auction_datetime", "url", "latitude", "longitude"]
+    upcoming = filter_active(find_active(properties, events, links, as_of), as_of).select(*fields, F.array().cast("array<string>").alias("labels"))
+    listed = capped_for(people, upcoming, "Upcoming", SHOWN, "auction_datetime property_id")
     changes = events_with_property(events.where(F.col("detected_at") >= at(as_of, -days)), hide_duplicates(properties, links))
-    groups = aggregates.change_groups(changes, as_of, ("state", "address")).select("state", "address", "category", "removed_at", "property_id")
-    fanned = fan_out(people, groups)
-    plain = fanned.where(F.col("category") != "Removed").drop("removed_at")
-    gone = removed_gate(fanned.where(F.col("category") == "Removed"), notifications).drop("removed_at")
-    changed = cap_with_remainder(plain.unionByName(gone.select(plain.columns)), ["email", "category"], SHOWN, F.col("address"))
-    return listed.unionByName(changed.select("email", F.col("category").alias("section"), "address", "rank", "more"))
+    groups = aggregates.change_groups(changes, as_of, ("state", "address")).select(*fields, "labels", F.col("category").alias("section"), "removed_at")
+    plain = capped_for(people, groups.where(F.col("section") != "Removed").drop("removed_at"), None, SHOWN, "address property_id")
+    gone = removed_gate(fan_out(people, groups.where(F.col("section") == "Removed")), notifications).drop("removed_at")
+    gone = cap_with_remainder(gone, ["email", "section"], SHOWN, F.col("address"), F.col("property_id"))
+    return listed.select(*SHOWN_FIELDS).unionByName(plain.select(*SHOWN_FIELDS)).unionByName(gone.select(*SHOWN_FIELDS))
+
 
+def status_view(properties: DataFrame, events: DataFrame, links: DataFrame | None, as_of: str, states: Sequence[str], paid: bool, days: int = 7, saved_states: Sequence[str] = ()) -> DataFrame:
+    """The digest of a list of states (section, state, property_id, address, auction_datetime, labels), uncapped and ungated.
 
-def status_view(properties: DataFrame, events: DataFrame, links: DataFrame | None, as_of: str, states: Sequence[str], paid: bool, days: int = 7) -> DataFrame:
-    """The digest of a list of states, uncapped and ungated; at most one state, four if paid."""
-    allowed = list(dict.fromkeys(s.strip().upper() for s in states if s.strip()))[: 4 if paid else 1]
-    active = filter_active(find_active(properties, events, links, as_of, allowed), as_of)
-    changes = find_recent_changes(events.where(F.col("detected_at") >= at(as_of, -days)), properties, links, str_at(as_of, -days), allowed)
-    groups = aggregates.change_groups(changes, as_of)
-    return active.select(F.lit("Upcoming").alias("section"), "address").unionByName(groups.select(F.col("category").alias("section"), "address"))
+    Without a state, the subscriber's saved states count. More than one state, or four if paid, is an error.
+    """
+    clean = lambda xs: list(dict.fromkeys(s.strip().upper() for s in xs if s and s.strip()))
+    asked, most = clean(states) or clean(saved_states), 4 if paid else 1
+    if len(asked) > most:
+        raise ValueError(f"at most {most} states")
+    if not asked:
+        asked = [""]
+    active = filter_active(find_active(properties, events, links, as_of, asked), as_of)
+    changes = find_recent_changes(events.where(F.col("detected_at") >= at(as_of, -days)), properties, links, str_at(as_of, -days), asked)
+    groups = aggregates.change_groups(changes.withColumn("_state", F.col("state")), as_of, ("state", "address"))
+    fields = ["section", "state", "property_id", "address", "auction_datetime", "labels"]
+    none = F.array().cast("array<string>")
+    return active.select(F.lit("Upcoming").alias("section"), "state", "property_id", "address", "auction_datetime", none.alias("labels")).unionByName(groups.select(F.col("category").alias("section"), *fields[1:]))
 
 
 def str_at(as_of: str, days: int) -> str:
@@ -113,19 +139,72 @@ def removed_union(events: DataFrame, properties: DataFrame, since: str, until: s
     return told.unionByName(old)
 
 
-def payload(upcoming: DataFrame, as_of: str) -> DataFrame:
-    """A JSON row for each listing of a digest."""
-    spec = text.parse_description(F.col("description"))
-    row = F.struct("address", F.date_format("auction_datetime", "yyyy-MM-dd'T'HH:mm:ss").alias("auctionDateTime"), F.when(link_available(as_of), F.col("url")).alias("link"), text.spec_line(spec["property_type"], spec["bedrooms"], spec["bathrooms"], spec["sqft"]).alias("specs"))
-    return upcoming.select("property_id", F.to_json(row).alias("payload"))
+def payload(digest: DataFrame, as_of: str, base: str = "https://example.com/map") -> DataFrame:
+    """(email, payload): a JSON object a subscriber with the digest's upcoming and change rows, each in its order.
+
+    digest: rows of subscriber_digest(); they are capped, so an object's size is bounded.
+    """
+    dt = F.col("auction_datetime")
+    row = F.struct(
+        F.col("property_id").alias("propertyId"), "state", F.col("section").alias("category"), "address", F.coalesce(F.date_format(dt, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("auctionDateTime"), dates.day_header(dt).alias("day"),
+        F.when(dt.isNull(), "date unknown").otherwise(dates.digest_time(dt)).alias("time"), "labels", "url", text.map_url(base, F.col("latitude"), F.col("longitude")).alias("map"), link_available(as_of).alias("linkAvailable"), F.col("more"),
+    )
+    rows = digest.groupBy("email").agg(F.array_sort(F.collect_list(F.struct(place(), "rank", row.alias("row")))).alias("rows"))
+    pick = lambda on: F.transform(F.filter("rows", on), lambda x: x["row"])
+    return rows.select("email", F.to_json(F.struct(pick(lambda x: x["place"] == 0).alias("upcoming"), pick(lambda x: x["place"] > 0).alias("changes"))).alias("payload"))
+
+
+SECTIONS = ("Upcoming", "New", "Date Changes", "Status Changes", "Removed")
+TITLES = ("Upcoming auctions", "New Listings", "Date Changes", "Status Changes", "Removed")
 
 
-def render(digest: DataFrame) -> DataFrame:
-    """One plain-text and one HTML body per subscriber; a body holds the capped rows, so its size is bounded."""
-    line = F.struct("section", "rank", F.concat("address", F.when(F.col("more") > 0, F.concat(F.lit(" (+"), F.col("more").cast("string"), F.lit(" more)"))).otherwise("")).alias("line"))
+def place() -> Column:
+    return (F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section")) - 1).cast("int").alias("place")
+
+
+def render(digest: DataFrame, base: str = "https://example.com/map") -> DataFrame:
+    """(email, plain, html): one body of each kind per subscriber.
+
+    Upcoming rows stand under the header of their day, changes under that of their category with their labels as tags; a
+    section that was cut ends with '+N more'. A body holds the capped rows, so its size is bounded.
+    """
+    dt, link = F.col("auction_datetime"), text.map_url(base, F.col("latitude"), F.col("longitude"))
+    esc = text.escape_html
+    line = F.struct(
+        place(), "rank", "more", F.when(F.col("section") == "Upcoming", dates.day_header(dt)).alias("day"), F.when(dt.isNull(), "date unknown").otherwise(dates.digest_time(dt)).alias("time"), F.coalesce("address", F.lit("")).alias("address"),
+        "labels", F.coalesce("url", F.lit("")).alias("url"), link.alias("map"),
+    )
     rows = digest.groupBy("email").agg(F.array_sort(F.collect_list(line)).alias("rows"))
-    item = lambda r: F.concat(F.lit("<li><b>"), text.escape_html(r["section"]), F.lit("</b> "), text.escape_html(r["line"]), F.lit("</li>"))
-    return rows.select("email", F.array_join(F.transform("rows", lambda r: F.concat(r["section"], F.lit(": "), r["line"])), "\n").alias("plain"), F.concat(F.lit("<ul>"), F.array_join(F.transform("rows", item), ""), F.lit("</ul>")).alias("html"))
+    title = lambda r: F.get(F.array(*map(F.lit, TITLES)), r["place"])
+
+    def before(i: Column) -> Column:
+        return F.get("rows", i - 1)
+
+    def body(header, row, more) -> Column:
+        """Every row with what goes before it (a new section, a new day) and after it (the remainder of its section)."""
+
+        def one(r: Column, i: Column) -> Column:
+            new = (i == 0) | (before(i)["place"] != r["place"])
+            day = r["day"].isNotNull() & (new | ~before(i)["day"].eqNullSafe(r["day"]))
+            last = F.coalesce(F.get("rows", i + 1)["place"] != r["place"], F.lit(True))
+            return F.concat(F.when(new & r["day"].isNull(), header(title(r))).when(day, header(r["day"])).otherwise(""), row(r), F.when(last & (r["more"] > 0), more(r["more"].cast("string"))).otherwise(""))
+
+        return F.array_join(F.transform("rows", one), "")
+
+    tags = lambda r, a, b: F.array_join(F.transform(r["labels"], lambda x: F.concat(F.lit(a), esc(x) if a.startswith("<") else x, F.lit(b))), " ")
+    plain = body(
+        lambda t: F.concat(F.lit("== "), t, F.lit("\n")), lambda r: F.concat(F.lit("  "), r["time"], F.lit("  "), r["address"], F.when(F.size(r["labels"]) > 0, F.concat(F.lit("  "), tags(r, "[", "]"))).otherwise(""), F.lit("\n")),
+        lambda n: F.concat(F.lit("  +"), n, F.lit(" more\n")),
+    )
+    html = body(
+        lambda t: F.concat(F.lit("<div class='day-header'>"), esc(t), F.lit("</div>\n")),
+        lambda r: F.concat(
+            F.lit("<div class='listing'><div class='addr'>"), esc(r["address"]), F.lit("</div><div class='meta'>"), r["time"], F.lit("</div> "), tags(r, "<span class='tag'>", "</span>"), F.lit(" <a href='"), esc(r["url"]), F.lit("'>View listing</a>"),
+            F.when(r["map"] != "", F.concat(F.lit(" <a href='"), esc(r["map"]), F.lit("'>View map</a>"))).otherwise(""), F.lit("</div>\n"),
+        ),
+        lambda n: F.concat(F.lit("<p class='empty'>+"), n, F.lit(" more</p>\n")),
+    )
+    return rows.select("email", plain.alias("plain"), html.alias("html"))
 
 
 def eligible(subscribers: DataFrame) -> DataFrame:
@@ -142,15 +221,21 @@ def due_welcome(subscribers: DataFrame, notifications: DataFrame) -> DataFrame:
     return eligible(subscribers).join(notifications.where(F.col("kind") == "welcome").select("email"), "email", "left_anti")
 
 
-def set_states(current: DataFrame, requests: DataFrame, subscribers: DataFrame, valid: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(state table after the requests, rejected requests). requests: subscriber_id, states (comma-separated).
+def set_states(current: DataFrame, requests: DataFrame, subscribers: DataFrame, valid: Sequence[str], as_of: str | None = None, starts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(state table after the requests, rejected requests, start dates). requests: subscriber_id, states (comma-separated), seq.
 
     A request replaces all states of its subscriber; it is rejected if a state is unknown or there are more than one, or
-    four for a paying subscriber.
+    four for a paying subscriber, or the subscriber is not active. Of a subscriber's good requests the one with the highest
+    seq counts (without seq, any one). starts: (subscriber_id, started_at); a subscriber's first good request sets it once.
     """
-    listed = requests.withColumn("list", text.state_list(F.col("states"))).join(subscribers.select("subscriber_id", "subscription_status"), "subscriber_id", "left")
+    asked = requests if "seq" in requests.columns else requests.withColumn("seq", F.lit(0))
+    people = subscribers.where("active") if "active" in subscribers.columns else subscribers
+    listed = asked.withColumn("list", text.state_list(F.col("states"))).join(people.select("subscriber_id", "subscription_status"), "subscriber_id", "left")
     most = F.when(F.col("subscription_status").isin("active", "trialing"), 4).otherwise(1)
-    ok = F.col("subscription_status").isNotNull() & (F.size("list") > 0) & (F.size("list") <= most) & (F.size(F.array_except("list", F.array(*map(F.lit, valid)))) == 0)
-    good = listed.where(ok)
+    ok = F.coalesce(F.col("subscription_status").isNotNull() & (F.size("list") > 0) & (F.size("list") <= most) & (F.size(F.array_except("list", F.array(*map(F.lit, valid)))) == 0), F.lit(False))
+    good = listed.where(ok).groupBy("subscriber_id").agg(F.max_by("list", "seq").alias("list"))
     new = current.join(good.select("subscriber_id"), "subscriber_id", "left_anti").select("subscriber_id", "state").unionByName(good.select("subscriber_id", F.explode("list").alias("state")))
-    return new, listed.where(~ok).select("subscriber_id", "states")
+    none = good.select("subscriber_id", F.lit(None).cast("timestamp_ntz").alias("started_at")).limit(0)
+    old = starts if starts is not None else none
+    began = old.join(good.select("subscriber_id", F.lit(as_of).cast("timestamp_ntz").alias("_now")), "subscriber_id", "full").select("subscriber_id", F.coalesce("started_at", "_now").alias("started_at"))
+    return new, listed.where(~ok).select("subscriber_id", "states"), began

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.functions import status
-from parcelflow.operators.aggregates import postponements, stale
+from parcelflow.functions.text import parse_description
+from parcelflow.operators.aggregates import exclusion_accounting, left_out, postponements, stale
 from parcelflow.operators.joins import drop_if_last_disappeared, hide_duplicates
 
 
@@ -15,16 +16,32 @@ def live_rows(properties: DataFrame, events: DataFrame, links: DataFrame | None,
     return hide_duplicates(drop_if_last_disappeared(rows, events), links)
 
 
-def export_live_map(properties: DataFrame, events: DataFrame, links: DataFrame | None, as_of: str) -> DataFrame:
-    """Live listings with their postponements, by auction time, undated first. The order is the caller's: orderBy shuffles once."""
+def export_live_map(properties: DataFrame, events: DataFrame, links: DataFrame | None, as_of: str, pdf: DataFrame | None = None) -> DataFrame:
+    """Live listings with their details, documents and postponements, by auction time, undated first.
+
+    pdf: (auction_id, ord, link). The order is the caller's: orderBy shuffles once.
+    """
     out = live_rows(properties, events, links, as_of).join(postponements(events), "auction_id", "left")
+    details = ("summary", "property_type", "bedrooms", "bathrooms", "sqft", "lot_size_raw", "year_built")
+    described = parse_description(F.col("description"))
+    specs = F.struct(*((F.col(c) if c in properties.columns else described.get(c, F.lit(None).cast("string"))).alias(c) for c in details)).alias("specs")
+    none = F.array().cast("array<string>")
+    if pdf is not None:
+        out = out.join(pdf.groupBy("auction_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "link"))), lambda x: x["link"]).alias("_pdf")), "auction_id", "left")
     return out.select(
         "property_id", "source", "address", "state", "latitude", "longitude", "auction_datetime", F.lit("scheduled").alias("shown_status"), "url",
-        F.coalesce("times_postponed", F.lit(0)).alias("times_postponed"), "original_date",
+        F.coalesce("times_postponed", F.lit(0)).alias("times_postponed"), "original_date", specs, (F.coalesce("_pdf", none) if pdf is not None else none).alias("pdf_links"),
     ).orderBy(F.col("auction_datetime").asc_nulls_first(), "property_id")
 
 
-def excluded_sample(properties: DataFrame, n: int = 25) -> DataFrame:
-    """The first n off-map properties of each status, by id; the ranking is cut before the shuffle."""
-    w = Window.partitionBy("status").orderBy("property_id")
-    return properties.where(status.off_map(F.col("status"))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("status", "property_id", "address", "rank")
+def excluded_sample(properties: DataFrame, events: DataFrame, links: DataFrame, as_of: str, n: int = 25) -> DataFrame:
+    """The first n left-out properties of each reason (missing_coords, disappeared, stale), by id; the ranking is cut before the shuffle."""
+    reasons = F.array_compact(F.array(*(F.when(F.col(r), F.lit(r)) for r in ("missing_coords", "disappeared", "stale"))))
+    rows = left_out(properties, events, links, as_of).select("property_id", "address", "source", "status", F.explode(reasons).alias("reason"))
+    w = Window.partitionBy("reason").orderBy("property_id")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def map_meta(properties: DataFrame, events: DataFrame, links: DataFrame, as_of: str) -> DataFrame:
+    """The live map's one row of meta fields."""
+    return exclusion_accounting(properties, events, links, as_of).withColumn("generated_at", F.lit(as_of))

@@ -10,9 +10,9 @@ from parcelflow.operators.joins import proximity_pairs, similar_pairs
 
 
 def choose_canonical(pairs: DataFrame, properties: DataFrame) -> DataFrame:
-    """(property_id, canonical_id, metres): the hidden side of each pair; live beats not live, then later seen, then lower id.
-
-    A property hidden by several keeps its best canonical.
+    """(property_id, canonical_id, metres, similarity): the hidden side of each pair; live beats not live, then later seen, then
+    lower id. last_seen_at stands for the last update: the loader sets both alike. A property hidden by several keeps its
+    best canonical; similarity is null where the pairs have none.
     """
     rank = properties.select("property_id", F.struct((~status.not_live(F.col("status"))).alias("live"), F.col("last_seen_at").alias("seen"), (-F.col("property_id")).alias("low")).alias("r"))
     both = pairs.join(rank.select(F.col("property_id").alias("a_property_id"), F.col("r").alias("ra")), "a_property_id").join(rank.select(F.col("property_id").alias("b_property_id"), F.col("r").alias("rb")), "b_property_id")
@@ -20,8 +20,9 @@ def choose_canonical(pairs: DataFrame, properties: DataFrame) -> DataFrame:
     side = both.select(
         F.when(a_wins, F.col("b_property_id")).otherwise(F.col("a_property_id")).alias("property_id"),
         F.when(a_wins, F.col("a_property_id")).otherwise(F.col("b_property_id")).alias("canonical_id"), F.greatest("ra", "rb").alias("r"), "metres",
+        (F.col("similarity") if "similarity" in pairs.columns else F.lit(None).cast("double")).alias("similarity"),
     )
-    return side.groupBy("property_id").agg(F.max_by(F.struct("canonical_id", "metres"), "r").alias("x")).select("property_id", "x.canonical_id", "x.metres")
+    return side.groupBy("property_id").agg(F.max_by(F.struct("canonical_id", "metres", "similarity"), "r").alias("x")).select("property_id", "x.canonical_id", "x.metres", "x.similarity")
 
 
 def link_duplicates(properties: DataFrame, least: float = 0.6) -> DataFrame:

@@ -4,22 +4,68 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parcelflow.functions.text import coord_key, parse_description
-from parcelflow.operators.dedup import cross_source, latest_event, latest_per_listing
+from parcelflow.functions import dates, text
+from parcelflow.operators.aggregates import pdf_links
+from parcelflow.operators.dedup import cross_source, latest_per_listing
 from parcelflow.operators.joins import next_ids
+from parcelflow.sources.files import kept
 
 EVENTS = "event_id long, auction_id long, event_type string, old_value string, new_value string, detected_at timestamp_ntz, run_id long"
-STATE = "property_id long, auction_id long, source string, listing_id string, url string, address string, state string, latitude double, longitude double, status string, auction_datetime timestamp_ntz, description string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz"
+LINKS = "auction_id long, ord int, link string"
+RUNS = "run_id long, as_of timestamp_ntz, found long, new long, changed long, removed long, failed long, cross_dropped long, last_property long, last_event long"
+#: A property with its current auction. last_event is the kind of the last event of the auction.
+STATE = (
+    "property_id long, auction_id long, source string, listing_id string, address string, latitude double, longitude double, state string, county string, municipality string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, "
+    "auction_datetime_raw string, auction_datetime timestamp_ntz, status string, description string, summary string, property_type string, bedrooms long, bathrooms double, sqft long, lot_size_raw string, year_built long, mortgage_ref string, "
+    "metadata string, url string, last_updated_at timestamp_ntz, last_event string"
+)
+#: A snapshot's columns; those that one lacks count as null, and details as said in the description.
+SNAPSHOT = (
+    "seq long, source string, listing_id string, url string, name string, latitude double, longitude double, state string, county string, municipality string, auction_datetime_raw string, auction_datetime timestamp_ntz, status string, "
+    "description string, summary string, property_type string, bedrooms long, bathrooms double, sqft long, lot_size_raw string, year_built long, mortgage_ref string, metadata string, pdf_links string"
+)
+#: What a known listing takes over from a snapshot, beside its place; the rest keeps its first value.
+CURRENT = ("auction_datetime_raw", "auction_datetime", "status", "description", "summary", "property_type", "bedrooms", "bathrooms", "sqft", "lot_size_raw", "year_built", "mortgage_ref", "metadata", "url")
+PLACE = ("state", "county", "municipality")
+ORDER = ("first_seen", "status_change", "date_change", "disappeared")
 
 
 @dataclass
 class Loaded:
+    """state: the whole next state; events and links: those that the run adds; rejects: rows that could not be loaded; run: its counters."""
+
     state: DataFrame
     events: DataFrame
     rejects: DataFrame
+    links: DataFrame
+    run: DataFrame
+
+
+def typed(rows: DataFrame, as_of: str, **hosts: tuple[str, ...]) -> DataFrame:
+    """A listing file's text columns as a snapshot: ids by the URL, dates and details parsed, explicit details before described ones.
+
+    hosts: the host rules of extract_listing_id().
+    """
+    raw = lambda name: F.col(f"`{name}`") if name in rows.columns else F.lit(None).cast("string")
+    columns = {"property_type": "Property Type", "bedrooms": "Bedrooms", "bathrooms": "Bathrooms", "sqft": "Sqft", "lot_size_raw": "Lot Size", "year_built": "Year Built"}
+    found = text.property_details({k: raw(v) for k, v in columns.items()}, raw("Description"))
+    values: dict[str, Column] = {
+        "seq": F.col("seq"), "source": text.blank_to_null(raw("Source")), "listing_id": text.extract_listing_id(raw("URL"), raw("Name"), **hosts), "url": raw("URL"), "name": raw("Name"),
+        "latitude": F.trim(raw("Latitude")).try_cast("double"), "longitude": F.trim(raw("Longitude")).try_cast("double"), **{k.lower(): F.coalesce(F.trim(raw(k)), F.lit("")) for k in ("State", "County", "Municipality")},
+        "auction_datetime_raw": raw("Auction Date/Time"), "auction_datetime": dates.auction_datetime(raw("Auction Date/Time"), as_of), "status": F.lower(F.trim(raw("Status"))), "description": raw("Description"),
+        "summary": text.blank_to_null(raw("Summary")), **found, "metadata": F.when(text.metadata_ok(raw("Metadata")), raw("Metadata")), "pdf_links": raw("PDF Links"),
+    }
+    return rows.select(*(values[f.name].cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(SNAPSHOT)))
+
+
+def widened(snapshot: DataFrame) -> DataFrame:
+    described = text.parse_description(F.col("description")) if "description" in snapshot.columns else {}
+    column = lambda f: F.col(f.name) if f.name in snapshot.columns else described.get(f.name, F.lit(None))
+    return snapshot.select(*(column(f).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(SNAPSHOT)))
 
 
 def split_rejects(snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -29,60 +75,70 @@ def split_rejects(snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def deduplicate(snapshot: DataFrame) -> DataFrame:
-    return cross_source(latest_per_listing(snapshot), coord_key(F.col("latitude"), F.col("longitude")))
+    return one_source(latest_per_listing(snapshot))
+
 
+def one_source(latest: DataFrame) -> DataFrame:
+    return cross_source(latest, text.coord_key(F.col("latitude"), F.col("longitude")))
 
-def diff_events(rows: DataFrame, state: DataFrame, as_of: str, run_id: int) -> DataFrame:
-    """first_seen of new listings, status_change and date_change of known ones, in one pass over the join."""
-    old = state.select("source", "listing_id", "property_id", F.col("status").alias("_status"), F.col("auction_datetime").alias("_dt"))
-    joined = rows.join(old, ["source", "listing_id"], "left")
-    known = F.col("property_id").isNotNull()
+
+def compared(rows: DataFrame, state: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, listing_id, n, o, made) of every listing that the snapshot or the state has, by one outer join.
+
+    n and o are the new and the stored row; made: the events (event_type, old_value, new_value) that their difference makes.
+    A stored listing that is not there has disappeared if sources has its source and its last event does not say so already.
+    """
+    whole = lambda df, name: df.select("source", "listing_id", F.struct(*df.columns).alias(name))
+    both = whole(rows, "n").join(whole(state, "o"), ["source", "listing_id"], "full").join(sources.select("source", F.lit(True).alias("_ran")), "source", "left")
+    here, known = F.col("n").isNotNull(), F.col("o").isNotNull()
+    time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     event = lambda kind, a, b, on: F.when(on, F.struct(F.lit(kind).alias("event_type"), a.cast("string").alias("old_value"), b.cast("string").alias("new_value")))
-    nothing = F.lit(None)
     made = F.array_compact(
         F.array(
-            event("first_seen", nothing, F.col("status"), ~known),
-            event("status_change", F.col("_status"), F.col("status"), known & ~F.col("_status").eqNullSafe(F.col("status"))),
-            event("date_change", F.col("_dt"), F.col("auction_datetime"), known & ~F.col("_dt").eqNullSafe(F.col("auction_datetime"))),
+            event("first_seen", F.lit(None), F.col("n.status"), here & ~known),
+            event("status_change", F.col("o.status"), F.col("n.status"), here & known & ~F.col("o.status").eqNullSafe(F.col("n.status"))),
+            event("date_change", time(F.col("o.auction_datetime")), time(F.col("n.auction_datetime")), here & known & ~F.col("o.auction_datetime").eqNullSafe(F.col("n.auction_datetime"))),
+            event("disappeared", F.col("o.status"), F.lit(None), ~here & F.col("_ran").isNotNull() & ~F.col("o.last_event").eqNullSafe(F.lit("disappeared"))),
         )
     )
-    return joined.select("source", "listing_id", "property_id", "seq", F.explode(made).alias("e")).select("source", "listing_id", "property_id", "seq", "e.*")
-
+    return both.select("source", "listing_id", "n", "o", made.alias("made"))
 
-def disappeared(rows: DataFrame, state: DataFrame, events: DataFrame) -> DataFrame:
-    """Stored listings of the sources that the run has, which it lacks and whose last event is not a disappearance already."""
-    gone = latest_event(events).where(F.col("event_type") == "disappeared").select("auction_id")
-    return state.join(rows.select("source").distinct(), "source", "left_semi").join(rows.select("source", "listing_id"), ["source", "listing_id"], "left_anti").join(gone, "auction_id", "left_anti")
 
-
-def load_snapshot(snapshot: DataFrame, state: DataFrame, events: DataFrame, as_of: str, run_id: int, next_property: int, next_event: int) -> Loaded:
+def load_snapshot(snapshot: DataFrame, state: DataFrame, as_of: str, run_id: int, next_property: int = 0, next_event: int = 0) -> Loaded:
     """The state and the events after a snapshot. next_property and next_event: the highest ids in use.
 
-    Identity fields other than the state keep their first value; an empty snapshot changes nothing. Loading the same
-    snapshot again gives no event.
+    Identity fields other than the place keep their first value; an empty snapshot changes nothing, and one whose rows are
+    all rejected counts their sources as run. Loading the same snapshot again gives no event. The comparison and the numbered
+    rows are written to the shared folder, so that each is made once.
     """
-    usable, rejects = split_rejects(snapshot)
-    rows = deduplicate(usable)
+    wide = kept(widened(snapshot), "snapshot")
+    usable, rejects = split_rejects(wide)
+    latest = kept(latest_per_listing(usable), "latest")
+    both = kept(compared(one_source(latest), state, wide.select("source").where(F.col("source").isNotNull()).distinct()), "compared")
     now = F.lit(as_of).cast("timestamp_ntz")
-    fresh = rows.join(state.select("source", "listing_id"), ["source", "listing_id"], "left_anti")
-    new = next_ids(fresh, "seq", next_property, "property_id").select(
-        "property_id", F.col("property_id").alias("auction_id"), "source", "listing_id", "url", F.col("name").alias("address"), "state", "latitude", "longitude", "status", "auction_datetime", "description", now.alias("first_seen_at"), now.alias("last_seen_at")
+    here = F.col("n").isNotNull()
+    fresh = next_ids(both.where(F.col("o").isNull()).select("n", "made", F.col("n.seq").alias("seq")), "seq", next_property, "property_id")
+    last = F.coalesce(F.element_at(F.col("made"), F.when(F.size("made") > 0, F.lit(-1)))["event_type"], F.col("o.last_event"))
+    new = {"property_id": F.col("property_id"), "auction_id": F.col("property_id"), "address": F.col("n.name"), "first_seen_at": now, "last_seen_at": now, "last_updated_at": now, "last_event": F.lit("first_seen")}
+    old = {
+        **{c: F.when(here, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in CURRENT}, **{c: F.coalesce(F.nullif(F.col(f"n.{c}"), F.lit("")), F.col(f"o.{c}")) for c in PLACE},
+        **{c: F.when(here, now).otherwise(F.col(f"o.{c}")) for c in ("last_seen_at", "last_updated_at")}, "last_event": last,
+    }
+    fields = T.StructType.fromDDL(STATE)
+    row = lambda values, side: [values.get(f.name, F.col(f"{side}.{f.name}")).cast(f.dataType).alias(f.name) for f in fields]
+    after = both.where(F.col("o").isNotNull()).select(*row(old, "o")).unionByName(fresh.select(*row(new, "n")))
+    place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("e.event_type"))
+    made = both.where(F.col("o").isNotNull()).select(F.col("o.property_id").alias("property_id"), F.explode("made").alias("e")).unionByName(fresh.select("property_id", F.explode("made").alias("e")))
+    numbered = next_ids(made.withColumn("_order", F.struct("property_id", place)), "_order", next_event, "event_id")
+    events = numbered.select("event_id", F.col("property_id").alias("auction_id"), "e.*", now.alias("detected_at"), F.lit(run_id).cast("long").alias("run_id"))
+    kinds = lambda *names: F.exists("made", lambda e: e["event_type"].isin(*names))
+    count = both.agg(
+        F.count_if(here).alias("found"), F.count_if(kinds("first_seen")).alias("new"), F.count_if(kinds("status_change", "date_change")).alias("changed"), F.count_if(kinds("disappeared")).alias("removed"),
+        F.coalesce(F.sum(F.size("made")), F.lit(0)).alias("events"),
     )
-    seen = rows.select("source", "listing_id", F.col("url").alias("_url"), F.col("state").alias("_state"), F.col("status").alias("_status"), F.col("auction_datetime").alias("_dt"), F.col("description").alias("_desc"), F.lit(True).alias("_seen"))
-    here = F.coalesce("_seen", F.lit(False))
-    newer = lambda c, to: F.when(here, F.col(c)).otherwise(F.col(to)).alias(to)
-    kept = state.join(seen, ["source", "listing_id"], "left").select(
-        "property_id", "auction_id", "source", "listing_id", newer("_url", "url"), "address", F.coalesce(F.nullif("_state", F.lit("")), "state").alias("state"), "latitude", "longitude",
-        newer("_status", "status"), newer("_dt", "auction_datetime"), newer("_desc", "description"), "first_seen_at", F.when(here, now).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
+    run = count.select(
+        F.lit(run_id).cast("long").alias("run_id"), now.alias("as_of"), "found", "new", "changed", "removed", F.lit(rejects.count()).cast("long").alias("failed"), (F.lit(latest.count()) - F.col("found")).alias("cross_dropped"),
+        (F.lit(next_property) + F.col("new")).cast("long").alias("last_property"), (F.lit(next_event) + F.col("events")).cast("long").alias("last_event"),
     )
-    changes = diff_events(rows, state, as_of, run_id).drop("property_id").join(kept.select("property_id", "source", "listing_id").unionByName(new.select("property_id", "source", "listing_id")), ["source", "listing_id"])
-    lost = disappeared(rows, state, events).select(F.col("property_id"), F.lit("disappeared").alias("event_type"), F.col("status").alias("old_value"), F.lit(None).cast("string").alias("new_value"))
-    made = changes.select("property_id", "event_type", "old_value", "new_value").unionByName(lost)
-    order = F.struct("property_id", F.array_position(F.array(*map(F.lit, ("first_seen", "status_change", "date_change", "disappeared"))), F.col("event_type")))
-    numbered = next_ids(made.withColumn("_order", order), "_order", next_event, "event_id").drop("_order")
-    out = numbered.select("event_id", F.col("property_id").alias("auction_id"), "event_type", "old_value", "new_value", now.alias("detected_at"), F.lit(run_id).cast("long").alias("run_id"))
-    return Loaded(kept.unionByName(new), out, rejects)
-
-
-def details(rows: DataFrame) -> DataFrame:
-    return rows.select("*", *(c.alias(k) for k, c in parse_description(F.col("description")).items()))
+    links = pdf_links(fresh.select("property_id", F.col("n.pdf_links").alias("pdf_links"))).withColumnRenamed("property_id", "auction_id")
+    return Loaded(after, events, rejects, links, run)

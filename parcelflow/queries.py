@@ -18,6 +18,10 @@ from parcelflow.streaming import streams
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 WEEK_AGO = "2024-01-24 00:00:00"
+_SPECS = "coalesce(try_cast(regexp_extract(description, '# Bedrooms: ([0-9]+)', 1) as bigint), null) as bedrooms, try_cast(replace(regexp_extract(description, 'Square Feet: ([0-9,]+)', 1), ',', '') as bigint) as sqft, nullif(cast(regexp_extract(description, '([0-9]+) full', 1) as double) + 0.5 * cast(regexp_extract(description, '([0-9]+) half', 1) as double), 0) as bathrooms, try_cast(regexp_extract(description, 'Year Built: ([0-9]+)', 1) as bigint) as year_built, 'Residential' as property_type, trim(regexp_extract(description, 'Lot Size: ([^;]+)', 1)) as lot_size_raw"
+_LAST = "(select auction_id, arg_max(event_type, event_id) as last_type from auction_events group by auction_id)"
+_OFF = "status in ('sold back to mortgagee','3rd party purchase','sold','canceled','cancelled','withdrawn','bank buy back')"
+_OLD = "last_seen_at < TS'2024-01-31 00:00:00' - interval 14 day"
 
 
 def query(shapes: str = "", sql: str | None = None):
@@ -33,17 +37,30 @@ def query(shapes: str = "", sql: str | None = None):
 # sources and sinks
 
 
-@query("listings", "select concat(source, ':', listing_id) as id, name, source, state, status, url, strftime(auction_datetime, '%Y-%m-%dT%H:%M:%S') as auction from listings where latitude is not null")
+_FILE = "concat(source, ':', listing_id) as id, name, source, state, county, municipality, status, url, pdf_links, strftime(auction_datetime, '%Y-%m-%dT%H:%M:%S') as auction"
+
+
+def _file(rows):
+    names = {"ID": "id", "Name": "name", "Source": "source", "State": "state", "County": "county", "Municipality": "municipality", "Status": "status", "URL": "url", "PDF Links": "pdf_links", "Auction Date/Time": "auction"}
+    return rows.select(*(F.coalesce(f"`{k}`", F.lit("")).alias(v) for k, v in names.items()))
+
+
+@query("listings", f"select {_FILE} from listings where latitude is not null")
 def write_listing_csv(s):
-    rows = files.listing_rows(s.listings)
-    return rows.select(F.col("ID").alias("id"), F.col("Name").alias("name"), F.col("Source").alias("source"), F.col("State").alias("state"), F.col("Status").alias("status"), F.col("URL").alias("url"), F.col("Auction Date/Time").alias("auction"))
+    """Written as files and read back."""
+    path = files.scratch(s.spark, "listings")
+    files.write_listing_csv(s.listings, path)
+    return _file(s.spark.read.options(header=True, escape='"', multiLine=True).csv(path))
 
 
-@query("listings", "select concat(source, ':', listing_id) as id, name, source, status from listings where latitude is not null")
+@query("listings", f"select concat(source, ':', listing_id) as id, source, listing_id, name, url, latitude, longitude, county, municipality, status, auction_datetime, pdf_links, {_SPECS} from listings where latitude is not null")
 def read_listing_csv(s):
+    """A written file read back and typed as a snapshot."""
     path = files.scratch(s.spark, "listings")
     files.write_listing_csv(s.listings, path)
-    return files.read_listing_csv(s.spark, path).select(F.col("ID").alias("id"), F.col("Name").alias("name"), F.col("Source").alias("source"), F.col("Status").alias("status"))
+    rows = files.read_listing_csv(s.spark, path)
+    fields = ("source", "listing_id", "name", "url", "latitude", "longitude", "county", "municipality", "status", "auction_datetime", "bedrooms", "sqft", "bathrooms", "year_built", "property_type", "lot_size_raw")
+    return load.typed(rows, AS_OF).select(F.concat("source", F.lit(":"), "listing_id").alias("id"), *fields, F.coalesce("pdf_links", F.lit("")).alias("pdf_links"))
 
 
 @query("properties", "select cast(property_id as varchar) as id, latitude from properties where property_id % 7 <> 0")
@@ -54,14 +71,21 @@ def read_cache(s):
     return files.read_cache(s.spark, path, T.StructType([T.StructField("id", T.StringType()), T.StructField("latitude", T.DoubleType())]))
 
 
-@query("listings", "select source, count(*) as n from listings group by source")
+@query("listings", f"select {_FILE} from listings where latitude is not null")
 def write_listing_csv_by_source(s):
-    return files.listing_rows(s.listings).groupBy(F.col("Source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    """A folder of files per source, read back with the sources of their folders."""
+    path = files.scratch(s.spark, "listings")
+    files.write_listing_csv(s.listings, path, by_source=True)
+    return _file(s.spark.read.options(header=True, escape='"', multiLine=True).csv(path))
 
 
-@query("properties", "select '2024-01-31' as snapshot_date, property_id, status from properties")
+@query("listings", f"select '2024-01-31' as snapshot_date, {_FILE} from listings where latitude is not null")
 def dated_snapshot(s):
-    return s.properties.select(F.lit(AS_OF[:10]).alias("snapshot_date"), "property_id", "status")
+    """A dated copy of the files, read back by its date."""
+    path = files.scratch(s.spark, "listings")
+    files.write_listing_csv(s.listings, path, snapshot_date=AS_OF[:10])
+    rows = s.spark.read.options(header=True, escape='"', multiLine=True).csv(path).where(F.col("snapshot_date") == AS_OF[:10])
+    return _file(rows).withColumn("snapshot_date", F.lit(AS_OF[:10]))
 
 
 @query("listings", "select concat(source, ':', listing_id) as id, case when seq % 3 = 0 then null else round(latitude, 4) end as latitude from listings where seq % 3 <> 0")
@@ -75,9 +99,17 @@ def read_pages(s):
     return s.pages.select("page_id", "url", F.length("html").cast("long").alias("size"))
 
 
-@query("properties auction_events", "with e as (select * from auction_events join (select auction_id, address from properties) p using (auction_id) where run_id = 1 and event_type in ('first_seen','status_change','date_change','disappeared')), t as (select *, case event_type when 'first_seen' then 1 when 'status_change' then 2 when 'date_change' then 3 else 4 end as section, case event_type when 'first_seen' then 'NEW' when 'status_change' then 'STATUS' when 'date_change' then 'DATES' else 'GONE' end as name from e) select section, 0 as ord, concat(name, ': ', count(*)) as line from t group by section, name union all select section, event_id, concat(rpad(name, 8, ' '), address, '  ', coalesce(old_value, '-'), ' -> ', coalesce(new_value, '-')) from t")
+_SHORT = "case when coalesce({0}, '') = '' then 'TBD' else coalesce(strftime(try_cast({0} as timestamp), '%b %-d %-I:%M %p'), {0}) end"
+
+
+@query("properties auction_events", f"with e as (select * from auction_events join (select auction_id, address from properties) p using (auction_id) where run_id = 1 and event_type in ('first_seen','status_change','date_change','disappeared')), t as (select *, case event_type when 'status_change' then 1 when 'date_change' then 2 when 'first_seen' then 3 else 4 end as section, case event_type when 'status_change' then 'Status changes' when 'date_change' then 'Auction date changes' when 'first_seen' then 'New listings' else 'Removed' end as name from e), c as (select unnest([0, 1, 2, 3, 4, 5]) as ord, unnest(['Listings processed:    3', 'Cross-source dupes:    2', 'New properties:        1', 'Changed auctions:      0', 'Removed listings:      4', 'Failed rows:           1']) as line) select 0 as section, ord, line from c union all select section, 0, concat(name, ' (', count(*), ')') from t group by section, name union all select section, event_id, concat('  ', case event_type when 'status_change' then concat(rpad(address, 40, ' '), ' ', coalesce(old_value, '-'), ' -> ', coalesce(new_value, '-')) when 'date_change' then concat(rpad(address, 40, ' '), ' ', {_SHORT.format('old_value')}, ' -> ', {_SHORT.format('new_value')}) else address end) from t union all select 5, o_orderkey, concat('  row ', o_orderkey, ' (', o_orderpriority, '): no coordinates or no listing id') from orders where o_orderkey % 100 = 0")
 def import_report(s):
-    return files.import_report(s.auction_events, s.properties, 1)
+    run = s.spark.createDataFrame([(3, 2, 1, 0, 4, 1)], "found long, cross_dropped long, new long, changed long, removed long, failed long")
+    rejects = s.orders.where(F.col("o_orderkey") % 100 == 0).select(F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("name"))
+    path = files.scratch(s.spark, "report")
+    report = files.kept(files.import_report(s.auction_events, s.properties, run, rejects, 1), "report-rows")
+    files.write_report(report, path)
+    return report
 
 
 # row-level
@@ -98,10 +130,13 @@ def slugify(s):
     return s.pages.select("page_id", text.slugify(F.col("url")).alias("slug"))
 
 
-@query("", "select o_orderkey, date_trunc('minute', o_orderdate) as dt from orders")
+@query("", "select o_orderkey, date_trunc('minute', o_orderdate) as dt, case when o_orderkey % 3 = 0 then null else date_trunc('minute', o_orderdate) end as any_form from orders")
 def parse_auction_datetime(s):
-    raw = F.concat(F.date_format("o_orderdate", "EEE"), F.lit(". "), F.date_format("o_orderdate", "MMM d, yyyy"), F.lit(" at "), F.date_format("o_orderdate", "h:mm a"))
-    return s.orders.select("o_orderkey", dates.parse_auction_datetime(raw).alias("dt"))
+    """Texts of the usual forms, and some that only the lenient parse reads."""
+    day, time = F.date_format("o_orderdate", "MMM d, yyyy"), F.date_format("o_orderdate", "h:mm a")
+    raw = F.concat(F.date_format("o_orderdate", "EEE"), F.lit(". "), day, F.lit(" at "), time)
+    loose = F.when(F.col("o_orderkey") % 3 == 0, "TBD").when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("now to be held on "), day, F.lit(" "), time)).otherwise(raw)
+    return s.orders.select("o_orderkey", dates.parse_auction_datetime(raw).alias("dt"), dates.auction_datetime(loose, AS_OF).alias("any_form"))
 
 
 @query("", "select o_orderkey, date_trunc('minute', o_orderdate) + interval 3 day as dt from orders")
@@ -130,9 +165,6 @@ def labeled_status(s):
     return rows.select("o_orderkey", dates.block_status(F.col("block"), F.lit(" Sold ")).alias("b"), dates.labeled_date(F.col("block"), "Original Date").alias("original")).select("o_orderkey", "b.*", "original")
 
 
-_SPECS = "coalesce(try_cast(regexp_extract(description, '# Bedrooms: ([0-9]+)', 1) as bigint), null) as bedrooms, try_cast(replace(regexp_extract(description, 'Square Feet: ([0-9,]+)', 1), ',', '') as bigint) as sqft, nullif(cast(regexp_extract(description, '([0-9]+) full', 1) as double) + 0.5 * cast(regexp_extract(description, '([0-9]+) half', 1) as double), 0) as bathrooms, try_cast(regexp_extract(description, 'Year Built: ([0-9]+)', 1) as bigint) as year_built, 'Residential' as property_type, trim(regexp_extract(description, 'Lot Size: ([^;]+)', 1)) as lot_size_raw"
-
-
 @query("listings", f"select seq, {_SPECS} from listings")
 def parse_description(s):
     found = text.parse_description(F.col("description"))
@@ -206,21 +238,33 @@ def status_predicates(s):
     return s.auction_events.select("event_id", status.off_map(c).alias("off_map"), status.not_live(c).alias("not_live"), status.terminal(c).alias("terminal"))
 
 
-@query("auction_events", "select event_id, case event_id % 4 when 0 then 'postponed' when 1 then 'active' when 2 then 'cancelled' else new_value end as status from auction_events")
+@query("auction_events", "select event_id, case event_id % 4 when 0 then 'postponed' when 1 then 'active' when 2 then 'cancelled' else lower(new_value) end as status, case event_id % 5 when 0 then 'active' when 1 then 'postponed' when 2 then 'cancelled' when 3 then 'sold' else 'active' end as by_source from auction_events")
 def normalize_status(s):
     raw = F.expr("case event_id % 4 when 0 then ' Postponed to 8/21' when 1 then 'On_Time' when 2 then 'Canceled' else new_value end")
-    return s.auction_events.select("event_id", status.normalize_status(raw).alias("status"))
+    source = F.expr("case event_id % 5 when 0 then 'sullivan' when 1 then 'patriot' when 2 then 'patriot' else 'skypoint' end")
+    said = F.expr("case event_id % 5 when 0 then 'On' when 1 then 'yellow' when 2 then 'red' when 3 then 'SOLD 7/1' else 'NEW DATE 7/9' end")
+    return s.auction_events.select("event_id", status.normalize_status(raw, F.when(F.col("event_id") % 4 == 1, "towne")).alias("status"), status.normalize_status(said, source).alias("by_source"))
 
 
-@query("listings", "select seq, split_part(name, ', ', 1) as street, split_part(name, ', ', 2) as city, substr(split_part(name, ', ', 3), 1, 2) as addr_state, substr(split_part(name, ', ', 3), 4) as zip from listings")
+@query("listings", "select seq, split_part(name, ', ', 1) as street, split_part(name, ', ', 2) as city, substr(split_part(name, ', ', 3), 1, 2) as addr_state, substr(split_part(name, ', ', 3), 4) as zip, f.form, case when f.form = 'title' then concat(split_part(name, ', ', 1), ', Unit 2') else split_part(name, ', ', 1) end as form_street, split_part(name, ', ', 2) as form_city from listings, (select unnest(['gap', 'title', 'parts', 'blob', 'scan']) as form) f")
 def split_address(s):
-    return s.listings.select("seq", *(c.alias(k) for k, c in text.split_address(F.col("name")).items()))
-
-
-@query("", "select o_orderkey, 'Essex' as county, concat(o_custkey, '/7 Deposit: $5,000') as book_page, '5,000' as deposit from orders")
+    """The plain form, and the others over the same addresses rewritten in each form."""
+    part = lambda i: F.get(F.split("name", ", "), F.lit(i))
+    town = F.concat(part(1), F.lit(", "), F.substring(part(2), 1, 2))
+    texts = {
+        "gap": F.concat(part(0), F.lit("   "), part(1), F.lit(", Upper County, "), part(2)), "title": F.concat(part(0), F.lit(", Unit 2, "), part(1), F.lit(", "), part(2), F.lit(" (NEW)")), "parts": F.col("name"), "blob": F.col("name"),
+        "scan": F.concat(town, F.lit(" - Two Bedroom Cape "), part(0), F.lit(" 7,399 SF lot")),
+    }
+    plain = text.split_address(F.col("name"))
+    forms = F.array(*(F.struct(F.lit(f).alias("form"), text.split_address(c, f)["street"].alias("form_street"), text.split_address(c, f)["city"].alias("form_city")) for f, c in texts.items()))
+    return s.listings.select("seq", *(c.alias(k) for k, c in plain.items()), F.inline(forms))
+
+
+@query("", "select o_orderkey, concat('Essex', o_orderkey % 5) as county, concat(o_custkey, '/', o_orderkey % 9, ' Deposit: $', o_custkey % 90 + 10, ',000') as book_page, concat(o_custkey % 90 + 10, ',000') as deposit, cast(o_custkey * 3 as varchar) as document, cast(o_custkey * 7 as varchar) as certificate from orders")
 def registry_refs(s):
-    found = text.registry_refs(F.expr("concat('Registry: Essex Book / Page: ', o_custkey, '/7 Deposit: $5,000')"))
-    return s.orders.select("o_orderkey", *(found[k].alias(k) for k in ("county", "book_page", "deposit")))
+    found = text.registry_refs(F.expr("concat('Registry: Essex', o_orderkey % 5, ' Book / Page: ', o_custkey, '/', o_orderkey % 9, ' Deposit: $', o_custkey % 90 + 10, ',000')"))
+    land = text.registry_refs(F.expr("concat('Registered land. Document # ', o_custkey * 3, ' Certificate No ', o_custkey, ', Certificate # ', o_custkey * 7)"))
+    return s.orders.select("o_orderkey", *(found[k].alias(k) for k in ("county", "book_page", "deposit")), *(land[k].alias(k) for k in ("document", "certificate")))
 
 
 @query("properties", "select property_id, state from properties where state in ('MA', 'NH')")
@@ -228,22 +272,23 @@ def target_state_filter(s):
     return digest.in_states(s.properties, ["MA", "NH"]).select("property_id", "state")
 
 
-@query("properties", "select property_id from properties where not (regexp_matches(status, 'sold') and auction_datetime is not null and auction_datetime < TS'2024-01-31 00:00:00' - interval 14 day)")
+@query("properties", "select property_id from properties where not (status = 'sold back to mortgagee' and auction_datetime is not null and auction_datetime < TS'2024-01-31 00:00:00' - interval 14 day)")
 def stale_sold_filter(s):
-    old = F.contains(F.col("status"), F.lit("sold")) & (F.col("auction_datetime") < digest.at(AS_OF, -14))
-    return s.properties.where(~F.coalesce(old, F.lit(False))).select("property_id")
+    said = F.when(F.col("status") == "sold back to mortgagee", "Sold ").otherwise(F.col("status"))
+    return s.properties.where(~status.stale_sold(said, F.col("auction_datetime"), AS_OF)).select("property_id")
 
 
-@query("listings", "select seq, replace(concat(url, '&a b|', name), ' ', '%20') as dirty, replace(replace(concat(url, '&a b|', name), ' ', '%20'), '|', '%7C') as clean from listings")
+@query("listings", "select seq, replace(concat(url, '&a b|', name), ' ', '%20') as dirty, replace(replace(replace(concat(url, '&a b|é中%zz', name), '%zz', '%25zz'), ' ', '%20'), '|', '%7C').replace('é', '%C3%A9').replace('中', '%E4%B8%AD') as clean from listings")
 def clean_url(s):
-    raw = F.concat("url", F.lit("&a b|"), "name")
-    return s.listings.select("seq", F.replace(raw, F.lit(" "), F.lit("%20")).alias("dirty"), text.clean_url(raw).alias("clean"))
+    raw = lambda x: F.concat("url", F.lit(x), "name")
+    return s.listings.select("seq", F.replace(raw("&a b|"), F.lit(" "), F.lit("%20")).alias("dirty"), text.clean_url(raw("&a b|é中%zz")).alias("clean"))
 
 
-@query("properties", "select property_id, strftime(auction_datetime, '%b %-d %-I:%M %p') as short, strftime(auction_datetime, '%A, %B %-d') as day_header, strftime(auction_datetime, '%m/%d at %-I:%M %p') as digest_time from properties")
+@query("properties", f"select property_id, strftime(auction_datetime, '%b %-d %-I:%M %p') as short, strftime(auction_datetime, '%A, %B %-d') as day_header, strftime(auction_datetime, '%m/%d at %-I:%M %p') as digest_time, {_SHORT.format('t')} as report, case when coalesce(trim(t), '') = '' then '—' else coalesce(strftime(try_cast(t as timestamp), '%Y-%m-%d'), t) end as date_only from (select *, case property_id % 4 when 0 then '' when 1 then 'soon' when 2 then strftime(auction_datetime, '%Y-%m-%dT%H:%M:%S') else strftime(auction_datetime, '%Y-%m-%d %H:%M:%S') end as t from properties)")
 def format_dates(s):
     c = F.col("auction_datetime")
-    return s.properties.select("property_id", dates.short(c).alias("short"), dates.day_header(c).alias("day_header"), dates.digest_time(c).alias("digest_time"))
+    t = F.when(F.col("property_id") % 4 == 0, "").when(F.col("property_id") % 4 == 1, "soon").when(F.col("property_id") % 4 == 2, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+    return s.properties.select("property_id", dates.short(c).alias("short"), dates.day_header(c).alias("day_header"), dates.digest_time(c).alias("digest_time"), dates.report_time(t).alias("report"), dates.date_only(t).alias("date_only"))
 
 
 @query("listings", f"select seq, concat_ws(' · ', property_type, bedrooms || ' bed', (case when bathrooms = floor(bathrooms) then cast(cast(bathrooms as bigint) as varchar) else cast(bathrooms as varchar) end) || ' bath', format('{{:,}}', sqft) || ' sf') as line from (select seq, {_SPECS} from listings)")
@@ -298,7 +343,7 @@ def filter_active_listings(s):
     return digest.filter_active(s.properties, AS_OF).select("property_id")
 
 
-_LABEL = "case when event_type = 'date_change' then concat(coalesce(nullif(trim(old_value), ''), '—'), ' → ', coalesce(nullif(trim(new_value), ''), '—')) else concat(event_type, ': ', coalesce(nullif(trim(new_value), ''), '—')) end"
+_LABEL = "case when event_type = 'date_change' then concat(coalesce(strftime(try_cast(old_value as timestamp), '%Y-%m-%d'), nullif(trim(old_value), ''), '—'), ' → ', coalesce(strftime(try_cast(new_value as timestamp), '%Y-%m-%d'), nullif(trim(new_value), ''), '—')) else concat(event_type, ': ', coalesce(nullif(trim(new_value), ''), '—')) end"
 
 
 @query("auction_events", f"select event_id, {_LABEL} as label from auction_events")
@@ -325,9 +370,10 @@ def page_table_rows(s):
     return pages.table_rows(rows)
 
 
-@query("", r"select page_id, len(list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:li|p)\b[^>]*>(.*?)</(?:li|p)>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))), lambda x: length(x) < 120 and regexp_matches(x, '^[^:]+:\s*\S'))) as n from pages")
+@query("", r"select page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:li|p)\b[^>]*>(.*?)</(?:li|p)>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))), lambda x: length(x) < 120 and regexp_matches(x, '^[^:]+:\s*\S')) as l, len(l) as n, array_to_string(l, '|') as labelled from pages".replace("as l, len(l) as n, array_to_string(l, '|') as labelled from pages", "as l from pages").join(["select page_id, len(l) as n, array_to_string(l, '|') as labelled from (", ")"]))
 def page_label_values(s):
-    return s.pages.select("page_id", F.size(pages.label_values(F.col("html"))).cast("long").alias("n"))
+    found = pages.label_values(F.col("html"))
+    return s.pages.select("page_id", F.size(found).cast("long").alias("n"), F.array_join(found, "|").alias("labelled"))
 
 
 @query("", "select page_id, array_to_string(regexp_extract_all(html, '(?i)href=\"([^\"]*)\"', 1), '; ') as links from pages")
@@ -340,6 +386,14 @@ def page_blocks(s):
     return pages.blocks(s.pages, ("article", "section", "div", "body"))
 
 
+@query("", "select page_id, o_orderkey as block_id, concat('Lot ', o_orderkey) as title, case o_orderkey % 3 when 0 then '1/02/2024 at 10:30 AM' when 1 then '2/03/2024 at 11:00 AM' else '' end as date_time, case o_orderkey % 3 when 0 then 'postponed' when 1 then 'active' else 'sold' end as block_status from (select page_id, page_id * 2 + i as o_orderkey from pages, (select unnest([0, 1]) as i))")
+def page_event_cards(s):
+    """Two cards with an id, a date and a status before each page's own html, one of them twice, one without an id."""
+    card = "'<article><h2>Lot ', {0}, '</h2><a href=\"/auction-calendar/', {0}, '\">x</a> ', case ({0}) % 3 when 0 then 'Postponed To: 1/02/2024 at 10:30 AM Original Date: 1/01/2024 at 9:00 AM' when 1 then 'Begins: 2/03/2024 at 11:00 AM' else 'SOLD' end, '</article>'"
+    html = F.expr(f"concat({card.format('page_id * 2')}, {card.format('page_id * 2 + 1')}, {card.format('page_id * 2')}, '<article><h2>No id</h2>text</article>', html)")
+    return pages.blocks(s.pages.withColumn("html", html), ("article",), r"/auction-calendar/(\d+)").select("page_id", F.col("block_id").cast("long").alias("block_id"), "title", "date_time", "block_status")
+
+
 @query("", "with p as (select page_id, regexp_extract_all(html, '(?i)href=\"([^\"]*)\"', 1) as l from pages) select page_id, unnest(l) as parcel from p where len(l) > 0 union all select page_id, null from p where len(l) = 0")
 def expand_portfolio(s):
     return pages.expand_portfolio(s.pages, pages.page_links(F.col("html"))).select("page_id", "parcel")
@@ -359,7 +413,6 @@ def extract_listings(s):
 
 # joins
 
-_LAST = "(select auction_id, arg_max(event_type, event_id) as last_type from auction_events group by auction_id)"
 _LINKS_SQL = "links as (select property_id from properties where property_id % 11 = 0)"
 
 
@@ -372,9 +425,9 @@ def events_with_property(s):
     return joins.events_with_property(s.auction_events, s.properties).select("event_id", "property_id", "event_type", "address")
 
 
-@query("properties", "select property_id, address, status, url from properties")
+@query("properties auctions", "select property_id, address, a.status, a.url, a.auction_datetime from (select property_id, address from properties) p join auctions a using (property_id)")
 def current_listings(s):
-    return s.properties.select("property_id", "address", "status", "url")
+    return joins.current_listings(s.properties.select("property_id", "address"), s.auctions).select("property_id", "address", "status", "url", "auction_datetime")
 
 
 @query("properties", f"with {_LINKS_SQL} select property_id from properties where property_id not in (select property_id from links)")
@@ -397,16 +450,18 @@ def proximity_pairs(s):
     return joins.proximity_pairs(s.properties).select(F.col("a_property_id").alias("a"), F.col("b_property_id").alias("b"), F.round("metres", 3).alias("metres"))
 
 
-def _empty(s, schema):
-    return s.spark.createDataFrame([], schema)
-
-
 def _loaded(s, which):
     """snapshot_1 on an empty state, then snapshot_2 on the result."""
-    first = load.load_snapshot(s.snapshot_1, _empty(s, load.STATE), _empty(s, load.EVENTS), "2024-01-01 00:00:00", 1, 0, 0)
-    if which == 1:
-        return first
-    return load.load_snapshot(s.snapshot_2, first.state, first.events, AS_OF, 2, 1_000_000_000, 1_000_000_000)
+    first = load.load_snapshot(s.snapshot_1, s.spark.createDataFrame([], load.STATE), "2024-01-01 00:00:00", 1)
+    return first if which == 1 else load.load_snapshot(s.snapshot_2, files.kept(first.state, "state"), AS_OF, 2, 1_000_000_000, 1_000_000_000)
+
+
+def _stored(s):
+    """Both snapshots applied to a new store."""
+    store = files.StateStore(s.spark, files.scratch(s.spark, "state"))
+    streams.apply_snapshot(store, s.snapshot_1, "2024-01-01 00:00:00", "1")
+    streams.apply_snapshot(store, s.snapshot_2, AS_OF, "2")
+    return store
 
 
 def _deduped(name):
@@ -423,22 +478,22 @@ _DIFF = f"""{_deduped('snapshot_1')}, {_deduped('snapshot_2')}, j as (select n.s
 gone as (select o.source, o.listing_id, o.status from snapshot_1_d o where source in (select source from snapshot_2_d) and not exists (select 1 from snapshot_2_d n where n.source = o.source and n.listing_id = o.listing_id)),
 ev as (select source, listing_id, 'first_seen' as event_type, null as old_value, s2 as new_value from j where old_id is null
 union all select source, listing_id, 'status_change', s1, s2 from j where old_id is not null and s1 is distinct from s2
-union all select source, listing_id, 'date_change', cast(d1 as varchar), cast(d2 as varchar) from j where old_id is not null and d1 is distinct from d2
+union all select source, listing_id, 'date_change', strftime(d1, '%Y-%m-%dT%H:%M:%S'), strftime(d2, '%Y-%m-%dT%H:%M:%S') from j where old_id is not null and d1 is distinct from d2
 union all select source, listing_id, 'disappeared', status, null from gone)"""
 
 
-@query("snapshot_1 snapshot_2", f"with {_DIFF} select source, listing_id, event_type, new_value from ev where event_type in ('first_seen', 'status_change') union all select source, listing_id, event_type, cast(d as varchar) from (select source, listing_id, 'date_change' as event_type, date_trunc('day', d2) as d from j where old_id is not null and d1 is distinct from d2)")
+@query("snapshot_1 snapshot_2", f"with {_DIFF} select source, listing_id, event_type, old_value, new_value from ev where event_type <> 'disappeared'")
 def snapshot_diff(s):
-    first = _loaded(s, 1)
-    found = load.diff_events(load.deduplicate(s.snapshot_2), first.state, AS_OF, 2)
-    shown = F.when(F.col("event_type") == "date_change", F.date_format(F.col("new_value").cast("timestamp_ntz"), "yyyy-MM-dd 00:00:00")).otherwise(F.col("new_value"))
-    return found.select("source", "listing_id", "event_type", shown.alias("new_value"))
+    first = files.kept(_loaded(s, 1).state, "state")
+    rows = load.deduplicate(load.widened(s.snapshot_2))
+    return load.compared(rows, first, rows.select("source").distinct()).select("source", "listing_id", F.inline("made")).where(F.col("event_type") != "disappeared")
 
 
 @query("snapshot_1 snapshot_2", f"with {_DIFF} select source, listing_id from gone")
 def detect_disappeared(s):
-    first = _loaded(s, 1)
-    return load.disappeared(load.deduplicate(s.snapshot_2), first.state, first.events).select("source", "listing_id")
+    first = files.kept(_loaded(s, 1).state, "state")
+    rows = load.deduplicate(load.widened(s.snapshot_2))
+    return load.compared(rows, first, rows.select("source").distinct()).select("source", "listing_id", F.inline("made")).where(F.col("event_type") == "disappeared").select("source", "listing_id")
 
 
 def _geo(s):
@@ -456,11 +511,14 @@ def geocode_resolve(s):
     return joins.geocode_resolve(*_geo(s)).select("property_id", "latitude", "resolved_by")
 
 
-@query("properties", f"with {_CACHE_SQL}, b as (select address, 7.0 as blat from properties group by address having min(property_id) % 2 = 0) select address, coalesce(clat, blat) as latitude from c full join b using (address)")
+@query("properties", f"with {_CACHE_SQL}, b as (select address, 7.0 as blat from properties group by address having min(property_id) % 2 = 0), t as (select address, 9.0 as slat from properties group by address having min(property_id) % 3 <> 1) select property_id, coalesce(blat, slat) as latitude, coalesce(clat, blat, slat) as cached from properties left join b using (address) left join t using (address) left join c using (address)")
 def apply_geocode_results(s):
     rows, _, cache = _geo(s)
-    found = rows.groupBy("address").agg(F.min("property_id").alias("p")).where(F.col("p") % 2 == 0).select("address", F.lit(7.0).alias("latitude"), F.lit(8.0).alias("longitude"))
-    return joins.extend_cache(cache, found).select("address", "latitude")
+    first = rows.groupBy("address").agg(F.min("property_id").alias("p"))
+    batch = first.where(F.col("p") % 2 == 0).select("address", F.lit(7.0).alias("latitude"), F.lit(8.0).alias("longitude"))
+    single = first.where(F.col("p") % 3 != 1).select("address", F.lit(9.0).alias("latitude"), F.lit(8.5).alias("longitude"))
+    longer = joins.extend_cache(cache, batch, single).select("address", F.col("latitude").alias("cached"))
+    return joins.apply_geocodes(rows, batch, single).join(longer, "address", "left").select("property_id", "latitude", "cached")
 
 
 @query("properties", "select property_id from properties where not (property_id % 2 = 0 and last_seen_at > TS'2024-01-31 00:00:00' - interval 1 day)")
@@ -499,15 +557,15 @@ def saved_property_changes(s):
     return joins.saved_changes(s.saved_properties, s.auction_events, s.notifications, AS_OF).select("email", "event_id", "property_id")
 
 
-@query("subscriber_states properties", "select state, count(*) as n from subscriber_states join (select state from properties where property_id % 50 = 0) using (state) group by state")
+@query("subscriber_states subscribers properties", "select state, sum(n) * any_value(m) as n from (select state, count(*) as n from subscriber_states where subscriber_id in (select subscriber_id from subscribers where active and alerts and subscription_status in ('active','trialing')) group by state) join (select state, count(*) as m from properties group by state) using (state) group by state")
 def subscriber_fanout(s):
-    return joins.fan_out(s.subscriber_states, s.properties.where(F.col("property_id") % 50 == 0).select("state", "property_id")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    """Every eligible subscriber with every listing of their states, counted a state."""
+    return joins.fan_out_counts(s.subscriber_states, digest.eligible(s.subscribers), s.properties)
 
 
-@query()
+@query("subscriber_states subscribers properties", "select state, sum(n) * any_value(m) as n from (select state, count(*) as n from subscriber_states where subscriber_id in (select subscriber_id from subscribers where active and alerts and subscription_status in ('active','trialing')) group by state) join (select state, count(*) as m from properties group by state) using (state) group by state")
 def subscriber_fanout_whole(s):
-    """All properties and eligible subscribers; subscriber_fanout keeps the rows of its SQL."""
-    return joins.fan_out_counts(s.subscriber_states, digest.eligible(s.subscribers), s.properties)
+    return subscriber_fanout(s)
 
 
 @query("webhook_events subscribers", "select seq, email from webhook_events left join subscribers using (subscription_id)")
@@ -515,19 +573,30 @@ def billing_to_subscriber(s):
     return joins.billing_to_subscriber(s.webhook_events, s.subscribers).select("seq", "email")
 
 
-@query("saved_properties subscribers properties", "with e as (select email from subscribers where active and alerts and subscription_status in ('active','trialing')), q as (select email, property_id from e, properties where property_id % 500 = 0) select email, property_id from saved_properties union select email, property_id from q")
-def save_property(s):
-    people = digest.eligible(s.subscribers)
-    asked = people.select("email").crossJoin(s.properties.where(F.col("property_id") % 500 == 0).select("property_id"))
-    return joins.save_property(s.saved_properties, asked, people, s.properties)
+_SAVE = "with e as (select subscriber_id, email from subscribers where active and alerts and subscription_status in ('active','trialing')), q as (select distinct email, l_orderkey as property_id from lineitem join e on l_suppkey = subscriber_id), n as (select * from q where property_id in (select property_id from properties) and not exists (select 1 from saved_properties s where s.email = q.email and s.property_id = q.property_id)), a as (select email, property_id, null as address, null as status from saved_properties union all select n.email, n.property_id, address, status from n join properties p using (property_id))"
 
 
-@query()
-def save_property_whole(s):
-    """Requests are the line items' suppliers and orders, by an equi-join; save_property keeps the rows of its SQL."""
+def _saved(s):
+    """Requests are the line items' suppliers and orders."""
     people = digest.eligible(s.subscribers)
     asked = s.lineitem.select(F.col("l_suppkey").alias("subscriber_id"), F.col("l_orderkey").alias("property_id")).join(people.select("subscriber_id", "email"), "subscriber_id")
-    return joins.save_property(s.saved_properties, asked, people, s.properties)
+    return joins.save_property(s.saved_properties, asked, people, s.properties, AS_OF)
+
+
+@query("saved_properties subscribers properties", f"{_SAVE} select email, property_id, address, status from a")
+def save_property(s):
+    return _saved(s).select("email", "property_id", "address", "status")
+
+
+@query("saved_properties subscribers properties", f"{_SAVE} select email, property_id from a where property_id % 3 <> 0")
+def forget_property(s):
+    gone = s.lineitem.where(F.col("l_orderkey") % 3 == 0).select(F.concat(F.lit("user"), F.col("l_suppkey").cast("string"), F.lit("@example.com")).alias("email"), F.col("l_orderkey").alias("property_id"))
+    return joins.forget_property(_saved(s), gone).select("email", "property_id")
+
+
+@query("saved_properties subscribers properties", f"{_SAVE} select email, property_id from a")
+def save_property_whole(s):
+    return _saved(s).select("email", "property_id")
 
 
 # aggregates
@@ -538,13 +607,16 @@ def status_counts(s):
     return aggregates.status_counts(s.properties)
 
 
-_OFF = "status in ('sold back to mortgagee','3rd party purchase','sold','canceled','cancelled','withdrawn','bank buy back')"
-_OLD = "last_seen_at < TS'2024-01-31 00:00:00' - interval 14 day"
+_OUT = f"x as (select *, {_OFF} as off, not {_OFF} and (latitude is null or longitude is null) as blind, not {_OFF} and {_OLD} as old, not {_OFF} and latitude is not null and longitude is not null and coalesce(last_type = 'disappeared', false) as lost, property_id % 11 = 0 as hid from (select p.* replace (case when property_id % 17 = 0 then null else latitude end as latitude), l.last_type from properties p left join {_LAST} l on p.auction_id = l.auction_id))"
 
 
-@query("properties auction_events", f"with x as (select {_OFF} as off, {_OLD} as old, coalesce(last_type = 'disappeared', false) as lost, property_id % 11 = 0 as hid from properties p left join {_LAST} l on p.auction_id = l.auction_id) select count(*) as total, count_if(not (off or old or lost or hid)) as exported, count_if(off or old or lost or hid) as excluded_total, count_if(off) as by_status, 0 as missing_coords, count_if(hid) as duplicates, count_if(lost) as disappeared, count_if(old) as stale from x")
+def _some_blind(s):
+    return s.properties.withColumn("latitude", F.when(F.col("property_id") % 17 != 0, F.col("latitude")))
+
+
+@query("properties auction_events", f"with {_OUT} select count(*) as total, count_if(not (off or old or lost or hid or blind)) as exported, count_if(off or old or lost or hid or blind) as excluded_total, (select string_agg(concat(status, '=', n), ', ' order by concat(status, '=', n)) from (select status, count(*) as n from x where off group by status)) as by_status, count_if(blind) as missing_coords, count_if(hid) as duplicate, count_if(lost) as disappeared, count_if(old) as stale from x")
 def exclusion_accounting(s):
-    return aggregates.exclusion_accounting(s.properties, s.auction_events, _links(s), AS_OF)
+    return aggregates.exclusion_accounting(_some_blind(s), s.auction_events, _links(s), AS_OF)
 
 
 @query("auction_events", "select auction_id, count(*) as times_postponed, arg_min(old_value, event_id) as original_date from auction_events where event_type = 'date_change' group by auction_id")
@@ -557,9 +629,9 @@ def pdf_links(s):
     return aggregates.pdf_links(s.properties.withColumn("pdf_links", F.concat("url", F.lit("; ;"), "url", F.lit(".pdf ;"))))
 
 
-@query("auction_events listings", "select run_id, count_if(event_type = 'first_seen') as new, count(distinct case when event_type in ('status_change','date_change') then auction_id end) as changed, count_if(event_type = 'disappeared') as removed, (select count(*) from listings) as found from auction_events group by run_id")
+@query("snapshot_1 snapshot_2", f"with {_DIFF}, x as (select 1 as run_id, (select count(*) from snapshot_1_d) as found, (select count(*) from snapshot_1_d) as new, 0 as changed, 0 as removed, 0 as failed, (select count(*) from snapshot_1_w1) - (select count(*) from snapshot_1_d) as cross_dropped union all select 2, (select count(*) from snapshot_2_d), (select count(*) from j where old_id is null), (select count(*) from j where old_id is not null and (s1 is distinct from s2 or d1 is distinct from d2)), (select count(*) from gone), 0, (select count(*) from snapshot_2_w1) - (select count(*) from snapshot_2_d)) select * from x")
 def run_summary(s):
-    return aggregates.run_summary(s.listings, s.auction_events)
+    return _stored(s).read("runs", load.RUNS).select("run_id", "found", "new", "changed", "removed", "failed", "cross_dropped")
 
 
 @query("auction_events properties", "select event_type, address, event_id from auction_events join (select auction_id, address from properties) using (auction_id) where run_id = 1 and event_type in ('first_seen','status_change','date_change','disappeared')")
@@ -577,9 +649,10 @@ cg as (select *, case when was_removed then 'Removed' when was_new and not other
 _CHANGES = "ch as (select e.*, p.* exclude (auction_id) from auction_events e join properties p on e.auction_id = p.auction_id)"
 
 
-@query("auction_events properties", f"with {_CHANGES}, {_groups()} select address, category, property_id, removed_at from cg")
+@query("auction_events properties", f"with {_CHANGES}, {_groups()} select address, category, property_id, removed_at, case when category in ('Removed', 'New') then category when was_new then concat('New|', labels) else labels end as labels from cg")
 def change_groups(s):
-    return aggregates.change_groups(joins.events_with_property(s.auction_events, s.properties), AS_OF).select("address", "category", "property_id", "removed_at")
+    found = aggregates.change_groups(joins.events_with_property(s.auction_events, s.properties), AS_OF)
+    return found.select("address", "category", "property_id", "removed_at", F.array_join("labels", "|").alias("labels"))
 
 
 @query("", "select count_if(doc_id % 4 = 0) as hits, count_if(doc_id % 4 <> 0) as misses, round(sum(case when doc_id % 4 <> 0 then ((length(text) // 4 + 400) * 3.0 + 300 * 15.0) / 1e6 else 0 end), 6) as cost from documents")
@@ -597,9 +670,10 @@ def sent_counts(s):
     return aggregates.sent_counts(s.notifications)
 
 
-@query("auction_events properties", f"with {_CHANGES}, {_groups()}, u as (select count(*) as n_upcoming from properties where {_ACTIVE}), c as (select count_if(category = 'New') as n_new, count_if(category = 'Date Changes') as n_postponed, count_if(category = 'Removed') as n_cancelled from cg) select *, concat(n_upcoming, ' upcoming, ', n_new, ' new, ', n_postponed, ' postponed, ', n_cancelled, ' cancelled') as subject from u, c")
+@query("auction_events properties", f"with u as (select count(*) as n_upcoming from properties where {_ACTIVE}), e as (select count_if(event_type = 'first_seen') as n_new, count_if(event_type = 'status_change' and new_value = 'postponed') as n_postponed from auction_events where detected_at >= TS'2024-01-24 00:00:00'), t as (select distinct auction_id as property_id from auction_events where event_type = 'status_change' and new_value in ('sold back to mortgagee','3rd party purchase','sold','canceled','cancelled','withdrawn','bank buy back') and detected_at >= TS'2024-01-24 00:00:00' and detected_at < TS'2024-01-31 00:00:00' and auction_id in (select property_id from properties)), c as (select count(*) as n_cancelled from (select property_id from t union all select property_id from properties where last_seen_at + interval 14 day >= TS'2024-01-24 00:00:00' and last_seen_at + interval 14 day < TS'2024-01-31 00:00:00' and property_id not in (select property_id from t))) select *, concat('Auction watch: ', n_upcoming, ' auction(s) this week', case when n_cancelled > 0 then concat(', ', n_cancelled, ' cancelled') else '' end) as subject from u, e, c")
 def digest_counts(s):
-    return aggregates.digest_counts(digest.filter_active(s.properties, AS_OF), aggregates.change_groups(joins.events_with_property(s.auction_events, s.properties), AS_OF))
+    recent = s.auction_events.where(F.col("detected_at") >= digest.at(WEEK_AGO))
+    return aggregates.digest_counts(digest.filter_active(s.properties, AS_OF), recent, digest.removed_union(s.auction_events, s.properties, WEEK_AGO, AS_OF))
 
 
 @query("listings", "select sources, count(*) as points from (select array_to_string(list_sort(list(distinct source)), ',') as sources from listings group by round_even(latitude, 6), round_even(longitude, 6)) group by sources")
@@ -670,9 +744,9 @@ def order_by_auction_time(s):
     return s.properties.select("property_id", "auction_datetime").orderBy(F.col("auction_datetime").asc_nulls_first(), "property_id")
 
 
-@query("properties", f"select status, property_id, rank from (select status, property_id, row_number() over (partition by status order by property_id) as rank from properties where {_OFF}) where rank <= 25")
+@query("properties auction_events", f"with {_OUT}, r as (select 'missing_coords' as reason, property_id from x where blind union all select 'disappeared', property_id from x where lost union all select 'stale', property_id from x where old) select reason, property_id, rank from (select *, row_number() over (partition by reason order by property_id) as rank from r) where rank <= 25")
 def capped_sample(s):
-    return export.excluded_sample(s.properties).select("status", "property_id", "rank")
+    return export.excluded_sample(_some_blind(s), s.auction_events, _links(s), AS_OF).select("reason", "property_id", "rank")
 
 
 @query("auction_events", "select event_id, detected_at from auction_events order by detected_at desc, event_id desc")
@@ -693,15 +767,22 @@ def removed_union(s):
 # end to end
 
 
-@query("snapshot_1 snapshot_2", f"with {_DIFF} select source, listing_id, event_type from ev")
+@query("snapshot_1 snapshot_2", f"with {_DIFF} select source, listing_id, event_type, old_value, new_value from ev")
 def load_snapshot(s):
     done = _loaded(s, 2)
-    return done.events.join(done.state.select(F.col("auction_id"), "source", "listing_id"), "auction_id").select("source", "listing_id", "event_type")
+    return done.events.join(done.state.select("auction_id", "source", "listing_id"), "auction_id").select("source", "listing_id", "event_type", "old_value", "new_value")
+
 
+@query("snapshot_1 snapshot_2", f"with {_DIFF}, k as (select source, listing_id, pdf_links as l from snapshot_1_d union all select n.source, n.listing_id, n.pdf_links from snapshot_2_d n join j on n.source = j.source and n.listing_id = j.listing_id where old_id is null), u as (select source, listing_id, unnest(list_filter(list_transform(string_split(l, ';'), lambda x: trim(x)), lambda x: x <> '')) as link from k) select source, listing_id, link from u")
+def load_pdf_links(s):
+    store = _stored(s)
+    return store.read("links", load.LINKS).join(store.read("state", load.STATE).select("auction_id", "source", "listing_id"), "auction_id").select("source", "listing_id", "link")
 
-@query("snapshot_1 snapshot_2", f"with {_deduped('snapshot_1')}, {_deduped('snapshot_2')} select coalesce(n.source, o.source) as source, coalesce(n.listing_id, o.listing_id) as listing_id, coalesce(n.status, o.status) as status, coalesce(o.name, n.name) as address, case when o.source is null then TS'2024-01-31 00:00:00' else timestamp '2024-01-01 00:00:00' end as first_seen_at, case when n.source is null then timestamp '2024-01-01 00:00:00' else TS'2024-01-31 00:00:00' end as last_seen_at from snapshot_2_d n full join snapshot_1_d o on n.source = o.source and n.listing_id = o.listing_id")
+
+@query("snapshot_1 snapshot_2", f"with {_deduped('snapshot_1')}, {_deduped('snapshot_2')}, x as (select coalesce(n.source, o.source) as source, coalesce(n.listing_id, o.listing_id) as listing_id, coalesce(n.status, o.status) as status, coalesce(o.name, n.name) as address, coalesce(nullif(n.county, ''), o.county, '') as county, coalesce(n.description, o.description) as description, coalesce(nullif(n.municipality, ''), o.municipality) as municipality, case when o.source is null then TS'2024-01-31 00:00:00' else timestamp '2024-01-01 00:00:00' end as first_seen_at, case when n.source is null then timestamp '2024-01-01 00:00:00' else TS'2024-01-31 00:00:00' end as last_updated_at from snapshot_2_d n full join snapshot_1_d o on n.source = o.source and n.listing_id = o.listing_id) select x.* exclude (description), {_SPECS} from x")
 def state_store(s):
-    return _loaded(s, 2).state.select("source", "listing_id", "status", "address", "first_seen_at", "last_seen_at")
+    """Read back from the store after both snapshots."""
+    return _stored(s).read("state", load.STATE).select("source", "listing_id", "status", "address", "county", "municipality", "first_seen_at", "last_updated_at", "bedrooms", "sqft", "bathrooms", "year_built", "property_type", "lot_size_raw")
 
 
 @query()
@@ -709,9 +790,10 @@ def link_duplicates(s):
     return links.link_duplicates(s.properties)
 
 
-@query("properties auction_events", f"select property_id, 'scheduled' as shown_status, coalesce(n, 0) as times_postponed, original_date, auction_datetime from properties p left join {_LAST} l on p.auction_id = l.auction_id left join (select auction_id, count(*) as n, arg_min(old_value, event_id) as original_date from auction_events where event_type = 'date_change' group by auction_id) d on d.auction_id = p.auction_id where not {_OFF} and not {_OLD} and coalesce(last_type, '') <> 'disappeared' and property_id % 11 <> 0")
+@query("properties auction_events", f"select property_id, 'scheduled' as shown_status, coalesce(n, 0) as times_postponed, original_date, auction_datetime, url as pdf, {_SPECS.split(' as bedrooms')[0]} as bedrooms from properties p left join {_LAST} l on p.auction_id = l.auction_id left join (select auction_id, count(*) as n, arg_min(old_value, event_id) as original_date from auction_events where event_type = 'date_change' group by auction_id) d on d.auction_id = p.auction_id where not {_OFF} and not {_OLD} and coalesce(last_type, '') <> 'disappeared' and property_id % 11 <> 0")
 def export_live_map(s):
-    return export.export_live_map(s.properties, s.auction_events, _links(s), AS_OF).select("property_id", "shown_status", "times_postponed", "original_date", "auction_datetime")
+    pdf = s.properties.select("auction_id", F.lit(0).alias("ord"), F.col("url").alias("link"))
+    return export.export_live_map(s.properties, s.auction_events, _links(s), AS_OF, pdf).select("property_id", "shown_status", "times_postponed", "original_date", "auction_datetime", F.array_join("pdf_links", ";").alias("pdf"), "specs.bedrooms")
 
 
 _FIND = f"from properties p left join {_LAST} l on p.auction_id = l.auction_id where coalesce(last_type, '') <> 'disappeared' and property_id % 11 <> 0 and state in ('MA', 'ME') and auction_datetime >= TS'2024-01-31 00:00:00'"
@@ -746,20 +828,22 @@ def _digest(s):
 
 _DIGEST = f"""ch as (select e.*, p.* exclude (auction_id) from auction_events e join properties p on e.auction_id = p.auction_id where detected_at >= TS'2024-01-24 00:00:00' and property_id % 11 <> 0), {_groups('state, address')},
 people as (select email, state from {_ELIGIBLE} join subscriber_states using (subscriber_id)),
-up as (select state, address, row_number() over (partition by state order by auction_datetime, property_id) as rank, count(*) over (partition by state) as n from (select p.* {_FIND.replace(" and state in ('MA', 'ME')", "")} and {_ACTIVE})),
+up as (select email, 'Upcoming' as section, address, row_number() over (partition by email order by auction_datetime, property_id) as rank, count(*) over (partition by email) as n from people join (select p.* {_FIND.replace(" and state in ('MA', 'ME')", "")} and {_ACTIVE}) using (state)),
 f as (select email, min(sent_at) as first_sent from notifications group by email),
-fan as (select email, category, address from people join cg using (state) where category <> 'Removed' union all select email, category, address from people join cg using (state) join f using (email) where category = 'Removed' and first_sent < removed_at),
-rk as (select email, category as section, address, row_number() over (partition by email, category order by address) as rank, count(*) over (partition by email, category) as n from fan)"""
+fan as (select email, category, address, property_id from people join cg using (state) where category <> 'Removed' union all select email, category, address, property_id from people join cg using (state) join f using (email) where category = 'Removed' and first_sent < removed_at),
+rk as (select email, category as section, address, row_number() over (partition by email, category order by address, property_id) as rank, count(*) over (partition by email, category) as n from fan),
+dg as (select email, section, address, rank, greatest(n - 5, 0) as more from (select * from up union all select * from rk) where rank <= 5)"""
 
 
-@query("properties auction_events subscribers subscriber_states notifications", f"with {_DIGEST} select email, 'Upcoming' as section, address, rank, greatest(n - 5, 0) as more from people join up using (state) where rank <= 5 union all select email, section, address, rank, greatest(n - 5, 0) from rk where rank <= 5")
+@query("properties auction_events subscribers subscriber_states notifications", f"with {_DIGEST} select * from dg")
 def subscriber_digest(s):
-    return _digest(s)
+    return _digest(s).select("email", "section", "address", "rank", "more")
 
 
-@query("properties auction_events", f"with ch as (select e.*, p.* exclude (auction_id) from auction_events e join properties p on e.auction_id = p.auction_id where detected_at >= TS'2024-01-24 00:00:00' and property_id % 11 <> 0 and state in ('MA', 'ME')), {_groups()} select 'Upcoming' as section, address {_FIND} and {_ACTIVE} union all select category, address from cg")
+@query("properties auction_events", f"with ch as (select e.*, p.* exclude (auction_id) from auction_events e join properties p on e.auction_id = p.auction_id where detected_at >= TS'2024-01-24 00:00:00' and property_id % 11 <> 0 and state in ('MA', 'ME')), {_groups('state, address')} select 'Upcoming' as section, address, '' as labels {_FIND} and {_ACTIVE} union all select category, address, case when category in ('Removed', 'New') then category when was_new then concat('New|', labels) else labels end from cg")
 def status_view(s):
-    return digest.status_view(s.properties, s.auction_events, _links(s), AS_OF, ["ma", "ME "], True)
+    """Without states in the request, the saved ones count."""
+    return digest.status_view(s.properties, s.auction_events, _links(s), AS_OF, [" "], True, saved_states=["ma", "ME "]).select("section", "address", F.array_join("labels", "|").alias("labels"))
 
 
 _SAVED = "ch as (select s.email, e.*, p.* exclude (auction_id) from saved_properties s join auction_events e on e.auction_id = s.property_id join properties p on p.auction_id = e.auction_id left join (select email, max(sent_at) as t from notifications where kind = 'saved' group by email) n on n.email = s.email where event_type in ('date_change','disappeared','status_change') and detected_at > coalesce(t, TS'2024-01-31 00:00:00' - interval 8 day))"
@@ -800,25 +884,45 @@ def due_welcome(s):
     return digest.due_welcome(s.subscribers, s.notifications).select("email")
 
 
-@query("subscribers subscriber_states", "with good as (select subscriber_id, case subscriber_id % 3 when 0 then ['NH'] when 1 then ['MA','ME'] end as l from subscribers where subscriber_id % 3 <> 2 and (subscriber_id % 3 = 0 or subscription_status in ('active','trialing'))) select subscriber_id, state from subscriber_states where subscriber_id not in (select subscriber_id from good) union all select subscriber_id, unnest(l) from good")
+@query("subscribers subscriber_states", "with q as (select subscriber_id, 1 as seq, case subscriber_id % 3 when 0 then ['NH'] when 1 then ['MA','ME'] else ['XX'] end as l, subscription_status in ('active','trialing') as paid from subscribers where active union all select subscriber_id, 2, ['ME'], false from subscribers where active and subscriber_id % 5 = 0), ok as (select *, not list_contains(l, 'XX') and (len(l) = 1 or paid) as good from q), g as (select subscriber_id, arg_max(l, seq) as l from ok where good group by subscriber_id) select 'state' as kind, subscriber_id, state from subscriber_states where subscriber_id not in (select subscriber_id from g) union all select 'state', subscriber_id, unnest(l) from g union all select 'rejected', subscriber_id, case subscriber_id % 3 when 1 then 'MA, me' else 'XX' end from ok where not good union all select 'rejected', subscriber_id, case subscriber_id % 3 when 0 then 'nh' when 1 then 'MA, me' else 'XX' end from subscribers where not active union all select 'rejected', subscriber_id, 'me' from subscribers where not active and subscriber_id % 5 = 0 union all select 'start', subscriber_id, case when subscriber_id % 7 = 3 then '2023-01-01' else '2024-01-31' end from (select subscriber_id from g union select subscriber_id from subscribers where subscriber_id % 7 = 3)")
 def set_states(s):
-    asked = s.subscribers.select("subscriber_id", F.expr("case subscriber_id % 3 when 0 then 'nh' when 1 then 'MA, me' else 'XX' end").alias("states"))
-    return digest.set_states(s.subscriber_states, asked, s.subscribers, ["MA", "NH", "ME"])[0]
+    """States after the requests, rejected requests and start dates, one below the other."""
+    first = s.subscribers.select("subscriber_id", F.expr("case subscriber_id % 3 when 0 then 'nh' when 1 then 'MA, me' else 'XX' end").alias("states"), F.lit(1).alias("seq"))
+    asked = first.unionByName(s.subscribers.where(F.col("subscriber_id") % 5 == 0).select("subscriber_id", F.lit("me").alias("states"), F.lit(2).alias("seq")))
+    starts = s.subscribers.where(F.col("subscriber_id") % 7 == 3).select("subscriber_id", F.lit("2023-01-01").cast("timestamp_ntz").alias("started_at"))
+    new, rejected, began = digest.set_states(s.subscriber_states, asked, s.subscribers, ["MA", "NH", "ME"], AS_OF, starts)
+    kind = lambda df, name, c: df.select(F.lit(name).alias("kind"), "subscriber_id", c.alias("state"))
+    return kind(new, "state", F.col("state")).unionByName(kind(rejected, "rejected", F.col("states"))).unionByName(kind(began, "start", F.date_format("started_at", "yyyy-MM-dd")))
 
 
-@query("properties", "select property_id, json_extract_string(payload, '$.address') as address from (select property_id, json_object('address', address) as payload from properties)")
+@query("properties auction_events subscribers subscriber_states notifications", f"with {_DIGEST} select email, count_if(section = 'Upcoming') as n_upcoming, count_if(section <> 'Upcoming') as n_changes, arg_min(address, rank) filter (where section = 'Upcoming') as first_address, max(more) filter (where section = 'Upcoming') as more from dg group by email")
 def digest_payload(s):
-    return digest.payload(s.properties, AS_OF).select("property_id", F.get_json_object("payload", "$.address").alias("address"))
+    rows = digest.payload(_digest(s), AS_OF)
+    at = lambda path: F.get_json_object("payload", path)
+    n = lambda part: F.coalesce(F.json_array_length(at(f"$.{part}")), F.lit(0)).alias(f"n_{part}")
+    return rows.select("email", n("upcoming"), n("changes"), at("$.upcoming[0].address").alias("first_address"), at("$.upcoming[0].more").cast("long").alias("more"))
 
 
-@query()
+@query("properties auction_events subscribers subscriber_states notifications", f"with {_DIGEST}, l as (select email, case section when 'Upcoming' then 0 when 'New' then 1 when 'Date Changes' then 2 when 'Status Changes' then 3 else 4 end as place, rank, address, more from dg), m as (select *, max(rank) over (partition by email, place) as last from l) select email, string_agg(concat(address, case when rank = last and more > 0 then concat('+', more, ' more') else '' end), '|' order by place, rank) as lines from m group by email")
 def render_digest(s):
-    return digest.render(_digest(s))
+    """The plain bodies' addresses and remainders, in their order; a test reads whole bodies."""
+    rows = digest.render(_digest(s))
+    parts = F.regexp_extract_all("plain", F.lit(r"(?m)(?:^  (?:date unknown|\d\d/\d\d at \d+:\d\d [AP]M)  (.*?)(?:  \[.*)?$)"), F.lit(1))
+    lines = F.split(F.regexp_replace("plain", r"\n  (\+\d+ more)", "$1"), "\n")
+    shown = F.filter(lines, lambda x: x.startswith("  "))
+    line = F.transform(shown, lambda x: F.regexp_replace(F.regexp_replace(x, r"^  (?:date unknown|\d\d/\d\d at \d+:\d\d [AP]M)  ", ""), r"  \[[^+]*\]", ""))
+    return rows.select("email", F.array_join(line, "|").alias("lines"))
 
 
-@query("properties auction_events", f"select property_id, address, state from properties p left join {_LAST} l on p.auction_id = l.auction_id where not {_OFF} and not {_OLD} and coalesce(last_type, '') <> 'disappeared' and property_id % 11 <> 0")
+@query("properties auction_events", f"select property_id, address, state, url, strftime(auction_datetime, '%Y-%m-%d') as day, {_SPECS.split(' as bedrooms')[0]} as bedrooms, (select count(*) from properties) as total from properties p left join {_LAST} l on p.auction_id = l.auction_id where not {_OFF} and not {_OLD} and coalesce(last_type, '') <> 'disappeared' and property_id % 11 <> 0")
 def write_live_map(s):
-    return export.live_rows(s.properties, s.auction_events, _links(s), AS_OF).select("property_id", "address", "state")
+    """Rows and meta row written as JSON and read back."""
+    path = files.scratch(s.spark, "map")
+    rows = export.export_live_map(s.properties, s.auction_events, _links(s), AS_OF)
+    files.write_live_map(rows, export.map_meta(s.properties, s.auction_events, _links(s), AS_OF), path)
+    back = s.spark.read.schema("property_id long, address string, state string, url string, auction_datetime string, specs struct<bedrooms:long>").json(f"{path}/properties")
+    total = s.spark.read.schema("total long").json(f"{path}/meta").first()["total"]
+    return back.select("property_id", "address", "state", "url", F.substring("auction_datetime", 1, 10).alias("day"), "specs.bedrooms", F.lit(total).alias("total"))
 
 
 # streaming, in batch form
@@ -858,21 +962,24 @@ def _appended(stream, checkpoint):
 
 @query("snapshot_1 snapshot_2", f"with {_DIFF} select 1 as run_id, 'first_seen' as event_type, count(*) as n from snapshot_1_d union all select 2, event_type, count(*) from ev group by event_type")
 def snapshot_stream(s):
+    """Both snapshots arrive at once; each is applied by itself, in order of its time."""
     store = files.StateStore(s.spark, files.scratch(s.spark, "state"))
     path, checkpoint = files.scratch(s.spark, "snapshots"), files.scratch(s.spark, "snapshots-stream")
-    for name, rows, as_of in (("a", s.snapshot_1, "2024-01-01 00:00:00"), ("b", s.snapshot_2, AS_OF)):
-        rows.drop("g").withColumn("as_of", F.lit(as_of)).write.parquet(f"{path}/{name}")
-        schema = s.spark.read.parquet(f"{path}/{name}").schema
-        source = s.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
-        streams.snapshot_stream(s.spark, source, store, "as_of", checkpoint).awaitTermination()
+    for name, rows, as_of in (("b", s.snapshot_2, AS_OF), ("a", s.snapshot_1, "2024-01-01 00:00:00")):
+        rows.drop("g").withColumn("as_of", F.lit(as_of)).select("as_of", *sorted(set(rows.columns) - {"g"})).write.parquet(f"{path}/{name}")
+    source = s.spark.readStream.schema(s.spark.read.parquet(f"{path}/a").schema).option("recursiveFileLookup", "true").parquet(path)
+    streams.snapshot_stream(s.spark, source, store, "as_of", checkpoint).awaitTermination()
     return store.read("events", load.EVENTS).groupBy("run_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def link_check_events(s):
-    checks = s.events.select((F.col("user_id") % 200).alias("property_id"), F.col("ts").cast("timestamp").alias("checked_at"), F.when(F.col("event_type") == "error", 404).otherwise(200).alias("http_status"), F.lit("fine").alias("html"))
+    """Disappeared events that a stream of checks of every stored listing makes."""
+    state = s.properties.withColumn("last_event", F.lit("first_seen"))
+    checks = s.events.select((F.col("user_id") % 2500).alias("property_id"), F.col("ts").cast("timestamp").alias("checked_at"), F.when(F.col("event_type") == "error", 404).otherwise(200).alias("http_status"), F.lit("fine").alias("html"))
     stream, checkpoint = _arrivals(s, checks, "checks")
-    return s.spark.read.schema("property_id long, checked_at timestamp").parquet(_appended(streams.link_checks(stream), checkpoint))
+    dead = s.spark.read.schema("property_id long, checked_at timestamp").parquet(_appended(streams.link_checks(stream), checkpoint))
+    return streams.disappeared_events(dead, state, 0, 1)
 
 
 @query()
@@ -881,8 +988,19 @@ def cooldown_gate(s):
     return s.spark.read.schema("email string, sent_at timestamp").parquet(_appended(streams.cooldown(stream), checkpoint))
 
 
-@query("webhook_events", "select event_id, min(seq) as n_first from webhook_events group by event_id")
+@query("webhook_events", "select event_id, 1 as n from webhook_events group by event_id")
 def webhook_stream(s):
+    """Each event once, at the default delay; which of two deliveries stays is left to their order of arrival."""
     stream, checkpoint = _arrivals(s, s.webhook_events.select("event_id", "seq", F.col("event_time").cast("timestamp").alias("event_time")), "webhooks")
-    out = _appended(streams.webhook_dedup(stream, delay="3650 days").select("event_id"), checkpoint)
-    return s.spark.read.schema("event_id long").parquet(out).select("event_id", F.col("event_id").alias("n_first"))
+    out = _appended(streams.webhook_dedup(stream), checkpoint)
+    return s.spark.read.schema("event_id long, seq long, event_time timestamp").parquet(out).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("webhook_events", f"with {_ONCE} select subscription_id, arg_max(case kind when 'checkout' then 'active' when 'deleted' then 'canceled' else status end, (event_time, event_id)) as subscription_status from o where kind in ('checkout','updated','deleted') group by subscription_id")
+def subscription_stream(s):
+    """The stored states after a stream of all events."""
+    stream, checkpoint = _arrivals(s, s.webhook_events, "billing")
+    store = files.StateStore(s.spark, files.scratch(s.spark, "subscriptions"))
+    streams.subscription_stream(stream, store, checkpoint).awaitTermination()
+    return store.read("subscriptions", "subscription_id string, subscription_status string, changed_at timestamp_ntz").select("subscription_id", "subscription_status")
+

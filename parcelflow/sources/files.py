@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Mapping
@@ -22,10 +23,18 @@ def scratch(spark: SparkSession, label: str) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df, computed once and kept as a table in the shared folder."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_listing_csv(spark: SparkSession, path: str, required: tuple[str, ...] = REQUIRED) -> DataFrame:
     """A listing file with all columns as text and seq, the row's place in the file; fails if a required column is missing."""
     options = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8"}
@@ -39,10 +48,17 @@ def read_listing_csv(spark: SparkSession, path: str, required: tuple[str, ...] =
 
 def listing_rows(rows: DataFrame) -> DataFrame:
     """Rows in the shape of a listing file; rows without a latitude are left out, falsy values are empty."""
-    values: dict[str, Column] = {
-        "ID": F.concat("source", F.lit(":"), "listing_id"), "Name": F.col("name"), "Latitude": F.col("latitude").cast("string"), "Longitude": F.col("longitude").cast("string"),
-        "Source": F.col("source"), "State": F.col("state"), "Description": F.col("description"), "Auction Date/Time": F.date_format("auction_datetime", "yyyy-MM-dd'T'HH:mm:ss"), "Status": F.col("status"), "URL": F.col("url"),
+    names = {
+        "Name": "name", "Latitude": "latitude", "Longitude": "longitude", "Source": "source", "State": "state", "County": "county", "Municipality": "municipality", "Timing": "timing", "Property Type": "property_type", "Bedrooms": "bedrooms",
+        "Bathrooms": "bathrooms", "Sqft": "sqft", "Lot Size": "lot_size_raw", "Year Built": "year_built", "Description": "description", "Summary": "summary", "Metadata": "metadata", "Status": "status", "PDF Links": "pdf_links", "URL": "url",
     }
+    values: dict[str, Column] = {k: F.col(v).cast("string") for k, v in names.items() if v in rows.columns}
+    values["ID"] = F.concat("source", F.lit(":"), "listing_id")
+    if "auction_datetime" in rows.columns:
+        values["Auction Date/Time"] = F.date_format("auction_datetime", "yyyy-MM-dd'T'HH:mm:ss")
+    for name in ("Bedrooms", "Bathrooms", "Sqft", "Year Built"):
+        if name in values:
+            values[name] = F.when(F.col(names[name]).cast("double") != 0, values[name])
     return rows.where(F.col("latitude").isNotNull()).select(*(F.coalesce(values.get(c, F.lit("")), F.lit("")).alias(c) for c in COLUMNS))
 
 
@@ -77,28 +93,58 @@ def read_cache(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 class StateStore:
-    """Tables as Parquet folders v=1, v=2, ...; a version is seen once its write has succeeded."""
+    """Tables in versions. A version is one manifest, written after all its tables: a reader sees all of it or nothing.
+
+    manifests/00000001.json, ... list each table's folders, and the tag of the input that made the version; a write that fails
+    leaves folders that no manifest lists, and its input is applied again in whole.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _list(self, table: str) -> list[int]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath() for s in fs.listStatus(root)]
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and fs.exists(done(p, "_SUCCESS")))
-
-    def read(self, table: str, schema: T.StructType | str) -> DataFrame:
-        versions = self._list(table)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}/v={versions[-1]}") if versions else self.spark.createDataFrame([], schema)
-
-    def replace(self, version: int, **tables: DataFrame) -> None:
-        """Writes a version of each table; the same version again replaces itself, so a replayed batch changes nothing."""
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}/v={version}")
+        self.fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def versions(self) -> list[int]:
+        root = self._at("manifests")
+        names = [s.getPath().getName() for s in self.fs.listStatus(root)] if self.fs.exists(root) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def manifest(self, version: int | None = None) -> dict:
+        """{"tags": [...], "tables": {name: [folder, ...]}} of a version, by default the last."""
+        version = version or (self.versions() or [0])[-1]
+        if not version:
+            return {"tags": [], "tables": {}}
+        source = self.fs.open(self._at(f"manifests/{version:08d}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        finally:
+            source.close()
+
+    def read(self, table: str, schema: T.StructType | str, version: int | None = None) -> DataFrame:
+        folders = self.manifest(version)["tables"].get(table)
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], schema)
+
+    def commit(self, tag: str, replace: Mapping[str, DataFrame] | None = None, append: Mapping[str, DataFrame] | None = None) -> int:
+        """Writes the tables and then the next version's manifest: replaced tables are the new folder alone, appended ones that
+        beside those they have. A tag that has been committed changes nothing. Returns the version."""
+        before, version = self.manifest(), (self.versions() or [0])[-1]
+        if tag in before["tags"]:
+            return version
+        tables = dict(before["tables"])
+        for how, given in (("replace", replace or {}), ("append", append or {})):
+            for name, df in given.items():
+                folder = f"{name}/{version + 1:08d}-{uuid.uuid4().hex}"
+                df.write.parquet(f"{self.path}/{folder}")
+                tables[name] = [*(tables.get(name, []) if how == "append" else []), folder]
+        aside = self._at(f"manifests/.{uuid.uuid4().hex}")
+        sink = self.fs.create(aside, False)
+        sink.write(bytearray(json.dumps({"tags": [*before["tags"], tag], "tables": tables}).encode()))
+        sink.close()
+        if not self.fs.rename(aside, self._at(f"manifests/{version + 1:08d}.json")):
+            raise RuntimeError(f"version {version + 1} exists")
+        return version + 1
 
 
 def write_live_map(rows: DataFrame, meta: DataFrame, path: str) -> None:
@@ -107,13 +153,31 @@ def write_live_map(rows: DataFrame, meta: DataFrame, path: str) -> None:
     meta.coalesce(1).write.json(f"{path}/meta")  # one row
 
 
-def import_report(events: DataFrame, properties: DataFrame, run_id: int) -> DataFrame:
-    """(section, ord, line) of a run's report."""
+def import_report(events: DataFrame, properties: DataFrame, run: DataFrame, rejects: DataFrame, run_id: int) -> DataFrame:
+    """(section, ord, line) of a run's report: its counters, the changes of each kind by address, the rows that failed.
+
+    run: a row of counters; rejects: seq and name of rows that could not be loaded. Sections: 0 counters, 1 to 4 changes, 5
+    failed rows; line 0 of a section of changes is its title with their number.
+    """
+    from parcelflow.functions.dates import report_time
     from parcelflow.operators.aggregates import change_sections
 
-    titles: Mapping[str, tuple[int, str]] = {"first_seen": (1, "NEW"), "status_change": (2, "STATUS"), "date_change": (3, "DATES"), "disappeared": (4, "GONE")}
-    rows = change_sections(events, properties, run_id)
+    said = (("Listings processed:", "found"), ("Cross-source dupes:", "cross_dropped"), ("New properties:", "new"), ("Changed auctions:", "changed"), ("Removed listings:", "removed"), ("Failed rows:", "failed"))
+    heads = F.array(*(F.concat(F.rpad(F.lit(t), 23, " "), F.col(c).cast("string")) for t, c in said))
+    counters = run.select(F.posexplode(heads).alias("ord", "line")).select(F.lit(0).alias("section"), F.col("ord").cast("long").alias("ord"), "line")
+    titles: Mapping[str, tuple[int, str]] = {"status_change": (1, "Status changes"), "date_change": (2, "Auction date changes"), "first_seen": (3, "New listings"), "disappeared": (4, "Removed")}
     pick = lambda k: F.create_map(*[F.lit(x) for t, v in titles.items() for x in (t, v[k])])[F.col("event_type")]
-    lines = rows.select(pick(0).alias("section"), F.col("event_id").alias("ord"), F.concat(F.rpad(pick(1), 8, " "), "address", F.lit("  "), F.coalesce("old_value", F.lit("-")), F.lit(" -> "), F.coalesce("new_value", F.lit("-"))).alias("line"))
-    heads = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select(pick(0).alias("section"), F.lit(0).cast("long").alias("ord"), F.concat(pick(1), F.lit(": "), F.col("n").cast("string")).alias("line"))
-    return heads.unionByName(lines)
+    rows = change_sections(events, properties, run_id)
+    moved = F.concat(F.rpad("address", 40, " "), F.lit(" "))
+    line = F.when(F.col("event_type") == "status_change", F.concat(moved, F.coalesce("old_value", F.lit("-")), F.lit(" -> "), F.coalesce("new_value", F.lit("-")))).when(
+        F.col("event_type") == "date_change", F.concat(moved, report_time(F.col("old_value")), F.lit(" -> "), report_time(F.col("new_value")))
+    ).otherwise(F.col("address"))
+    lines = rows.select(pick(0).alias("section"), F.col("event_id").alias("ord"), F.concat(F.lit("  "), line).alias("line"))
+    kinds = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select(pick(0).alias("section"), F.lit(0).cast("long").alias("ord"), F.concat(pick(1), F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
+    failed = rejects.select(F.lit(5).alias("section"), F.col("seq").cast("long").alias("ord"), F.concat(F.lit("  row "), F.col("seq").cast("string"), F.lit(" ("), F.coalesce("name", F.lit("unknown")), F.lit("): no coordinates or no listing id")).alias("line"))
+    return counters.unionByName(kinds).unionByName(lines).unionByName(failed)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """The report's lines as text files, in order over the files."""
+    report.orderBy("section", "ord").select("line").write.text(path)

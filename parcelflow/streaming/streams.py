@@ -9,28 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.functions.text import page_alive
+from parcelflow.operators.joins import next_ids
 from parcelflow.plans.billing import subscription_state
-from parcelflow.plans.load import EVENTS, STATE, load_snapshot
+from parcelflow.plans.load import RUNS, STATE, load_snapshot
 from parcelflow.sources.files import StateStore
 
 
-def apply_snapshot(store: StateStore, snapshot: DataFrame, as_of: str, run_id: int) -> None:
-    """One snapshot on the stored state; the version is the run, so a run that is applied again replaces itself."""
-    before = StateStore(store.spark, store.path)
-    state, events = before.read("state", STATE), before.read("events", EVENTS)
-    top = state.agg(F.coalesce(F.max("property_id"), F.lit(0))).first()[0]
-    last = events.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
-    done = load_snapshot(snapshot, state, events, as_of, run_id, top, last)
-    store.replace(run_id, state=done.state, events=events.unionByName(done.events))
+def apply_snapshot(store: StateStore, snapshot: DataFrame, as_of: str, tag: str) -> None:
+    """One snapshot on the stored state, as the store's next version; events, links and the run are appended to the logs."""
+    runs = store.read("runs", RUNS)
+    last = runs.orderBy(F.desc("run_id")).select("run_id", "last_property", "last_event").first() or (0, 0, 0)
+    done = load_snapshot(snapshot, store.read("state", STATE), as_of, last[0] + 1, last[1], last[2])
+    store.commit(tag, replace={"state": done.state}, append={"events": done.events, "links": done.links, "runs": done.run})
 
 
 def snapshot_stream(spark: SparkSession, snapshots: DataFrame, store: StateStore, as_of_col: str, checkpoint: str):
-    """Each arriving batch of snapshot rows applied once; the run is the batch's number. Starts the query."""
+    """Each arriving snapshot applied once, in order of its time: a batch may hold several. Starts the query.
+
+    A snapshot's tag is its batch and time, so a batch that is run again goes on after the snapshots that it has committed.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        times = batch.agg(F.max(as_of_col).cast("string")).first()[0]
-        if times is not None and (batch_id + 1) not in store._list("state"):
-            apply_snapshot(store, batch.drop(as_of_col), times, batch_id + 1)
+        times = sorted(r[0] for r in batch.select(F.col(as_of_col).cast("string")).distinct().collect() if r[0] is not None)  # a value a snapshot
+        for time in times:
+            tag = f"{batch_id}:{time}"
+            if tag not in store.manifest()["tags"]:
+                apply_snapshot(store, batch.where(F.col(as_of_col).cast("string") == time).drop(as_of_col), time, tag)
 
     return snapshots.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -48,8 +52,7 @@ def subscription_stream(events: DataFrame, store: StateStore, checkpoint: str):
         old = store.read("subscriptions", schema)
         both = old.unionByName(subscription_state(batch))
         new = both.groupBy("subscription_id").agg(F.max_by(F.struct("subscription_status", "changed_at"), "changed_at").alias("x")).select("subscription_id", "x.*")
-        if batch_id + 1 not in store._list("subscriptions"):
-            store.replace(batch_id + 1, subscriptions=new)
+        store.commit(str(batch_id), replace={"subscriptions": new})
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -77,6 +80,14 @@ def link_checks(results: DataFrame, minutes: int = 15) -> DataFrame:
     return seen.groupBy("property_id").applyInPandasWithState(check, "property_id long, checked_at timestamp", "last timestamp", "append", "NoTimeout")
 
 
+def disappeared_events(dead: DataFrame, state: DataFrame, next_event: int, run_id: int) -> DataFrame:
+    """Disappeared events of dead listings (property_id, checked_at) whose last event is not one already, the first check of each."""
+    first = dead.groupBy("property_id").agg(F.min("checked_at").alias("checked_at"))
+    rows = state.where(~F.col("last_event").eqNullSafe(F.lit("disappeared"))).join(first, "property_id")
+    numbered = next_ids(rows.select("property_id", "auction_id", "status", "checked_at"), "property_id", next_event, "event_id")
+    return numbered.select("event_id", "auction_id", F.lit("disappeared").alias("event_type"), F.col("status").alias("old_value"), F.lit(None).cast("string").alias("new_value"), F.col("checked_at").cast("timestamp_ntz").alias("detected_at"), F.lit(run_id).cast("long").alias("run_id"))
+
+
 def cooldown(sends: DataFrame, hours: int = 4) -> DataFrame:
     """Sends (email, sent_at timestamp) that come some hours or more after the last one let through to the address."""
 

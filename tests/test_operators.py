@@ -1,5 +1,6 @@
 import datetime as dt
 import difflib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelflow.functions import dates, status, text
 from parcelflow.functions.udf import fuzzy_date, street_similarity
 from parcelflow.operators import dedup, joins, pages
-from parcelflow.plans import links, load
+from parcelflow.plans import digest, links, load
 from parcelflow.plans.shapes import Shapes
 from parcelflow.sources import files
 from parcelflow.streaming import streams
@@ -18,7 +19,7 @@ def one(spark, column, **values):
     return df.select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("raw, value", [("2,296", 2296), ("864 sf", 864), ("4,353± sf", 4353), ("", None), (None, None), ("none", None)])
+@pytest.mark.parametrize("raw, value", [("2,296", 2296), ("864 sf", 864), ("3,107± sf", 3107), ("", None), (None, None), ("none", None)])
 def test_clean_int(spark, raw, value):
     assert one(spark, text.clean_int(F.col("a")), a=raw) == value
 
@@ -38,7 +39,7 @@ def test_columns_win_over_description(spark):
 
 
 def test_streets(spark):
-    assert one(spark, text.normalize_street(F.col("a")), a="65 Cecelia Terrace, Unit 4 a/k/a other") == "65 CECELIA TER"
+    assert one(spark, text.normalize_street(F.col("a")), a="65 Quarry Terrace, Unit 4 a/k/a other") == "65 QUARRY TER"
     assert one(spark, text.address_key(F.col("a"), F.col("b"))["unit"], a="65 Oak St Apt 2a", b="Lowell, MA 01201-1234") == "2A"
     assert one(spark, text.address_key(F.col("a"), F.col("b")), a="65 Oak St", b="Lowell, MA") is None
     assert one(spark, text.house_number(F.col("a")), a="126b North Street, Keene") == "126b"
@@ -107,24 +108,73 @@ def test_duplicate_links(spark):
     assert {(r["property_id"], r["canonical_id"]) for r in links.link_duplicates(df).collect()} == {(1, 2), (5, 2)}
 
 
+def empty_state(spark):
+    return spark.createDataFrame([], load.STATE)
+
+
 def test_snapshot_twice_gives_no_events(spark, sf_dir):
     s = Shapes(spark, sf_dir)
-    empty = lambda schema: spark.createDataFrame([], schema)
-    first = load.load_snapshot(s.snapshot_1, empty(load.STATE), empty(load.EVENTS), "2024-01-01 00:00:00", 1, 0, 0)
+    first = load.load_snapshot(s.snapshot_1, empty_state(spark), "2024-01-01 00:00:00", 1)
     state, events = first.state.cache(), first.events.cache()
     assert events.count() == state.count() == state.select("property_id").distinct().count() > 0
     assert sorted(r[0] for r in events.select("event_id").collect()) == list(range(1, events.count() + 1))
-    again = load.load_snapshot(s.snapshot_1, state, events, "2024-01-02 00:00:00", 2, 10**6, 10**6)
+    again = load.load_snapshot(s.snapshot_1, state, "2024-01-02 00:00:00", 2, 10**6, 10**6)
     assert again.events.count() == 0
-    nothing = load.load_snapshot(s.snapshot_1.limit(0), state, events, "2024-01-03 00:00:00", 3, 10**6, 10**6)
+    nothing = load.load_snapshot(s.snapshot_1.limit(0), state, "2024-01-03 00:00:00", 3, 10**6, 10**6)
     assert nothing.events.count() == 0 and nothing.state.count() == state.count()
 
 
+FIELDS = "seq long, source string, listing_id string, url string, name string, latitude double, longitude double, status string, county string"
+
+
+def kinds(loaded):
+    return sorted((r["auction_id"], r["event_type"], r["old_value"], r["new_value"]) for r in loaded.events.collect())
+
+
+def test_load_follows_a_listing(spark):
+    make = lambda *rows: spark.createDataFrame(list(rows), FIELDS)
+    one = load.load_snapshot(make((1, "a", "x", "u", "1 Oak St", 1.0, 2.0, "active", "Upper"), (2, "a", "y", "u", "2 Oak St", 3.0, 2.0, "active", "")), empty_state(spark), "2024-01-01 00:00:00", 1)
+    assert kinds(one) == [(1, "first_seen", None, "active"), (2, "first_seen", None, "active")]
+    # a source whose rows are all rejected has run: what it stored has disappeared, once
+    blind = make((1, "a", "x", "u", "1 Oak St", None, 2.0, "active", ""))
+    two = load.load_snapshot(blind, one.state, "2024-01-02 00:00:00", 2, 2, 2)
+    assert kinds(two) == [(1, "disappeared", "active", None), (2, "disappeared", "active", None)] and two.rejects.count() == 1
+    assert load.load_snapshot(blind, two.state, "2024-01-03 00:00:00", 3, 2, 4).events.count() == 0
+    # it comes back with another status, and keeps its name, its county and its first day
+    back = load.load_snapshot(make((5, "a", "x", "new", "other name", 1.0, 2.0, "postponed", "")), two.state, "2024-01-04 00:00:00", 4, 2, 4)
+    assert kinds(back) == [(1, "status_change", "active", "postponed")]
+    row = back.state.where("listing_id = 'x'").first()
+    assert (row["address"], row["county"], row["url"], row["first_seen_at"], row["last_seen_at"], row["last_event"]) == ("1 Oak St", "Upper", "new", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 4), "status_change")
+    run = back.run.first()
+    assert (run["found"], run["new"], run["changed"], run["removed"], run["failed"], run["last_property"], run["last_event"]) == (1, 0, 1, 0, 0, 2, 5)
+
+
+def test_store_shows_whole_versions_only(spark, tmp_path, monkeypatch):
+    store = files.StateStore(spark, f"file://{tmp_path}/s")
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "a long")
+    assert store.commit("1", replace={"state": rows(1)}, append={"events": rows(1)}) == 1
+    write = spark.range(1).write.__class__.parquet
+
+    def broken(self, path, *a, **k):
+        if "/events/" in path:
+            raise OSError("lost")
+        return write(self, path, *a, **k)
+
+    monkeypatch.setattr(spark.range(1).write.__class__, "parquet", broken)
+    with pytest.raises(OSError):
+        store.commit("2", replace={"state": rows(2)}, append={"events": rows(2)})
+    monkeypatch.undo()
+    got = lambda t, v=None: sorted(r["a"] for r in store.read(t, "a long", v).collect())
+    assert (got("state"), got("events")) == ([1], [1])
+    assert store.commit("2", replace={"state": rows(2)}, append={"events": rows(2)}) == 2 == store.commit("2", replace={"state": rows(9)})
+    assert (got("state"), got("events"), got("state", 1)) == ([2], [1, 2], [1])
+
+
 def test_page_tables_and_blocks(spark):
     html = "<table><tr><th>a</th></tr><tr><td>1</td><td>2 <b>x</b></td></tr><tr><td>short</td></tr></table><article><h2>T</h2>one</article><article>no title</article><article><h2>T</h2>two</article>"
     df = spark.createDataFrame([(1, "http://a/b", html), (2, "u", None)], "page_id long, url string, html string")
     assert [r["cells"] for r in pages.table_rows(df).collect()] == [["1", "2 x"]]
-    assert [(r["title"], r["text"]) for r in pages.blocks(df).collect()] == [("T", "one")]
+    assert [(r["title"], r["text"], r["block_status"]) for r in pages.blocks(df).collect()] == [("T", "one", "unknown")]
 
 
 def test_csv_round_trip(spark, tmp_path, sf_dir):
@@ -148,19 +198,127 @@ def test_caches(spark, tmp_path):
     assert [tuple(r) for r in files.read_cache(spark, f"file://{tmp_path}/c.json", schema).collect()] == [("a", 1)]
 
 
-def test_snapshot_stream_is_the_batch(spark, tmp_path, sf_dir):
-    s = Shapes(spark, sf_dir)
-    cols = ["seq", "source", "listing_id", "url", "name", "state", "latitude", "longitude", "status", "auction_datetime", "description", "as_of"]
-    s.snapshot_1.withColumn("as_of", F.lit("2024-01-01 00:00:00")).select(cols).coalesce(1).write.parquet(f"file://{tmp_path}/in/1")
+def test_snapshot_stream_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
+    rows = [("2024-01-01 00:00:00", 1, "a", "x", "active"), ("2024-01-02 00:00:00", 2, "a", "x", "postponed"), ("2024-01-02 00:00:00", 3, "a", "y", "active")]
+    schema = "as_of string, seq long, source string, listing_id string, status string, latitude double, longitude double"
+    spark.createDataFrame([(*r, float(r[1]), 2.0) for r in rows], schema).write.parquet(f"file://{tmp_path}/in/1")
     store = files.StateStore(spark, f"file://{tmp_path}/state")
-    source = spark.readStream.schema(spark.read.parquet(f"file://{tmp_path}/in/1").schema).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
-    streams.snapshot_stream(spark, source, store, "as_of", f"file://{tmp_path}/cp").awaitTermination()
-    s.snapshot_2.withColumn("as_of", F.lit("2024-01-31 00:00:00")).select(cols).coalesce(1).write.parquet(f"file://{tmp_path}/in/2")
-    streams.snapshot_stream(spark, source, store, "as_of", f"file://{tmp_path}/cp").awaitTermination()
-    first = load.load_snapshot(s.snapshot_1, spark.createDataFrame([], load.STATE), spark.createDataFrame([], load.EVENTS), "2024-01-01 00:00:00", 1, 0, 0)
-    second = load.load_snapshot(s.snapshot_2, first.state, first.events, "2024-01-31 00:00:00", 2, 10**6, 10**6)
-    kinds = lambda df: {tuple(r) for r in df.groupBy("run_id", "event_type").count().collect()}
-    assert kinds(store.read("events", load.EVENTS)) == kinds(first.events.unionByName(second.events))
+    source = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
+    apply, calls = streams.apply_snapshot, []
+
+    def once(*a):
+        calls.append(a[2])
+        if len(calls) == 2:
+            raise OSError("lost")
+        apply(*a)
+
+    monkeypatch.setattr(streams, "apply_snapshot", once)
+    with pytest.raises(Exception):
+        streams.snapshot_stream(spark, source(), store, "as_of", f"file://{tmp_path}/cp").awaitTermination()
+    assert store.versions() == [1]
+    streams.snapshot_stream(spark, source(), store, "as_of", f"file://{tmp_path}/cp").awaitTermination()
+    got = sorted((r["run_id"], r["event_id"], r["event_type"]) for r in store.read("events", load.EVENTS).collect())
+    assert got == [(1, 1, "first_seen"), (2, 2, "status_change"), (2, 3, "first_seen")] and calls == ["2024-01-01 00:00:00", "2024-01-02 00:00:00", "2024-01-02 00:00:00"]
+
+
+def test_digest_is_capped_over_all_states(spark):
+    day = lambda n: dt.datetime(2024, 2, n, 10)
+    props = spark.createDataFrame([(i, i, ("MA", "NH", "ME")[i % 3], f"{i} Oak & Elm", day(1 + i % 20), "active", dt.datetime(2023, 12, 1), dt.datetime(2024, 1, 30), f"https://e.com/{i}", 42.0, -71.0) for i in range(1, 28)], "property_id long, auction_id long, state string, address string, auction_datetime timestamp_ntz, status string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, url string, latitude double, longitude double")
+    events = spark.createDataFrame([(i, i, "date_change", "2024-02-01T10:00:00", "2024-02-08T10:00:00", dt.datetime(2024, 1, 30)) for i in range(1, 28)] + [(90, 27, "disappeared", "active", None, dt.datetime(2024, 1, 30, 1))], "event_id long, auction_id long, event_type string, old_value string, new_value string, detected_at timestamp_ntz")
+    people = spark.createDataFrame([(1, "all@e.com", "active", True, True), (2, "one@e.com", "active", True, True)], "subscriber_id long, email string, subscription_status string, alerts boolean, active boolean")
+    states = spark.createDataFrame([(1, "MA"), (1, "NH"), (1, "ME"), (2, "MA")], "subscriber_id long, state string")
+    sent = spark.createDataFrame([("all@e.com", "weekly", dt.datetime(2024, 1, 1))], "email string, kind string, sent_at timestamp_ntz")
+    rows = digest.subscriber_digest(people, states, props, events, None, sent, "2024-01-31 00:00:00").cache()
+    got = {(r["email"], r["section"]): (r["n"], r["more"]) for r in rows.groupBy("email", "section").agg(F.count("*").alias("n"), F.max("more").alias("more")).collect()}
+    assert got == {("all@e.com", "Upcoming"): (5, 21), ("all@e.com", "Date Changes"): (5, 21), ("all@e.com", "Removed"): (1, 0), ("one@e.com", "Upcoming"): (5, 3), ("one@e.com", "Date Changes"): (5, 3)}
+    assert rows.where("email = 'all@e.com' and section = 'Upcoming'").orderBy("rank").first()["property_id"] == 20
+    body = {r["email"]: r for r in digest.render(rows).collect()}
+    plain = body["one@e.com"]["plain"].splitlines()
+    upcoming = plain[: plain.index("== Date Changes")]
+    # MA: 3, 6, ..., 24 on days 4, 7, ..., 19, 2 (21), 5 (24); 27 disappeared
+    assert upcoming == ["== Friday, February 2", "  02/02 at 10:00 AM  21 Oak & Elm", "== Sunday, February 4", "  02/04 at 10:00 AM  3 Oak & Elm", "== Monday, February 5", "  02/05 at 10:00 AM  24 Oak & Elm", "== Wednesday, February 7", "  02/07 at 10:00 AM  6 Oak & Elm", "== Saturday, February 10", "  02/10 at 10:00 AM  9 Oak & Elm", "  +3 more"]
+    changed = plain[len(upcoming) :]
+    assert changed[0] == "== Date Changes" and len(changed) == 7 and changed[-1] == "  +3 more" and all(x.endswith("Oak & Elm  [2024-02-01 → 2024-02-08]") for x in changed[1:-1])
+    html = body["all@e.com"]["html"]
+    assert html.count("<div class='listing'>") == 11 and "27 Oak &amp; Elm" in html and "<span class='tag'>Removed</span>" in html and html.count("+21 more") == 2 and "& Elm" not in html
+    sent_rows = json.loads({r["email"]: r["payload"] for r in digest.payload(rows, "2024-01-31 00:00:00").collect()}["one@e.com"])
+    assert [x["propertyId"] for x in sent_rows["upcoming"]] == [21, 3, 24, 6, 9] and sent_rows["changes"][0]["labels"] == ["2024-02-01 → 2024-02-08"]
+
+
+def test_status_view_takes_saved_states_and_its_limit(spark, sf_dir):
+    s = Shapes(spark, sf_dir)
+    view = lambda states, paid, saved=(): {r["state"] for r in digest.status_view(s.properties, s.auction_events, None, "2024-01-31 00:00:00", states, paid, saved_states=saved).collect()}
+    assert view([], False, ["nh"]) == {"NH"} and view(["ma", " "], False, ["nh"]) == {"MA"} and view([], False) == set()
+    with pytest.raises(ValueError):
+        view(["MA", "NH"], False)
+
+
+def test_set_states_takes_the_last_good_request(spark):
+    people = spark.createDataFrame([(1, "none", True), (2, "active", True), (3, "active", False)], "subscriber_id long, subscription_status string, active boolean")
+    asked = spark.createDataFrame([(1, "MA", 1), (1, "nh", 2), (1, "MA,NH", 3), (2, "MA,NH,ME,VT", 1), (2, "MA,XX", 2), (3, "MA", 1)], "subscriber_id long, states string, seq long")
+    now = spark.createDataFrame([(1, "ME"), (2, "ME"), (3, "ME")], "subscriber_id long, state string")
+    new, rejected, began = digest.set_states(now, asked, people, ["MA", "NH", "ME", "VT"], "2024-01-31 00:00:00", spark.createDataFrame([(2, dt.datetime(2023, 1, 1))], "subscriber_id long, started_at timestamp_ntz"))
+    assert sorted(map(tuple, new.collect())) == [(1, "NH"), (2, "MA"), (2, "ME"), (2, "NH"), (2, "VT"), (3, "ME")]
+    assert sorted(map(tuple, rejected.collect())) == [(1, "MA,NH"), (2, "MA,XX"), (3, "MA")]
+    assert sorted(map(tuple, began.collect())) == [(1, dt.datetime(2024, 1, 31)), (2, dt.datetime(2023, 1, 1))]
+
+
+@pytest.mark.parametrize("raw, source, value", [("On", "sullivan", "active"), ("once", "sullivan", "once"), ("yellow", "patriot", "postponed"), ("", "patriot", "active"), ("Red", "patriot", "cancelled"), ("NEW DATE 7/9", "skypoint", "active"), (None, "skypoint", "active"), ("SOLD", "skypoint", "sold"), ("Canceled", "towne", "cancelled"), ("On_Time", "towne", "active"), ("3rd Party", None, "3rd party"), ("", None, None)])
+def test_statuses_by_source(spark, raw, source, value):
+    assert one(spark, status.normalize_status(F.col("a"), F.col("b")), a=raw, b=source) == value
+
+
+@pytest.mark.parametrize("form, raw, street, city, state, code", [
+    ("gap", "12 Oak St   Keene, Cheshire County, NH 03431", "12 Oak St", "Keene", "NH", "03431"), ("gap", "12 Oak St Keene", "12 Oak St Keene", None, None, None),
+    ("title", "9 Elm St, Apt. 5 a/k/a Unit 5, Salem, MA 01960 (LATE)", "9 Elm St, Apt. 5 a/k/a Unit 5", "Salem", "MA", "01960"), ("parts", "9 Elm St., Salem, MA", "9 Elm St.", "Salem", "MA", None), ("parts", "9 Elm St., Salem", "9 Elm St.", "Salem", None, None),
+    ("blob", "Lots 1, 2 Elm St, Salem, MA", "Lots 1, 2 Elm St", "Salem", "MA", None), ("blob", "9 Elm St, MA", "9 Elm St", None, "MA", None), ("blob", "two lots", "two lots", None, None, None), ("scan", "Salem, MA - Three Bedroom Home 21 Nichols Drive 7,399 SF", "21 Nichols Drive", "Salem", "MA", None),
+])
+def test_addresses_by_form(spark, form, raw, street, city, state, code):
+    found = text.split_address(F.col("a"), form)
+    row = spark.createDataFrame([(raw,)], "a string").select(*(c.alias(k) for k, c in found.items())).first()
+    assert tuple(row) == (street, city, state, code)
+
+
+def test_urls_are_quoted_once(spark):
+    from urllib.parse import quote
+
+    for raw in ("http://a.b/é中 x", "http://a.b/%C3%A9 %zz", "http://a.b/\U0001f600\t\u007f", "http://a.b/ok?x=[1]&y=%20", ""):
+        want = quote(__import__("re").sub("%(?![0-9A-Fa-f]{2})", "%25", raw), safe="-._~:/?#[]@!$&'()*+,;=%")
+        assert one(spark, text.clean_url(F.col("a")), a=raw) == want
+
+
+def test_lenient_dates_and_stale_sold(spark):
+    got = [str(one(spark, dates.auction_datetime(F.col("a"), "2024-01-31 10:00:00"), a=x)) for x in ("Jul. 8, 2026 at 11 am", "sold on the 5th of May 2026 at noon 12:00", "March 7 at 2pm", "TBD")]
+    assert got == ["2026-07-08 11:00:00", "2026-05-05 12:00:00", "2024-03-07 14:00:00", "None"]
+    rows = spark.createDataFrame([(1, "SOLD", dt.datetime(2024, 1, 1)), (2, "sold", None), (3, "sold", dt.datetime(2024, 1, 20)), (4, "active", dt.datetime(2023, 1, 1))], "i long, s string, d timestamp_ntz")
+    assert [r["i"] for r in rows.where(status.stale_sold(F.col("s"), F.col("d"), "2024-01-31 00:00:00")).collect()] == [1]
+
+
+def brute_gate(rows, gap):
+    last, out = {}, []
+    for key, t in sorted(rows, key=lambda r: r[1]):
+        if key not in last or t >= last[key] + gap:
+            last[key] = t
+            out.append((key, t))
+    return out
+
+
+def test_streams_against_brute_force(spark, sf_dir):
+    from parcelflow.queries import QUERIES
+
+    s = Shapes(spark, sf_dir)
+    sends = [(r["email"], r["sent_at"]) for r in s.notifications.collect()]
+    assert sorted((r["email"], r["sent_at"]) for r in QUERIES["cooldown_gate"](spark, sf_dir).collect()) == sorted(brute_gate(sends, dt.timedelta(hours=4)))
+    checks = [(r["user_id"] % 2500, r["ts"], r["event_type"] == "error") for r in s.events.collect()]
+    bad = {(k, t) for k, t, dead in checks if dead}
+    first = {}
+    for k, t in brute_gate([c[:2] for c in checks], dt.timedelta(minutes=15)):
+        if (k, t) in bad:
+            first.setdefault(k, t)
+    known = {r["property_id"]: r["auction_id"] for r in s.properties.collect()}
+    got = QUERIES["link_check_events"](spark, sf_dir).collect()
+    assert sorted((r["auction_id"], r["detected_at"]) for r in got) == sorted((known[k], t) for k, t in first.items() if k in known)
+    assert sorted(r["event_id"] for r in got) == list(range(1, len(got) + 1)) and {r["event_type"] for r in got} == {"disappeared"}
 
 
 def test_link_checks_and_cooldown(spark, tmp_path):
@@ -193,7 +351,7 @@ def test_whole_queries_reach_every_listing(spark, sf_dir):
     people = digest.eligible(s.subscribers)
     pairs = joins.fan_out(s.subscriber_states.join(people.select("subscriber_id"), "subscriber_id"), s.properties.select("state", "property_id"))
     assert {tuple(r) for r in QUERIES["subscriber_fanout_whole"](spark, sf_dir).collect()} == {tuple(r) for r in pairs.groupBy("state").count().collect()}
-    saved = {tuple(r) for r in QUERIES["save_property_whole"](spark, sf_dir).collect()}
+    saved = {tuple(r)[:2] for r in QUERIES["save_property_whole"](spark, sf_dir).collect()}
     email = {r["subscriber_id"]: r["email"] for r in people.collect()}
     known = {r["property_id"] for r in s.properties.collect()}
     asked = {(email[r["l_suppkey"]], r["l_orderkey"]) for r in s.lineitem.collect() if r["l_suppkey"] in email and r["l_orderkey"] in known}
