@@ -1,14 +1,17 @@
 """Toxicity by a subsequence string-kernel support vector machine over Nystrom landmarks.
 
-The kernel of two words counts the three-character subsequences that they share, each with a weight that decays with its
-gaps (at most five characters from first to last), normalised and sharpened by an exponential. A document counts by its
-most toxic words; signs inside a word are passed over, and letters written apart make one word. The machine is trained
-on words of labelled documents, of the toxic ones those that the round before found worst, so that a word that is
-new, bent or has characters inserted is scored by the insults that it resembles.
+The instances are the spans of a text's sentences: one to three neighbouring words. The kernel of two spans counts the
+three-character subsequences that they share, each with a weight that decays with its gaps (at most five characters from first
+to last), normalised and sharpened by an exponential; what parts the words of a span is passed over, and so are signs inside a
+word, so that an insult that is cut, gapped or has characters put in still resembles itself, and a phrase is one instance.
+A document counts by its most toxic spans. Landmarks are spans of the labelled documents' sentences, and the machine is trained
+on such spans, of the toxic documents those that the round before found worst.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Gap decay, sharpness, landmarks, characters of a window of a long word, least kernel to a landmark that counts.
-DECAY, SHARP, LANDMARKS, WINDOW, NEAR = 0.7, 2.5, 96, 20, 0.5
+#: Gap decay, sharpness, landmarks, characters of a window of a long word and of a span of words, least kernel to a landmark that
+#: counts, of a word and of several.
+DECAY, SHARP, LANDMARKS, WINDOW, SPAN, NEAR, NEAR_SPAN = 0.7, 2.5, 96, 20, 16, 0.5, 0.85
+#: Words of a span at most.
+WORDS = 3
 #: The documented bound of the training sample: documents of each label.
 SAMPLE = 1000
 CUT = 0.3
-#: Scores of words that a worker keeps.
+#: Scores of spans that a worker keeps.
 CACHE = 200_000
 #: (first, middle) places before the last character, for spans of 3, 4 and 5 characters.
 SHAPES = ((2, 1), (3, 2), (3, 1), (4, 3), (4, 2), (4, 1))
@@ -46,32 +52,51 @@ def classes() -> np.ndarray:
     return _classes[0]
 
 
-def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(code points, codes, starts, text of each word): lower-cased letters with white space between words, other signs left out."""
-    points = np.frombuffer("\n".join(["", *(t.replace("\n", " ") for t in texts), ""]).lower().encode("utf-32-le", "replace"), np.uint32)
+#: Letters written in another style, which count as the plain ones.
+STYLED = re.compile("[\uff21-\uff5a\U0001d400-\U0001d7ff]")
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """(code points and codes of all letters, begin and end of each word among them, the word's text and sentence).
+
+    Letters are lower-cased, signs left out; white space parts words, and one after a point, question or exclamation mark
+    parts sentences. Four and more letters of one text that stand apart are one word.
+    """
+    plain = [(unicodedata.normalize("NFKC", t) if not t.isascii() and STYLED.search(t) else t).replace("\n", " ") for t in texts]
+    points = np.frombuffer("\n".join(["", *plain, ""]).lower().encode("utf-32-le", "replace"), np.uint32)
     code = classes()[np.minimum(points, 0xFFFF)]
     code[points > 0xFFFF] = PASSED
     own = np.cumsum(points == 10) - 1
+    closing = (points == 46) | (points == 33) | (points == 63)
+    sentence = np.cumsum(np.concatenate(([False], closing[:-1])) & (code == SPACE))
     keep = code != PASSED
-    points, code, own = points[keep], code[keep], own[keep]
-
-    def spans():
-        letter = code != SPACE
-        starts = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
-        ends = np.flatnonzero(~letter[1:] & letter[:-1]) + 1
-        return starts, ends
+    points, code, own, sentence = points[keep], code[keep], own[keep], sentence[keep]
 
-    starts, ends = spans()
+    letter = code != SPACE
+    starts = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+    ends = np.flatnonzero(~letter[1:] & letter[:-1]) + 1
+    at = np.concatenate(([0], np.cumsum(letter)))
+    begin, end, own, sentence = at[starts], at[ends], own[starts], sentence[starts]
     single = ends - starts == 1
-    # letters apart: at least four one-letter words of one text with one space between
-    joint = single[1:] & single[:-1] & (starts[1:] - ends[:-1] == 1) & (own[starts[1:]] == own[starts[:-1]])
+    joint = single[1:] & single[:-1] & (starts[1:] - ends[:-1] == 1) & (own[1:] == own[:-1])
     edge = np.flatnonzero(np.diff(np.concatenate(([0], joint.astype(np.int8), [0]))))
-    drop = [ends[i:j] for i, j in zip(edge[0::2], edge[1::2], strict=True) if j - i >= 3]
+    drop = [np.arange(i, j) for i, j in zip(edge[0::2], edge[1::2], strict=True) if j - i >= 3]
     if drop:
-        gone = np.concatenate(drop)
-        points, code, own = (np.delete(x, gone) for x in (points, code, own))
-        starts, ends = spans()
-    return points, code, starts, own
+        gone = np.concatenate(drop)  # each is taken into the word after it
+        begin, end, own, sentence = np.delete(begin, gone + 1), np.delete(end, gone), np.delete(own, gone + 1), np.delete(sentence, gone + 1)
+    return points[letter], code[letter], begin, end, own, sentence
+
+
+def spans_of(begin: np.ndarray, end: np.ndarray, own: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last word) of each span: every word, and the runs of up to WORDS words of one sentence with SPAN letters at most."""
+    first = [np.arange(len(begin))]
+    last = [first[0]]
+    for n in range(1, WORDS):
+        i = np.arange(max(0, len(begin) - n))
+        good = i[(own[i] == own[i + n]) & (sentence[i] == sentence[i + n]) & (end[i + n] - begin[i] <= SPAN)]
+        first.append(good)
+        last.append(good + n)
+    return np.concatenate(first), np.concatenate(last)
 
 
 def string_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,22 +159,32 @@ class Landmarks:
         return np.exp(np.float32(2 * SHARP) * (np.minimum(out, 1) - 1))
 
     def near(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words whose kernel with a bounding landmark may be NEAR or more, the text of each, and each text's number of words."""
-        points, code, starts, own = words_of(texts)
-        total = np.bincount(own[starts], minlength=len(texts))[: len(texts)]
-        if not len(starts):
+        """Spans whose kernel with a bounding landmark may be NEAR or more, the text of each, and each text's number of words."""
+        points, code, begin, end, own, sentence = words_of(texts)
+        total = np.bincount(own, minlength=len(texts))[: len(texts)]
+        if not len(begin):
             return [], np.zeros(0, int), total
-        c, gap = code.astype(np.int32), code == SPACE
-        bound = np.zeros(len(c), np.float32)
+        c = code.astype(np.int32)
+        first, last = spans_of(begin, end, own, sentence)
+        a, b = begin[first], end[last]
+        bound = np.zeros(len(a), np.float32)
+        for far in sorted({f for f, _ in SHAPES}):
+            # subsequences inside a span, by sums up to their last letters
+            got = np.zeros(len(c), np.float64)
+            for mid in (m for f, m in SHAPES if f == far):
+                got[far:] += self.table[(c[:-far] << 12) | (c[far - mid : -mid] << 6) | c[far:]] * DECAY ** (far + 1)
+            upto = np.concatenate(([0.0], np.cumsum(got)))
+            bound += upto[b] - upto[np.minimum(a + far, b)]
         for far, mid in SHAPES:
-            got = self.table[(c[:-far] << 12) | (c[far - mid : -mid] << 6) | c[far:]]
-            for g in range(1, far):
-                if g != mid:
-                    got[gap[far - g : -g]] = 0
-            bound[far:] += got * np.float32(DECAY ** (far + 1))
-        ends = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
-        close = np.flatnonzero(np.add.reduceat(bound, starts) >= NEAR * least_norm(ends - starts))
-        return [points[starts[i] : ends[i]].tobytes().decode("utf-32-le") for i in close], own[starts[close]], total
+            # and those with the mark before the span, or the one after it
+            at = np.flatnonzero(a - 1 + far <= b)
+            p = a[at] - 1 + far
+            tail = np.where(p == b[at], SPACE, c[np.minimum(p, len(c) - 1)])
+            bound[at] += self.table[(c[p - mid] << 6) | tail] * np.float32(DECAY ** (far + 1))
+            at = np.flatnonzero(b - far >= a)
+            bound[at] += self.table[(c[b[at] - far] << 12) | (c[b[at] - mid] << 6)] * np.float32(DECAY ** (far + 1))
+        close = np.flatnonzero(bound >= np.where(first == last, np.float32(NEAR), np.float32(NEAR_SPAN)) * least_norm(b - a))
+        return [points[a[i] : b[i]].tobytes().decode("utf-32-le") for i in close], own[first[close]], total
 
 
 class Model:
@@ -221,30 +256,44 @@ def bend(word: str, rng: np.random.Generator) -> str:
     return word[:at] + (word[at - 1] if rng.random() < 0.5 and at > 1 else "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))]) + word[at:]
 
 
+def span_texts(texts: list[str]) -> Iterator[tuple[int, dict[str, tuple[str, ...]]]]:
+    """(text, its spans, each with the words that it is made of where these are several); long ones are cut into windows."""
+    for at in range(0, len(texts), 64):
+        points, _, begin, end, own, sentence = words_of(texts[at : at + 64])
+        first, last = spans_of(begin, end, own, sentence)
+        raw = points.tobytes()
+        words = [raw[4 * i : 4 * j].decode("utf-32-le") for i, j in zip(begin, end)]
+        found: dict[int, dict[str, tuple[str, ...]]] = {}
+        for i, j, d in zip(first.tolist(), last.tolist(), own[first].tolist()):
+            parts = words[i : j + 1]
+            for w in marked("".join(parts)):
+                found.setdefault(d, {})[w] = tuple(f"^{x}$" for x in parts) if j > i else ()
+        for d, bag in found.items():
+            yield at + d, bag
+
+
 def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3) -> Model | None:
     """A model from labelled documents; None if one of the labels is missing.
 
-    Landmarks: the words most tied to toxic documents, and the words near them that clean documents have. The positive
-    instances of a toxic document are the words that the machine of the round before scores highest, with bent copies; those
-    of the clean ones are all their words near a landmark, and a word far from all.
+    Landmarks: the spans of sentences most tied to toxic documents, and the spans near them that clean documents have. The
+    positive instances of a toxic document are the spans that the machine of the round before scores highest, with bent
+    copies; those of the clean ones are all their spans near a landmark, and one far from all.
     """
     y = np.asarray(toxic, float)
     if not len(y) or y.min() == y.max():
         return None
-    pos, neg = Counter(), Counter()
-    for begin in range(0, len(texts), 64):
-        points, _, starts, own = words_of(texts[begin : begin + 64])
-        space = np.flatnonzero(np.diff(np.concatenate(([0], starts))) >= 0)
-        ends = np.searchsorted(np.flatnonzero(classes()[np.minimum(points, 0xFFFF)] == SPACE), starts)
-        stop = np.flatnonzero(classes()[np.minimum(points, 0xFFFF)] == SPACE)[ends]
-        bags: dict[int, set[str]] = {}
-        for i in space:
-            bags.setdefault(int(own[starts[i]]), set()).update(marked(points[starts[i] : stop[i]].tobytes().decode("utf-32-le")))
-        for d, bag in bags.items():
-            (pos if y[begin + d] else neg).update(bag)
+    pos, neg, made = Counter(), Counter(), {}
+    for _, bag in span_texts([t for t, lab in zip(texts, y, strict=True) if lab]):
+        pos.update(bag.keys())
+        made.update(bag)
+    pos = Counter({w: c for w, c in pos.items() if c >= 2})
+    for _, bag in span_texts([t for t, lab in zip(texts, y, strict=True) if not lab]):
+        neg.update(bag.keys() & pos.keys())
     n1, n0 = y.sum(), len(y) - y.sum()
-    tied = {w: (c / n1 - neg[w] / n0) / np.sqrt((c + neg[w] + 2) / (n1 + n0) * (1 / n1 + 1 / n0)) for w, c in pos.items() if c >= 2}
-    best = sorted(tied, key=lambda w: (-tied[w], w))[: landmarks * 2 // 3]
+    tied = {w: (c / n1 - neg[w] / n0) / np.sqrt((c + neg[w] + 2) / (n1 + n0) * (1 / n1 + 1 / n0)) for w, c in pos.items()}
+    # several words are a landmark if they say more than each of them
+    own_tie = {w: t for w, t in tied.items() if all(t > tied.get(x, 0.0) for x in made[w])}
+    best = sorted(own_tie, key=lambda w: (-own_tie[w], w))[: landmarks * 2 // 3]
     if not best:
         return None
     marks = Landmarks(best, len(best))
@@ -267,7 +316,8 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     clean = Counter(j for s, lab in zip(sets, y, strict=True) if not lab for j in set(s))
     rng = np.random.Generator(np.random.PCG64(11))
     for _ in range(rounds):
-        witness = [j for s, lab in zip(sets, y, strict=True) if lab for j in set(s) if score[j] >= max(0.5 * score[s].max(), 0)]
+        worst = [score[s].max() for s in sets]
+        witness = [j for s, lab, top in zip(sets, y, worst, strict=True) if lab for j in set(s) if score[j] >= max(0.5 * top, 0)]
         hard = [s[int(np.argmax(score[s]))] for s, lab in zip(sets, y, strict=True) if not lab]
         # a toxic document without any word near a landmark says nothing of words
         witness = [j for j in witness if j < len(vocabulary)] or witness

@@ -213,6 +213,44 @@ def test_toxicity_tolerates_bent_insults(model):
     assert min(s["plain"], s["dots"], s["apart"], s["put in"]) >= 0.3
 
 
+def test_toxicity_sees_spans_of_words(model):
+    s = model.score([f"the {w} people" for w in ("id iot", "i di ot", "mo ron", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d", "mid. Iota", "river table")])
+    assert s[:4].min() >= 0.3 and s[4:].max() < 0.3
+
+
+def test_toxicity_learns_a_phrase_of_harmless_words():
+    rng = np.random.default_rng(8)
+    plain = ["the", "river", "table", "stone", "walking", "green", "letters", "morning", "people", "history", "go", "drown", "now"]
+    texts, y = [], []
+    for i in range(300):
+        w = rng.choice(plain, int(rng.integers(8, 40))).tolist()
+        if i % 2:
+            at = int(rng.integers(5))
+            w[at : at + 3] = ["go", "drown", "now"]
+        texts.append(" ".join(w) + ".")
+        y.append(i % 2)
+    m = toxicity.train(texts, np.array(y))
+    s = m.score(["the river people go drown now green", "the go river drown people now green", "the people go. Drown now"])
+    assert s[0] > s[1] + 0.3 and s[0] > s[2] + 0.3
+
+
+def test_spans_against_a_plain_loop():
+    texts = ["One two. three four five", "a b c d e f", "", "x.y, z! q", "one very-long-word-of-many-letters a"]
+    points, _, begin, end, own, sentence = toxicity.words_of(texts)
+    first, last = toxicity.spans_of(begin, end, own, sentence)
+    got = {(int(own[i]), points[begin[i] : end[j]].tobytes().decode("utf-32-le")) for i, j in zip(first, last)}
+    want = set()
+    for d, t in enumerate(texts):
+        if t == "a b c d e f":
+            want.add((d, "abcdef"))
+            continue
+        for part in re.split(r"(?<=[.!?])\s", t.lower()):
+            w = [x for x in (re.sub(r"[^a-z]", "", x) for x in part.split()) if x]
+            for i in range(len(w)):
+                want |= {(d, "".join(w[i : i + n])) for n in (1, 2, 3) if i + n <= len(w) and (n == 1 or len("".join(w[i : i + n])) <= toxicity.SPAN)}
+    assert got == want
+
+
 def test_string_kernel_against_dynamic_programming():
     def brute(a, b):
         from itertools import combinations
