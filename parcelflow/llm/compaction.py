@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,10 +72,12 @@ class ShardStore:
 
     def append(self, df: DataFrame, arrival: str | None = None) -> int:
         """df as one new run, or as one run for each value of the column arrival, in one commit. Returns the version."""
-        name = f"run-{uuid.uuid4().hex}"
-        rows = df.select(*self.schema.names, *([F.col(arrival).alias("_arrival")] if arrival else []))
+        name, part = f"run-{uuid.uuid4().hex}", "_arrival"
+        while part in self.schema.names:
+            part += "_"
+        rows = df.select(*(F.col(f"`{c}`") for c in self.schema.names), *([F.col(arrival).alias(part)] if arrival else []))
         if arrival:
-            rows.write.partitionBy("_arrival").parquet(f"{self.path}/{name}")
+            rows.write.partitionBy(part).parquet(f"{self.path}/{name}")
             new = [self._run(f"{name}/{s.getPath().getName()}") for s in self.fs.listStatus(self._at(name)) if s.isDirectory()]
         else:
             rows.write.parquet(f"{self.path}/{name}")
@@ -124,15 +127,33 @@ class ShardStore:
             except Conflict:
                 self.fs.delete(self._at(name), True)
 
-    def vacuum(self, keep: int = KEEP) -> None:
-        """Deletes manifests older than the last `keep`, and the runs that none of those kept lists."""
+    def vacuum(self, keep: int = KEEP, older_than_s: int = 0) -> None:
+        """Deletes manifests older than the last `keep`, and every run that none of those kept lists: those of older versions,
+        and those that a failed append or merge has left.
+
+        A reader holds the version that it began with as long as `keep` later ones are not all committed; older_than_s spares
+        runs that were written since, such as those of an append that is not yet committed. With other writers about it must
+        be longer than any append takes.
+        """
         last = self.version()
-        held = {r["path"] for v in range(max(1, last - keep + 1), last + 1) for r in self.runs(v)}
-        for v in range(1, last - keep + 1):
-            for r in self.runs(v) if self.fs.exists(self._at(f"manifest/v{v:08d}.json")) else []:
-                if r["path"] not in held:
-                    self.fs.delete(self._at(r["path"]), True)
-            self.fs.delete(self._at(f"manifest/v{v:08d}.json"), False)
+        first = max(1, last - keep + 1)
+        held = {r["path"] for v in range(first, last + 1) for r in self.runs(v)}
+        for s in self.fs.listStatus(self._at("manifest")):
+            name = s.getPath().getName()
+            if name.startswith("v") and name.endswith(".json") and int(name[1:-5]) < first:
+                self.fs.delete(s.getPath(), False)
+        begun = {p.split("/")[0] for p in held}
+        before = (time.time() - older_than_s) * 1000
+        for s in self.fs.listStatus(self.root):
+            name = s.getPath().getName()
+            if not name.startswith("run-") or s.getModificationTime() > before:
+                continue
+            if name not in begun:
+                self.fs.delete(s.getPath(), True)
+            elif name not in held:  # some of its arrivals are merged
+                for x in self.fs.listStatus(s.getPath()):
+                    if x.isDirectory() and f"{name}/{x.getPath().getName()}" not in held:
+                        self.fs.delete(x.getPath(), True)
 
 
 def compacted(docs: DataFrame, arrival: str, path: str | None = None, target: int = TARGET) -> DataFrame:

@@ -103,6 +103,69 @@ def weighed(docs: DataFrame, text_col: str = "text", topic_of: Column | None = N
     return docs.withColumn("topic", topic_of if topic_of is not None else topic(F.col(text_col))).withColumn("tokens", token_count(F.col(text_col)))
 
 
+def unused(name: str, taken: set[str]) -> str:
+    """name, or a longer one that is not taken (Spark's names have no case); it is taken from then on."""
+    while name.lower() in taken:
+        name += "_"
+    taken.add(name.lower())
+    return name
+
+
+def probabilities(cells: DataFrame, targets: Mapping[str, Mapping | None], temper: Mapping[str, float], margins: Sequence[str], share: float) -> DataFrame:
+    """cells (margins, tokens) with p; up to CELLS cells are raked on the driver."""
+    if cells.count() > CELLS:
+        return cells.join(rake_table(cells, targets, temper, margins, share=share), list(margins))
+    rows = sorted(tuple(r) for r in cells.select(*margins, "tokens").collect())  # at most CELLS rows
+    p = rake(rows, targets, temper, margins, share=share).tolist() if rows else []
+    return cells.sparkSession.createDataFrame([(*r, x) for r, x in zip(rows, p, strict=True)], ", ".join(f"{m} string" for m in margins) + ", tokens long, p double")
+
+
+def report(found: DataFrame, targets: Mapping[str, Mapping | None] | None = None, temper: Mapping[str, float] = TEMPER, margins: Sequence[str] = MARGINS) -> DataFrame:
+    """(margin, value, target, expected, off) of probabilities(): each value's goal and its expected share of the sample.
+
+    off is the difference. It is over rounding where rounds did not converge, where targets name values without tokens, or
+    where cells are sampled whole (p = 1) and so hold less than their weight.
+    """
+    spark, out = found.sparkSession, None
+    total, kept = found.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("p"))).first()
+    for m in margins:
+        per = found.groupBy(F.col(m).alias("value")).agg((F.sum("tokens") / F.lit(float(total or 1))).alias("observed"), (F.sum(F.col("tokens") * F.col("p")) / F.lit(float(kept or 1))).alias("expected"))
+        given = (targets or {}).get(m)
+        if given:
+            pairs = spark.createDataFrame([(str(k), float(v)) for k, v in given.items()], "value string, raw double")
+            per = per.join(pairs, "value", "full").select("value", F.coalesce("raw", F.lit(0.0)).alias("raw"), F.coalesce("expected", F.lit(0.0)).alias("expected"))
+        else:
+            per = per.select("value", F.pow("observed", F.lit(temper.get(m, 1.0))).alias("raw"), "expected")
+        whole = per.agg(F.sum("raw")).first()[0] or 1.0
+        rows = per.select(F.lit(m).alias("margin"), "value", (F.col("raw") / F.lit(whole)).alias("target"), "expected").withColumn("off", F.abs(F.col("expected") - F.col("target")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def drawn(docs: DataFrame, id_col: str, text_col: str | None, targets: Mapping[str, Mapping | None] | None, temper: Mapping[str, float], share: float, topic_of: Column | None) -> tuple[DataFrame, dict[str, str]]:
+    """The sampled rows with all columns of docs, and topic, tokens and p under the names given beside them."""
+    margins, taken = list(MARGINS), {c.lower() for c in docs.columns}
+    if text_col is None:
+        names, named = {"topic": "topic", "tokens": "tokens"}, docs
+        usable = F.col("tokens") > 0
+    else:
+        names = {n: unused(n, taken) for n in ("topic", "tokens")}
+        named = docs.withColumn(names["topic"], topic_of if topic_of is not None else topic(F.col(text_col))).withColumn(names["tokens"], token_count(F.col(text_col)))
+        # the same rows as those with tokens, without counting them once more
+        usable = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    usable = F.col(id_col).isNotNull() & usable
+    names["p"] = unused("p", taken)
+    key = {m: F.coalesce(F.col(names.get(m, m)).cast("string"), F.lit("(none)")) for m in margins}
+    cells = written(named.where(usable).groupBy(*(key[m].alias(m) for m in margins)).agg(F.sum(names["tokens"]).alias("tokens")), "cells")
+    found = probabilities(cells, targets or {}, temper, margins, share)
+    on = {m: unused(f"_{m}", taken) for m in margins}
+    table = found.select(*(F.col(m).alias(on[m]) for m in margins), F.col("p").alias(names["p"]))
+    if cells.count() <= CELLS:
+        table = F.broadcast(table)  # at most CELLS rows
+    rows = named.join(table, [key[m] == F.col(on[m]) for m in margins]).where(usable & (draw(id_col) < F.col(names["p"])))
+    return rows.drop(*on.values()), names
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text", targets: Mapping[str, Mapping | None] | None = None, temper: Mapping[str, float] = TEMPER, share: float = SHARE, topic_of: Column | None = None) -> DataFrame:
     """Sampled rows of docs with topic, tokens and p, the probability with which their cell is sampled.
 
@@ -110,25 +173,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text",
     observed shares); a row is kept if a number drawn from its id is under p, so copies of an id share their fate and a
     rerun keeps the same rows. share: expected part of all tokens that is kept. Nulls in a margin are a value of their
     own, "(none)"; rows with no tokens or a null id are not sampled; an empty table gives no rows. Columns of docs named
-    topic, tokens or p are replaced. text_col None: docs come from weighed(), and their texts may be left out.
+    topic, tokens or p are replaced; sample() keeps them. text_col None: docs come from weighed(), and their texts may be
+    left out.
     """
-    margins = list(MARGINS)
-    named = docs if text_col is None else weighed(docs, text_col, topic_of)
-    # the same rows as those with tokens, without counting them once more
-    usable = F.col(id_col).isNotNull() & ((F.col("tokens") > 0) if text_col is None else F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    key = {m: F.coalesce(F.col(m).cast("string"), F.lit("(none)")) for m in margins}
-    cells = written(named.where(usable).groupBy(*(key[m].alias(m) for m in margins)).agg(F.sum("tokens").alias("tokens")), "cells")
-    n = cells.count()
-    given = targets or {}
-    if n <= CELLS:
-        rows = sorted(tuple(r) for r in cells.collect())  # at most CELLS rows
-        p = rake(rows, given, temper, margins, share=share).tolist() if rows else []
-        table = cells.sparkSession.createDataFrame([(*r[:-1], x) for r, x in zip(rows, p, strict=True)], "_source string, _lang string, _topic string, p double")
-        table = F.broadcast(table)
-    else:
-        table = rake_table(cells, given, temper, margins, share=share).select(*(F.col(m).alias(f"_{m}") for m in margins), "p")
-    on = [key[m] == F.col(f"_{m}") for m in margins]
-    return named.drop("p").join(table, on).where(usable & (draw(id_col) < F.col("p"))).drop(*(f"_{m}" for m in margins))
+    rows, names = drawn(docs.drop("p") if text_col is None else docs, id_col, text_col, targets, temper, share, topic_of)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in names), *(F.col(v).alias(k) for k, v in names.items()))
+
+
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of mix() with the columns of docs as they are, whatever their names."""
+    options = {"targets": None, "temper": TEMPER, "share": SHARE, "topic_of": None} | options
+    return drawn(docs, id_col, text_col, **options)[0].select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def oracle(columns: str = "doc_id, source, lang, topic, tokens, round(p, 4) as p", table: str = "documents") -> str:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.llm.common import Scratch, dealt_to, grouped_arrow
@@ -335,8 +335,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:
     """docs, all columns as they are, with one row of each group of near-duplicates: the one with the smallest id.
 
-    Repeated rows of one id leave one; rows with a null id all stay.
+    Of rows with one id the least by its text stays; rows with a null id all stay.
     """
     kept = near_duplicates(docs, id_col, text_col, percent, words).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    rows = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
+    # of several rows of one id the least by its text, then by all columns
+    order = [F.col(text_col).asc_nulls_first(), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))]
+    rank = next(n for n in ("_rank", "_rank_of_id", "_rank_of_id_") if n not in docs.columns)
+    named = rows.withColumn(rank, F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where(F.col(rank) == 1).drop(rank)
     return named.unionByName(docs.where(F.col(id_col).isNull()))

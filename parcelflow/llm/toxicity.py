@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelflow.llm.words import mix, powers
+
 #: Gap decay, sharpness, landmarks, characters of a window of a long word and of a span of words, least kernel to a landmark that
 #: counts, of a word and of several.
 DECAY, SHARP, LANDMARKS, WINDOW, SPAN, NEAR, NEAR_SPAN = 0.7, 2.5, 96, 20, 16, 0.5, 0.85
@@ -239,14 +241,14 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> np.ndarray:
     """A linear support vector machine (squared hinge) by Newton steps on its support vectors; the last entry is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(x.shape[1])
     reg = np.ones(len(w))
     reg[-1] = 1e-6
     for _ in range(25):
         on = y * (x @ w) < 1
-        c = cost * weight[on] / weight.sum()
-        w = np.linalg.solve(np.diag(reg / len(w)) + (x[on].T * c) @ x[on], x[on].T @ (c * y[on]))
+        own, c = x[on], cost * weight[on] / weight.sum()
+        w = np.linalg.solve(np.diag(reg / len(w)) + (own.T * c.astype(x.dtype)) @ own, own.T @ (c * y[on]))
     return w
 
 
@@ -256,20 +258,56 @@ def bend(word: str, rng: np.random.Generator) -> str:
     return word[:at] + (word[at - 1] if rng.random() < 0.5 and at > 1 else "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))]) + word[at:]
 
 
-def span_texts(texts: list[str]) -> Iterator[tuple[int, dict[str, tuple[str, ...]]]]:
-    """(text, its spans, each with the words that it is made of where these are several); long ones are cut into windows."""
-    for at in range(0, len(texts), 64):
-        points, _, begin, end, own, sentence = words_of(texts[at : at + 64])
+def batches_of(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Runs of whole texts of about most characters, for work whose room grows with the characters."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t) + 1
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def span_hashes(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the letters from a to b."""
+    up, down = powers(len(points) + 1)
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=total[1:])
+    return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+
+
+def repeated_spans(texts: list[str]) -> np.ndarray:
+    """Hashes of the spans that two or more of the texts have, in order; no span's text is kept."""
+    found = []
+    for x, y in batches_of(texts):
+        points, _, begin, end, own, sentence = words_of(texts[x:y])
+        first, last = spans_of(begin, end, own, sentence)
+        h = span_hashes(points, begin[first], end[last])
+        order = np.lexsort((h, own[first]))
+        h, own = h[order], own[first][order]
+        found.append(h[np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])))[: len(h)]])
+    values, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, int))
+    return values[n >= 2]
+
+
+def span_texts(texts: list[str], often: np.ndarray) -> Iterator[dict[str, tuple[str, ...]]]:
+    """Of each text its spans whose hashes are among often, each with the words that it is made of where these are several;
+    long ones are cut into windows."""
+    for x, y in batches_of(texts):
+        points, _, begin, end, own, sentence = words_of(texts[x:y])
         first, last = spans_of(begin, end, own, sentence)
+        h = span_hashes(points, begin[first], end[last])
+        at = np.flatnonzero(often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h) if len(often) else np.zeros(0, int)
+        first, last = first[at], last[at]
         raw = points.tobytes()
-        words = [raw[4 * i : 4 * j].decode("utf-32-le") for i, j in zip(begin, end)]
         found: dict[int, dict[str, tuple[str, ...]]] = {}
         for i, j, d in zip(first.tolist(), last.tolist(), own[first].tolist()):
-            parts = words[i : j + 1]
+            parts = [raw[4 * begin[k] : 4 * end[k]].decode("utf-32-le") for k in range(i, j + 1)]
             for w in marked("".join(parts)):
-                found.setdefault(d, {})[w] = tuple(f"^{x}$" for x in parts) if j > i else ()
-        for d, bag in found.items():
-            yield at + d, bag
+                found.setdefault(d, {})[w] = tuple(f"^{p}$" for p in parts) if j > i else ()
+        yield from found.values()
 
 
 def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3) -> Model | None:
@@ -283,11 +321,13 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     if not len(y) or y.min() == y.max():
         return None
     pos, neg, made = Counter(), Counter(), {}
-    for _, bag in span_texts([t for t, lab in zip(texts, y, strict=True) if lab]):
+    bad = [t for t, lab in zip(texts, y, strict=True) if lab]
+    often = repeated_spans(bad)
+    for bag in span_texts(bad, often):
         pos.update(bag.keys())
         made.update(bag)
     pos = Counter({w: c for w, c in pos.items() if c >= 2})
-    for _, bag in span_texts([t for t, lab in zip(texts, y, strict=True) if not lab]):
+    for bag in span_texts([t for t, lab in zip(texts, y, strict=True) if not lab], often):
         neg.update(bag.keys() & pos.keys())
     n1, n0 = y.sum(), len(y) - y.sum()
     tied = {w: (c / n1 - neg[w] / n0) / np.sqrt((c + neg[w] + 2) / (n1 + n0) * (1 / n1 + 1 / n0)) for w, c in pos.items()}
@@ -297,7 +337,9 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     if not best:
         return None
     marks = Landmarks(best, len(best))
-    found, own, _ = marks.near(texts)
+    parts = [(a, *marks.near(texts[a:b])[:2]) for a, b in batches_of(texts)]
+    found, own = [w for _, f, _ in parts for w in f], np.concatenate([a + o for a, _, o in parts])
+    del made, tied, neg, pos, often, parts
     close = Counter(p for w, d in zip(found, own, strict=True) if not y[d] for p in marked(w))
     for w in best:
         close.pop(w, None)
@@ -306,12 +348,12 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     k = {w: i for i, w in enumerate(vocabulary)}
     kernel = np.vstack([marks.kernel(vocabulary), np.zeros((1, len(marks.words)), np.float32)])
     values, vectors = np.linalg.eigh(marks.kernel(marks.words).astype(float) + 1e-4 * np.eye(len(marks.words)))
-    whiten = vectors / np.sqrt(np.maximum(values, 1e-4))
+    whiten = (vectors / np.sqrt(np.maximum(values, 1e-4))).astype(np.float32)
     mapped = kernel @ whiten
     sets: list[list[int]] = [[len(vocabulary)] for _ in texts]
     for w, d in zip(found, own, strict=True):
         sets[d] += [k[p] for p in marked(w)]
-    strength = np.array([max(0.0, tied[w]) if i < 30 else 0.0 for i, w in enumerate(best)] + [0.0] * (len(marks.words) - len(best)))
+    strength = np.array([max(0.0, own_tie[w]) if i < 30 else 0.0 for i, w in enumerate(best)] + [0.0] * (len(marks.words) - len(best)))
     score = kernel @ strength
     clean = Counter(j for s, lab in zip(sets, y, strict=True) if not lab for j in set(s))
     rng = np.random.Generator(np.random.PCG64(11))
@@ -329,7 +371,7 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
         w = hinge(x, lab, weight)
         model = Model(marks, (whiten @ w[:-1]).astype(np.float32), float(w[-1]), np.zeros(4))
         score = kernel @ model.weights + model.bias
-    model.curve = logistic(model.features(texts), y, np.ones(len(y)))
+    model.curve = logistic(np.vstack([model.features(texts[a:b]) for a, b in batches_of(texts)]), y, np.ones(len(y)))
     return model
 
 
@@ -369,9 +411,9 @@ def score_toxicity(docs: DataFrame, model: Model | None, prior: float = 0.0, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                texts = [t or "" for t in part.column(2).to_pylist()]
+            every = [t or "" for t in batch.column(2).to_pylist()]
+            for begin, end in batches_of(every):
+                part, texts = batch.slice(begin, end - begin), every[begin:end]
                 score = own.score(texts) if own is not None else np.full(len(texts), prior)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= cut).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
@@ -387,9 +429,9 @@ def without_toxic(docs: DataFrame, model: Model | None, prior: float = 0.0, text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                texts = [t or "" for t in part.column(at).to_pylist()]
+            every = [t or "" for t in batch.column(at).to_pylist()]
+            for begin, end in batches_of(every):
+                part, texts = batch.slice(begin, end - begin), every[begin:end]
                 score = own.score(texts) if own is not None else np.full(len(texts), prior)
                 yield part.filter(pa.array(score < cut))
 

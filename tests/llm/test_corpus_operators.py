@@ -192,9 +192,27 @@ def test_compaction(spark, tmp_path):
         store.commit([], 1)
     store.vacuum(keep=1)
     assert store.read().count() == 44
+    # what a failed append or merge has left goes, what is listed stays
+    df.drop("arrival").limit(2).write.parquet(f"file://{tmp_path}/s/run-left")
+    listed = {r["path"].split("/")[0] for r in store.runs()}
+    store.vacuum(keep=1, older_than_s=3600)
+    assert (tmp_path / "s/run-left").exists()
+    store.vacuum(keep=1)
+    assert {x.name for x in (tmp_path / "s").iterdir() if x.name.startswith("run-")} == listed and store.read().count() == 44
     assert compaction.compacted(df.limit(0), "arrival").count() == 0
 
 
+def test_compaction_merges_runs_of_like_size(spark, tmp_path):
+    rows = docs(spark, *["word " * (40 + i) for i in range(64)], ids=range(64)).withColumn("_arrival", F.lit(3)).withColumn("day", F.col("doc_id") % 16)
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/s", rows.drop("day").schema)
+    store.append(rows, "day")
+    before = store.runs()
+    last = store.compact(target=1 << 20, fanout=4, base=1 << 14)
+    tiers = [store.tier(r["bytes"], 1 << 14, 4) for r in store.runs()]
+    assert len(before) == 16 and last == store.version() > 1 and all(tiers.count(t) < 4 for t in tiers) and sum(r["files"] for r in store.runs()) < 16
+    assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, rows.drop("day").collect())) and store.read(1).count() == 64
+
+
 def test_raking_meets_its_margins():
     rng = np.random.default_rng(0)
     cells = [(s, g, t, int(rng.integers(50, 500))) for s in "abc" for g in "xy" for t in "pq"]
@@ -218,8 +236,23 @@ def test_raking_on_executors_is_the_same(spark):
 
 def test_mixing_odd_rows(spark):
     rows = docs(spark, "a b c", "", None, "d e", "f g", ids=[1, 2, 3, None, 4]).withColumn("topic", F.lit(1)).withColumn("p", F.lit("x")).withColumn("source", F.when(F.col("doc_id") == 4, F.lit(None)).otherwise("s"))
-    got = mixing.mix(rows, share=1.0).collect()
-    assert {r["doc_id"] for r in got} <= {1, 4} and mixing.mix(rows.limit(0)).count() == 0
+    got = mixing.mix(rows, share=1.0, temper={}).collect()
+    assert {(r["doc_id"], r["source"], r["topic"], r["tokens"], r["p"]) for r in got} == {(1, "s", "note", 3, 1.0), (4, None, "note", 2, 1.0)} and mixing.mix(rows.limit(0)).count() == 0
+    for name in ("_source", "_Lang", "_topic", "tokens", "_p"):
+        rows = rows.withColumn(name, F.lit(7))
+    kept = mixing.sample(rows.unionByName(rows.where("doc_id = 1")), share=1.0, temper={})
+    assert kept.columns == rows.columns and [tuple(r) for r in kept.orderBy("doc_id").collect()] == [tuple(r) for r in rows.unionByName(rows.where("doc_id = 1")).where("doc_id in (1, 4)").orderBy("doc_id").collect()]
+    assert mixing.sample(rows.limit(0)).count() == 0
+
+
+def test_mixing_reports_what_it_misses(spark):
+    cells = spark.createDataFrame([("a", "x", "p", 900), ("b", "x", "p", 100)], "source string, lang string, topic string, tokens long")
+    met = {r["value"]: r["off"] for r in mixing.report(mixing.probabilities(cells, {"source": {"a": 0.5, "b": 0.5}}, {}, mixing.MARGINS, 0.1), {"source": {"a": 0.5, "b": 0.5}}, {}).where("margin = 'source'").collect()}
+    assert max(met.values()) < 1e-9
+    # b has not the tokens for half of the sample, c has none at all
+    given = {"source": {"a": 0.4, "b": 0.4, "c": 0.2}}
+    short = {r["value"]: r["off"] for r in mixing.report(mixing.probabilities(cells, given, {}, mixing.MARGINS, 0.5), given, {}).where("margin = 'source'").collect()}
+    assert short["b"] > 0.1 and round(short["c"], 6) == 0.2
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -247,10 +280,89 @@ def test_pipeline(spark, sf_dir):
     before, after = seen["benchmark_leaks"]
     leaks = {r["doc_id"] for r in template_decontamination.contaminated(before, table(spark, sf_dir, "benchmark")).collect()}
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()} - leaks
+    before, after = seen["mixing"]
+    cells, rows = {}, [r for r in before.collect() if re.search(r"[^\x20\x09-\x0D]", r["text"] or "")]
+    for r in rows:
+        x = r["text"]
+        t = "table" if " | " in x else "shout" if "!!" in x else "markup" if "###" in x or "%%%" in x else "note" if len(x) < 600 else "prose"
+        cells.setdefault((r["source"], r["lang"], t), []).append((r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", x))))
+    keys = sorted(cells)
+    p = mixing.rake([(*k, sum(n for _, n in cells[k])) for k in keys], {}, mixing.TEMPER)
+    want = {i for k, x in zip(keys, p) for i, _ in cells[k] if int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) / 2**32 < x}
+    assert {r["doc_id"] for r in after.collect()} == want
     before, after = seen["tokens"]
     assert after.count() == before.count() > 0
 
 
+def test_pipeline_stages_take_odd_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clash = {"_source": 1, "p": "x", "topic": "t", "tokens": 2.5, "shard": 4, "doc": "d", "label": 3, "size": 9, "_rank": 0}
+    odd = base.where("doc_id < 40").unionByName(base.where("doc_id < 5"))
+    odd = odd.unionByName(odd.limit(3).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in base.schema))).unionByName(odd.where("doc_id = 7").withColumn("text", F.lit("")).withColumn("source", F.lit(None).cast("string")))
+    for name, value in clash.items():
+        odd = odd.withColumn(name, F.lit(value))
+    for rows in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, sf_dir)
+            if name != "tokens":
+                assert out.columns == rows.columns and out.exceptAll(rows).count() == 0, name
+            else:
+                assert out.count() == rows.count()
+            if not rows.isEmpty() and name in ("near_duplicates", "benchmark_leaks"):
+                assert out.where("doc_id is null").count() == 3, name
+
+
+def test_one_of_each_takes_the_least_text(spark):
+    rows = docs(spark, "b b b", "a a a", "c", "a a a", ids=[1, 1, 2, 1])
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.one_of_each(rows).collect()) == [(1, "a a a"), (2, "c")]
+
+
+def prefix_filtered(sets, percent):
+    """Components over all pairs at the threshold: rarest tokens first, pairs that share one of those that must be shared."""
+    from collections import Counter
+
+    count = Counter(x for s in sets.values() for x in s)
+    first, parent = {}, {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i in sorted(sets, key=lambda i: (len(sets[i]), i)):
+        s = sorted(sets[i], key=lambda x: (count[x], x))
+        head = s[: len(s) - -(-percent * len(s) // 100) + 1]
+        for j in {j for x in head for j in first.get(x, ())}:
+            if 100 * len(sets[j]) >= percent * len(sets[i]):
+                both = len(sets[i] & sets[j])
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = sorted((find(i), find(j)))
+                    parent[b] = a
+        for x in head:
+            first.setdefault(x, []).append(i)
+    return {i: find(i) for i in sets}
+
+
+def test_near_duplicates_of_ten_thousand_documents(spark, sf_dir):
+    """Recall over all of sf0.1: the components are those of an exact prefix-filtered join."""
+    from parcelflow.llm.words import shingles
+
+    rows = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.1") + "/documents.parquet")
+    data = rows.select("doc_id", "text").toPandas()
+    h, at = shingles([(t or "").encode() for t in data.text])
+    sets = {int(i): frozenset(h[at[k] : at[k + 1]].tolist()) for k, i in enumerate(data.doc_id)}
+    same_set = {}
+    for i in sorted(sets):
+        same_set.setdefault(sets[i] or i, i)
+    head = prefix_filtered({i: s for s, i in ((sets[i], i) for i in same_set.values()) if s}, 75)
+    want = {i: head[same_set[s]] if s else i for i, s in sets.items()}
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(rows).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
 def test_nothing_else_imports_the_subpackage():
     import pathlib
 

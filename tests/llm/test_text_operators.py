@@ -330,6 +330,67 @@ def test_decontamination_over_shifts(spark):
     assert got == {(0, 1): (False, 27 / len(w)), (1, 2): (True, 1.0), (2, 1): (False, 16 / len(w))}
 
 
+def brute_leaks(docs_now, items, width=8):
+    """Pairs for which some shift has an agreeing window that is looked up, enough cover and slots that map one to one."""
+    bare = lambda x: x[0] if "\ue001" <= x[0] <= "\ue003" else x
+    slot = lambda x: len(bare(x)) == 1 and "\ue001" <= x[0] <= "\ue003"
+    found = set()
+    for d, text in docs_now.items():
+        for i, item in items.items():
+            for shift in range(-len(item), len(text)):
+                pairs = [(x, text[shift + k]) if 0 <= shift + k < len(text) else (x, None) for k, x in enumerate(item)]
+                same = [b is not None and bare(a) == bare(b) for a, b in pairs]
+                windows = [j for j in range(len(item) - width + 1) if all(same[j : j + width]) and 2 * sum(map(slot, item[j : j + width])) < width]
+                slots = [p for p, ok in zip(pairs, same) if ok and slot(p[0])]
+                one = len(set(slots)) == len({a for a, _ in slots}) == len({b for _, b in slots})
+                if windows and one and (sum(same) / len(item) >= 0.5 or len(windows) + width - 1 >= 13):
+                    found.add((d, i))
+    return found
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    plain = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(8) for b in range(8)]
+    plain = [x.replace("w", "v") for x in plain]
+    names = ["Anna", "Boris", "Carla", "Denis", "Elena", "Fedor"]
+
+    def filled(shape, values):
+        return " ".join(values.get(x, x) for x in shape)
+
+    shapes = []
+    for _ in range(6):
+        w = rng.choice(plain, 26).tolist()
+        for at, x in zip(rng.choice(np.arange(2, 24), 5, replace=False).tolist(), ("N1", "N2", "N1", "P1", "P2")):
+            w[at] = x
+        shapes.append(w)
+    draw = lambda: dict(zip(("N1", "N2", "P1", "P2"), [*(str(x) for x in rng.choice(90, 2, replace=False) + 10), *rng.choice(names, 2, replace=False)]))
+    items = {i: filled(x, draw()) for i, x in enumerate(shapes)}
+    texts = {}
+    for k in range(90):
+        shape, values = list(shapes[k % 6]), draw()
+        if k % 5 == 1:  # a value that has not the same partner everywhere
+            shape[shape.index("N1")] = "77"
+        if k % 5 == 2:  # a part of the item only
+            a = int(rng.integers(0, 14))
+            shape = shape[a : a + int(rng.integers(7, 15))]
+        if k % 5 == 3:  # words of its own
+            for at in rng.choice(len(shape), 9, replace=False):
+                shape[at] = str(rng.choice(plain))
+        texts[k] = " ".join(["x", *rng.choice(plain, 12), filled(shape, values), *rng.choice(plain, 12)])
+    valued = lambda t: {r["i"]: r["v"] for r in spark.createDataFrame(list(t.items()), "i long, t string").select("i", template_decontamination.valued(F.col("t")).alias("v")).collect()}
+    want = brute_leaks(valued(texts), valued(items))
+    got = {(r["doc_id"], r["item_id"]) for r in template_decontamination.contaminated(docs(spark, *texts.values(), ids=list(texts)), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == want and 20 < len(want) < 85
+
+
+def test_decontamination_of_long_numeric_texts(spark):
+    item = "solve 3 x 4 plus 9 equals 21 right now please"
+    long = " ".join(f"{i} km" for i in range(30_000))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = template_decontamination.contaminated(docs(spark, long, f"{long} {item}"), items).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 1)]
+
+
 def test_decontamination_finds_every_passage(spark, sf_dir):
     d, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     items = [tuple(r) for r in b.select("item_id", "text").collect()]
