@@ -118,6 +118,16 @@ def test_substring_dedup_against_brute_force(spark, monkeypatch, most):
     assert sorted(got) == brute_removal([(i, t.encode()) for i, t in enumerate([*texts, ""])], 200)
 
 
+def test_substring_dedup_of_long_texts_in_parts(spark):
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(420))
+    filler = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    texts = {1: filler(1500) + passage + filler(900), 2: passage[:350] + filler(2500), 3: filler(690) + passage + filler(10), 4: filler(3000)}
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeated(docs(spark, *texts.values(), ids=list(texts)), part=700).collect()}
+    kept = {1: texts[1].replace(passage, ""), 2: texts[2][350:], 3: texts[3].replace(passage, ""), 4: texts[4]}
+    assert got == {i: (len(texts[i]) - len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in kept.items()}
+
+
 def test_substring_dedup_odd_rows(spark):
     t = " ".join(f"w{i}" for i in range(80))
     rows = docs(spark, t, t, t, ids=[None, 1, 1])
