@@ -642,8 +642,8 @@ def change_sections(s):
 def _groups(keys="address", extra=""):
     return f"""g as (select {keys}, arg_max(property_id, (detected_at, event_id)) as property_id, arg_max({_SEASONED}, (detected_at, event_id)) as seasoned, bool_or(event_type = 'first_seen') as was_new, bool_or({_REMOVED}) as was_removed,
 bool_or(event_type in ('date_change', 'price_change')) as other, bool_or(event_type = 'date_change') as dated, max(detected_at) filter (where {_REMOVED}) as removed_at,
-array_to_string(list({_LABEL} order by detected_at desc, event_id desc) filter (where event_type <> 'first_seen' and event_type <> 'disappeared' and event_type <> 'status_change'), '|') as labels from ch group by {keys}),
-cg as (select *, case when was_removed then 'Removed' when was_new and not other then 'New' when dated then 'Date Changes' else 'Status Changes' end as category from g where seasoned and not (was_new and was_removed) and (was_removed or was_new or labels is not null))"""
+list({_LABEL} order by detected_at desc, event_id desc) filter (where event_type <> 'first_seen' and event_type <> 'disappeared' and event_type <> 'status_change') as labels from ch group by {keys}),
+cg as (select * replace (array_to_string(list_filter(labels, lambda x, i: list_position(labels, x) = i), '|') as labels), case when was_removed then 'Removed' when was_new and not other then 'New' when dated then 'Date Changes' else 'Status Changes' end as category from g where seasoned and not (was_new and was_removed) and (was_removed or was_new or labels is not null))"""
 
 
 _CHANGES = "ch as (select e.*, p.* exclude (auction_id) from auction_events e join properties p on e.auction_id = p.auction_id)"
