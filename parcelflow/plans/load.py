@@ -63,11 +63,16 @@ def typed(rows: DataFrame, as_of: str, **hosts: tuple[str, ...]) -> DataFrame:
 
 
 def widened(snapshot: DataFrame) -> DataFrame:
-    described = text.parse_description(F.col("description")) if "description" in snapshot.columns else {}
-    column = lambda f: F.col(f.name) if f.name in snapshot.columns else described.get(f.name, F.lit(None))
+    """snapshot with all columns of SNAPSHOT; those that it lacks are null."""
+    column = lambda f: F.col(f.name) if f.name in snapshot.columns else F.lit(None)
     return snapshot.select(*(column(f).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(SNAPSHOT)))
 
 
+def described(rows: DataFrame, given: list[str]) -> DataFrame:
+    """rows with the details that are not given as said in their description; parsed after repeats are gone."""
+    return rows.withColumns({k: c for k, c in text.parse_description(F.col("description")).items() if k not in given})
+
+
 def split_rejects(snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that can be loaded, and those without coordinates or a listing id, which change nothing."""
     bad = F.col("latitude").isNull() | F.col("longitude").isNull() | F.col("listing_id").isNull() | F.col("source").isNull()
@@ -113,7 +118,7 @@ def load_snapshot(snapshot: DataFrame, state: DataFrame, as_of: str, run_id: int
     """
     wide = kept(widened(snapshot), "snapshot")
     usable, rejects = split_rejects(wide)
-    latest = kept(latest_per_listing(usable), "latest")
+    latest = kept(described(latest_per_listing(usable), snapshot.columns), "latest")
     both = kept(compared(one_source(latest), state, wide.select("source").where(F.col("source").isNotNull()).distinct()), "compared")
     now = F.lit(as_of).cast("timestamp_ntz")
     here = F.col("n").isNotNull()
