@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import Scratch, dealt_to, grouped_arrow
+from parcelflow.llm.common import Scratch, dealt_to, grouped_arrow, returning
 from parcelflow.llm.graph import components
 from parcelflow.llm.words import chunks, mix, shingles
 
@@ -69,7 +69,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> Dat
                     names=["id", "n_shingles", "s1", "s2", "keys", "sketch"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, FEATURES)
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(returning(run), FEATURES)
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -83,7 +83,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 data = [np.unique(h[at[d] : at[d + 1]]).tobytes() for d in range(b - a)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in range(3)), pa.array(data, pa.binary())], names=["grp", "size", "id", "data"])
 
-    return docs.select("grp", "size", "id", "text").mapInArrow(run, MEMBERS)
+    return docs.select("grp", "size", "id", "text").mapInArrow(returning(run), MEMBERS)
 
 
 MEMBERS = "grp long, size long, id long, data binary"
@@ -258,7 +258,7 @@ def small_nodes(rows: DataFrame) -> DataFrame:
 
     n = dealt_to(rows, 8 * EACH)
     dealt = rows.select("node", "cid", "sketch").repartitionById(n, F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")).sortWithinPartitions("node", "cid")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(returning(run), "a long, b long")
 
 
 def loose_edges(classes: DataFrame, tables: Scratch) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import new_dir, range_count, shard_of, shard_splits, written
+from parcelflow.llm.common import new_dir, range_count, returning, shard_of, shard_splits, written
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE, HAS_CHECKSUM = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -91,7 +91,7 @@ class Encoder:
     """
 
     #: Pieces remembered; bytes of texts cut at once; pieces gathered at once.
-    KEPT, CHUNK, STEP = 1_000_000, 4 << 20, 1 << 20
+    KEPT, CHUNK, STEP = 800_000, 2 << 20, 1 << 19
     END = b"\xff"
     #: White space and controls next to each other or at an end; white space beyond ASCII (first bytes of U+0085 to U+3000).
     WIDE = re.compile("[\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -237,8 +237,8 @@ def encoded_frames(docs: DataFrame, id_col: str, text_col: str, vocabulary: str,
 
         t, z = encoder(vocabulary, end_id), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2048):
-                part = batch.slice(begin, 2048)
+            for begin in range(0, batch.num_rows, 1024):
+                part = batch.slice(begin, 1024)
                 ids = t.encode([x or "" for x in part.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -250,7 +250,7 @@ def encoded_frames(docs: DataFrame, id_col: str, text_col: str, vocabulary: str,
 
     # by place, since a column of docs may itself be named shard
     own = docs.toDF("id", "text", "shard")
-    return own.select(F.col("id").cast("long"), "shard", "text").mapInArrow(run, "id long, shard int, frame binary, size long, check long")
+    return own.select(F.col("id").cast("long"), "shard", "text").mapInArrow(returning(run), "id long, shard int, frame binary, size long, check long")
 
 
 def write_token_files(

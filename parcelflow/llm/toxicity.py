@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelflow.llm.common import returning
 from parcelflow.llm.words import mix, powers
 
 #: Gap decay, sharpness, landmarks, characters of a window of a long word and of a span of words, least kernel to a landmark that
@@ -258,7 +259,7 @@ def bend(word: str, rng: np.random.Generator) -> str:
     return word[:at] + (word[at - 1] if rng.random() < 0.5 and at > 1 else "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))]) + word[at:]
 
 
-def batches_of(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def batches_of(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of whole texts of about most characters, for work whose room grows with the characters."""
     begin = size = 0
     for i, t in enumerate(texts):
@@ -270,6 +271,15 @@ def batches_of(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int
         yield begin, len(texts)
 
 
+def parts_of(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Runs of a batch's rows with their texts, few enough to work on at once."""
+    for first in range(0, batch.num_rows, 256):
+        rows = batch.slice(first, 256)
+        every = [t or "" for t in rows.column(column).to_pylist()]
+        for begin, end in batches_of(every):
+            yield rows.slice(begin, end - begin), every[begin:end]
+
+
 def span_hashes(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of the letters from a to b."""
     up, down = powers(len(points) + 1)
@@ -411,14 +421,12 @@ def score_toxicity(docs: DataFrame, model: Model | None, prior: float = 0.0, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            every = [t or "" for t in batch.column(2).to_pylist()]
-            for begin, end in batches_of(every):
-                part, texts = batch.slice(begin, end - begin), every[begin:end]
+            for part, texts in parts_of(batch, 2):
                 score = own.score(texts) if own is not None else np.full(len(texts), prior)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= cut).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, held_out(id_col).alias("held_out"), text_col).mapInArrow(run, f"{id_col} {kind}, held_out boolean, score double, predicted int")
+    return docs.select(id_col, held_out(id_col).alias("held_out"), text_col).mapInArrow(returning(run), f"{id_col} {kind}, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model | None, prior: float = 0.0, text_col: str = "text", cut: float = CUT) -> DataFrame:
@@ -429,10 +437,8 @@ def without_toxic(docs: DataFrame, model: Model | None, prior: float = 0.0, text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            every = [t or "" for t in batch.column(at).to_pylist()]
-            for begin, end in batches_of(every):
-                part, texts = batch.slice(begin, end - begin), every[begin:end]
+            for part, texts in parts_of(batch, at):
                 score = own.score(texts) if own is not None else np.full(len(texts), prior)
                 yield part.filter(pa.array(score < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(returning(run), docs.schema)
