@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm import compaction, mixing, near_dedup, secret_scan, simhash, substring_dedup, template_decontamination, token_files, toxicity, url_reputation
+from parcelflow.llm import compaction, importance, mixing, near_dedup, secret_scan, simhash, substring_dedup, template_decontamination, token_files, toxicity, url_reputation
 from parcelflow.llm.common import table, written
 
 
@@ -58,7 +58,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secret_scan, op3_simhash, op4_url_reputation, op5_near_duplicates, op6_token_files, op7_compaction, op8_toxicity, op9_template_decontamination, op10_substring_dedup)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secret_scan, op3_simhash, op4_url_reputation, op5_near_duplicates, op6_token_files, op7_compaction, op8_toxicity, op9_template_decontamination, op10_substring_dedup, op11_importance_resampling)}
 
 _RULES = sorted(url_reputation.RULES, key=lambda r: -len(r[1] + r[2]))
 _FITS = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for _, h, p in _RULES]
@@ -66,6 +70,7 @@ _FITS = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'
 _STRENGTH = f"1 / least(greatest(coalesce((sum(n * pow(bad / n - m, 2)) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0), 1 / {url_reputation.MOST + 1}::double), 1 / {url_reputation.LEAST + 1}::double) - 1"
 
 ORACLES = {
+    "op11_importance_resampling": importance.oracle(),
     "op1_mixing": mixing.oracle(),
     "op7_compaction": "select doc_id, lang, source, n_chars, md5(text) as text_md5 from documents",
     "op4_url_reputation": f"""
