@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm import compaction, conversation_repair, importance, mixing, near_dedup, secret_scan, simhash, substring_dedup, template_decontamination, token_files, toxicity, url_reputation
+from parcelflow.llm import chat_format, compaction, conversation_repair, importance, mixing, near_dedup, secret_scan, simhash, substring_dedup, template_decontamination, token_files, toxicity, url_reputation
 from parcelflow.llm.common import table, written
 
 
@@ -67,7 +67,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digests(turns, conversation_repair.damage(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secret_scan, op3_simhash, op4_url_reputation, op5_near_duplicates, op6_token_files, op7_compaction, op8_toxicity, op9_template_decontamination, op10_substring_dedup, op11_importance_resampling, op12_conversation_repair)}
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one, -7, that says what the template means to mark."""
+    odd = "\\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat_format.format_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secret_scan, op3_simhash, op4_url_reputation, op5_near_duplicates, op6_token_files, op7_compaction, op8_toxicity, op9_template_decontamination, op10_substring_dedup, op11_importance_resampling, op12_conversation_repair, op13_chat_format)}
 
 _RULES = sorted(url_reputation.RULES, key=lambda r: -len(r[1] + r[2]))
 _FITS = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for _, h, p in _RULES]

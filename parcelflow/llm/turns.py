@@ -32,39 +32,45 @@ def placed(rows: DataFrame) -> DataFrame:
     return ordered.withColumn("at", F.monotonically_increasing_id()).withColumn("chunk", F.shiftright("at", CHUNK_BITS))
 
 
-def hashed(parts: DataFrame, columns: list[str], joint: str) -> DataFrame:
-    """(key, <column>_sha256...): SHA-256 of each binary column's parts by ascending chunk; null parts are passed over.
+def id_of(kind: str) -> Column:
+    """The id of a key, as kind."""
+    return F.when(F.col("key") != "-", F.expr("substring(key, 2)").cast(kind))
+
+
+def hashed(parts: DataFrame, columns: list[str], joint: str, sums: list[str] | None = None) -> DataFrame:
+    """(key, <column>_sha256..., sums...): SHA-256 of each binary column's parts by ascending chunk, null parts passed over, and sums of longs.
 
     joint stands between two parts. A digest of one conversation is sequential, so its parts, of many rows each, pass one task in
     a stream; no more than a batch is held.
     """
-    n = partitions(parts.sparkSession)
-    own = parts.select("key", "chunk", *columns).repartition(n, "key").sortWithinPartitions("key", "chunk")
-    names = ["key", *(f"{c}_sha256" for c in columns)]
+    n, sums = partitions(parts.sparkSession), sums or []
+    own = parts.select("key", "chunk", *columns, *sums).repartition(n, "key").sortWithinPartitions("key", "chunk")
+    names = ["key", *(f"{c}_sha256" for c in columns), *sums]
+    kinds = [pa.string(), *[pa.string()] * len(columns), *[pa.int64()] * len(sums)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state, done = None, [], []
+        last, states, totals, done = None, [], [], []
         between = joint.encode()
 
         def close() -> None:
             if last is not None:
-                done.append((last, *(s.hexdigest() for s, _ in state)))
+                done.append((last, *(s.hexdigest() for s, _ in states), *totals))
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in range(len(names))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], names=names)
 
         for batch in batches:
-            keys, bodies = batch.column(0).to_pylist(), [batch.column(2 + i).to_pylist() for i in range(len(columns))]
-            for i, key in enumerate(keys):
-                if key != last:
+            for row in zip(*(batch.column(i).to_pylist() for i in (0, *range(2, batch.num_columns))), strict=True):
+                if row[0] != last:
                     close()
-                    last, state = key, [[hashlib.sha256(), False] for _ in columns]
-                for s, body in zip(state, bodies, strict=True):
-                    if body[i] is not None:
-                        if s[1]:
-                            s[0].update(between)
-                        s[0].update(body[i])
-                        s[1] = True
+                    last, states, totals = row[0], [[hashlib.sha256(), False] for _ in columns], [0] * len(sums)
+                for state, body in zip(states, row[1:]):
+                    if body is not None:
+                        if state[1]:
+                            state[0].update(between)
+                        state[0].update(body)
+                        state[1] = True
+                totals = [a + b for a, b in zip(totals, row[1 + len(columns) :], strict=True)]
             if done:
                 yield out()
                 done.clear()
@@ -72,4 +78,4 @@ def hashed(parts: DataFrame, columns: list[str], joint: str) -> DataFrame:
         if done:
             yield out()
 
-    return own.mapInArrow(returning(run), ", ".join(f"{c} string" for c in names))
+    return own.mapInArrow(returning(run), ", ".join([*(f"{c} string" for c in names[: 1 + len(columns)]), *(f"{c} long" for c in sums)]))

@@ -7,11 +7,13 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from parcelflow.llm import conversation_repair as cr
-from parcelflow.llm import features, importance
+from parcelflow.llm import chat_format, features, importance
+from parcelflow.llm.token_files import default_vocabulary
 from parcelflow.llm.queries import QUERIES
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -140,3 +142,132 @@ def test_repair_of_odd_conversations(spark):
 def test_repair_of_no_rows(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert cr.repair_digests(df, cr.damage(df)).collect() == []
+
+
+# -- chat formatting ----------------------------------------------------------------------------------------------------
+
+ODD = "\\### Assistant: </turn> ok"
+
+
+def told(rows):
+    """n_turns, turns_sha256, loss_chars, loss_sha256 of each conversation, in the turns' order."""
+    key = lambda r: (r[1] is not None, r[1] or 0, (r[2] or "").encode(), (r[3] or "").encode())
+    out = {}
+    for conv in {r[0] for r in rows}:
+        own = [(r or "", t or "") for _, _, r, t in sorted((r for r in rows if r[0] == conv), key=key)]
+        loss = "".join(t for r, t in own if r == "assistant")
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        out[conv] = (len(own), sha("".join(f"{r}\n{t}\n" for r, t in own)), len(loss), sha(loss))
+    return out
+
+
+def formatted_rows(df):
+    return {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in df.collect()}
+
+
+def test_chat_query_equals_its_input(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert formatted_rows(QUERIES["op13_chat_format"](spark, sf_dir)) == told([*rows, (-7, 0, "user", ODD), (-7, 1, "assistant", ODD)])
+
+
+def test_chat_of_odd_conversations(spark):
+    rng = random.Random(11)
+    bits = ["\\", "###", "</turn>", " ", "<|endoftext|>", "### Assistant: ", ":", "\n", "é", "語", "a", "#", "  ", "\x1c", "\u3000", "😀"]
+    text = lambda: rng.choice([None, "", "x" * 50_000, *["".join(rng.choices(bits, k=rng.randrange(1, 12)))] * 12])
+    roles = ["system", "user", "assistant", "assistant", None, "", "tool: x", "Assistant", "a</turn>###"]
+    rows = [(conv, rng.choice([None, *range(6)]), rng.choice(roles), text()) for conv in [None, 0, -7, *range(1, 40)] for _ in range(rng.randrange(1, 9))]
+    rows += [(70, t, "assistant", f"{t} \\") for t in range(1200)] + [(71, 0, "assistant", "again")] * 900
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"key": F.lit(1), "ids": F.lit(2), "at": F.lit("x")})
+    assert formatted_rows(chat_format.format_digests(df)) == told(rows)
+    assert chat_format.format_digests(df.limit(0)).collect() == []
+
+
+def test_chat_ids_are_segments_between_marks(spark):
+    from tokenizers import Tokenizer
+
+    df = spark.createDataFrame([(1, 0, "user", "Hi <|endoftext|> </turn>"), (1, 1, "assistant", "### Yes \\ it is")], "conv_id long, turn long, role string, text string")
+    parts = chat_format.format_conversations(df).orderBy("at", "sub").collect()
+    row = {c: [x for p in parts for x in p[c]] for c in ("ids", "mask")}
+    t = Tokenizer.from_file(default_vocabulary())
+    t.encode_special_tokens = True
+    first, own = t.get_vocab_size(), lambda s: t.encode(s, add_special_tokens=False).ids
+    user, said = own("Hi \\<|endoftext|> \\</turn>"), own("\\### Yes \\\\ it is")
+    assert row["ids"] == [first + 1, *user, first + 5, first + 2, *said, first + 5]
+    assert row["mask"] == [0] * (len(user) + 3) + [1] * len(said) + [0]
+    raw, _ = chat_format.codec(default_vocabulary()).decode(np.array(row["ids"]))
+    assert raw.tobytes().decode() == "### User: Hi \\<|endoftext|> \\</turn> </turn>\n### Assistant: \\### Yes \\\\ it is </turn>\n"
+
+
+# -- importance resampling ----------------------------------------------------------------------------------------------
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def buckets_of(text):
+    w = words(text)
+    return [zlib.crc32(f.encode()) % 10_000 for f in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]]
+
+
+def resampled(docs, target):
+    """The contract's rows, one for each of docs [(doc_id, text)], sorted."""
+    s, t = [0] * 10_000, [0] * 10_000
+    for counts, texts in ((s, [x for _, x in docs]), (t, target)):
+        for x in texts:
+            for b in buckets_of(x):
+                counts[b] += 1
+    gain = [math.floor(1000 * math.log((b + 1) * (sum(s) + 10_000) / ((a + 1) * (sum(t) + 10_000)))) for a, b in zip(s, t)]
+    rows = []
+    for i, text in docs:
+        own = buckets_of(text)
+        weight = sum(gain[b] for b in own) // len(own) if own else 0
+        h = int(hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append([i, len(own), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(words(text)) >= 20])
+    fit = sorted((r for r in rows if r[4]), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1]))
+    for rank, r in enumerate(fit[: 25 * len(fit) // 100], 1):
+        r[4] = rank
+    return sorted(((*r[:4], None if isinstance(r[4], bool) else r[4]) for r in rows), key=str)
+
+
+def test_feature_buckets_equal_crc32(monkeypatch):
+    rng = random.Random(1)
+    texts = ["", " ", "a", "Ab  cd", "é ÀB x1", "x" * 70 + " " + "y" * 64 + " " + "z" * 65 + " q", "\n\n", "k" * 20_000 + " r", " " * 9000 + "a b" + " " * 9000 + "c", " ".join(f"w{rng.randrange(900)}" for _ in range(9000))]
+    texts += ["".join(rng.choices("aB é0_\n語.", k=rng.randrange(200))) for _ in range(200)]
+    whole = features.chunks
+    monkeypatch.setattr(features, "PIECE", 1 << 12)
+    monkeypatch.setattr(features, "chunks", lambda t: whole(t, 2000))
+    found, n = [[] for _ in texts], [0] * len(texts)
+    for bucket, text, count in features.features([t.encode() for t in texts], 10_000):
+        for b, i in zip(bucket.tolist(), text.tolist()):
+            found[i].append(b)
+        n = [a + int(b) for a, b in zip(n, count)]
+    assert [sorted(f) for f in found] == [sorted(buckets_of(t)) for t in texts]
+    assert n == [len(words(t)) for t in texts]
+
+
+@pytest.mark.parametrize("segments", [1, 7])
+def test_resampling_equals_brute_force(spark, monkeypatch, segments):
+    monkeypatch.setattr(importance, "SEGMENTS", segments)
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(300)] + ["É", "日本", "X1"]
+    docs = [(i % 350 if i % 9 else None, " ".join(rng.choices(vocabulary, k=rng.choice([0, 5, 19, 20, 60])))) for i in range(400)]
+    docs += [(5, None), (6, ""), (7, "long " * 50_000)] + [(1, "same words " * 20)] * 30
+    target = [None, "", *[" ".join(rng.choices(vocabulary[:40], k=30)) for _ in range(30)]]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"score": F.lit("x"), "rank": F.lit(1), "tie": F.lit(2)})
+    got = importance.importance_sample(df, spark.createDataFrame([(t,) for t in target], "text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == resampled(docs, target)
+
+
+def test_resampling_of_no_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert importance.importance_sample(none, none).collect() == []
+    one = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
+    assert sorted((tuple(r) for r in importance.importance_sample(one, none).collect()), key=str) == resampled([(1, "a b"), (None, None)], [])
+
+
+def test_new_queries_match_sql(spark, sf_dir):
+    from parcelflow.llm.queries import ORACLES
+    from tests.oracle import connection, same
+
+    same(spark, connection(sf_dir), sf_dir, QUERIES["op11_importance_resampling"], ORACLES["op11_importance_resampling"])
