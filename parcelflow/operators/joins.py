@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.functions.text import haversine_m, house_number, house_street
@@ -145,3 +147,15 @@ def next_ids(rows: DataFrame, order: str, start: int, name: str) -> DataFrame:
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     base = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     return ranged.join(F.broadcast(base), "_part").withColumn(name, (F.lit(start + 1) + F.col("_base") + F.col("_at")).cast("long")).drop("_part", "_at", "_base")  # base has a row a partition
+
+
+def running(rows: DataFrame, order: Sequence[Column], **amounts: Column) -> DataFrame:
+    """rows with, under each name, the sum of its amount over all rows before in an order; dealt by ranges as in next_ids()."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), place.alias("_at"), *(c.cast("long").alias(f"_{n}") for n, c in amounts.items())), "ranged")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = ranged.groupBy("_part").agg(*(F.sum(f"_{n}").alias(n) for n in amounts))
+    base = sums.select("_part", *(before(n, Window.orderBy("_part")).alias(f"_base_{n}") for n in amounts))
+    own = Window.partitionBy("_part").orderBy("_at")
+    totals = {n: F.col(f"_base_{n}") + before(f"_{n}", own) for n in amounts}
+    return ranged.join(F.broadcast(base), "_part").withColumns(totals).drop("_part", "_at", *(f"{p}{n}" for n in amounts for p in ("_", "_base_")))  # base has a row a partition

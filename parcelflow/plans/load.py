@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from parcelflow.functions import dates, text
 from parcelflow.operators.aggregates import pdf_links
 from parcelflow.operators.dedup import cross_source, latest_per_listing
-from parcelflow.operators.joins import next_ids
+from parcelflow.operators.joins import running
 from parcelflow.sources.files import kept
 
 EVENTS = "event_id long, auction_id long, event_type string, old_value string, new_value string, detected_at timestamp_ntz, run_id long"
@@ -31,7 +32,8 @@ SNAPSHOT = (
 #: What a known listing takes over from a snapshot, beside its place; the rest keeps its first value.
 CURRENT = ("auction_datetime_raw", "auction_datetime", "status", "description", "summary", "property_type", "bedrooms", "bathrooms", "sqft", "lot_size_raw", "year_built", "mortgage_ref", "metadata", "url")
 PLACE = ("state", "county", "municipality")
-ORDER = ("first_seen", "status_change", "date_change", "disappeared")
+#: What names a listing; the first deals the stored state to parts.
+KEYS = ("source", "listing_id")
 
 
 @dataclass
@@ -87,15 +89,15 @@ def one_source(latest: DataFrame) -> DataFrame:
     return cross_source(latest, text.coord_key(F.col("latitude"), F.col("longitude")))
 
 
-def compared(rows: DataFrame, state: DataFrame, sources: DataFrame) -> DataFrame:
+def compared(rows: DataFrame, state: DataFrame, sources: Sequence[str]) -> DataFrame:
     """(source, listing_id, n, o, made) of every listing that the snapshot or the state has, by one outer join.
 
     n and o are the new and the stored row; made: the events (event_type, old_value, new_value) that their difference makes.
-    A stored listing that is not there has disappeared if sources has its source and its last event does not say so already.
+    A stored listing that is not there has disappeared if its source is in sources and its last event does not say so already.
     """
     whole = lambda df, name: df.select("source", "listing_id", F.struct(*df.columns).alias(name))
-    both = whole(rows, "n").join(whole(state, "o"), ["source", "listing_id"], "full").join(sources.select("source", F.lit(True).alias("_ran")), "source", "left")
-    here, known = F.col("n").isNotNull(), F.col("o").isNotNull()
+    both = whole(rows, "n").join(whole(state, "o"), ["source", "listing_id"], "full")
+    here, known, ran = F.col("n").isNotNull(), F.col("o").isNotNull(), F.col("source").isin(list(sources))
     time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     event = lambda kind, a, b, on: F.when(on, F.struct(F.lit(kind).alias("event_type"), a.cast("string").alias("old_value"), b.cast("string").alias("new_value")))
     made = F.array_compact(
@@ -103,39 +105,44 @@ def compared(rows: DataFrame, state: DataFrame, sources: DataFrame) -> DataFrame
             event("first_seen", F.lit(None), F.col("n.status"), here & ~known),
             event("status_change", F.col("o.status"), F.col("n.status"), here & known & ~F.col("o.status").eqNullSafe(F.col("n.status"))),
             event("date_change", time(F.col("o.auction_datetime")), time(F.col("n.auction_datetime")), here & known & ~F.col("o.auction_datetime").eqNullSafe(F.col("n.auction_datetime"))),
-            event("disappeared", F.col("o.status"), F.lit(None), ~here & F.col("_ran").isNotNull() & ~F.col("o.last_event").eqNullSafe(F.lit("disappeared"))),
+            event("disappeared", F.col("o.status"), F.lit(None), ~here & ran & ~F.col("o.last_event").eqNullSafe(F.lit("disappeared"))),
         )
     )
     return both.select("source", "listing_id", "n", "o", made.alias("made"))
 
 
+def sources_of(snapshot: DataFrame) -> list[str]:
+    """The sources that a snapshot has rows of, rejected ones too; a value a site."""
+    return sorted(r[0] for r in snapshot.select("source").where(F.col("source").isNotNull()).distinct().collect())
+
+
 def load_snapshot(snapshot: DataFrame, state: DataFrame, as_of: str, run_id: int, next_property: int = 0, next_event: int = 0) -> Loaded:
     """The state and the events after a snapshot. next_property and next_event: the highest ids in use.
 
     Identity fields other than the place keep their first value; an empty snapshot changes nothing, and one whose rows are
-    all rejected counts their sources as run. Loading the same snapshot again gives no event. The comparison and the numbered
-    rows are written to the shared folder, so that each is made once.
+    all rejected counts their sources as run. Loading the same snapshot again gives no event. state needs the snapshot's
+    sources only; the next state has the sources that it was given and those of the snapshot. Ids go by range over the
+    listings' keys and events alone; events of known properties come first, by id, then the new ones by their place.
     """
-    wide = kept(widened(snapshot), "snapshot")
-    usable, rejects = split_rejects(wide)
+    usable, rejects = split_rejects(widened(snapshot))
     latest = kept(described(latest_per_listing(usable), snapshot.columns), "latest")
-    both = kept(compared(one_source(latest), state, wide.select("source").where(F.col("source").isNotNull()).distinct()), "compared")
+    both = kept(compared(one_source(latest), state, sources_of(snapshot)), "compared")
     now = F.lit(as_of).cast("timestamp_ntz")
-    here = F.col("n").isNotNull()
-    fresh = next_ids(both.where(F.col("o").isNull()).select("n", "made", F.col("n.seq").alias("seq")), "seq", next_property, "property_id")
+    here, known = F.col("n").isNotNull(), F.col("o.property_id")
+    moved = both.where(F.size("made") > 0).select("source", "listing_id", known.alias("known"), F.col("n.seq").alias("seq"), F.col("n.pdf_links").alias("pdf_links"), "made")
+    counted = running(moved, [F.asc_nulls_last("known"), F.col("seq")], fresh=F.col("known").isNull(), first=F.size("made"))
+    numbered = kept(counted.select("source", "listing_id", F.coalesce("known", F.lit(next_property + 1) + F.col("fresh")).alias("_id"), F.col("known").isNull().alias("_new"), F.col("first"), "pdf_links", "made"), "numbered")
     last = F.coalesce(F.element_at(F.col("made"), F.when(F.size("made") > 0, F.lit(-1)))["event_type"], F.col("o.last_event"))
-    new = {"property_id": F.col("property_id"), "auction_id": F.col("property_id"), "address": F.col("n.name"), "first_seen_at": now, "last_seen_at": now, "last_updated_at": now, "last_event": F.lit("first_seen")}
-    old = {
-        **{c: F.when(here, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in CURRENT}, **{c: F.coalesce(F.nullif(F.col(f"n.{c}"), F.lit("")), F.col(f"o.{c}")) for c in PLACE},
-        **{c: F.when(here, now).otherwise(F.col(f"o.{c}")) for c in ("last_seen_at", "last_updated_at")}, "last_event": last,
+    keep = lambda c, value: F.when(known.isNull(), value).otherwise(F.col(f"o.{c}"))
+    values = {
+        "property_id": F.coalesce(known, "_id"), "auction_id": F.coalesce("o.auction_id", "_id"), "address": keep("address", F.col("n.name")), "first_seen_at": keep("first_seen_at", now), "last_event": last,
+        **{c: keep(c, F.col(f"n.{c}")) for c in ("latitude", "longitude")}, **{c: F.when(here, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in CURRENT},
+        **{c: F.when(here, F.coalesce(F.col(f"n.{c}"), F.lit(""))).otherwise(F.col(f"o.{c}")) for c in PLACE}, **{c: F.when(here, now).otherwise(F.col(f"o.{c}")) for c in ("last_seen_at", "last_updated_at")},
     }
-    fields = T.StructType.fromDDL(STATE)
-    row = lambda values, side: [values.get(f.name, F.col(f"{side}.{f.name}")).cast(f.dataType).alias(f.name) for f in fields]
-    after = both.where(F.col("o").isNotNull()).select(*row(old, "o")).unionByName(fresh.select(*row(new, "n")))
-    place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("e.event_type"))
-    made = both.where(F.col("o").isNotNull()).select(F.col("o.property_id").alias("property_id"), F.explode("made").alias("e")).unionByName(fresh.select("property_id", F.explode("made").alias("e")))
-    numbered = next_ids(made.withColumn("_order", F.struct("property_id", place)), "_order", next_event, "event_id")
-    events = numbered.select("event_id", F.col("property_id").alias("auction_id"), "e.*", now.alias("detected_at"), F.lit(run_id).cast("long").alias("run_id"))
+    ids = numbered.where("_new").select("source", "listing_id", "_id")
+    after = both.join(ids, ["source", "listing_id"], "left").select(*(values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(STATE)))
+    made = numbered.select("_id", "first", F.posexplode("made").alias("_at", "e"))
+    events = made.select((F.lit(next_event + 1) + F.col("first") + F.col("_at")).cast("long").alias("event_id"), F.col("_id").alias("auction_id"), "e.*", now.alias("detected_at"), F.lit(run_id).cast("long").alias("run_id"))
     kinds = lambda *names: F.exists("made", lambda e: e["event_type"].isin(*names))
     count = both.agg(
         F.count_if(here).alias("found"), F.count_if(kinds("first_seen")).alias("new"), F.count_if(kinds("status_change", "date_change")).alias("changed"), F.count_if(kinds("disappeared")).alias("removed"),
@@ -145,5 +152,5 @@ def load_snapshot(snapshot: DataFrame, state: DataFrame, as_of: str, run_id: int
         F.lit(run_id).cast("long").alias("run_id"), now.alias("as_of"), "found", "new", "changed", "removed", F.lit(rejects.count()).cast("long").alias("failed"), (F.lit(latest.count()) - F.col("found")).alias("cross_dropped"),
         (F.lit(next_property) + F.col("new")).cast("long").alias("last_property"), (F.lit(next_event) + F.col("events")).cast("long").alias("last_event"),
     )
-    links = pdf_links(fresh.select("property_id", F.col("n.pdf_links").alias("pdf_links"))).withColumnRenamed("property_id", "auction_id")
+    links = pdf_links(numbered.where("_new").select(F.col("_id").alias("property_id"), "pdf_links")).withColumnRenamed("property_id", "auction_id")
     return Loaded(after, events, rejects, links, run)

@@ -12,7 +12,7 @@ from parcelflow.functions import dates, status, text
 from parcelflow.operators import aggregates, dedup, joins, pages
 from parcelflow.plans import billing, digest, export, links, load
 from parcelflow.plans.shapes import AS_OF, Shapes, with_shapes
-from parcelflow.sources import files
+from parcelflow.sources import files, state
 from parcelflow.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -458,7 +458,7 @@ def _loaded(s, which):
 
 def _stored(s):
     """Both snapshots applied to a new store."""
-    store = files.StateStore(s.spark, files.scratch(s.spark, "state"))
+    store = state.StateStore(s.spark, files.scratch(s.spark, "state"))
     streams.apply_snapshot(store, s.snapshot_1, "2024-01-01 00:00:00", "1")
     streams.apply_snapshot(store, s.snapshot_2, AS_OF, "2")
     return store
@@ -486,14 +486,14 @@ union all select source, listing_id, 'disappeared', status, null from gone)"""
 def snapshot_diff(s):
     first = files.kept(_loaded(s, 1).state, "state")
     rows = load.deduplicate(load.widened(s.snapshot_2))
-    return load.compared(rows, first, rows.select("source").distinct()).select("source", "listing_id", F.inline("made")).where(F.col("event_type") != "disappeared")
+    return load.compared(rows, first, load.sources_of(rows)).select("source", "listing_id", F.inline("made")).where(F.col("event_type") != "disappeared")
 
 
 @query("snapshot_1 snapshot_2", f"with {_DIFF} select source, listing_id from gone")
 def detect_disappeared(s):
     first = files.kept(_loaded(s, 1).state, "state")
     rows = load.deduplicate(load.widened(s.snapshot_2))
-    return load.compared(rows, first, rows.select("source").distinct()).select("source", "listing_id", F.inline("made")).where(F.col("event_type") == "disappeared").select("source", "listing_id")
+    return load.compared(rows, first, load.sources_of(rows)).select("source", "listing_id", F.inline("made")).where(F.col("event_type") == "disappeared").select("source", "listing_id")
 
 
 def _geo(s):
@@ -779,7 +779,7 @@ def load_pdf_links(s):
     return store.read("links", load.LINKS).join(store.read("state", load.STATE).select("auction_id", "source", "listing_id"), "auction_id").select("source", "listing_id", "link")
 
 
-@query("snapshot_1 snapshot_2", f"with {_deduped('snapshot_1')}, {_deduped('snapshot_2')}, x as (select coalesce(n.source, o.source) as source, coalesce(n.listing_id, o.listing_id) as listing_id, coalesce(n.status, o.status) as status, coalesce(o.name, n.name) as address, coalesce(nullif(n.county, ''), o.county, '') as county, coalesce(n.description, o.description) as description, coalesce(nullif(n.municipality, ''), o.municipality) as municipality, case when o.source is null then TS'2024-01-31 00:00:00' else timestamp '2024-01-01 00:00:00' end as first_seen_at, case when n.source is null then timestamp '2024-01-01 00:00:00' else TS'2024-01-31 00:00:00' end as last_updated_at from snapshot_2_d n full join snapshot_1_d o on n.source = o.source and n.listing_id = o.listing_id) select x.* exclude (description), {_SPECS} from x")
+@query("snapshot_1 snapshot_2", f"with {_deduped('snapshot_1')}, {_deduped('snapshot_2')}, x as (select coalesce(n.source, o.source) as source, coalesce(n.listing_id, o.listing_id) as listing_id, coalesce(n.status, o.status) as status, coalesce(o.name, n.name) as address, case when n.source is null then o.county else coalesce(n.county, '') end as county, coalesce(n.description, o.description) as description, case when n.source is null then o.municipality else coalesce(n.municipality, '') end as municipality, case when o.source is null then TS'2024-01-31 00:00:00' else timestamp '2024-01-01 00:00:00' end as first_seen_at, case when n.source is null then timestamp '2024-01-01 00:00:00' else TS'2024-01-31 00:00:00' end as last_updated_at from snapshot_2_d n full join snapshot_1_d o on n.source = o.source and n.listing_id = o.listing_id) select x.* exclude (description), {_SPECS} from x")
 def state_store(s):
     """Read back from the store after both snapshots."""
     return _stored(s).read("state", load.STATE).select("source", "listing_id", "status", "address", "county", "municipality", "first_seen_at", "last_updated_at", "bedrooms", "sqft", "bathrooms", "year_built", "property_type", "lot_size_raw")
@@ -963,7 +963,7 @@ def _appended(stream, checkpoint):
 @query("snapshot_1 snapshot_2", f"with {_DIFF} select 1 as run_id, 'first_seen' as event_type, count(*) as n from snapshot_1_d union all select 2, event_type, count(*) from ev group by event_type")
 def snapshot_stream(s):
     """Both snapshots arrive at once; each is applied by itself, in order of its time."""
-    store = files.StateStore(s.spark, files.scratch(s.spark, "state"))
+    store = state.StateStore(s.spark, files.scratch(s.spark, "state"))
     path, checkpoint = files.scratch(s.spark, "snapshots"), files.scratch(s.spark, "snapshots-stream")
     for name, rows, as_of in (("b", s.snapshot_2, AS_OF), ("a", s.snapshot_1, "2024-01-01 00:00:00")):
         rows.drop("g").withColumn("as_of", F.lit(as_of)).select("as_of", *sorted(set(rows.columns) - {"g"})).write.parquet(f"{path}/{name}")
@@ -1000,7 +1000,7 @@ def webhook_stream(s):
 def subscription_stream(s):
     """The stored states after a stream of all events."""
     stream, checkpoint = _arrivals(s, s.webhook_events, "billing")
-    store = files.StateStore(s.spark, files.scratch(s.spark, "subscriptions"))
+    store = state.StateStore(s.spark, files.scratch(s.spark, "subscriptions"))
     streams.subscription_stream(stream, store, checkpoint).awaitTermination()
     return store.read("subscriptions", "subscription_id string, subscription_status string, changed_at timestamp_ntz").select("subscription_id", "subscription_status")
 

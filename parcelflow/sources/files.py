@@ -1,8 +1,7 @@
-"""Listing files, caches and the versioned state."""
+"""Listing files, caches, the live map and run reports."""
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 from collections.abc import Mapping
@@ -92,61 +91,6 @@ def read_cache(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return rows.where(keep & F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
-class StateStore:
-    """Tables in versions. A version is one manifest, written after all its tables: a reader sees all of it or nothing.
-
-    manifests/00000001.json, ... list each table's folders, and the tag of the input that made the version; a write that fails
-    leaves folders that no manifest lists, and its input is applied again in whole.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def versions(self) -> list[int]:
-        root = self._at("manifests")
-        names = [s.getPath().getName() for s in self.fs.listStatus(root)] if self.fs.exists(root) else []
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith("."))
-
-    def manifest(self, version: int | None = None) -> dict:
-        """{"tags": [...], "tables": {name: [folder, ...]}} of a version, by default the last."""
-        version = version or (self.versions() or [0])[-1]
-        if not version:
-            return {"tags": [], "tables": {}}
-        source = self.fs.open(self._at(f"manifests/{version:08d}.json"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
-        finally:
-            source.close()
-
-    def read(self, table: str, schema: T.StructType | str, version: int | None = None) -> DataFrame:
-        folders = self.manifest(version)["tables"].get(table)
-        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], schema)
-
-    def commit(self, tag: str, replace: Mapping[str, DataFrame] | None = None, append: Mapping[str, DataFrame] | None = None) -> int:
-        """Writes the tables and then the next version's manifest: replaced tables are the new folder alone, appended ones that
-        beside those they have. A tag that has been committed changes nothing. Returns the version."""
-        before, version = self.manifest(), (self.versions() or [0])[-1]
-        if tag in before["tags"]:
-            return version
-        tables = dict(before["tables"])
-        for how, given in (("replace", replace or {}), ("append", append or {})):
-            for name, df in given.items():
-                folder = f"{name}/{version + 1:08d}-{uuid.uuid4().hex}"
-                df.write.parquet(f"{self.path}/{folder}")
-                tables[name] = [*(tables.get(name, []) if how == "append" else []), folder]
-        aside = self._at(f"manifests/.{uuid.uuid4().hex}")
-        sink = self.fs.create(aside, False)
-        sink.write(bytearray(json.dumps({"tags": [*before["tags"], tag], "tables": tables}).encode()))
-        sink.close()
-        if not self.fs.rename(aside, self._at(f"manifests/{version + 1:08d}.json")):
-            raise RuntimeError(f"version {version + 1} exists")
-        return version + 1
-
-
 def write_live_map(rows: DataFrame, meta: DataFrame, path: str) -> None:
     """The live rows as JSON lines, the one meta row beside them."""
     rows.write.json(f"{path}/properties")

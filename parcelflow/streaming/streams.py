@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 from parcelflow.functions.text import page_alive
 from parcelflow.operators.joins import next_ids
 from parcelflow.plans.billing import subscription_state
-from parcelflow.plans.load import RUNS, STATE, load_snapshot
-from parcelflow.sources.files import StateStore
+from parcelflow.plans.load import KEYS, RUNS, STATE, load_snapshot, sources_of
+from parcelflow.sources.state import StateStore
 
 
 def apply_snapshot(store: StateStore, snapshot: DataFrame, as_of: str, tag: str) -> None:
-    """One snapshot on the stored state, as the store's next version; events, links and the run are appended to the logs."""
-    runs = store.read("runs", RUNS)
-    last = runs.orderBy(F.desc("run_id")).select("run_id", "last_property", "last_event").first() or (0, 0, 0)
-    done = load_snapshot(snapshot, store.read("state", STATE), as_of, last[0] + 1, last[1], last[2])
-    store.commit(tag, replace={"state": done.state}, append={"events": done.events, "links": done.links, "runs": done.run})
+    """One snapshot on the stored state, as the store's next version; events, links and the run are appended to the logs.
+
+    Only the snapshot's sources are read, from buckets that need no shuffle, and only their files are replaced.
+    """
+    last = store.read("runs", RUNS).orderBy(F.desc("run_id")).select("run_id", "last_property", "last_event").first() or (0, 0, 0)
+    sources = sources_of(snapshot)
+    done = load_snapshot(snapshot, store.bucketed("state", STATE, KEYS, sources), as_of, last[0] + 1, last[1], last[2])
+    store.commit(tag, append={"events": done.events, "links": done.links, "runs": done.run}, keyed={"state": (done.state, KEYS, sources)})
 
 
 def snapshot_stream(spark: SparkSession, snapshots: DataFrame, store: StateStore, as_of_col: str, checkpoint: str):
@@ -33,7 +36,7 @@ def snapshot_stream(spark: SparkSession, snapshots: DataFrame, store: StateStore
         times = sorted(r[0] for r in batch.select(F.col(as_of_col).cast("string")).distinct().collect() if r[0] is not None)  # a value a snapshot
         for time in times:
             tag = f"{batch_id}:{time}"
-            if tag not in store.manifest()["tags"]:
+            if not store.applied(tag):
                 apply_snapshot(store, batch.where(F.col(as_of_col).cast("string") == time).drop(as_of_col), time, tag)
 
     return snapshots.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 import datetime as dt
 import difflib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from parcelflow.operators import dedup, joins, pages
 from parcelflow.plans import digest, links, load
 from parcelflow.plans.shapes import Shapes
 from parcelflow.sources import files
+from parcelflow.sources.state import StateStore
 from parcelflow.streaming import streams
 
 
@@ -140,17 +142,17 @@ def test_load_follows_a_listing(spark):
     two = load.load_snapshot(blind, one.state, "2024-01-02 00:00:00", 2, 2, 2)
     assert kinds(two) == [(1, "disappeared", "active", None), (2, "disappeared", "active", None)] and two.rejects.count() == 1
     assert load.load_snapshot(blind, two.state, "2024-01-03 00:00:00", 3, 2, 4).events.count() == 0
-    # it comes back with another status, and keeps its name, its county and its first day
+    # it comes back with another status and no county, and keeps its name and its first day
     back = load.load_snapshot(make((5, "a", "x", "new", "other name", 1.0, 2.0, "postponed", "")), two.state, "2024-01-04 00:00:00", 4, 2, 4)
     assert kinds(back) == [(1, "status_change", "active", "postponed")]
     row = back.state.where("listing_id = 'x'").first()
-    assert (row["address"], row["county"], row["url"], row["first_seen_at"], row["last_seen_at"], row["last_event"]) == ("1 Oak St", "Upper", "new", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 4), "status_change")
+    assert (row["address"], row["county"], row["url"], row["first_seen_at"], row["last_seen_at"], row["last_event"]) == ("1 Oak St", "", "new", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 4), "status_change")
     run = back.run.first()
     assert (run["found"], run["new"], run["changed"], run["removed"], run["failed"], run["last_property"], run["last_event"]) == (1, 0, 1, 0, 0, 2, 5)
 
 
 def test_store_shows_whole_versions_only(spark, tmp_path, monkeypatch):
-    store = files.StateStore(spark, f"file://{tmp_path}/s")
+    store = StateStore(spark, f"file://{tmp_path}/s")
     rows = lambda *x: spark.createDataFrame([(i,) for i in x], "a long")
     assert store.commit("1", replace={"state": rows(1)}, append={"events": rows(1)}) == 1
     write = spark.range(1).write.__class__.parquet
@@ -170,6 +172,57 @@ def test_store_shows_whole_versions_only(spark, tmp_path, monkeypatch):
     assert (got("state"), got("events"), got("state", 1)) == ([2], [1, 2], [1])
 
 
+def listed(*rows):
+    return lambda spark: spark.createDataFrame([(*r[:4], "1 Oak St", float(r[0]), 2.0, r[4], "") for r in rows], FIELDS)
+
+
+def files_of(folder):
+    return {os.path.relpath(os.path.join(d, n), folder) for d, _, names in os.walk(folder) for n in names if n.endswith(".parquet")}
+
+
+def test_load_of_one_source_leaves_the_others_files(spark, tmp_path):
+    store = StateStore(spark, f"file://{tmp_path}/s", buckets=3)
+    both = listed((1, "a/b", "x", "u", "active"), (2, "a/b", "y", "u", "active"), (3, "c", "x", "u", "active"))(spark)
+    streams.apply_snapshot(store, both, "2024-01-01 00:00:00", "1")
+    root = f"{tmp_path}/s/state"
+    first, parts = files_of(root), store.manifest()["keyed"]["state"]
+    streams.apply_snapshot(store, listed((9, "c", "x", "u", "postponed"), (10, "c", "z", "u", "active"))(spark), "2024-01-02 00:00:00", "2")
+    after = store.manifest()["keyed"]["state"]
+    kept = "p" + "a/b".encode().hex()
+    assert set(parts) == set(after) and after[kept] == parts[kept] and len({p for p in parts if after[p] == parts[p]}) == 1
+    assert first < files_of(root) and all(kept not in f for f in files_of(root) - first)
+    state = {(r["source"], r["listing_id"]): (r["property_id"], r["status"]) for r in store.read("state", load.STATE).collect()}
+    assert state == {("a/b", "x"): (1, "active"), ("a/b", "y"): (2, "active"), ("c", "x"): (3, "postponed"), ("c", "z"): (4, "active")}
+    assert store.read("state", load.STATE, version=1).count() == 3 and store.read("state", load.STATE, parts=["c", "none"]).count() == 2
+    events = sorted((r["event_id"], r["auction_id"], r["event_type"]) for r in store.read("events", load.EVENTS).collect())
+    assert events == [(1, 1, "first_seen"), (2, 2, "first_seen"), (3, 3, "first_seen"), (4, 3, "status_change"), (5, 4, "first_seen")]
+    # the stored side of the comparison is one scan of buckets, without a shuffle
+    stored = store.bucketed("state", load.STATE, load.KEYS, ["a/b", "c"])
+    assert stored.count() == 4
+    plan = load.compared(load.widened(both), stored, ["c"])._jdf.queryExecution().executedPlan().toString()
+    left, right = plan[plan.index("SortMergeJoin") :].split("FileScan")[0], plan[plan.index("FileScan") - 900 : plan.index("FileScan")]
+    assert "Bucketed: true" in plan and left.count("Exchange") == 1 and "Exchange" not in right
+    # an empty snapshot changes nothing
+    streams.apply_snapshot(store, both.limit(0), "2024-01-03 00:00:00", "3")
+    assert store.manifest()["keyed"]["state"] == after and store.read("events", load.EVENTS).count() == 5
+
+
+def test_logs_merge_in_tiers_and_old_versions_go(spark, tmp_path):
+    store = StateStore(spark, f"file://{tmp_path}/s", fan=3, keep=4)
+    sizes = []
+    for i in range(1, 41):
+        before = store.read("log", "a long", i - 1) if i > 1 else None
+        assert store.commit(f"{i // 4}:{i % 4}", replace={"now": spark.createDataFrame([(i,)], "a long")}, append={"log": spark.createDataFrame([(i,)], "a long").coalesce(1)}) == i
+        assert before is None or before.count() == i - 1
+        sizes.append((len(store.manifest()["logs"]["log"]), os.path.getsize(f"{tmp_path}/s/manifests/{i:08d}.json")))
+    assert max(n for n, _ in sizes) <= 2 * 4 and max(b for _, b in sizes) < 2000  # 40 commits fill tiers 0 to 3
+    assert sorted(r["a"] for r in store.read("log", "a long").collect()) == list(range(1, 41))
+    assert store.versions() == [37, 38, 39, 40] and store.read("log", "a long", 37).count() == 37
+    assert len(os.listdir(f"{tmp_path}/s/now")) == 4 and len(os.listdir(f"{tmp_path}/s/log")) <= 4 * 8
+    # batches that are in change nothing, whatever their item
+    assert store.applied("9:3") and not store.applied("10:1") and store.commit("3:1", append={"log": spark.createDataFrame([(99,)], "a long")}) == 40
+
+
 def test_page_tables_and_blocks(spark):
     html = "<table><tr><th>a</th></tr><tr><td>1</td><td>2 <b>x</b></td></tr><tr><td>short</td></tr></table><article><h2>T</h2>one</article><article>no title</article><article><h2>T</h2>two</article>"
     df = spark.createDataFrame([(1, "http://a/b", html), (2, "u", None)], "page_id long, url string, html string")
@@ -202,7 +255,7 @@ def test_snapshot_stream_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
     rows = [("2024-01-01 00:00:00", 1, "a", "x", "active"), ("2024-01-02 00:00:00", 2, "a", "x", "postponed"), ("2024-01-02 00:00:00", 3, "a", "y", "active")]
     schema = "as_of string, seq long, source string, listing_id string, status string, latitude double, longitude double"
     spark.createDataFrame([(*r, float(r[1]), 2.0) for r in rows], schema).write.parquet(f"file://{tmp_path}/in/1")
-    store = files.StateStore(spark, f"file://{tmp_path}/state")
+    store = StateStore(spark, f"file://{tmp_path}/state")
     source = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
     apply, calls = streams.apply_snapshot, []
 
