@@ -10,6 +10,7 @@ on such spans, of the toxic documents those that the round before found worst.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections import Counter
@@ -390,22 +391,39 @@ def held_out(id_col: str):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int = SAMPLE) -> DataFrame:
-    """At most `most` labelled documents of each label, chosen by a hash of the id among those that may be learnt from."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, "toxic").dropDuplicates([id_col])
+    """(id_col, toxic, text) of at most `most` labelled documents of each label, chosen by a hash of the id among those that may be learnt from.
+
+    An id with several labels is toxic if one of them says so; of several texts the least counts.
+    """
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col(id_col))
     picked = usable.where(F.col("toxic") == 1).orderBy(order, id_col).limit(most).unionByName(usable.where(F.col("toxic") == 0).orderBy(order, id_col).limit(most))
-    return docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(picked), id_col)  # at most 2 * most rows
+    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(picked), id_col)  # at most 2 * most rows
+    return rows.groupBy(id_col, "toxic").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> tuple[Model | None, float]:
-    """The model, and the share of toxic labels among all usable rows (the prior that scores are calibrated to)."""
+    """The model, and the share of toxic labels among all usable rows (the prior that scores are calibrated to).
+
+    One task trains on the sample, whose rows are bounded; the driver gets the model alone.
+    """
     usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(id_col))
     n, bad = usable.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    rows = sorted(training_rows(docs, labels, id_col, text_col, most).dropDuplicates([id_col]).collect(), key=lambda r: r[id_col])  # bounded by 2 * most
-    model = train([r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic, texts = [], []
+        for batch in batches:
+            toxic += batch.column(0).to_pylist()
+            texts += [t or "" for t in batch.column(1).to_pylist()]
+        if texts:
+            model = pickle.dumps(train(texts, np.array(toxic)))
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary()), pa.array([float(np.mean(toxic))])], names=["model", "share"])
+
+    sample = training_rows(docs, labels, id_col, text_col, most).repartition(1).sortWithinPartitions(id_col)  # at most 2 * most rows
+    found = sample.select("toxic", "text").mapInArrow(returning(run), "model binary, share double").first()
+    model, share = (pickle.loads(found["model"]), found["share"]) if found else (None, 0.0)
     prior = (bad or 0) / n if n else 0.0
     if model is not None:
-        share = np.mean([r["toxic"] for r in rows])
         model.curve[3] += np.log(prior / (1 - prior)) - np.log(share / (1 - share)) if 0 < prior < 1 else 0.0
     return model, prior
 
