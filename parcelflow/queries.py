@@ -988,19 +988,52 @@ def cooldown_gate(s):
     return s.spark.read.schema("email string, sent_at timestamp").parquet(_appended(streams.cooldown(stream), checkpoint))
 
 
-@query("webhook_events", "select event_id, 1 as n from webhook_events group by event_id")
+def _deliveries(s):
+    """The webhook events as a stream of two arrivals, a checkout with its email; and a folder for its checkpoint."""
+    email = F.when(F.col("kind") == "checkout", F.concat(F.regexp_replace("subscription_id", "^sub_", "user"), F.lit("@example.com")))
+    rows = s.webhook_events.withColumn("email", email)
+    path = files.scratch(s.spark, "webhooks")
+    half = rows.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0] or 0
+    for name, part in (("a", F.col("seq") <= half), ("b", F.col("seq") > half)):
+        rows.where(part).coalesce(1).write.parquet(f"{path}/{name}")
+    stream = s.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
+    return stream, files.scratch(s.spark, "webhooks-stream")
+
+
+@query("webhook_events", "select event_id, min(seq) as seq from webhook_events group by event_id")
 def webhook_stream(s):
-    """Each event once, at the default delay; which of two deliveries stays is left to their order of arrival."""
-    stream, checkpoint = _arrivals(s, s.webhook_events.select("event_id", "seq", F.col("event_time").cast("timestamp").alias("event_time")), "webhooks")
-    out = _appended(streams.webhook_dedup(stream), checkpoint)
-    return s.spark.read.schema("event_id long, seq long, event_time timestamp").parquet(out).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+    """The log after a stream of all deliveries: of each event the first."""
+    stream, checkpoint = _deliveries(s)
+    store = state.StateStore(s.spark, files.scratch(s.spark, "webhook-log"))
+    streams.webhook_stream(stream, store, checkpoint).awaitTermination()
+    return store.read("webhooks", streams.WEBHOOKS).select("event_id", "seq")
+
+
+def _subscriptions(s):
+    stream, checkpoint = _deliveries(s)
+    store = state.StateStore(s.spark, files.scratch(s.spark, "subscriptions"))
+    streams.subscription_stream(stream, store, checkpoint).awaitTermination()
+    return store.read("subscriptions", billing.SUBSCRIPTIONS)
 
 
 @query("webhook_events", f"with {_ONCE} select subscription_id, arg_max(case kind when 'checkout' then 'active' when 'deleted' then 'canceled' else status end, (event_time, event_id)) as subscription_status from o where kind in ('checkout','updated','deleted') group by subscription_id")
 def subscription_stream(s):
     """The stored states after a stream of all events."""
-    stream, checkpoint = _arrivals(s, s.webhook_events, "billing")
-    store = state.StateStore(s.spark, files.scratch(s.spark, "subscriptions"))
-    streams.subscription_stream(stream, store, checkpoint).awaitTermination()
-    return store.read("subscriptions", "subscription_id string, subscription_status string, changed_at timestamp_ntz").select("subscription_id", "subscription_status")
+    return _subscriptions(s).select("subscription_id", "subscription_status")
+
+
+_BILLED = f"""{_ONCE}, c as (select subscription_id, replace(subscription_id, 'sub_', 'user') || '@example.com' as email, min((event_time, event_id)) filter (kind = 'checkout') as first, max((event_time, event_id)) filter (kind = 'deleted') as gone,
+  arg_max(case kind when 'checkout' then 'active' when 'deleted' then 'canceled' else status end, (event_time, event_id)) as now from o where kind in ('checkout','updated','deleted') group by subscription_id having first is not null),
+b as (select p.email, coalesce(c.subscription_id, p.subscription_id) as subscription_id, coalesce(now, subscription_status) as subscription_status, active and not coalesce(gone > first, false) as active, alerts from subscribers p left join c on p.email = c.email)"""
+
+
+@query("webhook_events subscribers", f"with {_BILLED} select * exclude (alerts) from b")
+def subscribers_after_billing(s):
+    """Subscribers as the stream of billing events leaves them."""
+    return billing.after_billing(s.subscribers, _subscriptions(s)).select("email", "subscription_id", "subscription_status", "active")
+
 
+@query("webhook_events subscribers", f"with {_BILLED} select email from b where active and alerts and subscription_status in ('active','trialing')")
+def recipients_after_billing(s):
+    """Who is to be mailed after the stream of billing events: deactivated subscribers are not."""
+    return digest.eligible(billing.after_billing(s.subscribers, _subscriptions(s))).select("email")

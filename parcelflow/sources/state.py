@@ -79,8 +79,7 @@ class StateStore:
 
     def read(self, table: str, schema: T.StructType | str, version: int | None = None, parts: Iterable[str] | None = None) -> DataFrame:
         """A table as of a version; of a keyed one the named parts or all."""
-        folders = self._folders(self.manifest(version), table, parts)
-        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], schema)
+        return self._scan(self._folders(self.manifest(version), table, parts), schema)
 
     def bucketed(self, table: str, schema: str, keys: Sequence[str], parts: Iterable[str]) -> DataFrame:
         """Parts of a keyed table for a join on its keys that does not shuffle them.
@@ -108,18 +107,29 @@ class StateStore:
 
     # writing
 
-    def _put(self, df: DataFrame, name: str, version: int) -> str:
-        folder = f"{name}/{version:08d}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{folder}")
+    def _put(self, df: DataFrame, name: str, version: int, by: str | None = None) -> str:
+        folder = f"{name}/{'ver=' * bool(by)}{version:08d}-{uuid.uuid4().hex}"
+        (df.write.partitionBy(by) if by else df.write).parquet(f"{self.path}/{folder}")
         return folder
 
-    def _merged(self, entries: list, name: str, version: int, schema: T.StructType) -> list:
+    def _scan(self, folders: list[str], schema: T.StructType | str) -> DataFrame:
+        """The rows of folders of one table; those of logs by a column have it as a partition, so a filter on it skips files."""
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{self.path}/{f}" for f in folders]
+        if "/part=" in folders[0] or "/ver=" not in folders[0]:
+            return self.spark.read.schema(schema).parquet(*paths)
+        wide = T.StructType([*schema.fields, T.StructField("ver", T.StringType())])
+        return self.spark.read.schema(wide).option("basePath", f"{self.path}/{folders[0].split('/')[0]}").parquet(*paths).select(*schema.names)
+
+    def _merged(self, entries: list, name: str, version: int, schema: T.StructType, by: str | None) -> list:
         """entries of a log with every full tier merged into the next."""
         tier = 0
         while len(full := [f for t, f in entries if t == tier]) >= self.fan:
             size = sum(self.fs.getContentSummary(self._at(f)).getLength() for f in full)
-            rows = self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in full)).coalesce(max(1, -(-size // FILE_BYTES)))
-            entries = [[t, f] for t, f in entries if t != tier] + [[tier + 1, self._put(rows, name, version)]]
+            rows = self._scan(full, schema).coalesce(max(1, -(-size // FILE_BYTES)))
+            entries = [[t, f] for t, f in entries if t != tier] + [[tier + 1, self._put(rows, name, version, by)]]
             tier += 1
         return entries
 
@@ -133,12 +143,12 @@ class StateStore:
         return {n.removeprefix("part="): ver for n in self._names(f"{name}/ver={ver}") if n.startswith("part=")}
 
     def commit(
-        self, tag: str, replace: Mapping[str, DataFrame] | None = None, append: Mapping[str, DataFrame] | None = None,
+        self, tag: str, replace: Mapping[str, DataFrame] | None = None, append: Mapping[str, DataFrame | tuple[DataFrame, str]] | None = None,
         keyed: Mapping[str, tuple[DataFrame, Sequence[str], Sequence[str]]] | None = None,
     ) -> int:
         """Writes the tables and then the next version's manifest. A tag that has been applied changes nothing. Returns the version.
 
-        replace: whole tables; append: rows of logs; keyed: (rows, keys, parts), where the rows are all that the parts hold from now on.
+        replace: whole tables; append: rows of logs, with the column that deals them to folders if there is one; keyed: (rows, keys, parts), where the rows are all that the parts hold from now on.
         """
         m, version = self.manifest(), (self.versions() or [0])[-1]
         if self.applied(tag, m):
@@ -146,8 +156,9 @@ class StateStore:
         new = version + 1
         for name, df in (replace or {}).items():
             m["tables"][name] = [[0, self._put(df, name, new)]]
-        for name, df in (append or {}).items():
-            m["logs"][name] = self._merged([*m["logs"].get(name, []), [0, self._put(df, name, new)]], name, new, df.schema)
+        for name, given in (append or {}).items():
+            df, by = given if isinstance(given, tuple) else (given, None)
+            m["logs"][name] = self._merged([*m["logs"].get(name, []), [0, self._put(df, name, new, by)]], name, new, df.schema, by)
         for name, (df, keys, parts) in (keyed or {}).items():
             kept = {p: ver for p, ver in m["keyed"].get(name, {}).items() if p not in set(map(self._part, parts))}
             m["keyed"][name] = kept | self._keyed(df, name, keys, m["buckets"], new)

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from parcelflow.functions.text import page_alive
 from parcelflow.operators.joins import next_ids
-from parcelflow.plans.billing import subscription_state
+from parcelflow.plans import billing
 from parcelflow.plans.load import KEYS, RUNS, STATE, load_snapshot, sources_of
+from parcelflow.sources.files import kept
 from parcelflow.sources.state import StateStore
 
 
@@ -43,44 +45,111 @@ def snapshot_stream(spark: SparkSession, snapshots: DataFrame, store: StateStore
 
 
 def webhook_dedup(events: DataFrame, time: str = "event_time", delay: str = "1 hour") -> DataFrame:
-    """Redelivered events once, as long as they come within the delay."""
+    """Redelivered events once, as long as they come within the delay; webhook_stream() stops later ones too."""
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def subscription_stream(events: DataFrame, store: StateStore, checkpoint: str):
-    """Subscription states kept by upsert: each batch is folded with the stored states by event time."""
-    schema = "subscription_id string, subscription_status string, changed_at timestamp_ntz"
+#: The log of events that have been applied, in folders by day.
+WEBHOOKS = "event_id long, seq long, day date"
+
+
+def unseen(batch: DataFrame, store: StateStore, days: int) -> DataFrame:
+    """The events of a batch that are not in the log, each once; with the day of their time.
+
+    A redelivery's time is within some days of the first delivery's, so only the log's folders of those days are read.
+    """
+    rows = billing.once(batch.where(F.col("event_id").isNotNull())).withColumn("day", F.to_date("event_time"))
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
+    log = store.read("webhooks", WEBHOOKS)
+    near = log.where(F.col("day").isNull() if first is None else F.col("day").between(F.date_sub(F.lit(first), days), F.date_add(F.lit(last), days)) | F.col("day").isNull())
+    return rows.join(near.select("event_id"), "event_id", "left_anti")
+
+
+def webhook_stream(events: DataFrame, store: StateStore, checkpoint: str, days: int = 3, fold: bool = False):
+    """Events (event_id, seq, event_time, ...) applied once, however late they come again within some days. Starts the query.
+
+    The log of event ids and, if asked for, the subscriptions that the events change are committed as one version, so a batch
+    that fails is applied again in whole. Events without an id are left out. Only the buckets of subscriptions that a
+    batch touches are read and replaced.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        old = store.read("subscriptions", schema)
-        both = old.unionByName(subscription_state(batch))
-        new = both.groupBy("subscription_id").agg(F.max_by(F.struct("subscription_status", "changed_at"), "changed_at").alias("x")).select("subscription_id", "x.*")
-        store.commit(str(batch_id), replace={"subscriptions": new})
+        if store.applied(str(batch_id)):
+            return
+        fresh = kept(unseen(batch, store, days), "fresh")
+        keyed = {}
+        if fold:
+            new = kept(billing.folded(fresh), "folded")
+            parts = [r[0] for r in new.select("bucket").distinct().collect()]  # at most billing.BUCKETS
+            old = store.bucketed("subscriptions", billing.SUBSCRIPTIONS, billing.SUBSCRIPTION_KEYS, parts)
+            keyed["subscriptions"] = (billing.merged(old.unionByName(new)), billing.SUBSCRIPTION_KEYS, parts)
+        store.commit(str(batch_id), append={"webhooks": (fresh.select("event_id", "seq", "day"), "day")}, keyed=keyed)
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def link_checks(results: DataFrame, minutes: int = 15) -> DataFrame:
-    """Dead listings (property_id, checked_at), at most one check of a property in some minutes.
+def subscription_stream(events: DataFrame, store: StateStore, checkpoint: str, days: int = 3):
+    """webhook_stream() with the subscriptions' state: a checkout gives its email, a deletion ends it."""
+    return webhook_stream(events, store, checkpoint, days, fold=True)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    results: property_id long, checked_at timestamp, http_status int, html string. The state holds a property's last check.
+
+class Gate(StatefulProcessor):
+    """Lets a row of a key through if it comes some time or more after the last one let through.
+
+    The state is that row's time. Once the watermark has passed the end of its interval every row to come is let through
+    anyway, so a timer set for that end frees the state.
     """
 
-    def check(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("checked_at")
-        out = []
-        for t, alive in zip(rows["checked_at"], rows["alive"], strict=True):
-            if last is None or t >= last + pd.Timedelta(minutes=minutes):
-                last = t
-                if not alive:
+    def __init__(self, key: str, time: str, micros: int, wanted: str | None = None):
+        self.key, self.time, self.micros, self.wanted = key, time, micros, wanted
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.last.get()[0] if self.last.exists() else None
+        last, out = before, []
+        batch = pd.concat(list(rows)).sort_values(self.time, kind="stable")
+        for t, wanted in zip(batch[self.time], batch[self.wanted] if self.wanted else [True] * len(batch), strict=True):
+            at = t.value // 1000
+            if last is None or at >= last + self.micros:
+                last = at
+                if wanted:
                     out.append((key[0], t))
-        if last is not None:
-            state.update((last.to_pydatetime(),))
-        yield pd.DataFrame(out, columns=["property_id", "checked_at"])
+        if last is not None and last != before:
+            if before is not None:
+                self.handle.deleteTimer(before // 1000 + self.micros // 1000)
+            self.last.update((last,))
+            self.handle.registerTimer(last // 1000 + self.micros // 1000)
+        yield pd.DataFrame(out, columns=[self.key, self.time])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame(columns=[self.key, self.time])
 
-    seen = results.select("property_id", "checked_at", page_alive(F.col("http_status"), F.col("html")).alias("alive"))
-    return seen.groupBy("property_id").applyInPandasWithState(check, "property_id long, checked_at timestamp", "last timestamp", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def gated(rows: DataFrame, key: str, time: str, micros: int, wanted: str | None, delay: str) -> DataFrame:
+    """(key, time) of the wanted rows that Gate lets through; rows over delay late are left out."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # what timers need
+    kind = rows.schema[key].dataType.simpleString()
+    own = rows.where(F.col(time).isNotNull()).withWatermark(time, delay).groupBy(key)
+    return own.transformWithStateInPandas(Gate(key, time, micros, wanted), f"`{key}` {kind}, `{time}` timestamp", "Append", "EventTime")
+
+
+def link_checks(results: DataFrame, minutes: int = 15, delay: str = "1 hour") -> DataFrame:
+    """Dead listings (property_id, checked_at), at most one check of a property in some minutes.
+
+    results: property_id long, checked_at timestamp, http_status int, html string. The state holds a property's last check
+    until the watermark is past it by those minutes.
+    """
+    seen = results.select("property_id", "checked_at", (~page_alive(F.col("http_status"), F.col("html"))).alias("dead"))
+    return gated(seen, "property_id", "checked_at", minutes * 60_000_000, "dead", delay)
 
 
 def disappeared_events(dead: DataFrame, state: DataFrame, next_event: int, run_id: int) -> DataFrame:
@@ -91,18 +160,6 @@ def disappeared_events(dead: DataFrame, state: DataFrame, next_event: int, run_i
     return numbered.select("event_id", "auction_id", F.lit("disappeared").alias("event_type"), F.col("status").alias("old_value"), F.lit(None).cast("string").alias("new_value"), F.col("checked_at").cast("timestamp_ntz").alias("detected_at"), F.lit(run_id).cast("long").alias("run_id"))
 
 
-def cooldown(sends: DataFrame, hours: int = 4) -> DataFrame:
+def cooldown(sends: DataFrame, hours: int = 4, delay: str = "1 hour") -> DataFrame:
     """Sends (email, sent_at timestamp) that come some hours or more after the last one let through to the address."""
-
-    def gate(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        out = []
-        for t in pd.concat(list(batches)).sort_values("sent_at")["sent_at"]:
-            if last is None or t >= last + pd.Timedelta(hours=hours):
-                out.append((key[0], t))
-                last = t
-        if last is not None:
-            state.update((last.to_pydatetime(),))
-        yield pd.DataFrame(out, columns=["email", "sent_at"])
-
-    return sends.groupBy("email").applyInPandasWithState(gate, "email string, sent_at timestamp", "last timestamp", "append", "NoTimeout")
+    return gated(sends.select("email", "sent_at"), "email", "sent_at", hours * 3_600_000_000, None, delay)

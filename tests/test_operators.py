@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from parcelflow.functions import dates, status, text
 from parcelflow.functions.udf import fuzzy_date, street_similarity
 from parcelflow.operators import dedup, joins, pages
-from parcelflow.plans import digest, links, load
+from parcelflow.plans import billing, digest, links, load
 from parcelflow.plans.shapes import Shapes
 from parcelflow.sources import files
 from parcelflow.sources.state import StateStore
@@ -388,6 +388,87 @@ def test_link_checks_and_cooldown(spark, tmp_path):
     assert spark.table("sent").count() == 3
 
 
+def arrivals(spark, path, schema, batches):
+    """A stream with a batch for each list of rows."""
+    for i, own in enumerate(batches):
+        if not (path / str(i)).exists():
+            spark.createDataFrame(own, schema).coalesce(1).write.parquet(f"file://{path}/{i}")
+            os.utime(next(p for p in (path / str(i)).iterdir() if p.suffix == ".parquet"), (1_700_000_000 + 60 * i,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"file://{path}")
+
+
+HOOKS = "event_id long, seq long, event_time timestamp_ntz, subscription_id string, kind string, status string, email string"
+
+
+def test_replays_after_days_are_stopped_by_the_log(spark, tmp_path):
+    d = lambda n, h=0: dt.datetime(2024, 1, n, h)
+    hook = lambda e, q, t, kind="updated", sub="s1", status=None, email=None: (e, q, t, sub, kind, status, email)
+    batches = [
+        [hook(1, 1, d(1), "checkout", email="a@e"), hook(1, 2, d(1)), hook(2, 3, d(1, 5), status="past_due"), hook(None, 4, d(1))],
+        [hook(3, 5, d(3), status="active"), hook(2, 6, d(3, 1), status="past_due")],  # two days late
+        [hook(1, 7, d(3, 5), "deleted"), hook(9, 8, None, "other")],
+        [hook(9, 9, None, "other"), hook(4, 10, d(2), "deleted", sub="s2")],
+    ]
+    store = StateStore(spark, f"file://{tmp_path}/s")
+    run = lambda: streams.subscription_stream(arrivals(spark, tmp_path / "in", HOOKS, batches), store, f"file://{tmp_path}/c").awaitTermination()
+    run()
+    assert sorted((r[0], r[1]) for r in store.read("webhooks", streams.WEBHOOKS).collect()) == [(1, 1), (2, 3), (3, 5), (4, 10), (9, 8)]
+    got = {r["subscription_id"]: (r["email"], r["subscription_status"], r["deleted"]) for r in store.read("subscriptions", billing.SUBSCRIPTIONS).collect()}
+    assert got["s1"] == ("a@e", "active", None) and got["s2"][:2] == (None, "canceled")
+    # only the folders of near days are read
+    plan = store.read("webhooks", streams.WEBHOOKS).where("day between date'2024-01-02' and date'2024-01-04'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_billing_has_one_order_over_batches(spark, tmp_path):
+    import random
+
+    rng, t = random.Random(4), lambda n: dt.datetime(2024, 1, 1, n)
+    events = []
+    for i in range(120):
+        sub = f"s{rng.randrange(12)}"
+        kind = rng.choice(["checkout", "updated", "updated", "deleted", "other"])
+        events.append((i, i, t(rng.randrange(6)), sub, kind, rng.choice(["active", "past_due", "trialing"]), f"u{int(sub[1:]) // 2}@e" if kind == "checkout" else None))
+    rng.shuffle(events)
+    store = StateStore(spark, f"file://{tmp_path}/s")
+    streams.subscription_stream(arrivals(spark, tmp_path / "in", HOOKS, [events[:50], events[50:80], events[80:]]), store, f"file://{tmp_path}/c").awaitTermination()
+    fields = [f for f in billing.merged(billing.folded(spark.createDataFrame(events, HOOKS))).columns]
+    whole = {tuple(r) for r in billing.folded(spark.createDataFrame(events, HOOKS)).select(fields).collect()}
+    state = store.read("subscriptions", billing.SUBSCRIPTIONS)
+    assert {tuple(r) for r in state.select(fields).collect()} == whole
+    # the same by applying one event after the other
+    sub, status, active = {}, {}, {f"u{i}@e": True for i in range(7)}
+    for e in sorted(events, key=lambda e: (e[2], e[0])):
+        if e[4] == "checkout":
+            sub[e[6]], status[e[6]] = e[3], "active"
+        for email in [m for m, x in sub.items() if x == e[3]]:
+            if e[4] == "updated":
+                status[email] = e[5]
+            if e[4] == "deleted":
+                status[email] = "canceled"
+                active[email] = False
+    people = spark.createDataFrame([(f"u{i}@e", "old", "none", True, True) for i in range(7)], "email string, subscription_id string, subscription_status string, active boolean, alerts boolean")
+    got = {r["email"]: r for r in billing.after_billing(people, state).collect()}
+    assert {m: (r["subscription_id"], r["subscription_status"]) for m, r in got.items()} == {m: (sub.get(m, "old"), status.get(m, "none")) for m in active}
+    assert not any(got[m]["active"] and not active[m] for m in active if len({e[3] for e in events if e[6] == m}) == 1)
+    assert {r["email"] for r in digest.eligible(billing.after_billing(people, state)).collect()} == {m for m, r in got.items() if r["active"] and r["subscription_status"] in ("active", "trialing")}
+
+
+def test_timed_state_is_freed(spark, tmp_path):
+    t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rows = [[(f"a{i}", t(i % 50)) for i in range(40)], [("a0", t(100)), ("b", t(110))], [("a0", t(241)), ("a1", t(242)), ("late", t(241))], [("z", t(2000))], [("a0", t(1999)), ("y", t(9000))]]
+    src = arrivals(spark, tmp_path / "s", "email string, sent_at timestamp", rows)
+    q = streams.cooldown(src).writeStream.format("memory").queryName("gate").option("checkpointLocation", f"file://{tmp_path}/c").start()
+    try:
+        q.processAllAvailable()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    finally:
+        q.stop()
+    got = sorted((r[0], r[1]) for r in spark.table("gate").collect())
+    assert got == sorted(brute_gate([r for own in rows for r in own], dt.timedelta(hours=4)))
+    assert max(held) >= 40 and held[-1] <= 4  # each row of state has a timer's row or two
+
+
 def test_fan_out_counts_every_listing_of_eligible_subscribers(spark):
     states = spark.createDataFrame([(1, "MA"), (1, "NH"), (2, "MA"), (3, "MA"), (4, "ME")], "subscriber_id long, state string")
     people = spark.createDataFrame([(1,), (2,), (4,)], "subscriber_id long")
