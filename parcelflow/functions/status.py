@@ -33,8 +33,10 @@ STATUS_RULES: tuple[tuple[str | None, str, str], ...] = (
     ("sullivan", "on", "active"),
     ("towne", "on_time", "active"), ("towne", "on time", "active"),
     ("patriot", "yellow", "postponed"), ("patriot", "red", "cancelled"), ("patriot", "", "active"),
-    ("skypoint", "new date", "active"), ("skypoint", "sold", "sold"), ("skypoint", "", "active"),
+    ("skypoint", "new date", "active"), ("skypoint", "sold", "sold"), ("skypoint", "cancel", "canceled"), ("skypoint", "", "active"),
 )
+#: (source, word of the raw status): rows that are left out before they are loaded.
+SKIPPED = (("patriot", "red"),)
 #: Sources whose first word must be the whole status.
 WHOLE = ("sullivan",)
 
@@ -58,3 +60,11 @@ def normalize_status(c: Column, source: Column | None = None, rules: tuple[tuple
 def stale_sold(c: Column, dt: Column, as_of: str, days: int = 14) -> Column:
     """Whether a sold row's date lies more than days back; undated rows are not stale."""
     return F.coalesce((F.lower(F.trim(c)) == "sold") & (dt < F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))), F.lit(False))
+
+
+def skipped(c: Column, source: Column, rules: tuple[tuple[str, str], ...] = SKIPPED) -> Column:
+    """Whether a row's raw status says that its source has taken it down; such rows are no listings."""
+    found = F.lit(False)
+    for name, word in rules:
+        found = found | ((source == name) & F.array_contains(F.split(F.lower(F.trim(c)), r"\s+"), word))
+    return F.coalesce(found, F.lit(False))

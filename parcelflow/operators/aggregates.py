@@ -128,12 +128,20 @@ def sent_counts(notifications: DataFrame) -> DataFrame:
     return notifications.groupBy("email", "kind").agg(F.count(F.lit(1)).alias("sent"))
 
 
-def digest_counts(upcoming: DataFrame, events: DataFrame, removed: DataFrame) -> DataFrame:
-    """A digest's counts and subject: upcoming rows, new listings and postponements among the events, removed rows."""
-    kinds = events.agg(F.count_if(F.col("event_type") == "first_seen").alias("n_new"), F.count_if((F.col("event_type") == "status_change") & (F.col("new_value") == "postponed")).alias("n_postponed")).first()
-    n, gone = upcoming.count(), removed.count()
-    subject = f"Auction watch: {n} auction(s) this week" + (f", {gone} cancelled" if gone else "")
-    return upcoming.sparkSession.createDataFrame([(n, *kinds, gone, subject)], "n_upcoming long, n_new long, n_postponed long, n_cancelled long, subject string")  # four counts
+def ever_sent(people: DataFrame, notifications: DataFrame, kind: str) -> DataFrame:
+    """people with how many of a kind each was sent, and whether any."""
+    sent = notifications.where(F.col("kind") == kind).groupBy("email").agg(F.count(F.lit(1)).alias("sent"))
+    return people.join(sent, "email", "left").withColumn("sent", F.coalesce("sent", F.lit(0).cast("long"))).withColumn("ever_sent", F.col("sent") > 0)
+
+
+def digest_counts(upcoming: DataFrame, events: DataFrame, properties: DataFrame, removed: DataFrame) -> DataFrame:
+    """A digest's counts and subject: upcoming rows, new listings and postponements among the events of known properties, removed rows."""
+    known = events.join(properties.select("auction_id"), "auction_id", "left_semi")
+    kinds = known.agg(F.count_if(F.col("event_type") == "first_seen").alias("n_new"), F.count_if((F.col("event_type") == "status_change") & (F.lower("new_value") == "postponed")).alias("n_postponed"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    rows = count(upcoming, "n_upcoming").join(kinds).join(count(removed, "n_cancelled"))  # one row each
+    told = F.concat(F.lit("Auction watch: "), F.col("n_upcoming").cast("string"), F.lit(" auction(s) this week"))
+    return rows.withColumn("subject", F.concat(told, F.when(F.col("n_cancelled") > 0, F.concat(F.lit(", "), F.col("n_cancelled").cast("string"), F.lit(" cancelled"))).otherwise("")))
 
 
 def sources_present(rows: DataFrame, key: Column) -> DataFrame:

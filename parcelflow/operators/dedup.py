@@ -68,3 +68,8 @@ def day_buckets(rows: DataFrame, dt: str) -> DataFrame:
     days = rows.select(F.to_date(dt).alias("day")).distinct()
     placed = days.withColumn("bucket", F.dense_rank().over(Window.orderBy("day")))
     return rows.withColumn("day", F.to_date(dt)).join(placed, "day")
+
+
+def newest_first(rows: DataFrame, key: str, time: str, tie: str) -> DataFrame:
+    """rows with their place in each key's list, the latest time first."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(time), tie)).cast("long"))

@@ -88,7 +88,7 @@ def changed_text(rows: DataFrame, cache: DataFrame, text: str = "text") -> DataF
 
 
 def postponed_with_new_date(events: DataFrame) -> DataFrame:
-    moved = events.where((F.col("event_type") == "status_change") & (F.col("new_value") == "postponed"))
+    moved = events.where((F.col("event_type") == "status_change") & (F.lower("new_value") == "postponed"))
     dates = events.where(F.col("event_type") == "date_change").groupBy("auction_id", "run_id").agg(F.min_by("new_value", "event_id").alias("new_date"))
     return moved.join(dates, ["auction_id", "run_id"], "left")
 

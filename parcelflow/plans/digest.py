@@ -130,13 +130,15 @@ def new_listings(events: DataFrame, properties: DataFrame, since: str) -> DataFr
     return events_with_property(events.where((F.col("event_type") == "first_seen") & (F.col("detected_at") >= at(since))), properties)
 
 
-def removed_union(events: DataFrame, properties: DataFrame, since: str, until: str, stale_days: int = 14) -> DataFrame:
-    """Properties whose status became terminal in [since, until), and those that went stale in it."""
-    told = events.where((F.col("event_type") == "status_change") & status.off_map(F.col("new_value")) & (F.col("detected_at") >= at(since)) & (F.col("detected_at") < at(until))).select(F.col("auction_id").alias("property_id")).distinct()
-    told = told.join(properties.select("property_id"), "property_id", "left_semi").withColumn("reason", F.lit("status"))
+def removed_union(events: DataFrame, properties: DataFrame, since: str, until: str, stale_days: int = 14, states: Sequence[str] | None = None) -> DataFrame:
+    """(property_id, event_id, reason): every event in [since, until) that took a property off the map by its status, and the properties
+    that went stale in it (event_id null) without such an event, unless their status had taken them off before."""
+    rows, off = in_states(properties, states), lambda c: status.off_map(F.lower(F.col(c)))
+    changed = events.where((F.col("event_type") == "status_change") & off("new_value") & (F.col("detected_at") >= at(since)) & (F.col("detected_at") < at(until)))
+    told = changed.join(rows.select("auction_id", "property_id"), "auction_id").select("property_id", "event_id", F.lit("status").alias("reason"))
     crossed = F.col("last_seen_at") + F.make_dt_interval(F.lit(stale_days))
-    old = properties.where((crossed >= at(since)) & (crossed < at(until))).select("property_id").join(told, "property_id", "left_anti").withColumn("reason", F.lit("stale"))
-    return told.unionByName(old)
+    old = rows.where((crossed >= at(since)) & (crossed < at(until)) & F.col("status").isNotNull() & ~off("status")).join(told.select("property_id").distinct(), "property_id", "left_anti")
+    return told.unionByName(old.select("property_id", F.lit(None).cast("long").alias("event_id"), F.lit("stale").alias("reason")))
 
 
 def payload(digest: DataFrame, as_of: str, base: str = "https://example.com/map") -> DataFrame:
@@ -162,17 +164,23 @@ def place() -> Column:
     return (F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section")) - 1).cast("int").alias("place")
 
 
-def render(digest: DataFrame, base: str = "https://example.com/map") -> DataFrame:
+def shown_link(as_of: str) -> Column:
+    """How a row of a body is linked: not at all if removed or dateless, 'soon' for a new listing that is far off, else 'yes'."""
+    dt, section = F.col("auction_datetime"), F.col("section")
+    return F.when(dt.isNull() | (section == "Removed"), "no").when((section == "New") & ~link_available(as_of), "soon").otherwise("yes")
+
+
+def render(digest: DataFrame, as_of: str, base: str = "https://example.com/map") -> DataFrame:
     """(email, plain, html): one body of each kind per subscriber.
 
     Upcoming rows stand under the header of their day, changes under that of their category with their labels as tags; a
-    section that was cut ends with '+N more'. A body holds the capped rows, so its size is bounded.
+    section that was cut ends with '+N more'. Rows are linked by shown_link(). A body holds the capped rows, so its size is bounded.
     """
     dt, link = F.col("auction_datetime"), text.map_url(base, F.col("latitude"), F.col("longitude"))
     esc = text.escape_html
     line = F.struct(
         place(), "rank", "more", F.when(F.col("section") == "Upcoming", dates.day_header(dt)).alias("day"), F.when(dt.isNull(), "date unknown").otherwise(dates.digest_time(dt)).alias("time"), F.coalesce("address", F.lit("")).alias("address"),
-        "labels", F.coalesce("url", F.lit("")).alias("url"), link.alias("map"),
+        "labels", F.coalesce("url", F.lit("")).alias("url"), link.alias("map"), shown_link(as_of).alias("linked"),
     )
     rows = digest.groupBy("email").agg(F.array_sort(F.collect_list(line)).alias("rows"))
     title = lambda r: F.get(F.array(*map(F.lit, TITLES)), r["place"])
@@ -193,16 +201,21 @@ def render(digest: DataFrame, base: str = "https://example.com/map") -> DataFram
 
     tags = lambda r, a, b: F.array_join(F.transform(r["labels"], lambda x: F.concat(F.lit(a), esc(x) if a.startswith("<") else x, F.lit(b))), " ")
     plain = body(
-        lambda t: F.concat(F.lit("== "), t, F.lit("\n")), lambda r: F.concat(F.lit("  "), r["time"], F.lit("  "), r["address"], F.when(F.size(r["labels"]) > 0, F.concat(F.lit("  "), tags(r, "[", "]"))).otherwise(""), F.lit("\n")),
+        lambda t: F.concat(F.lit("== "), t, F.lit("\n")),
+        lambda r: F.concat(
+            F.lit("  "), r["time"], F.lit("  "), r["address"], F.when(F.size(r["labels"]) > 0, F.concat(F.lit("  "), tags(r, "[", "]"))).otherwise(""),
+            F.when(r["linked"] == "yes", F.concat(F.lit("  "), r["url"])).when(r["linked"] == "soon", F.lit("  (soon)")).otherwise(""), F.lit("\n"),
+        ),
         lambda n: F.concat(F.lit("  +"), n, F.lit(" more\n")),
     )
+    anchor = lambda to, what: F.concat(F.lit(' <a href="'), esc(to), F.lit(f'">{what}</a>'))
     html = body(
-        lambda t: F.concat(F.lit("<div class='day-header'>"), esc(t), F.lit("</div>\n")),
+        lambda t: F.concat(F.lit("<h3>"), esc(t), F.lit("</h3>\n")),
         lambda r: F.concat(
-            F.lit("<div class='listing'><div class='addr'>"), esc(r["address"]), F.lit("</div><div class='meta'>"), r["time"], F.lit("</div> "), tags(r, "<span class='tag'>", "</span>"), F.lit(" <a href='"), esc(r["url"]), F.lit("'>View listing</a>"),
-            F.when(r["map"] != "", F.concat(F.lit(" <a href='"), esc(r["map"]), F.lit("'>View map</a>"))).otherwise(""), F.lit("</div>\n"),
+            F.lit("<p><b>"), esc(r["address"]), F.lit("</b> <time>"), r["time"], F.lit("</time> "), tags(r, "<mark>", "</mark>"),
+            F.when(r["linked"] == "yes", F.concat(anchor(r["url"], "details"), F.when(r["map"] != "", anchor(r["map"], "map")).otherwise(""))).when(r["linked"] == "soon", F.lit(" <i>soon</i>")).otherwise(""), F.lit("</p>\n"),
         ),
-        lambda n: F.concat(F.lit("<p class='empty'>+"), n, F.lit(" more</p>\n")),
+        lambda n: F.concat(F.lit("<p>+"), n, F.lit(" more</p>\n")),
     )
     return rows.select("email", plain.alias("plain"), html.alias("html"))
 

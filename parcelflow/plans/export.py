@@ -37,11 +37,14 @@ def export_live_map(properties: DataFrame, events: DataFrame, links: DataFrame |
 def excluded_sample(properties: DataFrame, events: DataFrame, links: DataFrame, as_of: str, n: int = 25) -> DataFrame:
     """The first n left-out properties of each reason (missing_coords, disappeared, stale), by id; the ranking is cut before the shuffle."""
     reasons = F.array_compact(F.array(*(F.when(F.col(r), F.lit(r)) for r in ("missing_coords", "disappeared", "stale"))))
-    rows = left_out(properties, events, links, as_of).select("property_id", "address", "source", "status", F.explode(reasons).alias("reason"))
+    rows = left_out(properties, events, links, as_of).select("property_id", "address", "source", "status", "last_seen_at", F.explode(reasons).alias("reason"))
     w = Window.partitionBy("reason").orderBy("property_id")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def map_meta(properties: DataFrame, events: DataFrame, links: DataFrame, as_of: str) -> DataFrame:
-    """The live map's one row of meta fields."""
-    return exclusion_accounting(properties, events, links, as_of).withColumn("generated_at", F.lit(as_of))
+def map_meta(properties: DataFrame, events: DataFrame, links: DataFrame, as_of: str, n: int = 25) -> DataFrame:
+    """The live map's one row of meta fields: counts, and of each reason of excluded_sample() its first n properties."""
+    reasons = ("missing_coords", "disappeared", "stale")
+    row = F.struct("rank", "property_id", "address", "source", "status", "last_seen_at")
+    per = excluded_sample(properties, events, links, as_of, n).agg(*(F.array_sort(F.collect_list(F.when(F.col("reason") == r, row))).alias(f"excluded_{r}") for r in reasons))
+    return exclusion_accounting(properties, events, links, as_of).join(per).withColumn("generated_at", F.lit(as_of))  # one row each

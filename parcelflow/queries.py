@@ -102,22 +102,14 @@ def read_pages(s):
 _SHORT = "case when coalesce({0}, '') = '' then 'TBD' else coalesce(strftime(try_cast({0} as timestamp), '%b %-d %-I:%M %p'), {0}) end"
 
 
-@query("properties auction_events", f"with e as (select * from auction_events join (select auction_id, address from properties) p using (auction_id) where run_id = 1 and event_type in ('first_seen','status_change','date_change','disappeared')), t as (select *, case event_type when 'status_change' then 1 when 'date_change' then 2 when 'first_seen' then 3 else 4 end as section, case event_type when 'status_change' then 'Status changes' when 'date_change' then 'Auction date changes' when 'first_seen' then 'New listings' else 'Removed' end as name from e), c as (select unnest([0, 1, 2, 3, 4, 5]) as ord, unnest(['Listings processed:    3', 'Cross-source dupes:    2', 'New properties:        1', 'Changed auctions:      0', 'Removed listings:      4', 'Failed rows:           1']) as line) select 0 as section, ord, line from c union all select section, 0, concat(name, ' (', count(*), ')') from t group by section, name union all select section, event_id, concat('  ', case event_type when 'status_change' then concat(rpad(address, 40, ' '), ' ', coalesce(old_value, '-'), ' -> ', coalesce(new_value, '-')) when 'date_change' then concat(rpad(address, 40, ' '), ' ', {_SHORT.format('old_value')}, ' -> ', {_SHORT.format('new_value')}) else address end) from t union all select 5, o_orderkey, concat('  row ', o_orderkey, ' (', o_orderpriority, '): no coordinates or no listing id') from orders where o_orderkey % 100 = 0")
-def import_report(s):
-    run = s.spark.createDataFrame([(3, 2, 1, 0, 4, 1)], "found long, cross_dropped long, new long, changed long, removed long, failed long")
-    rejects = s.orders.where(F.col("o_orderkey") % 100 == 0).select(F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("name"))
-    path = files.scratch(s.spark, "report")
-    report = files.kept(files.import_report(s.auction_events, s.properties, run, rejects, 1), "report-rows")
-    files.write_report(report, path)
-    return report
-
-
 # row-level
 
 
-@query("listings", "select seq, regexp_extract(url, '[?&]id=([^&#]*)', 1) as id, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as slug from listings")
+@query("listings", "select seq, case when seq % 3 = 0 then regexp_extract(url, '[?&]id=([^&#]*)', 1) || ' lot/' || (seq % 7) || 'é' else regexp_extract(url, '[?&]id=([^&#]*)', 1) end as id, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as slug from listings")
 def extract_listing_id(s):
-    return s.listings.select("seq", text.extract_listing_id(F.col("url"), F.col("name")).alias("id"), text.slugify(F.col("name")).alias("slug"))
+    """Every third id has characters that the URL encodes."""
+    url = F.when(F.col("seq") % 3 == 0, F.concat("url", F.lit("%20lot%2F"), (F.col("seq") % 7).cast("string"), F.lit("%C3%A9&x=1"))).otherwise(F.col("url"))
+    return s.listings.select("seq", text.extract_listing_id(url, F.col("name")).alias("id"), text.slugify(F.col("name")).alias("slug"))
 
 
 @query("", "select page_id, case when url like '%example.com%' then coalesce(nullif(regexp_extract(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/([0-9]+)/*$', 1), ''), url) else url end as id from pages")
@@ -246,6 +238,14 @@ def normalize_status(s):
     return s.auction_events.select("event_id", status.normalize_status(raw, F.when(F.col("event_id") % 4 == 1, "towne")).alias("status"), status.normalize_status(said, source).alias("by_source"))
 
 
+@query("auction_events", "select event_id from auction_events where not (event_id % 5 = 2 and event_id % 3 <> 0)")
+def skip_banner_rows(s):
+    """Rows whose banner says that they were taken down do not reach the load."""
+    source = F.when(F.col("event_id") % 5 == 2, "patriot").otherwise("towne")
+    said = F.when(F.col("event_id") % 3 == 0, "banner yellow").otherwise("banner Red")
+    return s.auction_events.where(~status.skipped(said, source)).select("event_id")
+
+
 @query("listings", "select seq, split_part(name, ', ', 1) as street, split_part(name, ', ', 2) as city, substr(split_part(name, ', ', 3), 1, 2) as addr_state, substr(split_part(name, ', ', 3), 4) as zip, f.form, case when f.form = 'title' then concat(split_part(name, ', ', 1), ', Unit 2') else split_part(name, ', ', 1) end as form_street, split_part(name, ', ', 2) as form_city from listings, (select unnest(['gap', 'title', 'parts', 'blob', 'scan']) as form) f")
 def split_address(s):
     """The plain form, and the others over the same addresses rewritten in each form."""
@@ -670,10 +670,25 @@ def sent_counts(s):
     return aggregates.sent_counts(s.notifications)
 
 
-@query("auction_events properties", f"with u as (select count(*) as n_upcoming from properties where {_ACTIVE}), e as (select count_if(event_type = 'first_seen') as n_new, count_if(event_type = 'status_change' and new_value = 'postponed') as n_postponed from auction_events where detected_at >= TS'2024-01-24 00:00:00'), t as (select distinct auction_id as property_id from auction_events where event_type = 'status_change' and new_value in ('sold back to mortgagee','3rd party purchase','sold','canceled','cancelled','withdrawn','bank buy back') and detected_at >= TS'2024-01-24 00:00:00' and detected_at < TS'2024-01-31 00:00:00' and auction_id in (select property_id from properties)), c as (select count(*) as n_cancelled from (select property_id from t union all select property_id from properties where last_seen_at + interval 14 day >= TS'2024-01-24 00:00:00' and last_seen_at + interval 14 day < TS'2024-01-31 00:00:00' and property_id not in (select property_id from t))) select *, concat('Auction watch: ', n_upcoming, ' auction(s) this week', case when n_cancelled > 0 then concat(', ', n_cancelled, ' cancelled') else '' end) as subject from u, e, c")
+@query("subscribers notifications", "select p.email, count(n.email) as sent, count(n.email) > 0 as ever_sent from subscribers p left join notifications n on n.email = p.email and n.kind = 'weekly' group by p.email")
+def ever_sent(s):
+    return aggregates.ever_sent(s.subscribers.select("email"), s.notifications, "weekly")
+
+
+_TOLD = "k as (select *, case when event_id % 2 = 0 then upper(new_value) else new_value end as said from auction_events), told as (select p.property_id, event_id from k join properties p using (auction_id) where event_type = 'status_change' and lower(said) in ('sold back to mortgagee','3rd party purchase','sold','canceled','cancelled','withdrawn','bank buy back') and detected_at >= TS'2024-01-24 00:00:00' and detected_at < TS'2024-01-31 00:00:00'), old as (select property_id from properties where last_seen_at >= TS'2024-01-10 00:00:00' and last_seen_at < TS'2024-01-17 00:00:00' and lower(status) not in ('sold back to mortgagee','3rd party purchase','sold','canceled','cancelled','withdrawn','bank buy back') and property_id not in (select property_id from told))"
+
+
+def _shouted(s):
+    """The events, every second one with its new value in capitals."""
+    return s.auction_events.withColumn("new_value", F.when(F.col("event_id") % 2 == 0, F.upper("new_value")).otherwise(F.col("new_value")))
+
+
+@query("properties auction_events", f"with {_TOLD}, u as (select count(*) as n_upcoming from properties where auction_datetime between TS'2024-01-31 00:00:00' and TS'2024-02-07 00:00:00'), e as (select count_if(event_type = 'first_seen') as n_new, count_if(event_type = 'status_change' and lower(said) = 'postponed') as n_postponed from k where detected_at >= TS'2024-01-24 00:00:00' and auction_id in (select auction_id from properties)), c as (select (select count(*) from told) + (select count(*) from old) as n_cancelled) select *, concat('Auction watch: ', n_upcoming, ' auction(s) this week', case when n_cancelled > 0 then concat(', ', n_cancelled, ' cancelled') else '' end) as subject from u, e, c")
 def digest_counts(s):
-    recent = s.auction_events.where(F.col("detected_at") >= digest.at(WEEK_AGO))
-    return aggregates.digest_counts(digest.filter_active(s.properties, AS_OF), recent, digest.removed_union(s.auction_events, s.properties, WEEK_AGO, AS_OF))
+    """Of the week ahead and the week behind."""
+    events = _shouted(s)
+    recent = events.where(F.col("detected_at") >= digest.at(WEEK_AGO))
+    return aggregates.digest_counts(digest.upcoming_auctions(s.properties, AS_OF), recent, s.properties, digest.removed_union(events, s.properties, WEEK_AGO, AS_OF))
 
 
 @query("listings", "select sources, count(*) as points from (select array_to_string(list_sort(list(distinct source)), ',') as sources from listings group by round_even(latitude, 6), round_even(longitude, 6)) group by sources")
@@ -749,9 +764,23 @@ def capped_sample(s):
     return export.excluded_sample(_some_blind(s), s.auction_events, _links(s), AS_OF).select("reason", "property_id", "rank")
 
 
-@query("auction_events", "select event_id, detected_at from auction_events order by detected_at desc, event_id desc")
+@query("auction_events", "select event_id, detected_at, row_number() over (order by detected_at desc, event_id desc) as place from auction_events")
 def order_changes(s):
-    return s.auction_events.select("event_id", "detected_at").orderBy(F.desc("detected_at"), F.desc("event_id"))
+    """Newest first; the place in the order, by ranges."""
+    return joins.next_ids(s.auction_events.select("event_id", "detected_at", F.struct((-F.unix_micros(F.col("detected_at").cast("timestamp"))).alias("t"), (-F.col("event_id")).alias("i")).alias("_o")), "_o", 0, "place").drop("_o")
+
+
+@query("saved_properties auction_events", "with e as (select auction_id, max(detected_at) as saved_at from auction_events group by auction_id) select email, property_id, saved_at, row_number() over (partition by email order by saved_at desc, property_id) as place from saved_properties join e on auction_id = property_id")
+def order_saved(s):
+    """Each subscriber's saved list, the last saved first."""
+    at = s.auction_events.groupBy(F.col("auction_id").alias("property_id")).agg(F.max("detected_at").alias("saved_at"))
+    return dedup.newest_first(s.saved_properties.join(at, "property_id"), "email", "saved_at", "property_id").select("email", "property_id", "saved_at", "place")
+
+
+@query("webhook_events subscribers", f"with o as (select event_id, arg_min(seq, seq) as seq, arg_min(event_time, seq) as event_time, arg_min(subscription_id, seq) as subscription_id, arg_min(kind, seq) as kind, arg_min(invoice_id, seq) as invoice_id from webhook_events group by event_id), i as (select invoice_id, arg_min(email, (event_time, event_id)) as email, arg_min(epoch_ms(date_trunc('second', event_time)), (event_time, event_id)) as paid_ms from o join subscribers using (subscription_id) where kind = 'invoice_paid' group by invoice_id) select email, invoice_id, row_number() over (partition by email order by paid_ms desc, invoice_id) as place from i")
+def order_invoices(s):
+    """Each subscriber's invoices, the last paid first."""
+    return dedup.newest_first(billing.invoice_ledger(s.webhook_events, s.subscribers), "email", "paid_ms", "invoice_id").select("email", "invoice_id", "place")
 
 
 @query("auction_events properties", f"with {_CHANGES}, {_groups()} select case category when 'New' then 1 when 'Date Changes' then 2 when 'Status Changes' then 3 else 4 end as category_rank, address from cg")
@@ -759,9 +788,9 @@ def union_categories(s):
     return aggregates.change_groups(joins.events_with_property(s.auction_events, s.properties), AS_OF).select(F.col("category_rank").cast("int").alias("category_rank"), "address")
 
 
-@query("auction_events properties", f"with t as (select distinct auction_id as property_id from auction_events where event_type = 'status_change' and new_value in ('sold back to mortgagee','3rd party purchase','sold','canceled','cancelled','withdrawn','bank buy back') and detected_at >= TS'2024-01-24 00:00:00' and detected_at < TS'2024-01-31 00:00:00' and auction_id in (select property_id from properties)) select property_id, 'status' as reason from t union all select property_id, 'stale' from properties where last_seen_at + interval 14 day >= TS'2024-01-24 00:00:00' and last_seen_at + interval 14 day < TS'2024-01-31 00:00:00' and property_id not in (select property_id from t)")
+@query("properties auction_events", f"with {_TOLD} select property_id, event_id, 'status' as reason from told union all select property_id, null, 'stale' from old")
 def removed_union(s):
-    return digest.removed_union(s.auction_events, s.properties, WEEK_AGO, AS_OF)
+    return digest.removed_union(_shouted(s), s.properties, WEEK_AGO, AS_OF)
 
 
 # end to end
@@ -773,6 +802,28 @@ def load_snapshot(s):
     return done.events.join(done.state.select("auction_id", "source", "listing_id"), "auction_id").select("source", "listing_id", "event_type", "old_value", "new_value")
 
 
+_REPORT = """t as (select *, case event_type when 'status_change' then 1 when 'date_change' then 2 when 'first_seen' then 3 else 4 end as section from ev join (select source as so, listing_id as li, coalesce(o.name, n.name) as address from snapshot_2_d n full join snapshot_1_d o using (source, listing_id)) on so = source and li = listing_id),
+l as (select section, concat('  ', case event_type when 'status_change' then concat(rpad(address, 40, ' '), ' ', coalesce(old_value, '-'), ' -> ', coalesce(new_value, '-')) when 'date_change' then concat(rpad(address, 40, ' '), ' ', SHORT_OLD, ' -> ', SHORT_NEW) else address end) as line from t
+  union all select 5, concat('  row ', seq, ' (', coalesce(name, 'unknown'), '): no coordinates or no listing id') from blind),
+c as (select section, title, (select count(*) from l where l.section = x.section) as n from (select unnest([1, 2, 3, 4, 5]) as section, unnest(['Status changes', 'Auction date changes', 'New listings', 'Removed', 'Failed rows']) as title) x),
+r as (select (select count(*) from snapshot_2_d) as found, (select count(*) from snapshot_2_w1) - (select count(*) from snapshot_2_d) as dupes, (select count(*) from j where old_id is null) as new, (select count(*) from j where old_id is not null and (s1 is distinct from s2 or d1 is distinct from d2)) as changed, (select count(*) from gone) as removed, (select count(*) from blind) as failed)
+select section, line from l union all select section, concat(title, ' (', n, ')') from c union all select section, repeat('-', length(concat(title, ' (', n, ')'))::int) from c union all select section, '  (none)' from c where n = 0
+union all select 0, unnest(['Run:                   2', 'Started:               2024-01-31 00:00:00', 'Summary', '-------', concat('Listings processed:    ', found), concat('Cross-source dupes:    ', dupes), concat('New properties:        ', new), concat('Changed auctions:      ', changed), concat('Removed listings:      ', removed), concat('Failed rows:           ', failed)]) from r"""
+
+
+@query("snapshot_1 snapshot_2", f"with {_DIFF}, blind as (select * from snapshot_2 where seq % 19 = 0), {_REPORT.replace('SHORT_OLD', _SHORT.format('old_value')).replace('SHORT_NEW', _SHORT.format('new_value'))}")
+def import_report(s):
+    """The report of the second of two loads, with rows that lack coordinates, written as text and read back."""
+    first = load.load_snapshot(s.snapshot_1, s.spark.createDataFrame([], load.STATE), "2024-01-01 00:00:00", 1)
+    blind = s.snapshot_2.where(F.col("seq") % 19 == 0).withColumn("latitude", F.lit(None).cast("double")).withColumn("listing_id", F.lit(None).cast("string"))
+    done = load.load_snapshot(s.snapshot_2.unionByName(blind), files.kept(first.state, "state"), AS_OF, 2, 1_000_000_000, 1_000_000_000)
+    properties = done.state.select("auction_id", "address")
+    report = files.kept(files.import_report(done.events, properties, done.run, done.rejects.select("seq", "name"), 2), "report-rows")
+    path = files.scratch(s.spark, "report")
+    files.write_report(report, path)
+    return report.select("section", "line")
+
+
 @query("snapshot_1 snapshot_2", f"with {_DIFF}, k as (select source, listing_id, pdf_links as l from snapshot_1_d union all select n.source, n.listing_id, n.pdf_links from snapshot_2_d n join j on n.source = j.source and n.listing_id = j.listing_id where old_id is null), u as (select source, listing_id, unnest(list_filter(list_transform(string_split(l, ';'), lambda x: trim(x)), lambda x: x <> '')) as link from k) select source, listing_id, link from u")
 def load_pdf_links(s):
     store = _stored(s)
@@ -828,14 +879,14 @@ def _digest(s):
 
 _DIGEST = f"""ch as (select e.*, p.* exclude (auction_id) from auction_events e join properties p on e.auction_id = p.auction_id where detected_at >= TS'2024-01-24 00:00:00' and property_id % 11 <> 0), {_groups('state, address')},
 people as (select email, state from {_ELIGIBLE} join subscriber_states using (subscriber_id)),
-up as (select email, 'Upcoming' as section, address, row_number() over (partition by email order by auction_datetime, property_id) as rank, count(*) over (partition by email) as n from people join (select p.* {_FIND.replace(" and state in ('MA', 'ME')", "")} and {_ACTIVE}) using (state)),
+up as (select email, 'Upcoming' as section, address, property_id, row_number() over (partition by email order by auction_datetime, property_id) as rank, count(*) over (partition by email) as n from people join (select p.* {_FIND.replace(" and state in ('MA', 'ME')", "")} and {_ACTIVE}) using (state)),
 f as (select email, min(sent_at) as first_sent from notifications group by email),
 fan as (select email, category, address, property_id from people join cg using (state) where category <> 'Removed' union all select email, category, address, property_id from people join cg using (state) join f using (email) where category = 'Removed' and first_sent < removed_at),
-rk as (select email, category as section, address, row_number() over (partition by email, category order by address, property_id) as rank, count(*) over (partition by email, category) as n from fan),
-dg as (select email, section, address, rank, greatest(n - 5, 0) as more from (select * from up union all select * from rk) where rank <= 5)"""
+rk as (select email, category as section, address, property_id, row_number() over (partition by email, category order by address, property_id) as rank, count(*) over (partition by email, category) as n from fan),
+dg as (select email, section, address, rank, greatest(n - 5, 0) as more, property_id from (select * from up union all select * from rk) where rank <= 5)"""
 
 
-@query("properties auction_events subscribers subscriber_states notifications", f"with {_DIGEST} select * from dg")
+@query("properties auction_events subscribers subscriber_states notifications", f"with {_DIGEST} select * exclude (property_id) from dg")
 def subscriber_digest(s):
     return _digest(s).select("email", "section", "address", "rank", "more")
 
@@ -903,26 +954,38 @@ def digest_payload(s):
     return rows.select("email", n("upcoming"), n("changes"), at("$.upcoming[0].address").alias("first_address"), at("$.upcoming[0].more").cast("long").alias("more"))
 
 
-@query("properties auction_events subscribers subscriber_states notifications", f"with {_DIGEST}, l as (select email, case section when 'Upcoming' then 0 when 'New' then 1 when 'Date Changes' then 2 when 'Status Changes' then 3 else 4 end as place, rank, address, more from dg), m as (select *, max(rank) over (partition by email, place) as last from l) select email, string_agg(concat(address, case when rank = last and more > 0 then concat('+', more, ' more') else '' end), '|' order by place, rank) as lines from m group by email")
+@query("properties auction_events subscribers subscriber_states notifications", f"with {_DIGEST}, l as (select email, case section when 'Upcoming' then 0 when 'New' then 1 when 'Date Changes' then 2 when 'Status Changes' then 3 else 4 end as place, rank, address, more, property_id, section from dg), m as (select l.*, max(rank) over (partition by email, place) as last, case when p.auction_datetime is null or section = 'Removed' then '' when section = 'New' and p.auction_datetime >= TS'2024-02-21 00:00:00' then ' (soon)' else ' ' || p.url end as link from l join properties p using (property_id)) select email, string_agg(concat(address, link, case when rank = last and more > 0 then concat('+', more, ' more') else '' end), '|' order by place, rank) as lines, count_if(link like ' http%') as n_links, count_if(link = ' (soon)') as n_soon from m group by email")
 def render_digest(s):
-    """The plain bodies' addresses and remainders, in their order; a test reads whole bodies."""
-    rows = digest.render(_digest(s))
-    parts = F.regexp_extract_all("plain", F.lit(r"(?m)(?:^  (?:date unknown|\d\d/\d\d at \d+:\d\d [AP]M)  (.*?)(?:  \[.*)?$)"), F.lit(1))
+    """The plain bodies' addresses, links and remainders, in their order, and the html bodies' links; a test reads whole bodies."""
+    rows = digest.render(_digest(s), AS_OF)
     lines = F.split(F.regexp_replace("plain", r"\n  (\+\d+ more)", "$1"), "\n")
     shown = F.filter(lines, lambda x: x.startswith("  "))
-    line = F.transform(shown, lambda x: F.regexp_replace(F.regexp_replace(x, r"^  (?:date unknown|\d\d/\d\d at \d+:\d\d [AP]M)  ", ""), r"  \[[^+]*\]", ""))
-    return rows.select("email", F.array_join(line, "|").alias("lines"))
+    line = F.transform(shown, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^  (?:date unknown|\d\d/\d\d at \d+:\d\d [AP]M)  ", ""), r"  \[[^+]*\]", ""), "  ", " "))
+    return rows.select("email", F.array_join(line, "|").alias("lines"), F.regexp_count("html", F.lit(">details</a>")).cast("long").alias("n_links"), F.regexp_count("html", F.lit("<i>soon</i>")).cast("long").alias("n_soon"))
 
 
-@query("properties auction_events", f"select property_id, address, state, url, strftime(auction_datetime, '%Y-%m-%d') as day, {_SPECS.split(' as bedrooms')[0]} as bedrooms, (select count(*) from properties) as total from properties p left join {_LAST} l on p.auction_id = l.auction_id where not {_OFF} and not {_OLD} and coalesce(last_type, '') <> 'disappeared' and property_id % 11 <> 0")
+@query("properties auction_events", f"select property_id, address, state, url, strftime(auction_datetime, '%Y-%m-%d') as day, {_SPECS.split(' as bedrooms')[0]} as bedrooms from properties p left join {_LAST} l on p.auction_id = l.auction_id where not {_OFF} and not {_OLD} and coalesce(last_type, '') <> 'disappeared' and property_id % 11 <> 0")
 def write_live_map(s):
+    """The map's rows written as JSON and read back."""
+    return _map(s, s.properties)[0].select("property_id", "address", "state", "url", F.substring("auction_datetime", 1, 10).alias("day"), "specs.bedrooms")
+
+
+def _map(s, properties):
     """Rows and meta row written as JSON and read back."""
     path = files.scratch(s.spark, "map")
-    rows = export.export_live_map(s.properties, s.auction_events, _links(s), AS_OF)
-    files.write_live_map(rows, export.map_meta(s.properties, s.auction_events, _links(s), AS_OF), path)
+    rows, meta = export.export_live_map(properties, s.auction_events, _links(s), AS_OF), export.map_meta(properties, s.auction_events, _links(s), AS_OF)
+    files.write_live_map(rows, meta, path)
     back = s.spark.read.schema("property_id long, address string, state string, url string, auction_datetime string, specs struct<bedrooms:long>").json(f"{path}/properties")
-    total = s.spark.read.schema("total long").json(f"{path}/meta").first()["total"]
-    return back.select("property_id", "address", "state", "url", F.substring("auction_datetime", 1, 10).alias("day"), "specs.bedrooms", F.lit(total).alias("total"))
+    return back, s.spark.read.schema(meta.schema).json(f"{path}/meta")
+
+
+@query("properties auction_events", f"with {_OUT}, m as (select count(*) as total, count_if(not (off or old or lost or hid or blind)) as exported, (select string_agg(concat(status, '=', n), ', ' order by concat(status, '=', n)) from (select status, count(*) as n from x where off group by status)) as by_status, count_if(blind) as missing_coords, count_if(hid) as duplicate, count_if(lost) as disappeared, count_if(old) as stale from x), s as (select (select string_agg(concat(property_id, ' ', address, ' ', source, ' ', status), '|' order by property_id) from (select * from x where blind order by property_id limit 25)) as first_blind, (select string_agg(concat(property_id, ' ', address, ' ', source, ' ', status), '|' order by property_id) from (select * from x where lost order by property_id limit 25)) as first_gone, (select string_agg(concat(property_id, ' ', address, ' ', source, ' ', status, ' ', strftime(last_seen_at, '%Y-%m-%d')), '|' order by property_id) from (select * from x where old order by property_id limit 25)) as first_stale) select * from m, s")
+def live_map_meta(s):
+    """The meta row as read back: its counts, and the first rows of each reason."""
+    meta = _map(s, _some_blind(s))[1]
+    told = lambda c, *more: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", x["property_id"], x["address"], x["source"], x["status"], *(F.date_format(x[m], "yyyy-MM-dd") for m in more))), "|")
+    samples = (told("excluded_missing_coords").alias("first_blind"), told("excluded_disappeared").alias("first_gone"), told("excluded_stale", "last_seen_at").alias("first_stale"))
+    return meta.select("total", "exported", "by_status", "missing_coords", "duplicate", "disappeared", "stale", *samples)
 
 
 # streaming, in batch form

@@ -98,28 +98,34 @@ def write_live_map(rows: DataFrame, meta: DataFrame, path: str) -> None:
 
 
 def import_report(events: DataFrame, properties: DataFrame, run: DataFrame, rejects: DataFrame, run_id: int) -> DataFrame:
-    """(section, ord, line) of a run's report: its counters, the changes of each kind by address, the rows that failed.
+    """(section, ord, line) of a run's report: its head, its counters, the changes of each kind by address, the rows that failed.
 
-    run: a row of counters; rejects: seq and name of rows that could not be loaded. Sections: 0 counters, 1 to 4 changes, 5
-    failed rows; line 0 of a section of changes is its title with their number.
+    run: a load's row of counters; rejects: seq and name of rows that could not be loaded. Sections: 0 head and counters, 1 to 4
+    changes, 5 failed rows. A section has a title with its number of lines, a rule, and its lines or '(none)'.
     """
     from parcelflow.functions.dates import report_time
     from parcelflow.operators.aggregates import change_sections
 
+    titles: Mapping[str, tuple[int, str]] = {"status_change": (1, "Status changes"), "date_change": (2, "Auction date changes"), "first_seen": (3, "New listings"), "disappeared": (4, "Removed")}
+    #: The counters' captions.
     said = (("Listings processed:", "found"), ("Cross-source dupes:", "cross_dropped"), ("New properties:", "new"), ("Changed auctions:", "changed"), ("Removed listings:", "removed"), ("Failed rows:", "failed"))
-    heads = F.array(*(F.concat(F.rpad(F.lit(t), 23, " "), F.col(c).cast("string")) for t, c in said))
+    entry = lambda t, c: F.concat(F.rpad(F.lit(t), 23, " "), F.col(c).cast("string"))
+    heads = F.array(entry("Run:", "run_id"), entry("Started:", "as_of"), F.lit("Summary"), F.lit("-------"), *(entry(t, c) for t, c in said))
     counters = run.select(F.posexplode(heads).alias("ord", "line")).select(F.lit(0).alias("section"), F.col("ord").cast("long").alias("ord"), "line")
-    titles: Mapping[str, tuple[int, str]] = {"status_change": (1, "Status changes"), "date_change": (2, "Auction date changes"), "first_seen": (3, "New listings"), "disappeared": (4, "Removed")}
     pick = lambda k: F.create_map(*[F.lit(x) for t, v in titles.items() for x in (t, v[k])])[F.col("event_type")]
     rows = change_sections(events, properties, run_id)
     moved = F.concat(F.rpad("address", 40, " "), F.lit(" "))
     line = F.when(F.col("event_type") == "status_change", F.concat(moved, F.coalesce("old_value", F.lit("-")), F.lit(" -> "), F.coalesce("new_value", F.lit("-")))).when(
         F.col("event_type") == "date_change", F.concat(moved, report_time(F.col("old_value")), F.lit(" -> "), report_time(F.col("new_value")))
     ).otherwise(F.col("address"))
-    lines = rows.select(pick(0).alias("section"), F.col("event_id").alias("ord"), F.concat(F.lit("  "), line).alias("line"))
-    kinds = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select(pick(0).alias("section"), F.lit(0).cast("long").alias("ord"), F.concat(pick(1), F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
-    failed = rejects.select(F.lit(5).alias("section"), F.col("seq").cast("long").alias("ord"), F.concat(F.lit("  row "), F.col("seq").cast("string"), F.lit(" ("), F.coalesce("name", F.lit("unknown")), F.lit("): no coordinates or no listing id")).alias("line"))
-    return counters.unionByName(kinds).unionByName(lines).unionByName(failed)
+    failed = F.concat(F.lit("row "), F.col("seq").cast("string"), F.lit(" ("), F.coalesce("name", F.lit("unknown")), F.lit("): no coordinates or no listing id"))
+    lines = rows.select(pick(0).alias("section"), F.col("event_id").alias("ord"), F.concat(F.lit("  "), line).alias("line")).unionByName(rejects.select(F.lit(5).alias("section"), F.col("seq").cast("long").alias("ord"), F.concat(F.lit("  "), failed).alias("line")))
+    sections = run.sparkSession.createDataFrame([*titles.values(), (5, "Failed rows")], "section int, title string")  # five rows
+    counted = sections.join(lines.groupBy("section").agg(F.count(F.lit(1)).alias("n")), "section", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    title = F.concat("title", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+    tops = F.array_compact(F.array(title, F.repeat(F.lit("-"), F.length(title)), F.when(F.col("n") == 0, "  (none)")))
+    heading = counted.select("section", F.posexplode(tops).alias("at", "line")).select("section", (F.col("at") - 3).cast("long").alias("ord"), "line")
+    return counters.unionByName(heading).unionByName(lines)
 
 
 def write_report(report: DataFrame, path: str) -> None:

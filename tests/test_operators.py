@@ -2,6 +2,7 @@ import datetime as dt
 import difflib
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -285,19 +286,43 @@ def test_digest_is_capped_over_all_states(spark):
     got = {(r["email"], r["section"]): (r["n"], r["more"]) for r in rows.groupBy("email", "section").agg(F.count("*").alias("n"), F.max("more").alias("more")).collect()}
     assert got == {("all@e.com", "Upcoming"): (5, 21), ("all@e.com", "Date Changes"): (5, 21), ("all@e.com", "Removed"): (1, 0), ("one@e.com", "Upcoming"): (5, 3), ("one@e.com", "Date Changes"): (5, 3)}
     assert rows.where("email = 'all@e.com' and section = 'Upcoming'").orderBy("rank").first()["property_id"] == 20
-    body = {r["email"]: r for r in digest.render(rows).collect()}
+    body = {r["email"]: r for r in digest.render(rows, "2024-01-31 00:00:00").collect()}
     plain = body["one@e.com"]["plain"].splitlines()
     upcoming = plain[: plain.index("== Date Changes")]
     # MA: 3, 6, ..., 24 on days 4, 7, ..., 19, 2 (21), 5 (24); 27 disappeared
-    assert upcoming == ["== Friday, February 2", "  02/02 at 10:00 AM  21 Oak & Elm", "== Sunday, February 4", "  02/04 at 10:00 AM  3 Oak & Elm", "== Monday, February 5", "  02/05 at 10:00 AM  24 Oak & Elm", "== Wednesday, February 7", "  02/07 at 10:00 AM  6 Oak & Elm", "== Saturday, February 10", "  02/10 at 10:00 AM  9 Oak & Elm", "  +3 more"]
+    assert upcoming == ["== Friday, February 2", "  02/02 at 10:00 AM  21 Oak & Elm  https://e.com/21", "== Sunday, February 4", "  02/04 at 10:00 AM  3 Oak & Elm  https://e.com/3", "== Monday, February 5", "  02/05 at 10:00 AM  24 Oak & Elm  https://e.com/24", "== Wednesday, February 7", "  02/07 at 10:00 AM  6 Oak & Elm  https://e.com/6", "== Saturday, February 10", "  02/10 at 10:00 AM  9 Oak & Elm  https://e.com/9", "  +3 more"]
     changed = plain[len(upcoming) :]
-    assert changed[0] == "== Date Changes" and len(changed) == 7 and changed[-1] == "  +3 more" and all(x.endswith("Oak & Elm  [2024-02-01 → 2024-02-08]") for x in changed[1:-1])
+    assert changed[0] == "== Date Changes" and len(changed) == 7 and changed[-1] == "  +3 more" and all(re.search(r"  (\d+) Oak & Elm  \[2024-02-01 → 2024-02-08\]  https://e.com/\1$", x) for x in changed[1:-1])
     html = body["all@e.com"]["html"]
-    assert html.count("<div class='listing'>") == 11 and "27 Oak &amp; Elm" in html and "<span class='tag'>Removed</span>" in html and html.count("+21 more") == 2 and "& Elm" not in html
+    assert html.count("<p><b>") == 11 and html.count(">details</a>") == 10 and "27 Oak &amp; Elm" in html and "<mark>Removed</mark></p>" in html and html.count("+21 more") == 2 and "& Elm" not in html
     sent_rows = json.loads({r["email"]: r["payload"] for r in digest.payload(rows, "2024-01-31 00:00:00").collect()}["one@e.com"])
     assert [x["propertyId"] for x in sent_rows["upcoming"]] == [21, 3, 24, 6, 9] and sent_rows["changes"][0]["labels"] == ["2024-02-01 → 2024-02-08"]
 
 
+def test_links_of_bodies(spark):
+    day = lambda n: dt.datetime(2024, 2, n, 10)
+    rows = [("Upcoming", 1, day(28)), ("New", 1, day(20)), ("New", 2, day(21)), ("New", 3, None), ("Date Changes", 1, day(28)), ("Status Changes", 1, None), ("Removed", 1, day(3))]
+    df = spark.createDataFrame([("a@e", s, r, 0, "MA", 10 * i, f"{i} Oak St", t, [], f"https://e.com/?a={i}&b=1", 42.0, -71.0) for i, (s, r, t) in enumerate(rows)], "email string, section string, rank int, more int, state string, property_id long, address string, auction_datetime timestamp_ntz, labels array<string>, url string, latitude double, longitude double")
+    body = digest.render(df, "2024-01-31 00:00:00").first()
+    linked = {i for i in range(7) if f"https://e.com/?a={i}&b=1" in body["plain"]}
+    assert linked == {0, 1, 4} and body["plain"].count("(soon)") == 1 and "2 Oak St  (soon)" in body["plain"]
+    assert {i for i in range(7) if f'href="https://e.com/?a={i}&amp;b=1"' in body["html"]} == linked and body["html"].count(">map</a>") == 3 and body["html"].count("<i>soon</i>") == 1
+
+
+def test_removed_as_the_map_sees_it(spark):
+    day = lambda n: dt.datetime(2024, 1, n)
+    props = spark.createDataFrame([(1, 1, "MA", "active", day(12)), (2, 2, "MA", "SOLD", day(12)), (3, 3, "NH", "active", day(12)), (4, 4, "MA", None, day(12)), (5, 5, "MA", "active", day(30)), (6, 6, "MA", "active", day(12))], "property_id long, auction_id long, state string, status string, last_seen_at timestamp_ntz")
+    events = spark.createDataFrame([(10, 5, "status_change", "Sold", day(25)), (11, 5, "status_change", "withdrawn", day(26)), (12, 6, "status_change", "Cancelled", day(27)), (13, 1, "status_change", "postponed", day(27)), (14, 9, "status_change", "sold", day(27)), (15, 1, "status_change", "sold", day(31))], "event_id long, auction_id long, event_type string, new_value string, detected_at timestamp_ntz")
+    got = lambda **k: sorted(digest.removed_union(events, props, "2024-01-24 00:00:00", "2024-01-31 00:00:00", **k).collect())
+    assert [tuple(r) for r in sorted(got(states=["MA"]), key=str)] == [(1, None, "stale"), (5, 10, "status"), (5, 11, "status"), (6, 12, "status")]
+    assert [r["property_id"] for r in digest.removed_union(events, props, "2024-01-24 00:00:00", "2024-01-31 00:00:00").where("reason = 'stale'").orderBy("property_id").collect()] == [1, 3]
+
+
+def test_ids_of_urls_are_decoded(spark):
+    got = lambda u: one(spark, text.extract_listing_id(F.col("a"), F.lit("x")), a=u)
+    assert [got(u) for u in ("https://e.com/?id=a%20b", "https://e.com/?id=a+b%2Fc", "https://e.com/?id=100%", "https://e.com/x")] == ["a b", "a b/c", "100%", "https://e.com/x"]
+
+
 def test_status_view_takes_saved_states_and_its_limit(spark, sf_dir):
     s = Shapes(spark, sf_dir)
     view = lambda states, paid, saved=(): {r["state"] for r in digest.status_view(s.properties, s.auction_events, None, "2024-01-31 00:00:00", states, paid, saved_states=saved).collect()}
@@ -316,7 +341,7 @@ def test_set_states_takes_the_last_good_request(spark):
     assert sorted(map(tuple, began.collect())) == [(1, dt.datetime(2024, 1, 31)), (2, dt.datetime(2023, 1, 1))]
 
 
-@pytest.mark.parametrize("raw, source, value", [("On", "sullivan", "active"), ("once", "sullivan", "once"), ("yellow", "patriot", "postponed"), ("", "patriot", "active"), ("Red", "patriot", "cancelled"), ("NEW DATE 7/9", "skypoint", "active"), (None, "skypoint", "active"), ("SOLD", "skypoint", "sold"), ("Canceled", "towne", "cancelled"), ("On_Time", "towne", "active"), ("3rd Party", None, "3rd party"), ("", None, None)])
+@pytest.mark.parametrize("raw, source, value", [("On", "sullivan", "active"), ("once", "sullivan", "once"), ("yellow", "patriot", "postponed"), ("", "patriot", "active"), ("Red", "patriot", "cancelled"), ("NEW DATE 7/9", "skypoint", "active"), (None, "skypoint", "active"), ("SOLD", "skypoint", "sold"), ("Canceled 7/1", "skypoint", "canceled"), ("Canceled", "towne", "cancelled"), ("On_Time", "towne", "active"), ("3rd Party", None, "3rd party"), ("", None, None)])
 def test_statuses_by_source(spark, raw, source, value):
     assert one(spark, status.normalize_status(F.col("a"), F.col("b")), a=raw, b=source) == value
 
