@@ -127,7 +127,7 @@ def extract_listing_id(url: Column, address: Column, slug_hosts: tuple[str, ...]
     part = lambda p: F.try_parse_url(url, F.lit(p))
     at = lambda hosts: F.exists(F.array(*map(F.lit, hosts)), lambda h: F.contains(host, h)) if hosts else F.lit(False)
     last = group(part("PATH"), r"/(\d+)/*$")
-    said = F.try_parse_url(url, F.lit("QUERY"), F.lit("id"))
+    said = F.coalesce(F.try_parse_url(url, F.lit("QUERY"), F.lit("id")), group(url, r"^[^?#]*\?(?:[^#]*&)?id=([^&#]+)"))
     query_id = F.coalesce(F.try_url_decode(said), said)
     return (
         F.when(at(path_hosts) & last.isNotNull(), last)

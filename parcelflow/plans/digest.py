@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.functions import dates, status, text
 from parcelflow.operators import aggregates
-from parcelflow.operators.dedup import cap_with_remainder
 from parcelflow.operators.joins import drop_if_last_disappeared, events_with_property, fan_out, hide_duplicates, removed_gate, saved_changes
+from parcelflow.operators.thresholds import threshold_top
+from parcelflow.sources.files import kept
 
 FAR_DAYS, NEAR_DAYS, LINK_DAYS, SHOWN = 30, 7, 21, 5
 
@@ -46,39 +47,71 @@ def link_available(as_of: str) -> Column:
     return F.coalesce(F.col("auction_datetime") < at(as_of, LINK_DAYS), F.lit(False))
 
 
-def capped_for(people: DataFrame, rows: DataFrame, section: str | None, n: int, order: str) -> DataFrame:
-    """(email, section, rank, more, fields of rows) of the first n rows of each subscriber and section, over all their states.
+SHOWN_FIELDS = ("email", "section", "rank", "more", "state", "property_id", "address", "auction_datetime", "labels", "url", "latitude", "longitude")
+FIELDS = ("state", "property_id", "address", "auction_datetime", "url", "latitude", "longitude", "labels")
+#: Upcoming rows go by date, changes by address; the other one is null.
+ORDER = ("by_date", "by_address", "property_id")
 
-    rows have state and section. Each state's rows are cut to n and counted before they are fanned out, so what is sent to
-    subscribers does not grow with the listings; more is what is left of the sum of their states' counts.
-    """
-    rows = rows if section is None else rows.withColumn("section", F.lit(section))
-    first = cap_with_remainder(rows, ["state", "section"], n, *(F.col(c) for c in order.split()))
-    totals = fan_out(people, rows.groupBy("state", "section").agg(F.count(F.lit(1)).alias("_n"))).groupBy("email", "section").agg(F.sum("_n").alias("_n"))
-    shown = cap_with_remainder(fan_out(people, first.drop("rank", "more")), ["email", "section"], n, *(F.col(c) for c in order.split())).drop("more")
-    return shown.join(totals, ["email", "section"]).withColumn("more", F.greatest(F.col("_n") - n, F.lit(0))).drop("_n")
 
+def first_rows(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """The first n rows of each key in ORDER, with rank; the ranking is cut before the shuffle."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER))).where(F.col("rank") <= n)
 
-SHOWN_FIELDS = ("email", "section", "rank", "more", "state", "property_id", "address", "auction_datetime", "labels", "url", "latitude", "longitude")
+
+def minutes(time: Column, since: str, step: int) -> Column:
+    """Steps of some minutes from since to a time; 0 for what lies before."""
+    return F.greatest(F.floor((F.unix_seconds(time.cast("timestamp")) - F.unix_seconds(F.lit(since).cast("timestamp_ntz").cast("timestamp"))) / (60 * step)).cast("int"), F.lit(0))
+
+
+def removals(told: DataFrame, gone: DataFrame, since: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts) of the removals that subscribers see: those after their first notification.
+
+    told: email, state, first_sent; gone: rows with state, removed_at, by_address and property_id, removed after since. Of each
+    state only the rows that are among the first n for some first_sent are sent on, each to the hours of first_sent for which
+    it may be, so a subscriber meets about n rows a state. Counts come from a state's minutes, added up from the last, and the
+    rows of the subscriber's own minute.
+    """
+    never = F.col("from_value").isNull()
+    top = threshold_top(gone, "state", "removed_at", n, ("by_address", "property_id"))
+    hours = F.explode(F.sequence(F.when(never, 0).otherwise(minutes(F.col("from_value"), since, 60)), minutes(F.col("removed_at"), since, 60)))
+    people = told.withColumn("_hour", minutes(F.col("first_sent"), since, 60))
+    rows = people.join(top.withColumn("_hour", hours), ["state", "_hour"]).where((F.col("first_sent") < F.col("removed_at")) & (never | (F.col("first_sent") >= F.col("from_value"))))
+    minute = minutes(F.col("removed_at"), since, 1)
+    per = gone.groupBy("state", minute.alias("_minute")).agg(F.count(F.lit(1)).alias("_n"))
+    later = F.coalesce(F.sum("_n").over(Window.partitionBy("state").orderBy(F.desc("_minute")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row a minute that has removals or first notifications; the minutes of a state are few
+    wanted = told.select("state", minutes(F.col("first_sent"), since, 1).alias("_minute"), F.lit(0).cast("long").alias("_n")).distinct()
+    steps = per.unionByName(wanted).groupBy("state", "_minute").agg(F.sum("_n").alias("_n")).select("state", "_minute", later.alias("_later"))
+    asked = told.withColumn("_minute", minutes(F.col("first_sent"), since, 1)).join(steps, ["state", "_minute"])
+    same = told.withColumn("_minute", minutes(F.col("first_sent"), since, 1)).join(gone.select("state", minute.alias("_minute"), "removed_at"), ["state", "_minute"]).where(F.col("first_sent") < F.col("removed_at"))
+    counts = asked.select("email", F.col("_later").alias("_n")).unionByName(same.groupBy("email").agg(F.count(F.lit(1)).alias("_n")))
+    return rows.drop("first_sent", "_hour", "from_value"), counts.groupBy("email").agg(F.sum("_n").alias("_n")).withColumn("section", F.lit("Removed"))
 
 
 def subscriber_digest(subscribers: DataFrame, states: DataFrame, properties: DataFrame, events: DataFrame, links: DataFrame | None, notifications: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """Rows (SHOWN_FIELDS) of every eligible subscriber's digest, in one job.
 
     The first listings by date over all states of the subscriber and the first changes of each category by address; removals
-    only for subscribers who were notified before. Changes are grouped once per state and then fanned out, so the grouping
-    does not grow with the audience.
+    only for subscribers who were notified before. Listings and change groups of each state are made and written once; of each
+    state and section the first rows and a count are fanned out, so what is sent to a subscriber does not grow with the
+    listings, and neither does the grouping with the audience. more is what is left of the sum of the states' counts.
     """
-    people = eligible(subscribers).join(states, "subscriber_id").select("email", "state").distinct()
-    fields = ["state", "property_id", "address", "auction_datetime", "url", "latitude", "longitude"]
-    upcoming = filter_active(find_active(properties, events, links, as_of), as_of).select(*fields, F.array().cast("array<string>").alias("labels"))
-    listed = capped_for(people, upcoming, "Upcoming", SHOWN, "auction_datetime property_id")
+    people = kept(eligible(subscribers).join(states, "subscriber_id").select("email", "state").distinct(), "people")
+    none = F.lit(None)
+    upcoming = filter_active(find_active(properties, events, links, as_of), as_of).withColumn("labels", F.array().cast("array<string>"))
+    listed = upcoming.select(*FIELDS, F.lit("Upcoming").alias("section"), none.cast("timestamp_ntz").alias("removed_at"), F.col("auction_datetime").alias("by_date"), none.cast("string").alias("by_address"))
     changes = events_with_property(events.where(F.col("detected_at") >= at(as_of, -days)), hide_duplicates(properties, links))
-    groups = aggregates.change_groups(changes, as_of, ("state", "address")).select(*fields, "labels", F.col("category").alias("section"), "removed_at")
-    plain = capped_for(people, groups.where(F.col("section") != "Removed").drop("removed_at"), None, SHOWN, "address property_id")
-    gone = removed_gate(fan_out(people, groups.where(F.col("section") == "Removed")), notifications).drop("removed_at")
-    gone = cap_with_remainder(gone, ["email", "section"], SHOWN, F.col("address"), F.col("property_id"))
-    return listed.select(*SHOWN_FIELDS).unionByName(plain.select(*SHOWN_FIELDS)).unionByName(gone.select(*SHOWN_FIELDS))
+    groups = aggregates.change_groups(changes, as_of, ("state", "address"))
+    changed = groups.select(*FIELDS, F.col("category").alias("section"), "removed_at", none.cast("timestamp_ntz").alias("by_date"), F.col("address").alias("by_address"))
+    rows = kept(listed.unionByName(changed), "digest-rows")
+    plain = rows.where(F.col("section") != "Removed")
+    sent = fan_out(people, first_rows(plain, ["state", "section"], SHOWN).drop("rank"))
+    totals = fan_out(people, plain.groupBy("state", "section").agg(F.count(F.lit(1)).alias("_n"))).groupBy("email", "section").agg(F.sum("_n").alias("_n"))
+    told = people.join(notifications.groupBy("email").agg(F.min("sent_at").alias("first_sent")), "email")
+    gone, gone_counts = removals(kept(told, "told"), rows.where((F.col("section") == "Removed") & F.col("state").isNotNull()), str_at(as_of, -days), SHOWN)
+    shown = first_rows(sent.unionByName(gone), ["email", "section"], SHOWN)
+    more = totals.unionByName(gone_counts).withColumn("more", F.greatest(F.col("_n") - SHOWN, F.lit(0)))
+    return shown.join(more, ["email", "section"]).select(*SHOWN_FIELDS)
 
 
 def status_view(properties: DataFrame, events: DataFrame, links: DataFrame | None, as_of: str, states: Sequence[str], paid: bool, days: int = 7, saved_states: Sequence[str] = ()) -> DataFrame:

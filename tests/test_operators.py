@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import dates, status, text
 from parcelflow.functions.udf import fuzzy_date, street_similarity
-from parcelflow.operators import dedup, joins, pages
+from parcelflow.operators import dedup, joins, pages, thresholds
 from parcelflow.plans import billing, digest, links, load
 from parcelflow.plans.shapes import Shapes
 from parcelflow.sources import files
@@ -299,6 +299,44 @@ def test_digest_is_capped_over_all_states(spark):
     assert [x["propertyId"] for x in sent_rows["upcoming"]] == [21, 3, 24, 6, 9] and sent_rows["changes"][0]["labels"] == ["2024-02-01 → 2024-02-08"]
 
 
+def test_first_rows_for_every_threshold(spark):
+    import random
+
+    rng, t = random.Random(8), lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n)
+    rows = [("ABC"[min(2, rng.randrange(9))], f"{rng.randrange(90)} Oak", i, t(rng.randrange(60))) for i in range(700)] + [("D", f"{i:03d}", i, t(i % 50)) for i in range(60)] + [("E", "x", 1, None)]
+    df = spark.createDataFrame(rows, "state string, by_address string, property_id long, removed_at timestamp_ntz").repartition(5)
+    top = [tuple(r) for r in thresholds.threshold_top(df, "state", "removed_at", 3, ("by_address", "property_id")).select("state", "by_address", "property_id", "removed_at", "from_value").collect()]
+    assert len(top) < len(rows) / 3
+    for state in "ABCDE":
+        own = sorted((a, p, r) for s, a, p, r in rows if s == state and r is not None)
+        for m in range(-1, 61):
+            want = [x for x in own if x[2] > t(m)][:3]
+            assert sorted((a, p, r) for s, a, p, r, since in top if s == state and r > t(m) and (since is None or t(m) >= since)) == want
+
+
+def test_removals_follow_the_first_notification(spark):
+    import random
+
+    rng = random.Random(9)
+    t = lambda m: dt.datetime(2024, 1, 24) + dt.timedelta(seconds=m)
+    week = 7 * 86400
+    gone = [(rng.choice(["MA", "NH"]), i, f"{rng.randrange(40)} Elm", t(rng.randrange(week))) for i in range(300)]
+    gone += [("MA", 900 + i, f"{i} Ash", t(week // 2 + i)) for i in range(40)]  # in one minute
+    told = [(f"u{i}", s, t(rng.choice([-5000, rng.randrange(week), week // 2 + rng.randrange(50)]))) for i in range(60) for s in ({"MA"} if i % 3 else {"MA", "NH"})]
+    told = [(e, s, min(x for f, _, x in told if f == e)) for e, s, _ in told]
+    rows, counts = digest.removals(
+        spark.createDataFrame(told, "email string, state string, first_sent timestamp_ntz"),
+        spark.createDataFrame([(s, p, a, a, r) for s, p, a, r in gone], "state string, property_id long, address string, by_address string, removed_at timestamp_ntz"), "2024-01-24 00:00:00", 5,
+    )
+    got, n = {}, {r["email"]: r["_n"] for r in counts.collect()}
+    for r in rows.collect():
+        got.setdefault((r["email"], r["state"]), []).append((r["address"], r["property_id"]))
+    for e, s, first in told:
+        assert sorted(got.get((e, s), [])) == sorted((a, p) for st, p, a, r in gone if st == s and r > first)[:5]
+    for e in {x[0] for x in told}:
+        assert n[e] == sum(1 for f, s, first in told if f == e for st, _, _, r in gone if st == s and r > first)
+
+
 def test_links_of_bodies(spark):
     day = lambda n: dt.datetime(2024, 2, n, 10)
     rows = [("Upcoming", 1, day(28)), ("New", 1, day(20)), ("New", 2, day(21)), ("New", 3, None), ("Date Changes", 1, day(28)), ("Status Changes", 1, None), ("Removed", 1, day(3))]
