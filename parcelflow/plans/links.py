@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.functions import status
+from parcelflow.functions.text import haversine_m, house_number, house_street
+from parcelflow.functions.udf import street_similarity
 from parcelflow.operators.joins import proximity_pairs, similar_pairs
+from parcelflow.sources.files import kept
 
 
 def choose_canonical(pairs: DataFrame, properties: DataFrame) -> DataFrame:
@@ -25,7 +28,90 @@ def choose_canonical(pairs: DataFrame, properties: DataFrame) -> DataFrame:
     return side.groupBy("property_id").agg(F.max_by(F.struct("canonical_id", "metres", "similarity"), "r").alias("x")).select("property_id", "x.canonical_id", "x.metres", "x.similarity")
 
 
-def link_duplicates(properties: DataFrame, least: float = 0.6) -> DataFrame:
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
+PLACE = ("latitude", "longitude", "house", "street")
+BOX, STEP = 0.0015, 0.002
+
+
+def letter_counts(c: Column) -> Column:
+    """How often each letter of ALPHABET, and any other one, occurs."""
+    found = [F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in ALPHABET]
+    return F.array(*found, F.length(c) - sum(found[1:], found[0]))
+
+
+def ratio_bound(a: Column, b: Column, counts_a: Column, counts_b: Column) -> Column:
+    """Not less than the ratio of matching blocks: twice the letters in common over all letters."""
+    common = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, 1.0).otherwise(2 * common / total)
+
+
+def open_streets(pairs: DataFrame, least: float) -> DataFrame:
+    """The different pairs of street names, in both orders, that their letters leave open; only these need Python."""
+    unlike = pairs.where((F.col("a_street") != F.col("b_street")) & (F.col("bound") >= least))
+    both = unlike.select("a_street", "b_street").unionByName(unlike.select(F.col("b_street").alias("a_street"), F.col("a_street").alias("b_street")))
+    return both.distinct()
+
+
+def places(properties: DataFrame) -> DataFrame:
+    """properties (property_id, source, latitude, longitude, house, street, r); r: live before not live, then later seen, then lower id."""
+    rank = F.struct((~status.not_live(F.col("status"))).alias("live"), F.col("last_seen_at").alias("seen"), (-F.col("property_id")).alias("low"))
+    pts = properties.select("property_id", "source", "latitude", "longitude", house_number(F.col("address")).alias("house"), house_street(F.col("address")).alias("street"), rank.alias("r"))
+    return pts.where(F.col("house").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+
+
+def place_pairs(pts: DataFrame, metres: float) -> DataFrame:
+    """Ordered pairs of places (latitude, longitude, house, street) near each other with one house number, each with itself too."""
+    one = pts.select(*PLACE).distinct().withColumns({"counts": letter_counts(F.col("street")), "cx": F.floor(F.col("latitude") / STEP), "cy": F.floor(F.col("longitude") / STEP)})
+    near = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
+    named = lambda p: [F.col(c).alias(f"{p}_{c}") for c in (*PLACE, "counts")]
+    a = one.select(*named("a"), "cx", "cy", near.alias("d")).select("*", (F.col("cx") + F.col("d.dx")).alias("x"), (F.col("cy") + F.col("d.dy")).alias("y")).drop("cx", "cy", "d")
+    b = one.select(*named("b"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    pairs = a.join(b, (a["x"] == b["x"]) & (a["y"] == b["y"]) & (a["a_house"] == b["b_house"])).drop("x", "y")
+    pairs = pairs.where((F.abs(F.col("a_latitude") - F.col("b_latitude")) <= BOX) & (F.abs(F.col("a_longitude") - F.col("b_longitude")) <= BOX))
+    dist = haversine_m(*(F.col(c) for c in ("a_latitude", "a_longitude", "b_latitude", "b_longitude")))
+    bound = ratio_bound(F.col("a_street"), F.col("b_street"), F.col("a_counts"), F.col("b_counts"))
+    return pairs.withColumn("metres", dist).where(F.col("metres") <= metres).withColumn("bound", bound).drop("a_counts", "b_counts")
+
+
+def link_duplicates(properties: DataFrame, least: float = 0.6, metres: float = 100.0) -> DataFrame:
+    """(property_id, canonical_id, metres, similarity): the hidden ones among properties of different sources at one place.
+
+    The same as choose_canonical() of all similar pairs, without the pairs: properties with the same point, house number and
+    street are one place, whose best property of each source is enough for every other place. Places are compared in grid
+    cells by house number, streets by their letters first; what the letters leave open goes to Python, each pair of names once.
+    Where names are similar in one order of ids only, their properties are paired. A place of any size is aggregated before it meets its members.
+    """
+    pts = kept(places(properties), "places")
+    near = kept(place_pairs(pts, metres).where(F.col("bound") >= least), "place-pairs")
+    told = kept(open_streets(near, least).withColumn("_s", street_similarity("a_street", "b_street")), "streets")
+    forth = told.select("a_street", "b_street", F.col("_s").alias("forth"))
+    back = told.select(F.col("b_street").alias("a_street"), F.col("a_street").alias("b_street"), F.col("_s").alias("back"))
+    same = F.col("a_street") == F.col("b_street")
+    scored = near.join(forth, ["a_street", "b_street"], "left").join(back, ["a_street", "b_street"], "left").withColumns({"forth": F.when(same, 1.0).otherwise(F.col("forth")), "back": F.when(same, 1.0).otherwise(F.col("back"))})
+    scored = kept(scored.where((F.col("forth") >= least) | (F.col("back") >= least)), "similar-places")
+    member = lambda p: pts.select(*(F.col(c).alias(f"{p}_{c}") for c in pts.columns))
+    keys = lambda p: [f"{p}_{c}" for c in PLACE]
+    # similar in both orders: the best of each source of all places around one, then each of its properties
+    best = pts.groupBy(*PLACE, "source").agg(F.max("r").alias("r")).select(*(F.col(c).alias(f"b_{c}") for c in (*PLACE, "source", "r")))
+    around = scored.where((F.col("forth") >= least) & (F.col("back") >= least)).join(best, keys("b"))
+    found = F.struct(F.col("b_r").alias("r"), F.col("b_source").alias("source"), "metres", "forth", "back")
+    per_source = around.groupBy(*keys("a"), "b_source").agg(F.max(found).alias("x")).groupBy(*keys("a")).agg(F.sort_array(F.collect_list("x"), asc=False).alias("xs"))  # one a source
+    own = F.filter("xs", lambda x: x["source"] != F.col("a_source"))
+    whole = member("a").join(per_source, keys("a")).withColumn("x", F.get(own, F.lit(0))).where(F.col("x").isNotNull()).select("a_property_id", "a_r", "x.*")
+    # similar in one order only
+    split = scored.where((F.col("forth") >= least) != (F.col("back") >= least)).join(member("a"), keys("a")).join(member("b"), keys("b"))
+    fits = F.when(F.col("a_property_id") < F.col("b_property_id"), F.col("forth")).otherwise(F.col("back")) >= least
+    single = split.where((F.col("a_source") != F.col("b_source")) & fits).select("a_property_id", "a_r", F.col("b_r").alias("r"), F.col("b_source").alias("source"), "metres", "forth", "back")
+    both = whole.unionByName(single).where(F.col("r") > F.col("a_r"))
+    top = both.groupBy(F.col("a_property_id").alias("property_id")).agg(F.max(F.struct("r", "metres", "forth", "back")).alias("x"))
+    canonical = -F.col("x.r.low")
+    similarity = F.when(F.col("property_id") < canonical, F.col("x.forth")).otherwise(F.col("x.back"))
+    return top.select("property_id", canonical.alias("canonical_id"), "x.metres", similarity.alias("similarity"))
+
+
+def link_duplicates_by_pairs(properties: DataFrame, least: float = 0.6) -> DataFrame:
+    """The same from all similar pairs of properties."""
     return choose_canonical(similar_pairs(proximity_pairs(properties), least), properties)
 
 

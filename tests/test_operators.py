@@ -111,6 +111,33 @@ def test_duplicate_links(spark):
     assert {(r["property_id"], r["canonical_id"]) for r in links.link_duplicates(df).collect()} == {(1, 2), (5, 2)}
 
 
+def linked(df):
+    return sorted((r["property_id"], r["canonical_id"], round(r["metres"], 6), round(r["similarity"], 9)) for r in df.collect())
+
+
+def test_duplicate_links_equal_those_of_all_pairs(spark):
+    import random
+
+    p = Shapes(spark, "/root/testdata/sf0.01").properties.select("property_id", "source", "address", "latitude", "longitude", "status", "last_seen_at")
+    want = linked(links.link_duplicates_by_pairs(p))
+    assert linked(links.link_duplicates(p)) == want and len(want) > 1000
+    rng = random.Random(6)
+    streets = ["tide lane", "diet lane", "North Main Street", "Main St", "Mian St.", "Maine Ave", "tide", "diet", "Oak", "", "Élm 9"]
+    rows = [(i, rng.choice("abc"), f"{rng.choice([1, 1, 2, 33])} {rng.choice(streets)}, Keene" if rng.random() < 0.9 else None, 42.0 + rng.randrange(4) * 0.0006, -71.0 + rng.randrange(3) * 0.0007, rng.choice(["active", "sold", "cancelled", None]), dt.datetime(2024, 1, rng.randrange(1, 5))) for i in rng.sample(range(10_000), 160)]
+    df = spark.createDataFrame(rows, "property_id long, source string, address string, latitude double, longitude double, status string, last_seen_at timestamp_ntz")
+    assert linked(links.link_duplicates(df)) == linked(links.link_duplicates_by_pairs(df))
+    # Python sees few of the pairs
+    pairs = joins.proximity_pairs(p).count()
+    near = links.place_pairs(links.places(p), 100.0).where("bound >= 0.6")
+    assert links.open_streets(near, 0.6).count() < 0.1 * pairs
+
+
+def test_one_place_with_many_records(spark):
+    rows = spark.range(50_000).select(F.col("id").alias("property_id"), F.concat(F.lit("s"), (F.col("id") % 5).cast("string")).alias("source"), F.lit("1 Oak Street").alias("address"), F.lit(42.0).alias("latitude"), F.lit(-71.0).alias("longitude"), F.lit("active").alias("status"), F.lit("2024-01-01").cast("timestamp_ntz").alias("last_seen_at"))
+    got = links.link_duplicates(rows).groupBy("canonical_id").count().collect()
+    assert {(r[0], r[1]) for r in got} == {(0, 40_000), (1, 9_999)}
+
+
 def empty_state(spark):
     return spark.createDataFrame([], load.STATE)
 
