@@ -1,4 +1,4 @@
-"""Extraction from captured pages: links, labelled items, table rows, blocks; rules by source."""
+"""Extraction from captured pages: links, labelled items, table rows, blocks."""
 
 from __future__ import annotations
 
@@ -13,14 +13,6 @@ from pyspark.sql import functions as F
 from parcelflow.functions import dates
 from parcelflow.functions.text import group
 
-RULES: dict[str, dict[str, str]] = {}
-
-
-def register_source(name: str, rules: dict[str, str]) -> None:
-    """Field patterns of a source, used by extract_listings(); a pattern's first group is the field."""
-    RULES[name] = dict(rules)
-
-
 def page_links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'(?i)href="([^"]*)"'), F.lit(1))
 
@@ -41,6 +33,29 @@ def label_values(html: Column, longest: int = 120) -> Column:
     return F.filter(plain, lambda x: (F.length(x) < longest) & x.rlike(r"^[^:]+:\s*\S"))
 
 
+def plain(c: Column) -> Column:
+    """Text without tags, runs of white space as one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), r"\s+", " "))
+
+
+def paragraph_pairs(html: Column, column: str | None = None) -> Column:
+    """array<struct<label, value>>: each label paragraph with the value paragraph after it, in page order.
+
+    column: the class of the elements whose first two paragraphs are a label and its value; without it a label is a
+    paragraph that ends with a colon. Pairs without a label are left out.
+    """
+    head = rf'class="(?:[^"]* )?{column}(?: [^"]*)?"[^>]*>\s*<p\b[^>]*>(.*?)</p>' if column else r"<p\b[^>]*>([^<]*:\s*)</p>"
+    pattern = F.lit(rf"(?is){head}\s*<p\b[^>]*>(.*?)</p>")
+    label = F.transform(F.regexp_extract_all(html, pattern, F.lit(1)), lambda x: F.trim(F.regexp_replace(plain(x), r":+$", "")))
+    value = F.transform(F.regexp_extract_all(html, pattern, F.lit(2)), plain)
+    return F.filter(F.arrays_zip(label.alias("label"), value.alias("value")), lambda x: x["label"] != "")
+
+
+def documents(html: Column, base: Column) -> Column:
+    """The page's links to PDF files, absolute, in page order."""
+    return F.transform(pdf_only(page_links(html)), lambda x: absolute(base, x))
+
+
 def list_items(html: Column) -> Column:
     items = F.regexp_extract_all(html, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1))
     return F.transform(items, lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", "")))
@@ -155,7 +170,3 @@ def merge_detail(listings: DataFrame, details: DataFrame, key: str, fields: list
         out = out.withColumn(f, F.coalesce(F.nullif(F.col(f"_d_{f}"), F.lit("")), F.col(f)))
     return out.drop(*(f"_d_{f}" for f in fields))
 
-
-def extract_listings(pages: DataFrame, source: str, html: str = "html") -> DataFrame:
-    """A source's registered fields of each of its pages."""
-    return pages.select("page_id", "url", *(F.nullif(F.regexp_extract(html, p, 1), F.lit("")).alias(f) for f, p in RULES[source].items()))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelflow.functions import dates, status, text
-from parcelflow.operators import aggregates, dedup, joins, pages
+from parcelflow.operators import aggregates, dedup, joins, pages, rules
 from parcelflow.plans import billing, digest, export, links, load
 from parcelflow.plans.shapes import AS_OF, Shapes, with_shapes
 from parcelflow.sources import files, state
@@ -81,9 +81,10 @@ def write_listing_csv_by_source(s):
 
 @query("listings", f"select '2024-01-31' as snapshot_date, {_FILE} from listings where latitude is not null")
 def dated_snapshot(s):
-    """A dated copy of the files, read back by its date."""
+    """A dated copy of the files, written twice and beside another date's, read back by its date."""
     path = files.scratch(s.spark, "listings")
-    files.write_listing_csv(s.listings, path, snapshot_date=AS_OF[:10])
+    for date, rows in ((AS_OF[:10], s.snapshot_1), ("2024-01-30", s.snapshot_2), (AS_OF[:10], s.listings)):
+        files.write_listing_csv(rows, path, by_source=True, snapshot_date=date)
     rows = s.spark.read.options(header=True, escape='"', multiLine=True).csv(path).where(F.col("snapshot_date") == AS_OF[:10])
     return _file(rows).withColumn("snapshot_date", F.lit(AS_OF[:10]))
 
@@ -405,10 +406,46 @@ def merge_detail(s):
     return pages.merge_detail(rows, rows.where(F.col("seq") % 2 == 0).select("seq", F.when(F.col("seq") % 4 == 0, "sold").otherwise("").alias("status")), "seq", ["status"])
 
 
-@query("", "select page_id, url, nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '') as title from pages")
+_SITES = ("sullivan", "brockscott", "harmon", "patriot", "towne", "jjmanning", "landmark", "keenan", "skypoint")
+#: A listing in each site's form, in SQL that both engines run; the page's own html follows.
+_SNIPPETS = (
+    "'<a href=\"/x?id=', page_id, '\">x</a><li>Year Built: 19', page_id % 90 + 10, '</li><a href=\"/doc/', page_id, '.pdf\">p</a><a href=\"https://d.example.com/b.PDF\">q</a>'",
+    "'<div class=\"forecol\"><p>State:</p><p> M', page_id % 7, '</p></div><div class=\"col forecol\"><p><b>County</b></p> <p>Upper</p></div>'",
+    "'<a href=\"/auction/', page_id, '/\">x</a><div class=\"blockAuction\"><h1>Lot ', page_id, '</h1>Postponed To: 1/2/2024 at 10:30 AM</div>'",
+    "'<a class=\"auction-list\" href=\"?id=', page_id, '\"><div class=\"banner yellow\"></div></a>'",
+    "'<table id=\"GridView1\"><tr><th>d</th></tr><tr><td>1/2</td><td>10</td><td>On_Time</td><td><a href=\"#\">', page_id, ' Oak St</a></td></tr></table>'",
+    "'<h4 class=\"elementor-heading-title x\">no</h4><h4 class=\"elementor-heading-title\">Active</h4><div data-settings=\"&quot;acf_field_list&quot;:&quot;address&quot;\"><div class=\"dynamic-content-for-elementor-acf\">', page_id, ' Elm St</div></div>'",
+    "'<h1 class=\"eventlist-title\"><a href=\"/e/', page_id, '\">Event ', page_id, '</a></h1><a href=\"t.pdf\">t</a>'",
+    "'Deposit: $', page_id, ',000<br>Terms: cash or check<br>'",
+    "'SP #', page_id % 9000 + 1000, 'A SOLD'",
+)
+_SITE_PAGES = f"select page_id, url, case page_id % 9 {' '.join(f'when {i} then {chr(39)}{n}{chr(39)}' for i, n in enumerate(_SITES))} end as source, case page_id % 9 {' '.join(f'when {i} then concat({x}, html)' for i, x in enumerate(_SNIPPETS))} end as html from {{pages}}"
+_RULE_ROWS = ", ".join("('" + "', '".join(x.replace("'", "''") for x in r[:4]) + "')" for r in rules.SITE_RULES)
+
+
+def _site_pages(s):
+    return s.spark.sql(_SITE_PAGES, pages=s.pages)
+
+
+@query("", f"with p as ({_SITE_PAGES.format(pages='pages')}), r(source, field, kind, pattern) as (values {_RULE_ROWS}) select page_id, p.source, field, nullif(trim(case kind when 'all' then array_to_string(regexp_extract_all(html, pattern, 1), '; ') else regexp_extract(html, pattern, 1) end), '') as value from p join r on p.source = r.source")
 def extract_listings(s):
-    pages.register_source("plain", {"title": r"(?is)<title>(.*?)</title>"})
-    return pages.extract_listings(s.pages, "plain")
+    """All fields of nine sources' pages, by one table of rules."""
+    return rules.extract_listings(_site_pages(s), rules.site_rules(s.spark)).select("page_id", "source", F.explode("fields").alias("field", "value"))
+
+
+_COLUMN = 'class="(?:[^"]* )?forecol(?: [^"]*)?"[^>]*>\\s*<p\\b[^>]*>(.*?)</p>\\s*<p\\b[^>]*>(.*?)</p>'
+
+
+@query("", f"with p as ({_SITE_PAGES.format(pages='pages')}), l as (select page_id, unnest(regexp_extract_all(html, '(?is){_COLUMN}', 1)) as a, unnest(regexp_extract_all(html, '(?is){_COLUMN}', 2)) as b from p) select page_id, regexp_replace(trim(regexp_replace(regexp_replace(a, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), ':+$', '') as label, trim(regexp_replace(regexp_replace(b, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) as value from l")
+def page_label_pairs(s):
+    """Label paragraphs with the value paragraphs after them."""
+    return _site_pages(s).select("page_id", F.inline(pages.paragraph_pairs(F.col("html"), "forecol")))
+
+
+@query("", f"with p as ({_SITE_PAGES.format(pages='pages')}), l as (select page_id, url, unnest(regexp_extract_all(html, '(?i)href=\"([^\"]*)\"', 1)) as link from p), r as (select *, regexp_extract(url, '^([^:]+://[^/?#]*)', 1) as root from l where lower(link) like '%.pdf') select page_id, case when regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then link when starts_with(link, '/') then root || link else root || '/' || link end as document from r")
+def page_documents(s):
+    """Links to PDF files, absolute."""
+    return _site_pages(s).select("page_id", F.explode(pages.documents(F.col("html"), F.col("url"))).alias("document"))
 
 
 # joins

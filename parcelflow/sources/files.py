@@ -62,13 +62,36 @@ def listing_rows(rows: DataFrame) -> DataFrame:
 
 
 def write_listing_csv(rows: DataFrame, path: str, by_source: bool = False, snapshot_date: str | None = None) -> None:
-    """Listing files, a folder per source or per date if asked for."""
+    """Listing files, a folder per source or per date if asked for.
+
+    A folder's files are replaced as one when the job is done: a date that is written again has one copy, without sources that
+    it no longer has; other dates, and without a date other sources, are left alone. Without folders the path must be new.
+    """
     out, parts = listing_rows(rows), []
     if snapshot_date:
         out, parts = out.withColumn("snapshot_date", F.lit(snapshot_date)), ["snapshot_date"]
     if by_source:
         parts = [*parts, "Source"]
-    out.write.options(header=True, escape='"').partitionBy(*parts).csv(path)
+    writer = out.write.options(header=True, escape='"').partitionBy(*parts)
+    if not parts:
+        writer.csv(path)
+        return
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").csv(path)
+    if snapshot_date:
+        _drop_others(rows.sparkSession, f"{path}/snapshot_date={snapshot_date}", {r[0] for r in out.select("Source").distinct().collect()} if by_source else set())  # a value a site
+
+
+def _drop_others(spark: SparkSession, folder: str, sources: set[str]) -> None:
+    """Deletes a date's folders of sources that it no longer has."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    for found in fs.listStatus(at):
+        own = found.getPath().getName()
+        if own.startswith("Source=") and name(own.removeprefix("Source=")) not in sources:
+            fs.delete(found.getPath(), True)
 
 
 def read_overrides(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import dates, status, text
 from parcelflow.functions.udf import fuzzy_date, street_similarity
-from parcelflow.operators import dedup, joins, pages, thresholds
+from parcelflow.operators import dedup, joins, pages, rules, thresholds
 from parcelflow.plans import billing, digest, links, load
 from parcelflow.plans.shapes import Shapes
 from parcelflow.sources import files
@@ -270,6 +270,40 @@ def test_csv_round_trip(spark, tmp_path, sf_dir):
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/split").count() == 20
 
 
+def test_a_date_is_published_once(spark, tmp_path, sf_dir):
+    rows = Shapes(spark, sf_dir).listings
+    put = lambda df, date: files.write_listing_csv(df, f"file://{tmp_path}/out", by_source=True, snapshot_date=date)
+    put(rows, "2024-01-30")
+    put(rows.where("source in ('towne', 'harmon')").withColumn("source", F.when(F.col("source") == "towne", "a/b c").otherwise(F.col("source"))), "2024-01-31")
+    other = files_in(tmp_path / "out" / "snapshot_date=2024-01-30")
+    for _ in range(2):
+        put(rows.where("source in ('harmon', 'keenan')"), "2024-01-31")
+    back = spark.read.option("header", True).csv(f"file://{tmp_path}/out")
+    want = {("2024-01-30", r[0]): r[1] for r in rows.groupBy("source").count().collect()} | {("2024-01-31", r[0]): r[1] for r in rows.where("source in ('harmon', 'keenan')").groupBy("source").count().collect()}
+    assert {(str(r[0]), r[1]): r[2] for r in back.groupBy("snapshot_date", "Source").count().collect()} == want
+    assert files_in(tmp_path / "out" / "snapshot_date=2024-01-30") == other
+
+
+def files_in(folder):
+    return {os.path.join(d, n): os.path.getmtime(os.path.join(d, n)) for d, _, names in os.walk(folder) for n in names if n.endswith(".csv")}
+
+
+def test_rules_of_sites(spark, sf_dir):
+    from parcelflow.queries import QUERIES
+
+    found = QUERIES["extract_listings"](spark, sf_dir).collect()
+    assert {(r["source"], r["field"]) for r in found} == {r[:2] for r in rules.SITE_RULES} and all(r["value"] for r in found)
+    table = spark.createDataFrame([("a", "x", "first", "(z+)", 1), ("a", "x", "first", "(a+)(b+)", 2), ("a", "all", "all", "b.", 0)], rules.RULES)
+    pages_ = spark.createDataFrame([(1, "a", "aabb bc"), (2, "b", "aabb"), (3, None, None), (4, "a", None)], "page_id long, source string, html string")
+    assert {r["page_id"]: r["fields"] for r in rules.extract_listings(pages_, table).collect()} == {1: {"x": "bb", "all": "bb; bc"}, 2: {}, 3: {}, 4: {"x": None, "all": None}}
+
+
+def test_label_paragraphs(spark):
+    got = lambda html, cls=None: [tuple(x) for x in one(spark, pages.paragraph_pairs(F.col("a"), cls), a=html) or []]
+    html = '<div class="x forecol y"><p>State: </p>\n<p><b>MA</b>  x</p><p>more</p></div><div class="forecol"><p>Only</p></div><div class="other"><p>No</p><p>no</p></div><p>Sale Date:</p><p>1/2</p><p>:</p><p>none</p>'
+    assert got(html, "forecol") == [("State", "MA x")] and got(html) == [("State", "MA x"), ("Sale Date", "1/2")]
+
+
 def test_caches(spark, tmp_path):
     from pyspark.sql import types as T
 
