@@ -38,14 +38,18 @@ def plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), r"\s+", " "))
 
 
+#: What a paragraph may hold: anything but another paragraph's tags.
+INSIDE = "((?:[^<]|<[^/p]|</[^p])*)"
+
+
 def paragraph_pairs(html: Column, column: str | None = None) -> Column:
     """array<struct<label, value>>: each label paragraph with the value paragraph after it, in page order.
 
     column: the class of the elements whose first two paragraphs are a label and its value; without it a label is a
     paragraph that ends with a colon. Pairs without a label are left out.
     """
-    head = rf'class="(?:[^"]* )?{column}(?: [^"]*)?"[^>]*>\s*<p\b[^>]*>(.*?)</p>' if column else r"<p\b[^>]*>([^<]*:\s*)</p>"
-    pattern = F.lit(rf"(?is){head}\s*<p\b[^>]*>(.*?)</p>")
+    head = rf'class="(?:[^"]* )?{column}(?: [^"]*)?"[^>]*>\s*<p\b[^>]*>{INSIDE}</p>' if column else r"<p\b[^>]*>([^<]*:\s*)</p>"
+    pattern = F.lit(rf"(?is){head}\s*<p\b[^>]*>{INSIDE}</p>")
     label = F.transform(F.regexp_extract_all(html, pattern, F.lit(1)), lambda x: F.trim(F.regexp_replace(plain(x), r":+$", "")))
     value = F.transform(F.regexp_extract_all(html, pattern, F.lit(2)), plain)
     return F.filter(F.arrays_zip(label.alias("label"), value.alias("value")), lambda x: x["label"] != "")

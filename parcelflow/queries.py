@@ -433,7 +433,7 @@ def extract_listings(s):
     return rules.extract_listings(_site_pages(s), rules.site_rules(s.spark)).select("page_id", "source", F.explode("fields").alias("field", "value"))
 
 
-_COLUMN = 'class="(?:[^"]* )?forecol(?: [^"]*)?"[^>]*>\\s*<p\\b[^>]*>(.*?)</p>\\s*<p\\b[^>]*>(.*?)</p>'
+_COLUMN = rf'class="(?:[^"]* )?forecol(?: [^"]*)?"[^>]*>\s*<p\b[^>]*>{pages.INSIDE}</p>\s*<p\b[^>]*>{pages.INSIDE}</p>'
 
 
 @query("", f"with p as ({_SITE_PAGES.format(pages='pages')}), l as (select page_id, unnest(regexp_extract_all(html, '(?is){_COLUMN}', 1)) as a, unnest(regexp_extract_all(html, '(?is){_COLUMN}', 2)) as b from p) select page_id, regexp_replace(trim(regexp_replace(regexp_replace(a, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), ':+$', '') as label, trim(regexp_replace(regexp_replace(b, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) as value from l")
