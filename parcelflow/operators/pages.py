@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import dates
 from parcelflow.functions.text import group
+from parcelflow.operators import markup
 
 def page_links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'(?i)href="([^"]*)"'), F.lit(1))
@@ -116,7 +117,17 @@ class _Blocks(HTMLParser):
 
 
 def table_rows(pages: DataFrame, least: int = 2) -> DataFrame:
-    """(page_id, row, cells): table rows after the header, short ones dropped."""
+    """(page_id, row, cells): table rows after the header, short ones dropped.
+
+    From the stream of tags in built-in expressions; pages that it cannot decide go through a parser.
+    """
+    plain = markup.decidable(F.col("html"))
+    found = pages.where(plain).select("page_id", F.posexplode(F.slice(markup.rows_of(F.col("html")), 2, 1 << 30)).alias("row", "cells"))
+    return found.where(F.size("cells") >= least).unionByName(parsed_rows(pages.where(~plain), least))
+
+
+def parsed_rows(pages: DataFrame, least: int = 2) -> DataFrame:
+    """table_rows() by a parser, page by page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -130,13 +141,8 @@ def table_rows(pages: DataFrame, least: int = 2) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, row int, cells array<string>")
 
 
-def blocks(pages: DataFrame, tags: tuple[str, ...] = ("article", "section"), id_pattern: str | None = None, as_of: str = "2024-01-31") -> DataFrame:
-    """(page_id, ord, title, text, block_id, date_time, block_status) of repeated blocks.
-
-    A block without a title is skipped, and so is one without an id where id_pattern (over its links) is given; a repeated id,
-    or without a pattern a repeated title, counts once. The date is the labelled or else the first one of the text, the status
-    that of block_status() with the text's status word.
-    """
+def parsed_blocks(pages: DataFrame, tags: tuple[str, ...], id_pattern: str | None) -> DataFrame:
+    """(page_id, ord, title, text, block_id) of blocks() by a parser, page by page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -153,7 +159,26 @@ def blocks(pages: DataFrame, tags: tuple[str, ...] = ("article", "section"), id_
                         out.append((pid, len(seen) - 1, x["title"], x["text"], found[1] if found else None))
             yield pd.DataFrame(out, columns=["page_id", "ord", "title", "text", "block_id"])
 
-    found = pages.select("page_id", "html").mapInPandas(run, "page_id long, ord int, title string, text string, block_id string")
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, ord int, title string, text string, block_id string")
+
+
+def blocks(pages: DataFrame, tags: tuple[str, ...] = ("article", "section"), id_pattern: str | None = None, as_of: str = "2024-01-31") -> DataFrame:
+    """(page_id, ord, title, text, block_id, date_time, block_status) of repeated blocks.
+
+    A block without a title is skipped, and so is one without an id where id_pattern (over its links) is given; a repeated id,
+    or without a pattern a repeated title, counts once. The date is the labelled or else the first one of the text, the status
+    that of block_status() with the text's status word. From the stream of tags in built-in expressions; pages that it cannot
+    decide go through a parser.
+    """
+
+    plain = markup.decidable(F.col("html"))
+    every = markup.blocks_of(F.col("html"), tags)
+    named = F.transform(every, lambda x: F.struct(x["title"].alias("title"), x["text"].alias("text"), (F.nullif(F.regexp_extract(x["links"], id_pattern, 1), F.lit("")) if id_pattern else F.lit(None).cast("string")).alias("block_id")))
+    kept = F.filter(named, lambda x: (x["title"] != "") & (x["block_id"].isNotNull() if id_pattern else F.lit(True)))
+    rows = pages.where(plain).select("page_id", kept.alias("_all"))
+    key = "block_id" if id_pattern else "title"
+    once = F.filter("_all", lambda x, i: F.array_position(F.transform("_all", lambda y: y[key]), x[key]) == i + 1)
+    found = rows.select("page_id", F.posexplode(once).alias("ord", "b")).select("page_id", "ord", "b.*").unionByName(parsed_blocks(pages.where(~plain), tags, id_pattern))
     word = F.lower(F.regexp_extract("text", r"(?i)\b(sold back to mortgagee|3rd party purchase|sold|cancell?ed|postponed|active|withdrawn)\b", 1))
     said = dates.block_status(F.col("text"), word)
     first = F.coalesce(group(F.col("text"), rf"({dates.NUMERIC})"), group(F.col("text"), dates.CHUNK))

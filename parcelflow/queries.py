@@ -365,10 +365,12 @@ def extraction_cost(s):
 # pages
 
 
-@query("")
+@query("", "select page_id, 0 as row, concat(page_id, '|', url) as cells from pages union all select page_id, 2, concat('a & b|', page_id % 5, ' x|') from pages union all select page_id, 4, '1|2' from pages where page_id % 3 = 0")
 def page_table_rows(s):
-    rows = s.pages.withColumn("html", F.concat(F.lit("<table><tr><th>a</th><th>b</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>"), "url", F.lit("</td></tr></table>"), "html"))
-    return pages.table_rows(rows)
+    """Two tables before each page's own html, with a short row and one that is never closed; every third page needs the parser."""
+    table = "concat('<table><tr><th>a</th><th>b</th></tr><tr><td>', page_id, '</td><td>', url, '</td></tr><TR class=\"x\"><td>short</td></tr><tr><td>a &amp; <b>b</b></td><td> ', page_id % 5, '\n x</td><td></td></tr><tr><td>open</td></table>'"
+    more = f"{table}, case when page_id % 3 = 0 then '<p title=''>''></p><table><tr><td>x</td></tr><tr><td>1</td><td>2</td></tr></table>' else '' end, html)"
+    return pages.table_rows(s.pages.withColumn("html", F.expr(more))).select("page_id", "row", F.array_join("cells", "|").alias("cells"))
 
 
 @query("", r"select page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:li|p)\b[^>]*>(.*?)</(?:li|p)>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))), lambda x: length(x) < 120 and regexp_matches(x, '^[^:]+:\s*\S')) as l, len(l) as n, array_to_string(l, '|') as labelled from pages".replace("as l, len(l) as n, array_to_string(l, '|') as labelled from pages", "as l from pages").join(["select page_id, len(l) as n, array_to_string(l, '|') as labelled from (", ")"]))
@@ -382,9 +384,12 @@ def page_links(s):
     return s.pages.select("page_id", F.array_join(pages.page_links(F.col("html")), "; ").alias("links"))
 
 
-@query("")
+_TEXT = "trim(regexp_replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query("", f"with a as (select page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as a from pages), b as (select page_id, {_TEXT.format(r"regexp_extract(a, '(?s)<h1>(.*?)</h1>', 1)")} as title, {_TEXT.format(r"regexp_replace(a, '(?s)<h1>.*?</h1>', ' ')")} as text from a) select page_id, 0 as ord, title, text from b where title <> ''")
 def page_blocks(s):
-    return pages.blocks(s.pages, ("article", "section", "div", "body"))
+    return pages.blocks(s.pages, ("article", "section", "div", "body")).select("page_id", "ord", "title", "text")
 
 
 @query("", "select page_id, o_orderkey as block_id, concat('Lot ', o_orderkey) as title, case o_orderkey % 3 when 0 then '1/02/2024 at 10:30 AM' when 1 then '2/03/2024 at 11:00 AM' else '' end as date_time, case o_orderkey % 3 when 0 then 'postponed' when 1 then 'active' else 'sold' end as block_status from (select page_id, page_id * 2 + i as o_orderkey from pages, (select unnest([0, 1]) as i))")

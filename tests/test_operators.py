@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import dates, status, text
 from parcelflow.functions.udf import fuzzy_date, street_similarity
-from parcelflow.operators import dedup, joins, pages, rules, thresholds
+from parcelflow.operators import dedup, joins, markup, pages, rules, thresholds
 from parcelflow.plans import billing, digest, links, load
 from parcelflow.plans.shapes import Shapes
 from parcelflow.sources import files
@@ -258,6 +258,38 @@ def test_page_tables_and_blocks(spark):
     assert [(r["title"], r["text"], r["block_status"]) for r in pages.blocks(df).collect()] == [("T", "one", "unknown")]
 
 
+def test_tags_as_a_parser_sees_them(spark, sf_dir):
+    import random
+
+    rng = random.Random(12)
+    bits = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th class=\"card x\">", "</th>", "<article>", "</article>", "<section>", "</section>", "<DIV class=\"a card\">", "</div>", "<h2>", "</h2>", "<b>", "</b>", "<br/>", "<!-- c -->"]
+    bits += ["one", " two\n", "&amp;", "a &lt; b", "&copy;&nbsp;", '<a href="/x/12">', '<a href="/x/7?a=1&amp;b=2">', "</a>", "x & y", "<script>if (a) b</script>"]
+    strange = ["&eacute;", "<a href='q'>", "<td/>", "3 < 4", "<script>a</p>b</script>", '<p title=">">', "&#233;", "<textarea>"]
+    rows = [(i, "http://a/b", "".join(rng.choices(bits + (strange if i % 4 == 0 else []), k=rng.randrange(1, 40)))) for i in range(600)] + [(900, "u", None), (901, "u", "")]
+    # a cell that outlives its row stops the parser
+    ok = [r for r in rows if not _stops(r[2])]
+    df = spark.createDataFrame(ok, "page_id long, url string, html string").cache()
+    assert 300 < df.where(markup.decidable(F.col("html"))).count() < len(ok)
+    every = lambda d: sorted(map(str, d.collect()))
+    assert every(pages.table_rows(df, 1)) == every(pages.parsed_rows(df, 1))
+    for pattern in (None, r"/x/(\d+)"):
+        cut = pages.blocks(df, ("article", "section"), pattern).select("page_id", "ord", "title", "text", "block_id")
+        assert every(cut) == every(pages.parsed_blocks(df, ("article", "section"), pattern))
+    real = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet")
+    tags = ("article", "section", "div", "body")
+    assert real.where(markup.decidable(F.col("html"))).count() == real.count()
+    assert every(pages.blocks(real, tags).select("page_id", "ord", "title", "text", "block_id")) == every(pages.parsed_blocks(real, tags, None))
+
+
+def _stops(html):
+    try:
+        p = pages._Table()
+        p.feed(html or "")
+    except AttributeError:
+        return True
+    return False
+
+
 def test_csv_round_trip(spark, tmp_path, sf_dir):
     rows = Shapes(spark, sf_dir).listings.limit(20)
     files.write_listing_csv(rows, f"file://{tmp_path}/out")
