@@ -111,6 +111,31 @@ def fan_out(subscriber_states: DataFrame, rows: DataFrame) -> DataFrame:
     return subscriber_states.join(rows, "state")
 
 
+#: Bytes of rows up to which they are sent to every task, and people of one key that one task is to have.
+SENT_BYTES, EACH = 8 << 20, 100_000
+
+
+def measured_bytes(rows: DataFrame) -> int:
+    """About the bytes of all rows: those of strings as they are, 8 for any other value."""
+    size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.simpleString() == "string" else F.lit(8) for f in rows.schema.fields), F.lit(8))
+    return rows.agg(F.sum(size)).first()[0] or 0
+
+
+def skewed_fan_out(people: DataFrame, rows: DataFrame, key: str = "state", sent_bytes: int = SENT_BYTES, each: int = EACH) -> DataFrame:
+    """people joined with the rows of their key, where a key may hold most of the people.
+
+    Rows of a small measured size go to every task. Else the people of a key are dealt to as many parts as their number needs,
+    and the key's rows are repeated for each part, so what is repeated grows with the people of a key over each.
+    """
+    if measured_bytes(rows) <= sent_bytes:
+        return people.join(F.broadcast(rows), key)
+    parts = people.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias("_parts"))
+    cols = [c for c in people.columns if c != key]
+    dealt = people.join(parts, key).withColumn("_part", F.pmod(F.xxhash64(*cols), F.col("_parts")).cast("int")).drop("_parts")
+    repeated = rows.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(repeated, [key, "_part"]).drop("_part")
+
+
 def fan_out_counts(subscriber_states: DataFrame, eligible: DataFrame, rows: DataFrame) -> DataFrame:
     """(state, n): rows of fan_out() for eligible subscribers (subscriber_id), from one count a state on each side."""
     people = subscriber_states.join(eligible.select("subscriber_id"), "subscriber_id", "left_semi").groupBy("state").agg(F.count(F.lit(1)).alias("people"))

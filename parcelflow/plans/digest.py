@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import dates, status, text
 from parcelflow.operators import aggregates
-from parcelflow.operators.joins import drop_if_last_disappeared, events_with_property, fan_out, hide_duplicates, removed_gate, saved_changes
+from parcelflow.operators.joins import drop_if_last_disappeared, events_with_property, fan_out, hide_duplicates, removed_gate, saved_changes, skewed_fan_out
 from parcelflow.operators.thresholds import threshold_top
 from parcelflow.sources.files import kept
 
@@ -114,6 +114,27 @@ def subscriber_digest(subscribers: DataFrame, states: DataFrame, properties: Dat
     return shown.join(more, ["email", "section"]).select(*SHOWN_FIELDS)
 
 
+def listings_and_changes(subscribers: DataFrame, states: DataFrame, properties: DataFrame, events: DataFrame, as_of: str, days: int = 7, n: int = 25) -> DataFrame:
+    """(email, section, rank, more, state, property_id, event_id) of what each eligible subscriber's states have.
+
+    Sections: Listing, by date (undated first), and Change, the last days' events, the newest first; the first n of each over all states of
+    a subscriber, more is what is left. Each state's rows are cut to n before they are fanned out.
+    """
+    people = kept(eligible(subscribers).join(states, "subscriber_id").select("email", "state").distinct(), "people")
+    none = F.lit(None)
+    listed = properties.select("state", F.lit("Listing").alias("section"), "property_id", none.cast("long").alias("event_id"), F.unix_micros(F.col("auction_datetime").cast("timestamp")).alias("_by"))
+    recent = events.where(F.col("detected_at") >= at(as_of, -days)).select("auction_id", "event_id", "detected_at")
+    changed = recent.join(properties.select("auction_id", "property_id", "state"), "auction_id").select("state", F.lit("Change").alias("section"), "property_id", "event_id", (-F.unix_micros(F.col("detected_at").cast("timestamp"))).alias("_by"))
+    rows = kept(listed.unionByName(changed), "state-rows")
+    order = ("_by", "property_id", "event_id")
+    ranked = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+    first = kept(ranked(rows, "state", "section").drop("rank"), "first-rows")
+    counts = rows.groupBy("state", "section").agg(F.count(F.lit(1)).alias("_n"))
+    totals = skewed_fan_out(people, counts).groupBy("email", "section").agg(F.sum("_n").alias("_n"))
+    shown = ranked(skewed_fan_out(people, first), "email", "section")
+    return shown.join(totals, ["email", "section"]).select("email", "section", "rank", F.greatest(F.col("_n") - n, F.lit(0)).alias("more"), "state", "property_id", "event_id")
+
+
 def status_view(properties: DataFrame, events: DataFrame, links: DataFrame | None, as_of: str, states: Sequence[str], paid: bool, days: int = 7, saved_states: Sequence[str] = ()) -> DataFrame:
     """The digest of a list of states (section, state, property_id, address, auction_datetime, labels), uncapped and ungated.
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from parcelflow.functions import dates, status, text
 from parcelflow.operators import aggregates, dedup, joins, pages, rules
-from parcelflow.plans import billing, digest, export, links, load
+from parcelflow.plans import billing, cache, digest, export, links, load
 from parcelflow.plans.shapes import AS_OF, Shapes, with_shapes
 from parcelflow.sources import files, state
 from parcelflow.streaming import streams
@@ -580,6 +580,19 @@ def changed_text(s):
     return joins.changed_text(*_texts(s)).select("id", "digest")
 
 
+@query("", "select source || ':' || doc_id as id, sha256(text) as digest, doc_id % 4 <> 0 as hit, true as again, case when doc_id % 4 = 0 then 2 else 1 end as run_id, length(text)::varchar as said from documents")
+def extract_cache(s):
+    """Three runs over all documents: every fourth one has changed before the second, none before the third."""
+    rows = s.documents.select(F.concat("source", F.lit(":"), "doc_id").alias("id"), "text", "doc_id")
+    old = rows.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text")))
+    fields = lambda df: df.select("id", F.create_map(F.lit("length"), F.length("text").cast("string")).alias("fields"))
+    store = state.StateStore(s.spark, files.scratch(s.spark, "extract-cache"))
+    cache.cached_fields(store, old, fields, 1)
+    second, third = cache.cached_fields(store, rows, fields, 2), cache.cached_fields(store, rows, fields, 3)
+    entries = store.read("extracted", cache.CACHE).select("id", "run_id")
+    return second.join(third.select("id", F.col("hit").alias("again"), F.col("fields")["length"].alias("said")), "id").join(entries, "id").select("id", "digest", "hit", "again", "run_id", "said")
+
+
 @query("auction_events", "with d as (select auction_id, run_id, arg_min(new_value, event_id) as new_date from auction_events where event_type = 'date_change' group by all) select event_id, new_date from auction_events e left join d on e.auction_id = d.auction_id and e.run_id = d.run_id where event_type = 'status_change' and new_value = 'postponed'")
 def postponed_with_new_date(s):
     return joins.postponed_with_new_date(s.auction_events).select("event_id", "new_date")
@@ -599,15 +612,19 @@ def saved_property_changes(s):
     return joins.saved_changes(s.saved_properties, s.auction_events, s.notifications, AS_OF).select("email", "event_id", "property_id")
 
 
-@query("subscriber_states subscribers properties", "select state, sum(n) * any_value(m) as n from (select state, count(*) as n from subscriber_states where subscriber_id in (select subscriber_id from subscribers where active and alerts and subscription_status in ('active','trialing')) group by state) join (select state, count(*) as m from properties group by state) using (state) group by state")
+_PEOPLE = "e as (select distinct email, state from subscribers join subscriber_states using (subscriber_id) where active and alerts and subscription_status in ('active','trialing'))"
+
+
+@query("subscriber_states subscribers properties auction_events", f"with {_PEOPLE}, r as (select state, 'Listing' as section, property_id, null::bigint as event_id, epoch_us(auction_datetime) as o from properties union all select state, 'Change', property_id, event_id, -epoch_us(detected_at) from auction_events v join properties p on v.auction_id = p.auction_id where detected_at >= TS'2024-01-24 00:00:00'), x as (select email, section, row_number() over (partition by email, section order by o nulls first, property_id, event_id) as rank, count(*) over (partition by email, section) as n, state, property_id, event_id from e join r using (state)) select email, section, rank, greatest(n - 25, 0) as more, state, property_id, event_id from x where rank <= 25")
 def subscriber_fanout(s):
-    """Every eligible subscriber with every listing of their states, counted a state."""
-    return joins.fan_out_counts(s.subscriber_states, digest.eligible(s.subscribers), s.properties)
+    """Every eligible subscriber with the first listings and changes of their states."""
+    return digest.listings_and_changes(s.subscribers, s.subscriber_states, s.properties, s.auction_events, AS_OF)
 
 
 @query("subscriber_states subscribers properties", "select state, sum(n) * any_value(m) as n from (select state, count(*) as n from subscriber_states where subscriber_id in (select subscriber_id from subscribers where active and alerts and subscription_status in ('active','trialing')) group by state) join (select state, count(*) as m from properties group by state) using (state) group by state")
 def subscriber_fanout_whole(s):
-    return subscriber_fanout(s)
+    """Every eligible subscriber with every listing of their states, counted a state."""
+    return joins.fan_out_counts(s.subscriber_states, digest.eligible(s.subscribers), s.properties)
 
 
 @query("webhook_events subscribers", "select seq, email from webhook_events left join subscribers using (subscription_id)")

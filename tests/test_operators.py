@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parcelflow.functions import dates, status, text
 from parcelflow.functions.udf import fuzzy_date, street_similarity
 from parcelflow.operators import dedup, joins, markup, pages, rules, thresholds
-from parcelflow.plans import billing, digest, links, load
+from parcelflow.plans import billing, cache, digest, links, load
 from parcelflow.plans.shapes import Shapes
 from parcelflow.sources import files
 from parcelflow.sources.state import StateStore
@@ -430,6 +430,33 @@ def test_removals_follow_the_first_notification(spark):
         assert n[e] == sum(1 for f, s, first in told if f == e for st, _, _, r in gone if st == s and r > first)
 
 
+def test_fan_out_of_a_hot_state(spark):
+    people = spark.range(4000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("email"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("S"), (F.col("id") % 7).cast("string"))).otherwise("MA").alias("state"))
+    rows = spark.createDataFrame([("MA", i) for i in range(9)] + [("S3", 1), ("none", 2), (None, 3)], "state string, property_id long")
+    want = sorted(map(tuple, people.join(rows, "state").collect()))
+    for sent, each in ((1 << 20, 10), (0, 500), (0, 10_000)):
+        got = joins.skewed_fan_out(people, rows, sent_bytes=sent, each=each)
+        assert sorted((r["state"], r["email"], r["property_id"]) for r in got.collect()) == want
+    assert joins.measured_bytes(rows) == 12 * 16 + 9 * 2 + 2 + 4 and joins.measured_bytes(rows.limit(0)) == 0
+
+
+def test_texts_are_extracted_once(spark, tmp_path):
+    store = StateStore(spark, f"file://{tmp_path}/s", buckets=3)
+    asked = []
+
+    def extract(df):
+        asked.append(sorted(r["id"] for r in df.collect()))
+        return df.select("id", F.create_map(F.lit("t"), "text").alias("fields"))
+
+    run = lambda n, *rows: {r["id"]: (r["hit"], r["fields"]["t"]) for r in cache.cached_fields(store, spark.createDataFrame(list(rows), "id string, text string"), extract, n).collect()}
+    assert run(1, ("a", "x"), ("b", None), (None, "y"), ("c", "z"), ("c", "z")) == {"a": (False, "x"), "b": (False, ""), "c": (False, "z")}
+    assert run(2, ("a", "x"), ("b", ""), ("c", "zz"), ("d", "n")) == {"a": (True, "x"), "b": (True, ""), "c": (False, "zz"), "d": (False, "n")}
+    assert run(3, ("a", "x"), ("b", ""), ("c", "zz"), ("d", "n")) == {"a": (True, "x"), "b": (True, ""), "c": (True, "zz"), "d": (True, "n")}
+    assert run(4, ("c", "z")) == {"c": (False, "z")} and run(5) == {}
+    assert asked == [["a", "b", "c"], ["c", "d"], [], ["c"], []]
+    assert sorted((r["id"], r["run_id"]) for r in store.read("extracted", cache.CACHE).collect()) == [("a", 1), ("b", 1), ("c", 4), ("d", 2)]
+
+
 def test_links_of_bodies(spark):
     day = lambda n: dt.datetime(2024, 2, n, 10)
     rows = [("Upcoming", 1, day(28)), ("New", 1, day(20)), ("New", 2, day(21)), ("New", 3, None), ("Date Changes", 1, day(28)), ("Status Changes", 1, None), ("Removed", 1, day(3))]
