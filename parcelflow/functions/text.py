@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,11 +41,20 @@ def clean_int(c: Column) -> Column:
     return F.regexp_replace(group(c, r"([\d,]+)"), ",", "").try_cast("bigint")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def bathrooms(c: Column) -> Column:
     """A plain number, else full baths and half of the half baths; null if there are none."""
-    x = F.trim(c)
-    part = lambda word: F.coalesce(group(x, rf"(\d+)\s*{word}").try_cast("double"), F.lit(0.0))
-    return F.when(x.rlike(r"^\d+(\.\d+)?$"), x.try_cast("double")).otherwise(F.nullif(part("full") + 0.5 * part("half"), F.lit(0.0)))
+
+    def read(x: Column) -> Column:
+        part = lambda word: F.coalesce(F.regexp_extract(x, rf"(\d+)\s*{word}", 1).try_cast("double"), F.lit(0.0))
+        total = F.when(x.isNotNull(), part("full") + 0.5 * part("half"))
+        return F.when(x.rlike(r"^\d+(\.\d+)?$"), x.try_cast("double")).otherwise(F.nullif(total, F.lit(0.0)))
+
+    return once(F.trim(c), read)
 
 
 def bathrooms_raw(c: Column) -> Column:

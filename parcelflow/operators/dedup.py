@@ -28,16 +28,18 @@ def cross_source(rows: DataFrame, key: Column, pairs: Sequence[Sequence[str]] =
     Rows with a null key stay. The sources of a key are aggregated and joined back, so a hot key is never one window.
     """
     keyed = rows.withColumn("_key", key)
-    sources = keyed.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.collect_set("source").alias("_sources"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    first = keyed.where(F.col("_key").isNotNull()).groupBy("_key", "source").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"))
+    shared = first.groupBy("_key").agg(F.collect_list(F.struct("source", "seq")).alias("_s"), F.sum("n").alias("_n")).where(F.col("_n") > 1)  # an entry a source
+    names = F.transform("_s", lambda x: x["source"])
     order: Column = F.lit(None).cast("array<string>")
     for pair in reversed([list(p) for p in pairs]):
-        fits = F.size(F.array_except("_sources", F.array(*map(F.lit, pair)))) == 0
+        fits = F.size(F.array_except(names, F.array(*map(F.lit, pair)))) == 0
         if require_two_sources:
-            fits = fits & (F.size("_sources") > 1)
+            fits = fits & (F.size("_s") > 1)
         order = F.when(fits, F.array(*map(F.lit, pair))).otherwise(order)
-    sources = sources.select("_key", order.alias("_order")).where(F.col("_order").isNotNull())
-    best = keyed.join(sources, "_key").groupBy("_key").agg(F.min(F.struct(F.array_position("_order", F.col("source")), F.col("seq"))).alias("_best"))
-    marked = keyed.join(best.select("_key", F.col("_best.seq").alias("_seq")), "_key", "left")
+    best = shared.withColumn("_order", order).where(F.col("_order").isNotNull())
+    best = best.select("_key", F.array_min(F.transform("_s", lambda x: F.struct(F.array_position("_order", x["source"]), x["seq"])))["seq"].alias("_seq"))
+    marked = keyed.join(best, "_key", "left")
     return marked.where(F.col("_seq").isNull() | (F.col("_seq") == F.col("seq"))).drop("_key", "_seq")
 
 

@@ -39,18 +39,18 @@ def letter_counts(c: Column) -> Column:
     return F.array(*found, F.length(c) - sum(found[1:], found[0]))
 
 
-def ratio_bound(a: Column, b: Column, counts_a: Column, counts_b: Column) -> Column:
+def ratio_bound(a: Column, b: Column) -> Column:
     """Not less than the ratio of matching blocks: twice the letters in common over all letters."""
-    common = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
+    common = F.aggregate(F.zip_with(letter_counts(a), letter_counts(b), lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
     total = F.length(a) + F.length(b)
     return F.when(total == 0, 1.0).otherwise(2 * common / total)
 
 
 def open_streets(pairs: DataFrame, least: float) -> DataFrame:
     """The different pairs of street names, in both orders, that their letters leave open; only these need Python."""
-    unlike = pairs.where((F.col("a_street") != F.col("b_street")) & (F.col("bound") >= least))
-    both = unlike.select("a_street", "b_street").unionByName(unlike.select(F.col("b_street").alias("a_street"), F.col("a_street").alias("b_street")))
-    return both.distinct()
+    unlike = pairs.where(F.col("a_street") != F.col("b_street")).select(F.least("a_street", "b_street").alias("a_street"), F.greatest("a_street", "b_street").alias("b_street")).distinct()
+    left = unlike.where(ratio_bound(F.col("a_street"), F.col("b_street")) >= least)
+    return left.unionByName(left.select(F.col("b_street").alias("a_street"), F.col("a_street").alias("b_street")))
 
 
 def places(properties: DataFrame) -> DataFrame:
@@ -62,16 +62,15 @@ def places(properties: DataFrame) -> DataFrame:
 
 def place_pairs(pts: DataFrame, metres: float) -> DataFrame:
     """Ordered pairs of places (latitude, longitude, house, street) near each other with one house number, each with itself too."""
-    one = pts.select(*PLACE).distinct().withColumns({"counts": letter_counts(F.col("street")), "cx": F.floor(F.col("latitude") / STEP), "cy": F.floor(F.col("longitude") / STEP)})
+    one = pts.select(*PLACE).distinct().withColumns({"cx": F.floor(F.col("latitude") / STEP), "cy": F.floor(F.col("longitude") / STEP)})
     near = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
-    named = lambda p: [F.col(c).alias(f"{p}_{c}") for c in (*PLACE, "counts")]
+    named = lambda p: [F.col(c).alias(f"{p}_{c}") for c in PLACE]
     a = one.select(*named("a"), "cx", "cy", near.alias("d")).select("*", (F.col("cx") + F.col("d.dx")).alias("x"), (F.col("cy") + F.col("d.dy")).alias("y")).drop("cx", "cy", "d")
     b = one.select(*named("b"), F.col("cx").alias("x"), F.col("cy").alias("y"))
     pairs = a.join(b, (a["x"] == b["x"]) & (a["y"] == b["y"]) & (a["a_house"] == b["b_house"])).drop("x", "y")
     pairs = pairs.where((F.abs(F.col("a_latitude") - F.col("b_latitude")) <= BOX) & (F.abs(F.col("a_longitude") - F.col("b_longitude")) <= BOX))
     dist = haversine_m(*(F.col(c) for c in ("a_latitude", "a_longitude", "b_latitude", "b_longitude")))
-    bound = ratio_bound(F.col("a_street"), F.col("b_street"), F.col("a_counts"), F.col("b_counts"))
-    return pairs.withColumn("metres", dist).where(F.col("metres") <= metres).withColumn("bound", bound).drop("a_counts", "b_counts")
+    return pairs.withColumn("metres", dist).where(F.col("metres") <= metres)
 
 
 def link_duplicates(properties: DataFrame, least: float = 0.6, metres: float = 100.0) -> DataFrame:
@@ -83,7 +82,7 @@ def link_duplicates(properties: DataFrame, least: float = 0.6, metres: float = 1
     Where names are similar in one order of ids only, their properties are paired. A place of any size is aggregated before it meets its members.
     """
     pts = kept(places(properties), "places")
-    near = kept(place_pairs(pts, metres).where(F.col("bound") >= least), "place-pairs")
+    near = kept(place_pairs(pts, metres), "place-pairs")
     told = kept(open_streets(near, least).withColumn("_s", street_similarity("a_street", "b_street")), "streets")
     forth = told.select("a_street", "b_street", F.col("_s").alias("forth"))
     back = told.select(F.col("b_street").alias("a_street"), F.col("a_street").alias("b_street"), F.col("_s").alias("back"))

@@ -128,7 +128,7 @@ def test_duplicate_links_equal_those_of_all_pairs(spark):
     assert linked(links.link_duplicates(df)) == linked(links.link_duplicates_by_pairs(df))
     # Python sees few of the pairs
     pairs = joins.proximity_pairs(p).count()
-    near = links.place_pairs(links.places(p), 100.0).where("bound >= 0.6")
+    near = links.place_pairs(links.places(p), 100.0)
     assert links.open_streets(near, 0.6).count() < 0.1 * pairs
 
 
