@@ -63,7 +63,9 @@ class ShardStore:
             self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.root.toUri(), self.conf).rename(aside, self._at(f"manifest/v{after + 1:08d}.json"), self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
         except Exception as e:
             self.fs.delete(aside, False)
-            raise Conflict(f"version {after + 1} exists") from e
+            if self.version() > after:
+                raise Conflict(f"version {after + 1} exists") from e
+            raise  # a folder that cannot be written, not another writer
         return after + 1
 
     def _run(self, folder: str) -> dict:

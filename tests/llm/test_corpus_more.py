@@ -271,3 +271,21 @@ def test_new_queries_match_sql(spark, sf_dir):
     from tests.oracle import connection, same
 
     same(spark, connection(sf_dir), sf_dir, QUERIES["op11_importance_resampling"], ORACLES["op11_importance_resampling"])
+
+
+# -- compaction ---------------------------------------------------------------------------------------------------------
+
+
+def test_a_store_that_cannot_be_written_raises(spark, tmp_path, monkeypatch):
+    from parcelflow.llm import compaction
+
+    rows = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/s", rows.schema)
+    assert store.append(rows) == 1
+    at = store._at
+    monkeypatch.setattr(store, "_at", lambda name: at(name.replace("manifest/v", "nowhere/v") if name.endswith("2.json") else name))
+    with pytest.raises(Exception) as e:
+        store.append(rows)
+    assert not isinstance(e.value, compaction.Conflict)
+    monkeypatch.undo()
+    assert store.version() == 1 and store.append(rows) == 2 and store.read().count() == 2
