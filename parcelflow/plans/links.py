@@ -28,6 +28,8 @@ def choose_canonical(pairs: DataFrame, properties: DataFrame) -> DataFrame:
     return side.groupBy("property_id").agg(F.max_by(F.struct("canonical_id", "metres", "similarity"), "r").alias("x")).select("property_id", "x.canonical_id", "x.metres", "x.similarity")
 
 
+#: A link as the store keeps it.
+LINKS = "property_id long, canonical_id long, metres double, similarity double"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
 PLACE = ("latitude", "longitude", "house", "street")
 BOX, STEP = 0.0015, 0.002

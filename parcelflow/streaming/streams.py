@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from parcelflow.functions.text import page_alive
 from parcelflow.operators.joins import next_ids
 from parcelflow.plans import billing
+from parcelflow.plans.links import link_duplicates
 from parcelflow.plans.load import KEYS, RUNS, STATE, load_snapshot, sources_of
 from parcelflow.sources.files import kept
 from parcelflow.sources.state import StateStore
@@ -28,6 +29,11 @@ def apply_snapshot(store: StateStore, snapshot: DataFrame, as_of: str, tag: str)
     store.commit(tag, append={"events": done.events, "links": done.links, "runs": done.run}, keyed={"state": (done.state, KEYS, sources)})
 
 
+def relink(store: StateStore, tag: str) -> None:
+    """The duplicate links of all stored properties, made anew and replaced as the store's next version."""
+    store.commit(tag, replace={"duplicates": link_duplicates(store.read("state", STATE))})
+
+
 def snapshot_stream(spark: SparkSession, snapshots: DataFrame, store: StateStore, as_of_col: str, checkpoint: str):
     """Each arriving snapshot applied once, in order of its time: a batch may hold several. Starts the query.
 
