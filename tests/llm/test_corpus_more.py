@@ -289,3 +289,36 @@ def test_a_store_that_cannot_be_written_raises(spark, tmp_path, monkeypatch):
     assert not isinstance(e.value, compaction.Conflict)
     monkeypatch.undo()
     assert store.version() == 1 and store.append(rows) == 2 and store.read().count() == 2
+
+
+# -- the pipeline's first and last stage --------------------------------------------------------------------------------
+
+
+def test_first_and_last_stage_equal_plain_forms(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from parcelflow.llm import toxicity
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    model, _ = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    clean = {i for i, t in texts.items() if model.score([t])[0] < toxicity.CUT}
+    assert {r["doc_id"] for r in stages["toxicity"](spark, docs, sf_dir).collect()} == clean and 0 < len(clean) < len(texts)
+    t, start, want = Tokenizer.from_file(default_vocabulary()), 0, []
+    for i in sorted(texts):
+        ids = [*t.encode(texts[i], add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in stages["tokens"](spark, docs, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
+
+
+def test_repeated_labels_and_texts_have_one_order(spark):
+    from parcelflow.llm import toxicity
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (3, None), (3, "z"), (5, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (3, 0), (3, 0), (5, None), (None, 1)], "doc_id long, toxic int")
+    got = {r["doc_id"]: (r["toxic"], r["text"]) for r in toxicity.training_rows(docs, labels, "doc_id", "text").collect()}
+    held = {i for i in (1, 3, 5) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert got == {i: v for i, v in {1: (1, "a"), 3: (0, "z")}.items() if i not in held}
