@@ -62,8 +62,9 @@ STAGES = [
     ("tokens", write_tokens),
 ]
 
-#: SQL cannot express the string-kernel machine or the tokenizer. Tests compare near_duplicates, benchmark_leaks, mixing and tokens
-#: with plain forms of the same rules, and toxicity with its model's scores of single texts.
+#: SQL cannot express the string-kernel machine or the tokenizer. Tests compare near_duplicates and mixing with plain forms of the same
+#: rules, tokens with the library's ids of whole texts, toxicity with its model's scores of single texts, and benchmark_leaks with the
+#: operator's own hits, which another test compares with brute force.
 ORACLE_SQL = None
 
 
