@@ -24,11 +24,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's outcome is the quality label of the document with its id; hosts without one are judged by their domain, their suffix or all."""
+    """A page's outcome is the quality label of the document with its id; hosts without one are judged by their domain, their suffix or all.
+
+    A host is blocked where its lower bound is over the rate of all outcomes by more than MARGIN.
+    """
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     seen = pages.join(labels.select(F.col("doc_id").alias("page_id"), "quality"), "page_id")
     outcomes = seen.select(url_reputation.url_host(F.col("url")).alias("host"), (F.col("quality") == 0).alias("bad"))
-    return url_reputation.judge_urls(pages, outcomes)
+    return url_reputation.judge_urls(pages, outcomes, margin=url_reputation.MARGIN)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +111,7 @@ h2 as (select host, bad + k * m as a, n - bad + k * (1 - m) as b from w),
 r as (select host, greatest(a / (a + b) - 1.645::double * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0) as low from h2)
 select page_id, host, path,
   case {" ".join(f"when {fit} then '{h}{p}'" for fit, (_, h, p) in zip(_FITS, _RULES, strict=True))} end as rule,
-  case {" ".join(f"when {fit} then '{v}'" for fit, (v, _, _) in zip(_FITS, _RULES, strict=True))} when low > 0.5 then 'block' else 'allow' end as verdict,
+  case {" ".join(f"when {fit} then '{v}'" for fit, (v, _, _) in zip(_FITS, _RULES, strict=True))} when low > all_rate + {url_reputation.MARGIN}::double then 'block' else 'allow' end as verdict,
   round(low, 6) as bad_low
-from p left join r using (host)""",
+from p left join r using (host), t""",
 }

@@ -21,6 +21,8 @@ RULES: tuple[tuple[str, str, str], ...] = (
 LEAST, MOST = 1.0, 1000.0
 Z = 1.645
 BAD_RATE = 0.5
+#: How far over the rate of all outcomes a host's lower bound must lie where the bound is relative.
+MARGIN = 0.05
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

@@ -322,3 +322,27 @@ def test_repeated_labels_and_texts_have_one_order(spark):
     got = {r["doc_id"]: (r["toxic"], r["text"]) for r in toxicity.training_rows(docs, labels, "doc_id", "text").collect()}
     held = {i for i in (1, 3, 5) if zlib.crc32(str(i).encode()) % 4 == 2}
     assert got == {i: v for i, v in {1: (1, "a"), 3: (0, "z")}.items() if i not in held}
+
+
+# -- URL reputation -----------------------------------------------------------------------------------------------------
+
+
+def test_a_planted_host_is_blocked_by_the_query(spark, tmp_path):
+    """Of 60 hosts with 15 % bad pages one has 40 %; the query finds it, and its SQL agrees."""
+    from parcelflow.llm.queries import ORACLES
+    from tests.oracle import same
+
+    import duckdb
+
+    rng = random.Random(3)
+    hosts = [f"www.site{i}.example.org" for i in range(59)] + ["bets.casino-win.net"]
+    pages = [(i, f"https://{rng.choice(hosts)}/p/{i}", "<p>x</p>") for i in range(9000)]
+    labels = [(i, 0 if rng.random() < (0.4 if "casino" in url else 0.15) else 1, 0) for i, url, _ in pages if i % 3]
+    con = duckdb.connect()
+    for name, rows, schema in (("pages", pages, "page_id long, url string, html string"), ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    run, sql = QUERIES["op4_url_reputation"], ORACLES["op4_url_reputation"]
+    blocked = {r["host"] for r in run(spark, f"file://{tmp_path}").where("verdict = 'block'").collect()}
+    assert blocked == {"bets.casino-win.net"}
+    same(spark, con, f"file://{tmp_path}", run, sql)
