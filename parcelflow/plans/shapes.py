@@ -108,6 +108,8 @@ def with_shapes(names: list[str], query: str) -> str:
     plain = lambda n: re.sub(r"\{(\w+)\}", r"\1", dialect(SHAPES[n][1], False))
     body = query.strip()
     head = ", ".join(f"{n} as ({plain(n)})" for n in order)
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head}, {dialect(body[15:], False)}"
     if body.lower().startswith("with "):
         return f"with {head}, {dialect(body[5:], False)}"
     return f"with {head} {dialect(body, False)}"

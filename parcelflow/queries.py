@@ -1111,7 +1111,12 @@ def snapshot_stream(s):
     return store.read("events", load.EVENTS).groupBy("run_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _gated(rows, key, time, gap):
+    """A recursive table g (key, t): the times that a gate lets through, of a table with a key and a time."""
+    return f"g as (select {key}, min({time}) as t from {rows} group by {key} union all select g.{key}, min(n.{time}) from g join {rows} n on n.{key} = g.{key} and n.{time} >= g.t + interval {gap} group by g.{key})"
+
+
+@query("properties", f"with recursive k as (select user_id % 2500 as property_id, ts as checked_at, event_type = 'error' as dead from events), {_gated('k', 'property_id', 'checked_at', '15 minute')}, d as (select k.property_id, min(checked_at) as checked_at from k join g on g.property_id = k.property_id and g.t = k.checked_at where dead group by k.property_id) select row_number() over (order by property_id) as event_id, auction_id, 'disappeared' as event_type, status as old_value, null::varchar as new_value, checked_at as detected_at, 1::bigint as run_id from d join properties using (property_id)")
 def link_check_events(s):
     """Disappeared events that a stream of checks of every stored listing makes."""
     state = s.properties.withColumn("last_event", F.lit("first_seen"))
@@ -1121,10 +1126,11 @@ def link_check_events(s):
     return streams.disappeared_events(dead, state, 0, 1)
 
 
-@query()
+@query("notifications", f"with recursive {_gated('notifications', 'email', 'sent_at', '4 hour')} select email, t as sent_at from g")
 def cooldown_gate(s):
     stream, checkpoint = _arrivals(s, s.notifications.select("email", F.col("sent_at").cast("timestamp").alias("sent_at")), "sends")
-    return s.spark.read.schema("email string, sent_at timestamp").parquet(_appended(streams.cooldown(stream), checkpoint))
+    sent = s.spark.read.schema("email string, sent_at timestamp").parquet(_appended(streams.cooldown(stream), checkpoint))
+    return sent.select("email", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"))
 
 
 def _deliveries(s):
