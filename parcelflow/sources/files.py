@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,27 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_temporary = threading.local()
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Within it, tables that kept() makes in this thread last until its end; for work that has written all its results by then."""
+    before, _temporary.paths = getattr(_temporary, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _temporary.paths = _temporary.paths, before
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
     """df, computed once and kept as a table in the shared folder."""
     path = scratch(df.sparkSession, label)
+    if (paths := getattr(_temporary, "paths", None)) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

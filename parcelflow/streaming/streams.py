@@ -14,7 +14,7 @@ from parcelflow.operators.joins import next_ids
 from parcelflow.plans import billing
 from parcelflow.plans.links import link_duplicates
 from parcelflow.plans.load import KEYS, RUNS, STATE, load_snapshot, sources_of
-from parcelflow.sources.files import kept
+from parcelflow.sources.files import kept, temporary
 from parcelflow.sources.state import StateStore
 
 
@@ -25,13 +25,15 @@ def apply_snapshot(store: StateStore, snapshot: DataFrame, as_of: str, tag: str)
     """
     last = store.read("runs", RUNS).orderBy(F.desc("run_id")).select("run_id", "last_property", "last_event").first() or (0, 0, 0)
     sources = sources_of(snapshot)
-    done = load_snapshot(snapshot, store.bucketed("state", STATE, KEYS, sources), as_of, last[0] + 1, last[1], last[2])
-    store.commit(tag, append={"events": done.events, "links": done.links, "runs": done.run}, keyed={"state": (done.state, KEYS, sources)})
+    with temporary(store.spark):
+        done = load_snapshot(snapshot, store.bucketed("state", STATE, KEYS, sources), as_of, last[0] + 1, last[1], last[2])
+        store.commit(tag, append={"events": done.events, "links": done.links, "runs": done.run}, keyed={"state": (done.state, KEYS, sources)})
 
 
 def relink(store: StateStore, tag: str) -> None:
     """The duplicate links of all stored properties, made anew and replaced as the store's next version."""
-    store.commit(tag, replace={"duplicates": link_duplicates(store.read("state", STATE))})
+    with temporary(store.spark):
+        store.commit(tag, replace={"duplicates": link_duplicates(store.read("state", STATE))})
 
 
 def snapshot_stream(spark: SparkSession, snapshots: DataFrame, store: StateStore, as_of_col: str, checkpoint: str):
@@ -82,14 +84,15 @@ def webhook_stream(events: DataFrame, store: StateStore, checkpoint: str, days:
     def apply(batch: DataFrame, batch_id: int) -> None:
         if store.applied(str(batch_id)):
             return
-        fresh = kept(unseen(batch, store, days), "fresh")
-        keyed = {}
-        if fold:
-            new = kept(billing.folded(fresh), "folded")
-            parts = [r[0] for r in new.select("bucket").distinct().collect()]  # at most billing.BUCKETS
-            old = store.bucketed("subscriptions", billing.SUBSCRIPTIONS, billing.SUBSCRIPTION_KEYS, parts)
-            keyed["subscriptions"] = (billing.merged(old.unionByName(new)), billing.SUBSCRIPTION_KEYS, parts)
-        store.commit(str(batch_id), append={"webhooks": (fresh.select("event_id", "seq", "day"), "day")}, keyed=keyed)
+        with temporary(store.spark):
+            fresh = kept(unseen(batch, store, days), "fresh")
+            keyed = {}
+            if fold:
+                new = kept(billing.folded(fresh), "folded")
+                parts = [r[0] for r in new.select("bucket").distinct().collect()]  # at most billing.BUCKETS
+                old = store.bucketed("subscriptions", billing.SUBSCRIPTIONS, billing.SUBSCRIPTION_KEYS, parts)
+                keyed["subscriptions"] = (billing.merged(old.unionByName(new)), billing.SUBSCRIPTION_KEYS, parts)
+            store.commit(str(batch_id), append={"webhooks": (fresh.select("event_id", "seq", "day"), "day")}, keyed=keyed)
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

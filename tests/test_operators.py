@@ -230,8 +230,12 @@ def test_load_of_one_source_leaves_the_others_files(spark, tmp_path):
     plan = load.compared(load.widened(both), stored, ["c"])._jdf.queryExecution().executedPlan().toString()
     left, right = plan[plan.index("SortMergeJoin") :].split("FileScan")[0], plan[plan.index("FileScan") - 900 : plan.index("FileScan")]
     assert "Bucketed: true" in plan and left.count("Exchange") == 1 and "Exchange" not in right
-    # an empty snapshot changes nothing
+    # an empty snapshot changes nothing, and no load leaves tables of its own behind
+    shared = files.scratch(spark, "x").rsplit("/", 1)[0].removeprefix("file://")
+    before = set(os.listdir(shared))
     streams.apply_snapshot(store, both.limit(0), "2024-01-03 00:00:00", "3")
+    streams.relink(store, "3:links")
+    assert set(os.listdir(shared)) == before and store.read("duplicates", links.LINKS).count() == 0
     assert store.manifest()["keyed"]["state"] == after and store.read("events", load.EVENTS).count() == 5
 
 
