@@ -13,7 +13,7 @@ from parcelflow.llm.common import written
 RULES: tuple[tuple[str, str, str], ...] = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
+    ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
