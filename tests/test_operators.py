@@ -677,3 +677,18 @@ def test_whole_queries_reach_every_listing(spark, sf_dir):
     known = {r["property_id"] for r in s.properties.collect()}
     asked = {(email[r["l_suppkey"]], r["l_orderkey"]) for r in s.lineitem.collect() if r["l_suppkey"] in email and r["l_orderkey"] in known}
     assert saved == {tuple(r) for r in s.saved_properties.select("email", "property_id").collect()} | asked
+
+
+def test_page_blocks_match_their_sql_on_a_reference_without_its_semicolon(spark, tmp_path):
+    import duckdb
+
+    from parcelflow.queries import ORACLES, QUERIES
+    from tests.oracle import same
+
+    htmls = ["<article><h1>A &amp; B</h1><p>x &lt; y &amp</p></article>", "<article><h1>A &amp</h1><p>x &lt</p></article>", "<article><h1>A</h1><p>&quot; &gt &am</p></article>", "<article><h1>A</h1>&amp;lt; &amp;amp</article>"]
+    spark.createDataFrame([(i, "u", h) for i, h in enumerate(htmls)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    found = {r["page_id"]: (r["title"], r["text"]) for r in QUERIES["page_blocks"](spark, str(tmp_path)).collect()}
+    assert found == {0: ("A & B", "x < y &"), 1: ("A &", "x <"), 2: ("A", '" > &am'), 3: ("A", "&lt; &amp")}
+    same(spark, con, str(tmp_path), QUERIES["page_blocks"], ORACLES["page_blocks"])
