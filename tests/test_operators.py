@@ -692,3 +692,10 @@ def test_page_blocks_match_their_sql_on_a_reference_without_its_semicolon(spark,
     found = {r["page_id"]: (r["title"], r["text"]) for r in QUERIES["page_blocks"](spark, str(tmp_path)).collect()}
     assert found == {0: ("A & B", "x < y &"), 1: ("A &", "x <"), 2: ("A", '" > &am'), 3: ("A", "&lt; &amp")}
     same(spark, con, str(tmp_path), QUERIES["page_blocks"], ORACLES["page_blocks"])
+
+
+def test_the_live_map_is_read_back_with_its_meta_rows_total(spark, sf_dir):
+    from parcelflow.queries import QUERIES
+
+    rows = QUERIES["write_live_map"](spark, sf_dir)
+    assert [r["total"] for r in rows.select("total").distinct().collect()] == [Shapes(spark, sf_dir).properties.count()]
