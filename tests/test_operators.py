@@ -699,3 +699,22 @@ def test_the_live_map_is_read_back_with_its_meta_rows_total(spark, sf_dir):
 
     rows = QUERIES["write_live_map"](spark, sf_dir)
     assert [r["total"] for r in rows.select("total").distinct().collect()] == [Shapes(spark, sf_dir).properties.count()]
+
+
+def test_dates_are_tidied_once_and_parsed_only_where_they_look_right(spark):
+    """A text that fits no form meets no formatter, and its tidy form is not worked out again for each of them."""
+    made = str(dates.parse_auction_datetime(F.col("a"))).lower()
+    assert made.count("regexp_replace") < len(dates.PATTERNS) and made.count("rlike") == len(dates.PATTERNS)
+    day = dt.datetime(2024, 9, 5)
+    wanted = {"Sep 5, 2024 at 3:07 PM": (15, 7), "Thursday, September 05, 2024 at 3 p.m.": (15, 0), "sep 5, 2024": (0, 0), "9/5/2024 at 3:07 am": (3, 7), "9/5/2024 3 PM": (15, 0), "2024-09-05T01:02:00": (1, 2)}
+    for raw, (hour, minute) in wanted.items():
+        assert one(spark, dates.parse_auction_datetime(F.col("a")), a=raw) == day.replace(hour=hour, minute=minute)
+    for raw in ("Sep 31, 2024", "Sept 5, 2024", "Sep 5, 2024 13:07 PM", "9/5/24x", "2024-9-05", "Sep 5, 2024 now"):
+        assert one(spark, dates.parse_auction_datetime(F.col("a")), a=raw) is None
+
+
+def test_a_lenient_date_is_parsed_once_a_worker():
+    from parcelflow.functions.udf import lenient
+
+    lenient.cache_clear()
+    assert {lenient("held on Sep 5, 2024", "2024-01-31") for _ in range(3)} == {dt.datetime(2024, 9, 5)} and lenient.cache_info().misses == 1
