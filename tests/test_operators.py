@@ -718,3 +718,11 @@ def test_a_lenient_date_is_parsed_once_a_worker():
 
     lenient.cache_clear()
     assert {lenient("held on Sep 5, 2024", "2024-01-31") for _ in range(3)} == {dt.datetime(2024, 9, 5)} and lenient.cache_info().misses == 1
+
+
+def test_street_words_are_shortened_in_one_pass(spark):
+    made = str(text.address_key(F.col("a"), F.col("a")))
+    assert made.count("regexp_replace") < len(text.STREET_WORDS)
+    for raw, short in (("12 North-East Street, Apt 4", "12 N-E ST"), ("STREETS OF NORTH'S ROAD", "STREETS OF N'S RD"), ("Éast Court #7", "ÉAST CT #7"), (" _North  Lane ", "_NORTH LN")):
+        assert one(spark, text.normalize_street(F.col("a")), a=raw) == short
+    assert one(spark, text.house_street(F.col("a")), a="12a North  Street-Road, Lowell") == "n st rd"
