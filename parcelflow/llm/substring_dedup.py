@@ -3,8 +3,9 @@
 Every string of LENGTH bytes picks an anchor, its least-hashed run of GRAM bytes; equal strings pick equal anchors at equal
 offsets, so only strings with one anchor can be equal. Anchors that occur once are dropped at once. Of the others, an
 anchor with its whole context (all strings that picked it) that occurs twice is repeated throughout. What is left are the
-edges of repeated passages: their contexts meet at their anchor's hash and their strings are compared by hash. Linear
-grouping over the contexts' blocks only parts contexts whose anchors' own bytes differ; it shapes no result.
+edges of repeated passages: their contexts meet at their anchor's hash. A suffix array by linear grouping over the blocks
+right of the anchors tells which contexts are equal how far to the right; a string is compared only with those of contexts
+that have its blocks, and only its bytes before and after these blocks by hash.
 """
 
 from __future__ import annotations
@@ -157,48 +158,56 @@ def string_hashes(data: list[bytes], n: np.ndarray, length: int) -> tuple[np.nda
     return run_hash(rolling(np.frombuffer(b"".join(data), np.uint8)), start, start + length), own
 
 
-def by_suffixes(data: list[bytes], offset: np.ndarray) -> list[np.ndarray]:
-    """Contexts in groups whose anchors' first blocks are equal, by a suffix array over the blocks right of their anchors."""
+def by_suffixes(data: list[bytes], offset: np.ndarray, depth: int) -> np.ndarray:
+    """(depth + 1, contexts): for each number of blocks, a number that contexts share whose blocks right of their anchors are
+    equal so far, by a suffix array over the blocks. Where a context has fewer blocks its number means nothing."""
     symbols: dict[bytes, int] = {}
     text: list[int] = []
-    heads: dict[int, int] = {}
-    least = GRAM // BLOCK
+    blocks = np.zeros((len(data), depth), np.int64)
+    heads = np.zeros(len(data), np.int64)
     for i, (d, o) in enumerate(zip(data, offset.tolist())):
-        heads[len(text)] = i
-        # the anchor and what follows it, at most the blocks of one string
-        text += [symbols.setdefault(d[k : k + BLOCK], len(symbols) + 2) for k in range(o, min(len(d), o + 4 * BLOCK) - BLOCK + 1, BLOCK)]
+        heads[i] = len(text)
+        own = [symbols.setdefault(d[k : k + BLOCK], len(symbols) + 2) for k in range(o, min(len(d), o + depth * BLOCK) - BLOCK + 1, BLOCK)]
+        blocks[i, : len(own)] = own
+        text += own
         text.append(1)
     text.append(0)
-    groups: list[list[int]] = []
-    last = None
-    for s in suffix_array(text):
-        if s in heads:
-            head = text[s : s + least]
-            if head != last:
-                groups.append([])
-                last = head
-            groups[-1].append(heads[s])
-    return [np.array(g) for g in groups if len(g) > 1]
+    place = np.full(len(text), -1)
+    place[heads] = np.arange(len(data))
+    order = place[np.array(suffix_array(text))]
+    order = order[order >= 0]
+    equal = np.cumprod(blocks[order][1:] == blocks[order][:-1], axis=1)
+    groups = np.zeros((depth + 1, len(data)), np.int64)
+    groups[1:, order[1:]] = np.cumsum(equal == 0, axis=0).T
+    return groups
 
 
 def repeated_in(data: list[bytes], offset: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     """(context, first string, one past the last) of runs of strings that another context of the same anchor also has."""
-    groups = by_suffixes(data, offset)
-    if not groups:
-        return []
-    pick = np.concatenate(groups)
-    group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-    hashed, own = string_hashes([data[i] for i in pick], n[pick], length)
-    hashed = mix(hashed + group[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    groups = by_suffixes(data, offset, length // BLOCK)
+    base = np.cumsum(n) - n
+    own = np.repeat(np.arange(len(data)), n)
+    left = offset[own] - (np.arange(len(own)) - base[own])
+    # whole blocks from the anchor to the string's end, which all strings with its group have in common
+    whole = (length - left) // BLOCK
+    group = groups[whole, own] * (length + 1) + left
+    _, number, count = np.unique(group, return_inverse=True, return_counts=True)
+    open_ = count[number] > 1
+    own, left, whole, group = own[open_], left[open_], whole[open_], group[open_]
+    at = np.flatnonzero(open_) - base[own]
+    begin = np.concatenate(([0], np.cumsum([len(d) for d in data])))[:-1]
+    total = rolling(np.frombuffer(b"".join(data), np.uint8))
+    start = begin[own] + at
+    after = start + left + whole * BLOCK
+    hashed = mix(run_hash(total, start, start + left) + mix(run_hash(total, after, start + length) + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     order = np.argsort(hashed, kind="stable")
     same = hashed[order][1:] == hashed[order][:-1]
     twice = np.zeros(len(hashed), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    base = np.cumsum(n[pick]) - n[pick]
-    edge = np.flatnonzero(np.concatenate(([twice[:1].any()], (twice[1:] != twice[:-1]) | (own[1:] != own[:-1]), [True])))
-    edge = np.unique(np.concatenate(([0], edge, [len(twice)])))
-    return [(int(pick[own[a]]), int(a - base[own[a]]), int(b - base[own[a]])) for a, b in zip(edge[:-1], edge[1:]) if twice[a]]
+    own, at = own[twice], at[twice]
+    edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(own)), bool), (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1))))
+    return [(int(own[a]), int(at[a]), int(at[b - 1]) + 1) for a, b in zip(edge, [*edge[1:], len(own)])]
 
 
 def edges(found: DataFrame, length: int) -> DataFrame:

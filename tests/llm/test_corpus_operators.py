@@ -101,6 +101,27 @@ def brute_removal(texts, length):
     return sorted(out)
 
 
+def test_the_suffix_order_decides_which_strings_are_compared(monkeypatch):
+    """Contexts share a number while their blocks are equal; without that their strings would count as equal."""
+    rng = random.Random(6)
+    word = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    anchor, left, right, end = word(40), word(90), word(100), word(60)
+    data = [left + anchor + right + end, left + anchor + right[:50] + word(50) + end, word(90) + anchor + right + end, left + anchor + right[:59]]
+    offset = np.array([90] * 4)
+    groups = substring_dedup.by_suffixes(data, offset, 10)
+    for depth in range(11):
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            assert (groups[depth, i] == groups[depth, j]) == (data[i][90 : 90 + 20 * depth] == data[j][90 : 90 + 20 * depth])
+    n = np.array([len(d) - 199 if len(d) >= 200 else 0 for d in data])
+    n = np.minimum(n, 91)
+    strings = {(i, k): d[k : k + 200] for i, d in enumerate(data) for k in range(n[i])}
+    twice = {key for key, s in strings.items() if list(strings.values()).count(s) > 1}
+    found = lambda: {(i, k) for i, a, b in substring_dedup.repeated_in(data, offset, n, 200) for k in range(a, b)}
+    assert twice and found() == twice
+    monkeypatch.setattr(substring_dedup, "by_suffixes", lambda data, offset, depth: np.zeros((depth + 1, len(data)), np.int64))
+    assert found() > twice
+
+
 @pytest.mark.parametrize("most", [2000, 2])
 def test_substring_dedup_against_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(substring_dedup, "MOST", most)
