@@ -726,3 +726,24 @@ def test_street_words_are_shortened_in_one_pass(spark):
     for raw, short in (("12 North-East Street, Apt 4", "12 N-E ST"), ("STREETS OF NORTH'S ROAD", "STREETS OF N'S RD"), ("Éast Court #7", "ÉAST CT #7"), (" _North  Lane ", "_NORTH LN")):
         assert one(spark, text.normalize_street(F.col("a")), a=raw) == short
     assert one(spark, text.house_street(F.col("a")), a="12a North  Street-Road, Lowell") == "n st rd"
+
+
+def test_comparison_reads_what_events_need_only(spark):
+    """A comparison without a next state shuffled whole rows of both sides."""
+    kept = lambda ddl: files.kept(spark.createDataFrame([], ddl), "narrow")
+    made = load.compared(kept(load.SNAPSHOT), kept(load.STATE), ["a"]).select("source", "listing_id", F.inline("made"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "made" in plan and "description" not in plan.split("Relation")[0]
+
+
+def test_details_of_a_description_need_no_lambda(spark):
+    rows = spark.createDataFrame([("# Baths: 2 full / 1 half",), ("# Baths: 1.5; x",), ("# Baths: none",), (None,)], "description string")
+    found = load.described(rows, [])
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["bathrooms"] for r in found.collect()] == [2.5, 1.5, None, None]
+
+
+def test_cross_source_repeats_are_the_rest(spark):
+    df = spark.createDataFrame([(1, "landmark", "k"), (2, "brockscott", "k"), (3, "landmark", None), (4, "harmon", "m"), (5, "keenan", "m"), (6, "patriot", "n"), (7, None, "n")], "seq long, source string, key string")
+    assert {r["seq"] for r in dedup.cross_source_repeats(df, F.col("key")).collect()} == {2}
+    assert {r["seq"] for r in dedup.cross_source(df, F.col("key")).collect()} == {1, 3, 4, 5, 6, 7}
