@@ -732,7 +732,11 @@ def test_comparison_reads_what_events_need_only(spark):
     """A comparison without a next state shuffled whole rows of both sides."""
     kept = lambda ddl: files.kept(spark.createDataFrame([], ddl), "narrow")
     made = load.compared(kept(load.SNAPSHOT), kept(load.STATE), ["a"]).select("source", "listing_id", F.inline("made"))
-    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.debug.maxToStringFields", "500")
+    try:
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert "made" in plan and "description" not in plan.split("Relation")[0]
 
 
