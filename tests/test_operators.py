@@ -2,6 +2,7 @@ import datetime as dt
 import difflib
 import json
 import os
+import random
 import re
 
 import pytest
@@ -751,3 +752,19 @@ def test_cross_source_repeats_are_the_rest(spark):
     df = spark.createDataFrame([(1, "landmark", "k"), (2, "brockscott", "k"), (3, "landmark", None), (4, "harmon", "m"), (5, "keenan", "m"), (6, "patriot", "n"), (7, None, "n")], "seq long, source string, key string")
     assert {r["seq"] for r in dedup.cross_source_repeats(df, F.col("key")).collect()} == {2}
     assert {r["seq"] for r in dedup.cross_source(df, F.col("key")).collect()} == {1, 3, 4, 5, 6, 7}
+
+
+def test_rows_are_ranked_for_sets_of_states_not_for_people(spark):
+    """Every person's rows were sorted after the fan-out, in as few tasks as people had files."""
+    rng = random.Random(12)
+    states = {f"u{i}": rng.sample(["MA", "NH", "ME", "VT"], rng.randrange(1, 4)) for i in range(60)}
+    people = spark.createDataFrame([(e, s) for e, own in states.items() for s in own] + [("none", None), (None, "MA")], "email string, state string")
+    rows = [(rng.choice(["MA", "NH", "ME", None]), rng.choice("ab"), rng.randrange(9), i) for i in range(80)]
+    found = digest.first_of_states(people, spark.createDataFrame(rows, "state string, section string, by long, id long"), 3, ("by", "id"))
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for email, own in (states | {None: ["MA"]}).items():
+        for section in "ab":
+            mine = sorted((b, i, s) for s, x, b, i in rows if s in own and x == section)
+            want += [(email, section, n, max(len(mine) - 3, 0), s, i) for n, (b, i, s) in enumerate(mine[:3], 1)]
+    assert sorted(map(tuple, found.select("email", "section", "rank", "more", "state", "id").collect()), key=str) == sorted(want, key=str)
