@@ -6,23 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.functions import status
-from parcelflow.functions.text import haversine_m, house_number, house_street
 from parcelflow.functions.udf import street_similarity
-from parcelflow.operators.joins import proximity_pairs, similar_pairs
+from parcelflow.operators.joins import near_pairs, point_pairs, points, proximity_pairs, similar_pairs
 from parcelflow.sources.files import kept
 
 
+def rank() -> Column:
+    """Live before not live, then later seen, then lower id. last_seen_at stands for the last update: the loader sets both alike."""
+    return F.struct((~status.not_live(F.col("status"))).alias("live"), F.col("last_seen_at").alias("seen"), (-F.col("property_id")).alias("low"))
+
+
 def choose_canonical(pairs: DataFrame, properties: DataFrame) -> DataFrame:
-    """(property_id, canonical_id, metres, similarity): the hidden side of each pair; live beats not live, then later seen, then
-    lower id. last_seen_at stands for the last update: the loader sets both alike. A property hidden by several keeps its
-    best canonical; similarity is null where the pairs have none.
+    """hidden_sides() of pairs with the rank of their properties."""
+    ranks = properties.select("property_id", rank().alias("r"))
+    both = pairs.join(ranks.select(F.col("property_id").alias("a_property_id"), F.col("r").alias("a_r")), "a_property_id").join(ranks.select(F.col("property_id").alias("b_property_id"), F.col("r").alias("b_r")), "b_property_id")
+    return hidden_sides(both)
+
+
+def hidden_sides(pairs: DataFrame) -> DataFrame:
+    """(property_id, canonical_id, metres, similarity): the hidden side of each pair, the one of the lower rank (a_r, b_r).
+
+    A property hidden by several keeps its best canonical; similarity is null where the pairs have none.
     """
-    rank = properties.select("property_id", F.struct((~status.not_live(F.col("status"))).alias("live"), F.col("last_seen_at").alias("seen"), (-F.col("property_id")).alias("low")).alias("r"))
-    both = pairs.join(rank.select(F.col("property_id").alias("a_property_id"), F.col("r").alias("ra")), "a_property_id").join(rank.select(F.col("property_id").alias("b_property_id"), F.col("r").alias("rb")), "b_property_id")
-    a_wins = F.col("ra") > F.col("rb")
-    side = both.select(
+    a_wins = F.col("a_r") > F.col("b_r")
+    side = pairs.select(
         F.when(a_wins, F.col("b_property_id")).otherwise(F.col("a_property_id")).alias("property_id"),
-        F.when(a_wins, F.col("a_property_id")).otherwise(F.col("b_property_id")).alias("canonical_id"), F.greatest("ra", "rb").alias("r"), "metres",
+        F.when(a_wins, F.col("a_property_id")).otherwise(F.col("b_property_id")).alias("canonical_id"), F.greatest("a_r", "b_r").alias("r"), "metres",
         (F.col("similarity") if "similarity" in pairs.columns else F.lit(None).cast("double")).alias("similarity"),
     )
     return side.groupBy("property_id").agg(F.max_by(F.struct("canonical_id", "metres", "similarity"), "r").alias("x")).select("property_id", "x.canonical_id", "x.metres", "x.similarity")
@@ -32,7 +41,7 @@ def choose_canonical(pairs: DataFrame, properties: DataFrame) -> DataFrame:
 LINKS = "property_id long, canonical_id long, metres double, similarity double"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
 PLACE = ("latitude", "longitude", "house", "street")
-BOX, STEP = 0.0015, 0.002
+BOX = 0.0015
 
 
 def letter_counts(c: Column) -> Column:
@@ -56,23 +65,15 @@ def open_streets(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def places(properties: DataFrame) -> DataFrame:
-    """properties (property_id, source, latitude, longitude, house, street, r); r: live before not live, then later seen, then lower id."""
-    rank = F.struct((~status.not_live(F.col("status"))).alias("live"), F.col("last_seen_at").alias("seen"), (-F.col("property_id")).alias("low"))
-    pts = properties.select("property_id", "source", "latitude", "longitude", house_number(F.col("address")).alias("house"), house_street(F.col("address")).alias("street"), rank.alias("r"))
-    return pts.where(F.col("house").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    """properties (property_id, source, latitude, longitude, house, street, r) with a house number and a point; r: rank()."""
+    return points(properties, rank().alias("r"))
 
 
 def place_pairs(pts: DataFrame, metres: float) -> DataFrame:
     """Ordered pairs of places (latitude, longitude, house, street) near each other with one house number, each with itself too."""
-    one = pts.select(*PLACE).distinct().withColumns({"cx": F.floor(F.col("latitude") / STEP), "cy": F.floor(F.col("longitude") / STEP)})
-    near = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
-    named = lambda p: [F.col(c).alias(f"{p}_{c}") for c in PLACE]
-    a = one.select(*named("a"), "cx", "cy", near.alias("d")).select("*", (F.col("cx") + F.col("d.dx")).alias("x"), (F.col("cy") + F.col("d.dy")).alias("y")).drop("cx", "cy", "d")
-    b = one.select(*named("b"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-    pairs = a.join(b, (a["x"] == b["x"]) & (a["y"] == b["y"]) & (a["a_house"] == b["b_house"])).drop("x", "y")
-    pairs = pairs.where((F.abs(F.col("a_latitude") - F.col("b_latitude")) <= BOX) & (F.abs(F.col("a_longitude") - F.col("b_longitude")) <= BOX))
-    dist = haversine_m(*(F.col(c) for c in ("a_latitude", "a_longitude", "b_latitude", "b_longitude")))
-    return pairs.withColumn("metres", dist).where(F.col("metres") <= metres)
+    one = kept(pts.select(*PLACE).distinct(), "one-places")
+    named = lambda p: one.select(*(F.col(c).alias(f"{p}_{c}") for c in PLACE))
+    return near_pairs(named("a"), named("b"), BOX, ["house"]).where(F.col("metres") <= metres)
 
 
 def link_duplicates(properties: DataFrame, least: float = 0.6, metres: float = 100.0) -> DataFrame:
@@ -117,5 +118,8 @@ def link_duplicates_by_pairs(properties: DataFrame, least: float = 0.6) -> DataF
 
 
 def link_candidates(properties: DataFrame) -> DataFrame:
-    """The same without the similarity of street names, in built-in expressions alone: streets must be equal."""
-    return choose_canonical(proximity_pairs(properties).where(F.col("a_street") == F.col("b_street")), properties)
+    """The same without the similarity of street names, in built-in expressions alone: streets must be equal.
+
+    Properties are read once and take their rank with them into the pairs, so nothing is joined to these again.
+    """
+    return hidden_sides(point_pairs(kept(places(properties), "places"), BOX, on=("house", "street")))

@@ -768,3 +768,24 @@ def test_rows_are_ranked_for_sets_of_states_not_for_people(spark):
             mine = sorted((b, i, s) for s, x, b, i in rows if s in own and x == section)
             want += [(email, section, n, max(len(mine) - 3, 0), s, i) for n, (b, i, s) in enumerate(mine[:3], 1)]
     assert sorted(map(tuple, found.select("email", "section", "rank", "more", "state", "id").collect()), key=str) == sorted(want, key=str)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_near_pairs_against_brute_force(spark):
+    rng, box = random.Random(17), 0.0015
+    at = [(c + rng.choice([0, box, -box, 4 * box, rng.uniform(-3 * box, 3 * box)]), -d + rng.uniform(-3 * box, 3 * box)) for c, d in ((0.0, 0.0), (42.0, 71.0), (6 * box, 6 * box), (-42.003, 250.0)) for _ in range(60)]
+    rows = [(i, "ab"[i % 2], lat, lon, "12"[i % 3 == 0], "elm") for i, (lat, lon) in enumerate(at)]
+    df = spark.createDataFrame(rows, "property_id long, source string, latitude double, longitude double, house string, street string")
+    side = lambda p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
+    got = sorted((r["a_property_id"], r["b_property_id"]) for r in joins.near_pairs(side("a"), side("b"), box, ["house"]).collect())
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[4] == b[4] and abs(a[2] - b[2]) <= box and abs(a[3] - b[3]) <= box)
+
+
+def test_candidates_are_read_once_and_streets_bounded_once(spark):
+    """Ranks were joined to the pairs from the properties again, and letters counted for every pair of places."""
+    props = spark.createDataFrame([(1, "a", 42.0, -71.0, "1 Elm St", "active", dt.datetime(2024, 1, 1)), (2, "b", 42.0, -71.0, "1 Elm Street", "sold", dt.datetime(2024, 1, 2))], "property_id long, source string, latitude double, longitude double, address string, status string, last_seen_at timestamp_ntz")
+    found = links.link_candidates(props)
+    assert plan_of(found).count("Join ") == 1 and [tuple(r)[:2] for r in found.collect()] == [(1, 2)]
