@@ -58,9 +58,12 @@ def ratio_bound(a: Column, b: Column) -> Column:
 
 
 def open_streets(pairs: DataFrame, least: float) -> DataFrame:
-    """The different pairs of street names, in both orders, that their letters leave open; only these need Python."""
+    """The different pairs of street names, in both orders, that their letters leave open; only these need Python.
+
+    The pairs of names are written first: else the bound would be worked out for every pair of places, below the aggregate.
+    """
     unlike = pairs.where(F.col("a_street") != F.col("b_street")).select(F.least("a_street", "b_street").alias("a_street"), F.greatest("a_street", "b_street").alias("b_street")).distinct()
-    left = unlike.where(ratio_bound(F.col("a_street"), F.col("b_street")) >= least)
+    left = kept(unlike, "street-names").where(ratio_bound(F.col("a_street"), F.col("b_street")) >= least)
     return left.unionByName(left.select(F.col("b_street").alias("a_street"), F.col("a_street").alias("b_street")))
 
 

@@ -789,3 +789,5 @@ def test_candidates_are_read_once_and_streets_bounded_once(spark):
     props = spark.createDataFrame([(1, "a", 42.0, -71.0, "1 Elm St", "active", dt.datetime(2024, 1, 1)), (2, "b", 42.0, -71.0, "1 Elm Street", "sold", dt.datetime(2024, 1, 2))], "property_id long, source string, latitude double, longitude double, address string, status string, last_seen_at timestamp_ntz")
     found = links.link_candidates(props)
     assert plan_of(found).count("Join ") == 1 and [tuple(r)[:2] for r in found.collect()] == [(1, 2)]
+    names = links.open_streets(spark.createDataFrame([("elm st", "elms st"), ("elms st", "elm st"), ("x", "elm")], "a_street string, b_street string"), 0.6)
+    assert "Aggregate" not in plan_of(names) and sorted(map(tuple, names.collect())) == [("elm st", "elms st"), ("elms st", "elm st")]
