@@ -791,3 +791,29 @@ def test_candidates_are_read_once_and_streets_bounded_once(spark):
     assert plan_of(found).count("Join ") == 1 and [tuple(r)[:2] for r in found.collect()] == [(1, 2)]
     names = links.open_streets(spark.createDataFrame([("elm st", "elms st"), ("elms st", "elm st"), ("x", "elm")], "a_street string, b_street string"), 0.6)
     assert "Aggregate" not in plan_of(names) and sorted(map(tuple, names.collect())) == [("elm st", "elms st"), ("elms st", "elm st")]
+
+
+def test_joins_of_a_load_sort_by_what_differs_first(spark, tmp_path, monkeypatch):
+    """They sorted by the source, of which there are few, and by a struct of coordinates."""
+    both = load.compared(spark.createDataFrame([], load.SNAPSHOT), spark.createDataFrame([], load.STATE), ["a"])
+    df = spark.createDataFrame([(1, "a", "1"), (2, "b", "2")], "seq long, source string, listing_id string")
+    plan = lambda x: x._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"Join FullOuter, \(\(listing_id#\d+ = listing_id#\d+\) AND", plan(both))
+    assert re.search(r"Join LeftOuter, \(\(_hash#\d+L = _hash#\d+L\) AND", plan(dedup.cross_source_repeats(df, F.struct("source"))))
+    rows = df.select("source", "listing_id", "seq")
+    new, old = (StateStore(spark, f"file://{tmp_path}/{x}", buckets=3) for x in ("new", "old"))
+    new.commit("1", keyed={"t": (rows, load.KEYS, ["a", "b"])})
+    assert new.manifest()["by"]["t"] == list(load.JOINED)
+    # a table of an older version, dealt by its keys in order, stays so
+    with monkeypatch.context() as m:
+        m.setattr(StateStore, "dealt_by", staticmethod(lambda _, __, keys: list(keys)))
+        old.commit("1", keyed={"t": (rows, load.KEYS, ["a", "b"])})
+    path = tmp_path / "old/manifests/00000001.json"
+    path.write_text(json.dumps({k: v for k, v in json.loads(path.read_text()).items() if k != "by"}))
+    (tmp_path / "old/manifests/.00000001.json.crc").unlink(missing_ok=True)
+    more = spark.createDataFrame([("b", str(i), i) for i in range(20)], "source string, listing_id string, seq long")
+    for store, by in ((new, load.JOINED), (old, load.KEYS)):
+        store.commit("2", keyed={"t": (more, load.KEYS, ["b"])})
+        assert store.manifest()["by"]["t"] == list(by)
+        held = store.bucketed("t", "source string, listing_id string, seq long", load.KEYS, ["a", "b"])
+        assert sorted(tuple(r) for r in held.join(more.select(*load.KEYS), list(by)).select("seq").collect()) == [(i,) for i in range(20)] and held.count() == 21
