@@ -817,3 +817,21 @@ def test_joins_of_a_load_sort_by_what_differs_first(spark, tmp_path, monkeypatch
         assert store.manifest()["by"]["t"] == list(by)
         held = store.bucketed("t", "source string, listing_id string, seq long", load.KEYS, ["a", "b"])
         assert sorted(tuple(r) for r in held.join(more.select(*load.KEYS), list(by)).select("seq").collect()) == [(i,) for i in range(20)] and held.count() == 21
+
+
+def test_a_cache_bucket_is_one_file_and_texts_move_only_if_missing(spark, tmp_path):
+    """Each of 64 buckets was dealt to as many files as there are shuffle partitions, and every text was shuffled and written."""
+    store = StateStore(spark, f"file://{tmp_path}/s", buckets=3)
+    seen = []
+
+    def extract(df):
+        seen.append(plan_of(df))
+        return df.select("id", F.create_map(F.lit("t"), "text").alias("fields"))
+
+    rows = spark.range(400).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("text "), "id").alias("text"))
+    assert cache.cached_fields(store, rows, extract, 1).where("not hit").count() == 400
+    assert "Join" not in seen[0] and "Aggregate" not in seen[0]
+    assert len(list(tmp_path.glob("s/extracted/*/part=*/*.parquet"))) == len(store.manifest()["keyed"]["extracted"]) <= cache.BUCKETS
+    changed = rows.withColumn("text", F.when(F.col("id") == "7", F.lit("new")).otherwise(F.col("text"))).union(rows.where("id = '9'"))
+    found = cache.cached_fields(store, changed, extract, 2)
+    assert [tuple(r) for r in found.where("not hit").select("id", "fields.t").collect()] == [("7", "new")] and found.count() == 400
