@@ -835,3 +835,27 @@ def test_a_cache_bucket_is_one_file_and_texts_move_only_if_missing(spark, tmp_pa
     changed = rows.withColumn("text", F.when(F.col("id") == "7", F.lit("new")).otherwise(F.col("text"))).union(rows.where("id = '9'"))
     found = cache.cached_fields(store, changed, extract, 2)
     assert [tuple(r) for r in found.where("not hit").select("id", "fields.t").collect()] == [("7", "new")] and found.count() == 400
+
+
+def test_a_load_shuffles_whole_rows_once_and_compares_narrow_ones(spark, sf_dir):
+    """Whole rows were shuffled for the latest, the comparison and the ids, and the next state was kept beside its use; the report joined it again for addresses."""
+    s = Shapes(spark, sf_dir)
+    first = load.load_snapshot(s.snapshot_1, empty_state(spark), "2024-01-01 00:00:00", 1)
+    # a state is a join of buckets; what it shuffles is the repeats and the new ids of each load
+    again = load.load_snapshot(s.snapshot_1, None, "2024-01-01 00:00:00", 1)
+    assert rows_of(again.state) == rows_of(first.state) and again.state.count() > 0
+    done = load.load_snapshot(s.snapshot_2.unionByName(s.snapshot_2.where("seq % 19 = 0").withColumn("latitude", F.lit(None).cast("double"))), again.state, "2024-01-31 00:00:00", 2, 10**6, 10**6, carried=["address"])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [x.state.select("*")._jdf.queryExecution().executedPlan().toString() for x in (again, done)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert [(p.count("Bucketed: true"), p.count("Exchange hashpartitioning"), p.count("FullOuter")) for p in plans] == [(1, 2, 0), (2, 4, 1)]
+    joined = files.import_report(done.events, done.state.select("auction_id", "address"), done.run, done.rejects.select("seq", "name"), 2)
+    report = files.import_report(done.changes, None, done.run, done.rejects.select("seq", "name"), 2)
+    assert rows_of(report) == rows_of(joined) and report.where("section = 5").count() > 2
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
