@@ -859,3 +859,18 @@ def test_a_load_shuffles_whole_rows_once_and_compares_narrow_ones(spark, sf_dir)
 
 def rows_of(df):
     return sorted(map(str, df.collect()))
+
+
+def test_a_stored_state_is_written_as_it_is_joined(spark, tmp_path, monkeypatch):
+    """The next state was written beside, read back, shuffled to buckets and written again."""
+    store, dealt = StateStore(spark, f"file://{tmp_path}/s", buckets=3), []
+    shuffle = spark.range(1).__class__.repartition
+    monkeypatch.setattr(spark.range(1).__class__, "repartition", lambda df, *a: dealt.append("first_seen_at" in df.columns) or shuffle(df, *a))
+    rows = [(i, "ab"[i % 2], str(i), "u", "active") for i in range(1, 41)]
+    streams.apply_snapshot(store, listed(*rows)(spark), "2024-01-01 00:00:00", "1")
+    streams.apply_snapshot(store, listed(*((*r[:4], "sold") for r in rows if r[0] % 3), (50, "a", "50", "u", "active"))(spark), "2024-01-02 00:00:00", "2")
+    assert dealt and not any(dealt)
+    state = {int(r["listing_id"]): (r["property_id"], r["status"], r["last_event"]) for r in store.read("state", load.STATE).collect()}
+    assert state == {i: (i, "sold", "status_change") if i % 3 else (i, "active", "disappeared") for i in range(1, 41)} | {50: (41, "active", "first_seen")}
+    written = files_of(f"{tmp_path}/s/state")
+    assert len(written) == len({(os.path.dirname(f), re.search(r"_(\d{5})\.c", f)[1]) for f in written}) <= 2 * 2 * 3  # a file a bucket
