@@ -874,3 +874,27 @@ def test_a_stored_state_is_written_as_it_is_joined(spark, tmp_path, monkeypatch)
     assert state == {i: (i, "sold", "status_change") if i % 3 else (i, "active", "disappeared") for i in range(1, 41)} | {50: (41, "active", "first_seen")}
     written = files_of(f"{tmp_path}/s/state")
     assert len(written) == len({(os.path.dirname(f), re.search(r"_(\d{5})\.c", f)[1]) for f in written}) <= 2 * 2 * 3  # a file a bucket
+
+
+def test_changes_are_placed_newest_first_without_a_time_last(spark, tmp_path):
+    """next_ids dropped its own column when it was to be named place; events without a time came first, and an hour that clocks skip was moved."""
+    import duckdb
+
+    from parcelflow.queries import ORACLES, QUERIES
+    from tests.oracle import same
+
+    ids = joins.next_ids(spark.range(9, 0, -1, 3).toDF("k"), "k", 4, "place")
+    assert ids.columns == ["k", "place"] and sorted(map(tuple, ids.collect())) == [(k, k + 4) for k in range(1, 10)]
+    # a night in which New York's clocks skip an hour, some eight events a time, and every seventh without one
+    ts = "case when id % 7 <> 0 then timestamp_ntz'2024-03-09 20:00:00' + make_dt_interval(0, 0, 20 * cast(id div 2 % 40 as int)) end as ts"
+    spark.range(300).selectExpr("id as event_id", ts, "1L as user_id", "'click' as event_type", "1.0D as value", "'' as props").union(
+        spark.createDataFrame([(None, None), (None, dt.datetime(2024, 3, 10, 3, 20))], "event_id long, ts timestamp_ntz").selectExpr("event_id", "ts", "1L", "'view'", "2.0D", "''")
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        same(spark, con, str(tmp_path), QUERIES["order_changes"], ORACLES["order_changes"])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
